@@ -12,6 +12,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgrid.llm.permutation_index import nearest
+
+    return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, top=10)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgrid.llm.exact_dedup import dedup_report
 
@@ -28,6 +34,15 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgrid.llm.secrets import BASE, scan
+
+    found = scan(_read(spark, sf_dir, "documents"))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, BASE), F.sha2(told(F.filter("spans", lambda s: s["kind"].isin(*BASE))), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgrid.llm.simhash import components, fingerprints
     from loomgrid.operators.shared import cut
@@ -36,8 +51,21 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgrid.llm.importance import score
+
+    return score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), F.col("quality") == 1)
+
+
+def op10_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgrid.llm.packing import pack
+
+    found = pack(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op8_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_permutation_index, op2_exact_dedup, op7_secret_scan, op8_simhash_near_dedup, op9_importance_resampling, op10_karmarkar_karp_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
