@@ -34,6 +34,26 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+#: The tree of the mixture: domains over languages over sources, with the weights that aren't 1.
+WEB, REFERENCE, FORUM = "web", "reference", "forum"
+DOMAINS = {WEB: range(0, 10), REFERENCE: range(10, 15), FORUM: range(15, 20)}
+WEIGHTS = {(WEB,): 0.6, (REFERENCE,): 0.25, (FORUM,): 0.15, (None, "en"): 0.55, (None, "de"): 0.15, (None, "fr"): 0.15, (None, "es"): 0.15, (None, "src0"): 4.0}
+
+
+def tree_levels() -> dict:
+    """domain, lang and source of a row of documents; sources that no domain names belong to the web."""
+    named = {f"src{n}": domain for domain, numbers in DOMAINS.items() for n in numbers}
+    domain = F.coalesce(*(F.when(F.col("source").isin([s for s, d in named.items() if d == one]), F.lit(one)) for one in DOMAINS), F.lit(WEB))
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op5_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgrid.llm.mixing import mix
+
+    found = mix(_read(spark, sf_dir, "documents"), tree_levels(), WEIGHTS, share_of_supply=1.0, epochs=2)
+    return found.select("doc_id", "lang", "source", F.col("epoch__").alias("epoch"), F.col("tokens__").alias("tokens"), F.col("budget__").alias("leaf_budget"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgrid.llm.secrets import BASE, scan
 
@@ -65,7 +85,7 @@ def op10_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_permutation_index, op2_exact_dedup, op7_secret_scan, op8_simhash_near_dedup, op9_importance_resampling, op10_karmarkar_karp_packing)}
+    return {f.__name__: f for f in (op1_permutation_index, op2_exact_dedup, op5_hierarchical_budgets, op7_secret_scan, op8_simhash_near_dedup, op9_importance_resampling, op10_karmarkar_karp_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,7 +1,7 @@
-"""SimHash near-dedup: 64-bit fingerprints, linked within a Hamming radius by BK-trees, and the components of the links.
+"""SimHash near-dedup: fingerprints, linked within a Hamming radius by BK-trees, and the components of the links.
 
-Two fingerprints within `radius` bits agree on at least blocks - radius of `blocks` bit fields. For each choice of
-blocks - radius fields, the fingerprints that agree on them form a shard. A shard's BK-tree hangs each child under its
+Two 64-bit fingerprints within `radius` bits agree on at least fields - radius of `fields` bit fields. For each choice of
+fields - radius fields, the fingerprints that agree on them form a shard. A shard's BK-tree hangs each child under its
 parent by their integer Hamming distance; searches follow only edges within the radius. Shard trees go out only to the
 tasks that hold fingerprints of that shard: what is sent is bounded by SHARD fingerprints a tree, however large the
 table. A shard of more is cut into pieces, and each piece's tree meets each piece's fingerprints, so no link is lost.
@@ -10,12 +10,16 @@ From each tree only a spanning forest of the links leaves the task, so copies of
 The fields are a partition of the 64 bits; six fields and radius 4 give 15 shardings of 21 or 22 bits each, seven give
 35 of 27 or 28 bits for more than 2**27 different fingerprints. Both are exact.
 
+near_dedup_keep() asks for a similarity of shingle sets. It makes fingerprints of four words: the first one finds
+candidates within a radius, all 256 bits then estimate the similarity, so that a large corpus gives no chance links.
+
 Null and blank texts have fingerprint zero, which links like any other. Rows with a null id get the component of their
 fingerprint. Repeated rows and ties change nothing; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
@@ -52,25 +56,37 @@ def hashes(raw: bytes, width: int) -> list[int]:
     return [h(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :], strict=True)]
 
 
-def majority(found: list[int]) -> int:
-    """The fingerprint: a bit is set if it is set in over half the hashes."""
-    ones = np.zeros(64, dtype=np.int64)
+def majority(found: list[int], words: int = 1) -> np.ndarray:
+    """The fingerprint's 64-bit words: a bit is set if it is set in over half the hashes. Further words mix each hash anew."""
+    ones = np.zeros(64 * words, dtype=np.int64)
     for k in range(0, len(found), _CHUNK):
-        part = np.array(found[k : k + _CHUNK], dtype="<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(found), bitorder="little").view("<u8")[0]) if found else 0
+        part = np.array(found[k : k + _CHUNK], dtype="<u8")[:, None]
+        if words > 1:
+            part = np.concatenate([part, *(_mix(part, n) for n in range(1, words))], axis=1)
+        ones += np.unpackbits(np.ascontiguousarray(part).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(found), bitorder="little").view("<u8") if found else np.zeros(words, dtype=np.uint64)
+
 
+def _mix(h: np.ndarray, n: int) -> np.ndarray:
+    """Another well mixed 64-bit hash of a hash: a multiplication, a fold and a second multiplication."""
+    h = (h + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(32)) ^ h) * np.uint64(0xD6E8FEB86659FD93)
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([majority(hashes(raw, width)) for raw in as_bytes(batch.column(1))], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        prints = np.array([majority(hashes(raw, width), words) for raw in as_bytes(batch.column(1))], dtype=np.uint64).reshape(-1, words).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(prints[:, n])) for n in range(words))], names=["doc_id", *_words(words)])
+
 
+def _words(n: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, n))]
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """(doc_id long, fp long): the fingerprint of each row, as a signed long."""
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, words: int = 1) -> DataFrame:
+    """(doc_id long, fp long, fp1 long, ...): the fingerprint of each row, as signed longs."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
-    return rows.mapInArrow(partial(_fingerprints, width=width), "doc_id long, fp long")
+    return rows.mapInArrow(partial(_fingerprints, width=width, words=words), "doc_id long, " + ", ".join(f"{w} long" for w in _words(words)))
 
 
 def shardings(radius: int, fields: int) -> list[int]:
@@ -81,49 +97,47 @@ def shardings(radius: int, fields: int) -> list[int]:
 
 
 class BKTree:
-    """Children are keyed by their integer Hamming distance to the parent. Nodes are positions in `values`."""
-
-    __slots__ = ("children", "values")
-
-    def __init__(self, values: list[int]):
-        self.values = values
-        self.children: list[dict[int, int]] = [{} for _ in values]
-        for k in range(1, len(values)):
-            v, node = values[k], 0
-            while True:
-                d = (v ^ values[node]).bit_count()
-                below = self.children[node].get(d)
-                if below is None:
-                    self.children[node][d] = k
-                    break
-                node = below
+    """Children are keyed by their integer Hamming distance to the parent; up to `leaf` values below one edge are scanned together."""
+
+    def __init__(self, values: np.ndarray, leaf: int = 96):
+        self.values, self.leaf = values, leaf
+        self.top = self._grow(np.arange(len(values)))
 
-    def near(self, value: int, radius: int) -> list[int]:
-        found, todo = [], [0] if self.values else []
+    def _grow(self, at: np.ndarray):
+        """A leaf (its positions) or a node (its position, edges, subtrees)."""
+        nodes: list = []
+        todo = [(at, None, None)]
         while todo:
-            node = todo.pop()
-            d = (value ^ self.values[node]).bit_count()
-            if d <= radius:
-                found.append(node)
-            kids = self.children[node]
-            if kids:
-                todo += [k for e, k in kids.items() if d - radius <= e <= d + radius]
-        return found
-
-    def near_many(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(node, positions of the queries within the radius of it): one walk for all queries at once."""
-        values = np.array(self.values, dtype=np.uint64)
-        todo = [(0, np.arange(len(queries)))] if len(values) else []
+            at, parent, edge = todo.pop()
+            if len(at) <= self.leaf:
+                made = at
+            else:
+                d = np.bitwise_count(self.values[at[1:]] ^ self.values[at[0]])
+                made = (int(at[0]), {})
+                todo += [(at[1:][d == e], made, int(e)) for e in np.unique(d)]
+            if parent is None:
+                nodes.append(made)
+            else:
+                parent[1][edge] = made
+        return nodes[0]
+
+    def near(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions of values and of the queries within the radius of them, in one walk for all queries."""
+        todo = [(self.top, np.arange(len(queries)))]
         while todo:
             node, at = todo.pop()
-            d = np.bitwise_count(queries[at] ^ values[node])
-            hit = at[d <= radius]
-            if len(hit):
-                yield node, hit
-            for e, k in self.children[node].items():
-                on = at[(d >= e - radius) & (d <= e + radius)]
-                if len(on):
-                    todo.append((k, on))
+            if isinstance(node, tuple):
+                d = np.bitwise_count(queries[at] ^ self.values[node[0]])
+                hit = at[d <= radius]
+                yield np.full(len(hit), node[0]), hit
+                for e, below in node[1].items():
+                    on = at[(d >= e - radius) & (d <= e + radius)]
+                    if len(on):
+                        todo.append((below, on))
+            elif len(node):
+                for k in range(0, len(at), 4096):
+                    v, q = np.nonzero(np.bitwise_count(self.values[node][:, None] ^ queries[at[k : k + 4096]][None, :]) <= radius)
+                    yield node[v], at[k + q]
 
 
 class Forest:
@@ -148,41 +162,43 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def _link(tree: list[int], queries: list[int], radius: int, forest: Forest) -> None:
-    """Joins every query with every tree value within the radius."""
-    if len(queries) <= 48:
-        index = BKTree(tree)
-        for q in queries:
-            for k in index.near(q, radius):
-                forest.join(q, tree[k])
-        return
-    index, many = BKTree(tree), np.array(queries, dtype=np.uint64)
-    names = list(dict.fromkeys(tree + queries))
-    place = {v: k for k, v in enumerate(names)}
-    label = np.arange(len(names))
-    q_at, t_at = np.array([place[v] for v in queries]), [place[v] for v in tree]
-    for node, hit in index.near_many(many, radius):
-        at, mine = label[q_at[hit]], label[t_at[node]]
-        if (at != mine).any():
-            old = np.unique(np.append(at, mine))
-            label[np.isin(label, old)] = old[0]
-    for k, r in enumerate(label.tolist()):
-        if k != r:
-            forest.join(names[k], names[r])
-
-
-def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, key, pair, fp, side) sorted by the first three: side 0 builds the tree, side 1 searches it; without a side 1
-    the tree's own fingerprints do. Gives the forest of all links in the partition."""
+def _link(prints: np.ndarray, tree: np.ndarray, queries: np.ndarray, radius: int, most: int | None) -> np.ndarray:
+    """A label for each row of prints, equal for rows that links between the tree's rows and the queries' join. most: bits in
+    which all words may differ, if that is asked too."""
+    label = np.arange(len(prints))
+    for v, q in BKTree(prints[tree, 0]).near(prints[queries, 0], radius):
+        a, b = tree[v], queries[q]
+        while len(at := np.flatnonzero(label[a] != label[b])):
+            a, b = a[at], b[at]
+            if most is not None:  # once: those that stay have passed
+                ok = np.concatenate([np.bitwise_count(prints[a[k : k + 65536]] ^ prints[b[k : k + 65536]]).sum(axis=1) <= most for k in range(0, len(a), 65536)])
+                a, b = a[ok], b[ok]
+                if not len(a):
+                    break
+            x, y = label[a[0]], label[b[0]]
+            label[label == max(x, y)] = min(x, y)
+    return label
+
+
+def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, most: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, key, pair, side, node, fingerprint words) sorted by the first three: side 0 builds the tree, side 1
+    searches it; without a side 1 the tree's own fingerprints do. Gives the forest of all links in the partition."""
     forest = Forest()
 
-    def work(prints: np.ndarray, side: np.ndarray) -> None:
-        tree = prints[side == 0].tolist()
-        searches = prints[side == 1].tolist()
-        if searches:
-            _link(tree, searches, radius, forest)
-        elif len(tree) > 1:
-            _link(tree, tree, radius, forest)
+    def work(columns: list[np.ndarray]) -> None:
+        side, node = columns[3], columns[4].tolist()
+        words = [c.view(np.uint64) for c in columns[5:]]
+        if len(node) <= 6 and most is None:
+            fp = words[0].tolist()
+            for i in range(1, len(fp)):
+                for j in range(i):
+                    if (fp[i] ^ fp[j]).bit_count() <= radius:
+                        forest.join(node[i], node[j])
+            return
+        tree, searches = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        label = _link(np.stack(words, axis=1), tree, searches if len(searches) else tree, radius, most)
+        for k in np.flatnonzero(label != np.arange(len(label))).tolist():
+            forest.join(node[k], node[label[k]])
 
     rest = None
     for batch in batches:
@@ -191,52 +207,68 @@ def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
             columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
         if not len(columns[0]):
             continue
-        shard, key, pair, fp, side = columns
-        new = np.flatnonzero((shard[1:] != shard[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
-        bounds = [0, *new.tolist()]
-        prints = fp.view(np.uint64)
+        shard, key, pair = columns[:3]
+        bounds = [0, *(np.flatnonzero((shard[1:] != shard[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1).tolist()]
         for s, e in zip(bounds, bounds[1:], strict=False):
             if e - s > 1:
-                work(prints[s:e], side[s:e])
+                work([c[s:e] for c in columns])
         rest = [c[bounds[-1] :] for c in columns]
     if rest is not None and len(rest[0]) > 1:
-        work(rest[3].view(np.uint64), rest[4])
+        work(rest)
     members = list(forest.up)
     for k in range(0, len(members), 10_000):
         part = members[k : k + 10_000]
-        both = [np.array(x, dtype=np.uint64).view(np.int64) for x in (part, [forest.root(m) for m in part])]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in both], names=["src", "dst"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (part, [forest.root(m) for m in part])], names=["src", "dst"])
 
 
-def links(prints: DataFrame, radius: int, fields: int) -> DataFrame:
-    """(src, dst): links between different fingerprints (column fp) that join just what all links within the radius join."""
+def links(prints: DataFrame, radius: int, fields: int, most: int | None = None) -> DataFrame:
+    """prints: (node, fp, fp1, ...), one row a fingerprint. Returns (src, dst): links between nodes that join just what all
+    links within the radius join (of those that differ in at most `most` bits of all words, if given)."""
+    words = [c for c in prints.columns if c != "node"]
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in shardings(radius, fields)]
     shards = F.explode(F.array(*(F.struct(F.lit(k).alias("shard"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)))).alias("s")
-    rows = prints.select("fp", shards).select("s.shard", "s.key", "fp")
+    rows = prints.select("node", *words, shards).select("s.shard", "s.key", "node", *words)
     # Only shards beyond SHARD need pieces. There are at most shardings x fingerprints / SHARD of them.
     large = rows.groupBy("shard", "key").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("shard", "key", F.ceil(F.col("n") / SHARD * 1.25).cast("int").alias("pieces"))
     rows = rows.join(large, ["shard", "key"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda other: F.struct((F.least(other, F.col("own")) * F.col("pieces") + F.greatest(other, F.col("own"))).alias("pair"), (other < F.col("own")).cast("int").alias("side")))).alias("m")
-    dealt = rows.select("shard", "key", "fp", meets).select("shard", "key", "m.pair", "fp", "m.side")
-    ordered = dealt.repartition("shard", "key", "pair").sortWithinPartitions("shard", "key", "pair", "fp")
-    return ordered.mapInArrow(partial(_shard_links, radius=radius), "src long, dst long")
+    dealt = rows.select("shard", "key", "node", *words, meets).select("shard", "key", "m.pair", "m.side", "node", *words)
+    ordered = dealt.repartition("shard", "key", "pair").sortWithinPartitions("shard", "key", "pair", "node")
+    return ordered.mapInArrow(partial(_shard_links, radius=radius, most=most), "src long, dst long")
 
 
-def components(prints: DataFrame, radius: int = 3, fields: int | None = None) -> DataFrame:
+def components(prints: DataFrame, radius: int = 4, fields: int | None = None) -> DataFrame:
     """prints: (doc_id, fp), one row per document. Returns doc_id, fp, component_id (the smallest id that links reach)."""
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     if fields is None:
         fields = FIELDS if classes.count() <= FIELDS_UP_TO else FIELDS + 1
-    joined = connected_components(links(classes.select("fp"), radius, max(fields, radius + 2)))
+    joined = connected_components(links(classes.select(F.col("fp").alias("node"), "fp"), radius, max(fields, radius + 1)))
     roots = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     named = roots.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup_keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 3) -> DataFrame:
-    """The rows of docs, of each component the one with the smallest id. Rows without an id stay."""
-    found = components(cut(fingerprints(docs, doc_id, text, width)), radius)
-    gone = found.where("doc_id > component_id").select(F.col("doc_id").alias("gone__"))
+def bits_apart(similarity: float, bits: int, spread: float = 1.0) -> int:
+    """Bits in which two fingerprints of sets with this Jaccard similarity differ, and `spread` standard deviations more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + spread * math.sqrt(bits * p * (1 - p)))
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 10, fields: int = 12, words: int = 4) -> DataFrame:
+    """(doc_id, component_id) of the documents that share a component with a smaller id. Rows with one id are one document; rows
+    without an id or without words link to none."""
+    prints = fingerprints(docs, doc_id, text, width, words).where("doc_id is not null and fp <> 0")
+    names = _words(words)
+    prints = cut(prints)
+    classes = cut(prints.groupBy(*names).agg(F.min("doc_id").alias("node")))
+    joined = connected_components(links(classes, radius, fields, bits_apart(similarity, 64 * words)))
+    roots = classes.join(joined, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(roots, names).select("doc_id", "component_id").where("doc_id > component_id").distinct()
+
+
+def near_dedup_keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs with all their columns, of each component of near copies the one with the smallest id."""
+    gone = near_copies(docs, doc_id, text, **options).select(F.col("doc_id").alias("gone__"))
     return docs.join(gone, docs[doc_id].cast("long") == gone["gone__"], "left_anti")
