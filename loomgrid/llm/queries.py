@@ -54,6 +54,29 @@ def op5_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "source", F.col("epoch__").alias("epoch"), F.col("tokens__").alias("tokens"), F.col("budget__").alias("leaf_budget"))
 
 
+def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgrid.llm.warc import read_archives, write_archives
+    from loomgrid.operators.shared import fresh_dir
+
+    folder = fresh_dir(spark, "warc")
+    write_archives(_read(spark, sf_dir, "pages"), folder)
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return read_archives(spark, folder, columns).where(F.col("record_type").isin("response", "revisit"))
+
+
+OP6_SQL = """
+WITH t AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last_id FROM t
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
+FROM g
+"""
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgrid.llm.secrets import BASE, scan
 
@@ -85,8 +108,8 @@ def op10_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_permutation_index, op2_exact_dedup, op5_hierarchical_budgets, op7_secret_scan, op8_simhash_near_dedup, op9_importance_resampling, op10_karmarkar_karp_packing)}
+    return {f.__name__: f for f in (op1_permutation_index, op2_exact_dedup, op5_hierarchical_budgets, op6_warc_archives, op7_secret_scan, op8_simhash_near_dedup, op9_importance_resampling, op10_karmarkar_karp_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op6_warc_archives": OP6_SQL}
