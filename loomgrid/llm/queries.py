@@ -34,6 +34,12 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgrid.llm.html_crf import extract
+
+    return extract(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 #: The tree of the mixture: domains over languages over sources, with the weights that aren't 1.
 WEB, REFERENCE, FORUM = "web", "reference", "forum"
 DOMAINS = {WEB: range(0, 10), REFERENCE: range(10, 15), FORUM: range(15, 20)}
@@ -108,7 +114,7 @@ def op10_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_permutation_index, op2_exact_dedup, op5_hierarchical_budgets, op6_warc_archives, op7_secret_scan, op8_simhash_near_dedup, op9_importance_resampling, op10_karmarkar_karp_packing)}
+    return {f.__name__: f for f in (op1_permutation_index, op2_exact_dedup, op3_html_extraction, op5_hierarchical_budgets, op6_warc_archives, op7_secret_scan, op8_simhash_near_dedup, op9_importance_resampling, op10_karmarkar_karp_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
