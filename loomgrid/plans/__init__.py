@@ -1 +1,6 @@
+"""Registered queries. Importing this package registers all of them."""
 
+from loomgrid.plans import cities, ingest, queries
+
+QUERIES, SQL = queries.QUERIES, queries.SQL
+__all__ = ["QUERIES", "SQL", "cities", "ingest"]
