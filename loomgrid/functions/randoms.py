@@ -77,18 +77,16 @@ def pick(u: Column, items: Column) -> Column:
     return F.element_at(items, (F.floor(u * F.size(items)) + 1).cast("int"))
 
 
-def _product32(a: Column, b: int) -> Column:
-    """Low 32 bits of a product of two 32-bit numbers, which as a whole may not fit in 64 bits."""
-    low = _mask(a).bitwiseAND(_long(0xFFFF)) * b
-    high = _mask(F.shiftrightunsigned(_mask(a), 16) * b).bitwiseAND(_long(0xFFFF)) * 65536
-    return _mask(low + high)
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def lattice(ix: Column, iz: Column, base: int) -> Column:
     """Noise at a lattice point, -1 .. 1. base: the hash of the noise's seed."""
-    h = _product32(ix, NOISE_X).bitwiseXOR(_product32(iz, NOISE_Z)).bitwiseXOR(_long(base))
-    h = _product32(h.bitwiseXOR(F.shiftrightunsigned(h, 13)), NOISE_MIX)
-    return h.bitwiseXOR(F.shiftrightunsigned(h, 16)) / F.lit(4294967296.0) * 2 - 1
+    h = _mask(_mask(ix) * NOISE_X).bitwiseXOR(_mask(_mask(iz) * NOISE_Z)).bitwiseXOR(_long(base))  # below 2^63, as the factors are below 2^31
+    mixed = lambda h: _mask(h.bitwiseXOR(F.shiftrightunsigned(h, 13)) * NOISE_MIX)
+    return let(mixed(h), lambda g: g.bitwiseXOR(F.shiftrightunsigned(g, 16)) / F.lit(4294967296.0) * 2 - 1)
 
 
 def hash_value(text: str) -> int:
@@ -103,8 +101,12 @@ def hash_value(text: str) -> int:
 def noise(seed: str, x: Column, z: Column) -> Column:
     """Smooth value noise, -1 .. 1; seeds are constants of a job, so their hash is folded into the plan."""
     base = hash_value(seed)
-    ix, iz = F.floor(x).cast("long"), F.floor(z).cast("long")
     fade = lambda t: t * t * (3 - 2 * t)
-    fx, fz = fade(x - ix), fade(z - iz)
-    a, b, c, d = lattice(ix, iz, base), lattice(ix + 1, iz, base), lattice(ix, iz + 1, base), lattice(ix + 1, iz + 1, base)
-    return (a + (b - a) * fx) * (1 - fz) + (c + (d - c) * fx) * fz
+
+    def at(p: Column) -> Column:
+        ix, iz, fx, fz = (p[k] for k in ("ix", "iz", "fx", "fz"))
+        a, b, c, d = lattice(ix, iz, base), lattice(ix + 1, iz, base), lattice(ix, iz + 1, base), lattice(ix + 1, iz + 1, base)
+        return let(F.struct(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d")), lambda v: (v["a"] + (v["b"] - v["a"]) * fx) * (1 - fz) + (v["c"] + (v["d"] - v["c"]) * fx) * fz)
+
+    floor = lambda v: F.floor(v).cast("long")
+    return let(F.struct(x.alias("x"), z.alias("z")), lambda q: let(F.struct(floor(q["x"]).alias("ix"), floor(q["z"]).alias("iz"), fade(q["x"] - F.floor(q["x"])).alias("fx"), fade(q["z"] - F.floor(q["z"])).alias("fz")), at))

@@ -104,9 +104,9 @@ def parcel_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def building_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lowest and highest ground under every building (AGG-15, TER-1, TER-2, TER-9)."""
-    b = _cities(spark, sf_dir).table("buildings").select("city_id", "pos", F.col("footprint").alias("ring"), "h")
-    told = terrain.anchors(b, terrain.ground(fields.elevation("town"), fields.water_distance({"kind": "flat"})), ["city_id", "pos", "h"])
-    return told.select("city_id", "pos", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round(F.col("high") + F.col("h"), 6).alias("top"))
+    b = _cities(spark, sf_dir).table("buildings").select("city_id", "pos", F.col("footprint").alias("ring"), F.col("h").alias("tall"))
+    told = terrain.anchors(b, terrain.ground(fields.elevation("town"), fields.water_distance({"kind": "flat"})), ["city_id", "pos", "tall"])
+    return told.select("city_id", "pos", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round(F.col("high") + F.col("tall"), 6).alias("top"))
 
 
 @query()

@@ -516,7 +516,7 @@ def population_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _noise_sql(seed: str, x: str, z: str) -> str:
     base = randoms.hash_value(seed)
     m = "4294967296"
-    p32 = lambda a, b: f"(((({a}) & 65535) * {b} + (((({a}) >> 16) * {b}) & 65535) * 65536) & 4294967295)"
+    p32 = lambda a, b: f"(({a}) * {b} % {m})"
     u = lambda a: f"((({a}) + {m} * 4) % {m})"
 
     def lat(dx: int, dz: int) -> str:
