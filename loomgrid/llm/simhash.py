@@ -10,8 +10,8 @@ From each tree only a spanning forest of the links leaves the task, so copies of
 The fields are a partition of the 64 bits; six fields and radius 4 give 15 shardings of 21 or 22 bits each, seven give
 35 of 27 or 28 bits for more than 2**27 different fingerprints. Both are exact.
 
-near_dedup_keep() asks for a similarity of shingle sets. It makes fingerprints of four words: the first one finds
-candidates within a radius, all 256 bits then estimate the similarity, so that a large corpus gives no chance links.
+near_dedup_keep() asks for a similarity of shingle sets. It makes fingerprints of two words: either one finds candidates
+within a radius, all 128 bits then estimate the similarity, so that a large corpus gives few chance links.
 
 Null and blank texts have fingerprint zero, which links like any other. Rows with a null id get the component of their
 fingerprint. Repeated rows and ties change nothing; an empty table gives no rows; other columns play no part.
@@ -162,11 +162,11 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def _link(prints: np.ndarray, tree: np.ndarray, queries: np.ndarray, radius: int, most: int | None) -> np.ndarray:
+def _link(prints: np.ndarray, word: int, tree: np.ndarray, queries: np.ndarray, radius: int, most: int | None) -> np.ndarray:
     """A label for each row of prints, equal for rows that links between the tree's rows and the queries' join. most: bits in
     which all words may differ, if that is asked too."""
     label = np.arange(len(prints))
-    for v, q in BKTree(prints[tree, 0]).near(prints[queries, 0], radius):
+    for v, q in BKTree(prints[tree, word]).near(prints[queries, word], radius):
         a, b = tree[v], queries[q]
         while len(at := np.flatnonzero(label[a] != label[b])):
             a, b = a[at], b[at]
@@ -180,14 +180,15 @@ def _link(prints: np.ndarray, tree: np.ndarray, queries: np.ndarray, radius: int
     return label
 
 
-def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, most: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, key, pair, side, node, fingerprint words) sorted by the first three: side 0 builds the tree, side 1
-    searches it; without a side 1 the tree's own fingerprints do. Gives the forest of all links in the partition."""
+def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, most: int | None, indexed: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, tag, node, fingerprint words) sorted by the first two; tag holds the pair of pieces, the word that the shard is
+    of, and the side: side 0 builds the tree, side 1 searches it; without a side 1 the tree's own fingerprints do. Gives the
+    forest of all links in the partition."""
     forest = Forest()
 
     def work(columns: list[np.ndarray]) -> None:
-        side, node = columns[3], columns[4].tolist()
-        words = [c.view(np.uint64) for c in columns[5:]]
+        tag, node = columns[1], columns[2].tolist()
+        words = [c.view(np.uint64) for c in columns[3:]]
         if len(node) <= 6 and most is None:
             fp = words[0].tolist()
             for i in range(1, len(fp)):
@@ -195,8 +196,8 @@ def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, most: int | Non
                     if (fp[i] ^ fp[j]).bit_count() <= radius:
                         forest.join(node[i], node[j])
             return
-        tree, searches = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        label = _link(np.stack(words, axis=1), tree, searches if len(searches) else tree, radius, most)
+        tree, searches = np.flatnonzero(tag % 2 == 0), np.flatnonzero(tag % 2 == 1)
+        label = _link(np.stack(words, axis=1), int(tag[0]) // 2 % indexed, tree, searches if len(searches) else tree, radius, most)
         for k in np.flatnonzero(label != np.arange(len(label))).tolist():
             forest.join(node[k], node[label[k]])
 
@@ -207,8 +208,8 @@ def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, most: int | Non
             columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
         if not len(columns[0]):
             continue
-        shard, key, pair = columns[:3]
-        bounds = [0, *(np.flatnonzero((shard[1:] != shard[:-1]) | (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1).tolist()]
+        key, group = columns[0], columns[1] // 2
+        bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (group[1:] != group[:-1])) + 1).tolist()]
         for s, e in zip(bounds, bounds[1:], strict=False):
             if e - s > 1:
                 work([c[s:e] for c in columns])
@@ -223,19 +224,24 @@ def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, most: int | Non
 
 def links(prints: DataFrame, radius: int, fields: int, most: int | None = None) -> DataFrame:
     """prints: (node, fp, fp1, ...), one row a fingerprint. Returns (src, dst): links between nodes that join just what all
-    links within the radius join (of those that differ in at most `most` bits of all words, if given)."""
+    links within the radius in the first word join; or, if `most` is given, all links within the radius in any word that
+    differ in at most `most` bits of all words.
+
+    A shard's key is a hash of what its members agree on. Two shards with one hash would only be searched as one."""
     words = [c for c in prints.columns if c != "node"]
+    indexed = 1 if most is None else len(words)
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in shardings(radius, fields)]
-    shards = F.explode(F.array(*(F.struct(F.lit(k).alias("shard"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)))).alias("s")
-    rows = prints.select("node", *words, shards).select("s.shard", "s.key", "node", *words)
+    shards = F.explode(F.array(*(F.struct(F.xxhash64(F.lit(k * indexed + w), F.col(words[w]).bitwiseAND(F.lit(m))).alias("key"), F.lit(w).cast("long").alias("word")) for k, m in enumerate(masks) for w in range(indexed)))).alias("s")
+    rows = prints.select("node", *words, shards).select("s.key", "s.word", "node", *words)
     # Only shards beyond SHARD need pieces. There are at most shardings x fingerprints / SHARD of them.
-    large = rows.groupBy("shard", "key").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("shard", "key", F.ceil(F.col("n") / SHARD * 1.25).cast("int").alias("pieces"))
-    rows = rows.join(large, ["shard", "key"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("key", F.ceil(F.col("n") / SHARD * 1.25).cast("int").alias("pieces"))
+    rows = rows.join(large, "key", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda other: F.struct((F.least(other, F.col("own")) * F.col("pieces") + F.greatest(other, F.col("own"))).alias("pair"), (other < F.col("own")).cast("int").alias("side")))).alias("m")
-    dealt = rows.select("shard", "key", "node", *words, meets).select("shard", "key", "m.pair", "m.side", "node", *words)
-    ordered = dealt.repartition("shard", "key", "pair").sortWithinPartitions("shard", "key", "pair", "node")
-    return ordered.mapInArrow(partial(_shard_links, radius=radius, most=most), "src long, dst long")
+    tag = lambda other: ((F.least(other, F.col("own")) * F.col("pieces") + F.greatest(other, F.col("own"))) * indexed + F.col("word")) * 2 + (other < F.col("own")).cast("int")
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), tag)).alias("tag")
+    dealt = rows.select("key", meets, "node", *words)
+    ordered = dealt.repartition("key", F.expr("tag div 2")).sortWithinPartitions("key", "tag", "node")
+    return ordered.mapInArrow(partial(_shard_links, radius=radius, most=most, indexed=indexed), "src long, dst long")
 
 
 def components(prints: DataFrame, radius: int = 4, fields: int | None = None) -> DataFrame:
@@ -256,7 +262,7 @@ def bits_apart(similarity: float, bits: int, spread: float = 1.0) -> int:
     return int(bits * p + spread * math.sqrt(bits * p * (1 - p)))
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 10, fields: int = 12, words: int = 4) -> DataFrame:
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 10, fields: int = 12, words: int = 2) -> DataFrame:
     """(doc_id, component_id) of the documents that share a component with a smaller id. Rows with one id are one document; rows
     without an id or without words link to none."""
     prints = fingerprints(docs, doc_id, text, width, words).where("doc_id is not null and fp <> 0")

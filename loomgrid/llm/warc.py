@@ -70,7 +70,7 @@ def page_record(page_id, url, payload: bytes, digest: str, kind: str, refers_to)
     return record(headers, http + body)
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], folder: str, index_every: int) -> Iterator[pa.RecordBatch]:
     """Columns: id, url, payload, digest, kind, refers_to. Gives a row for the archive, if there are records."""
     system, root = filesystem(folder)
     task = TaskContext.get()
@@ -83,7 +83,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
             if out is None:
                 out = system.open_output_stream(attempt)
                 at = out.write(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(part))}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
-            if at - last >= INDEX_EVERY:
+            if at - last >= index_every:
                 index.append(at)
                 last = at
             at += out.write(page_record(i, url, (payload or "").encode(), digest, kind, to))
@@ -109,11 +109,11 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", p
     return found.select("id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("to")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", least: int = 1000) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", least: int = 1000, index_every: int = INDEX_EVERY) -> DataFrame:
     """Writes a record per row below folder and returns (archive, records, bytes) of what was written."""
     system, root = filesystem(folder)
     system.create_dir(root, recursive=True)
-    written = plan_records(pages, page_id, url, payload, least).mapInArrow(partial(_write, folder=folder), "archive string, records long, bytes long")
+    written = plan_records(pages, page_id, url, payload, least).mapInArrow(partial(_write, folder=folder, index_every=index_every), "archive string, records long, bytes long")
     done = written.collect()  # a row an archive
     return pages.sparkSession.createDataFrame(done, "archive string, records long, bytes long")
 
@@ -150,7 +150,8 @@ class WarcReader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
-            column = f.attribute[0] if len(f.attribute) == 1 else ""
+            path = getattr(f, "attribute", ())
+            column = path[0] if len(path) == 1 else ""
             if column not in HEADER_OF and column not in ("page_id", "refers_to"):
                 yield f
             elif isinstance(f, EqualTo):
