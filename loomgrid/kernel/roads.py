@@ -65,6 +65,69 @@ class Sheet:
             self.join(p, q, e.cls, width=e.width, road=e.road, bridge=e.bridge)
         return n
 
+    def point(self, x: float, z: float) -> int:
+        """The node at a place; a new one cuts the edges it lies on."""
+        for n in self.nodes_near((x, z), (x, z), 0.01):
+            if math.dist(self.nodes[n], (x, z)) < 1e-9:
+                return n
+        n = None
+        for k in self.edges_near((x, z), (x, z), 0.2):
+            if foot((x, z), *self.ends(k))[0] <= 0.125 + 1e-9:
+                if n is None:
+                    n = self.split(k, x, z)
+                else:
+                    self.bend(k, n)
+        return self.node(x, z) if n is None else n
+
+    def bend(self, k: int, n: int) -> None:
+        """Leads an edge through a node."""
+        e = self.edges[k]
+        e.removed = True
+        self.at[e.a].remove(k)
+        self.at[e.b].remove(k)
+        for p, q in ((e.a, n), (n, e.b)):
+            if p != q and not any(q in (self.edges[j].a, self.edges[j].b) for j in self.at[p]):
+                self.join(p, q, e.cls, width=e.width, road=e.road, bridge=e.bridge)
+
+    def weave(self, a: int, b: int, cls: str, **more) -> None:
+        """An edge from a to b, cut where it meets others; parts that are there already stay as they are."""
+        p, q = self.nodes[a], self.nodes[b]
+        on = {a: 0.0, b: 1.0}
+        for k in self.edges_near(p, q, 0.2):
+            hit = cross_at(p, q, *self.ends(k))
+            if hit:
+                x = (snap(p[0] + (q[0] - p[0]) * hit[0]), snap(p[1] + (q[1] - p[1]) * hit[0]))
+                n = next((n for n in (self.edges[k].a, self.edges[k].b, a, b) if math.dist(self.nodes[n], x) < 1e-9), None)
+                if n is None:
+                    n = self.split(k, *x)
+                elif n not in (self.edges[k].a, self.edges[k].b):
+                    self.bend(k, n)
+                on.setdefault(n, hit[0])
+        for n in self.nodes_near(p, q, 0.2):
+            d, t = foot(self.nodes[n], p, q)
+            if d <= 0.125 + 1e-9:
+                on.setdefault(n, t)
+        chain = sorted(on, key=lambda n: (on[n], n))
+        for m, n in zip(chain, chain[1:], strict=False):
+            if m != n and not any(n in (self.edges[k].a, self.edges[k].b) for k in self.at[m]):
+                self.join(m, n, cls, **more)
+
+    def parts(self) -> int:
+        """Connected components of the roads."""
+        live, seen, count = set(self.live()), set(), 0
+        for k in sorted(live):
+            if k in seen:
+                continue
+            count += 1
+            todo = [k]
+            seen.add(k)
+            while todo:
+                e = self.edges[todo.pop()]
+                for j in (j for n in (e.a, e.b) for j in self.at[n] if j in live and j not in seen):
+                    seen.add(j)
+                    todo.append(j)
+        return count
+
     def ends(self, k: int) -> tuple[Point, Point]:
         return self.nodes[self.edges[k].a], self.nodes[self.edges[k].b]
 

@@ -34,6 +34,8 @@ SCHEMAS = {
     "cranes": "x double, z double, h double, jib double, dir string",
     "cars": "car int, edge_ids array<int>, start int, length double, t double, speed double, s double, x double, z double",
     "drones": "x double, z double, y double, s double",
+    "overpasses": "src int, cls string, width double, level double, ax double, az double, bx double, bz double",
+    "diagnostics": "src int, code string",
     "stats": "edges double, nodes double, faces double, spurs double, proposals double, rejected double, rejected_grade double, rejected_water double, bridges double, components double, disconnected double, queued double, offset_drops double, landlocked double, slivers double, n_blocks double, n_parcels double, n_buildings double, n_parks double, n_trees double, n_cars double",
 }
 
@@ -69,6 +71,15 @@ class Cities:
         return self.rows.where("name = 'faults'").select("city_id", F.get_json_object("row", "$.message").alias("message"))
 
 
+def geographic_configs(configs: DataFrame, lines: DataFrame, land: DataFrame) -> DataFrame:
+    """Configs (city_id, seed, ...) of imported cities. lines: city_id, src, pts and road metadata; land: city_id and the rows of
+    classify_polygons. A city's records fit in its task, as its viewport bounds them."""
+    roads = lines.where("pts is not null").groupBy("city_id").agg(F.array_sort(F.collect_list(F.struct(F.col("src").cast("int").alias("src"), "part", "cls", "width", "level", "bridge", "tunnel", "pts"))).alias("lines"))
+    areas = land.groupBy("city_id").agg(F.array_sort(F.collect_list(F.struct(F.col("src").cast("int").alias("src"), "part", "kind", "ring", "holes", "height"))).alias("polygons"))
+    told = configs.join(roads, "city_id", "left").join(areas, "city_id", "left")
+    return told.withColumn("source", F.coalesce("source", F.lit("geographic")) if "source" in configs.columns else F.lit("geographic"))
+
+
 def layer_features(cities: Cities) -> DataFrame:
     """(city_id, layer, features): what each map layer would draw."""
     layers = {"water": "water", "parks": "parks", "plazas": "plazas", "blocks": "blocks", "parcels": "parcels", "buildings": "buildings", "landmarks": "landmarks", "trees": "trees", "cars": "cars", "drones": "drones", "rail": "rail", "cranes": "cranes", "corridors": "corridors", "walk": "walkshed"}

@@ -129,3 +129,19 @@ def field_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = {"elevation": fields.elevation("town"), "water": fields.water_distance({"kind": "island", "rx": 387.0, "rz": 342.0}), "heading": fields.direction([{"type": "grid", "angle": 0.3}], "town:noise", 0.14)}
     return fields.sample_grid(spark, made).select("i", "j", *(F.round(n, 6).alias(n) for n in made))
 
+
+
+@query()
+def imported_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A city for every supplier from given streets and polygons: what was built and what was refused (FAB-1, FAB-3, NET-4)."""
+    k = F.col("s_suppkey")
+    line = lambda n: F.struct(F.lit(n).alias("src"), rings.of(*(((-400.0, 0.0), (400.0, 0.0)) if n % 2 else ((0.0, -400.0), (0.0, 400.0)))).alias("flat"), (F.lit(-300.0 + n // 2 * 180) + (k * 7 + n * 11) % 40).alias("at"))
+    each = t.read(spark, sf_dir, "supplier").select(k.cast("string").alias("city_id"), F.explode(F.array(*map(line, range(8)))).alias("l"))
+    move = F.transform("l.flat", lambda p: rings.point(p["x"] + F.when(F.col("l.src") % 2 == 0, F.col("l.at")).otherwise(0.0), p["z"] + F.when(F.col("l.src") % 2 == 1, F.col("l.at")).otherwise(0.0)))
+    lines = each.select("city_id", F.col("l.src").alias("src"), F.lit(0).alias("part"), F.lit("collector").alias("cls"), F.lit(13.0).alias("width"), F.lit(0.0).alias("level"), F.lit(False).alias("bridge"), F.lit(False).alias("tunnel"), move.alias("pts"))
+    suppliers = t.read(spark, sf_dir, "supplier").count()
+    kind = F.element_at(F.array(*map(F.lit, ("building", "park", "building", "water"))), (F.col("id") % 4 + 1).cast("int"))
+    land = t.shapes(spark, sf_dir).select((F.col("id") % suppliers + 1).cast("string").alias("city_id"), F.col("id").alias("src"), F.lit(0).alias("part"), kind.alias("kind"), rings.ccw(F.col("ring")).alias("ring"), F.array().cast(f"array<{rings.RING}>").alias("holes"), F.col("p_size").cast("double").alias("height"))
+    base = t.read(spark, sf_dir, "supplier").select(k.cast("string").alias("city_id"), F.col("s_name").alias("seed"), F.lit("low").alias("density"), F.lit("off").alias("life"))
+    made = cities.Cities(cities.geographic_configs(base, lines, land), 64)
+    return made.rows.groupBy("city_id").pivot("name", ["blocks", "buildings", "parks", "water", "edges", "diagnostics", "faults"]).count().na.fill(0)

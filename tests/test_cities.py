@@ -81,3 +81,45 @@ def test_tables(spark):
     sheet = {r.city_id: r for r in contact_sheet(one).collect()}
     assert sheet["a"].blocks > 10 and sheet["b"].buildings > 10
     assert {r.panel for r in poster(one).collect()} == {"streets", "traffic"}
+
+
+def _pt(*points):
+    return [{"x": float(x), "z": float(z)} for x, z in points]
+
+
+def _imported(source="geographic", rail="none"):
+    lines = [{"src": k, "cls": "collector", "width": 13.0, "level": 0.0, "pts": _pt((a, -300), (a, 300)) if k % 2 else _pt((-300, a), (300, a))} for k, a in enumerate([-150, -150, -50, -50, 50, 50, 150, 150])]
+    lines += [{"src": 20, "cls": "local", "width": 9.0, "level": 1.0, "bridge": True, "pts": _pt((-300, 0), (300, 0))}, {"src": 21, "cls": "local", "width": 9.0, "level": 0.0, "pts": _pt((0, -20), (0, 20))}]
+    ring = lambda x, z, d: _pt((x, z), (x + d, z), (x + d, z + d), (x, z + d))
+    polygons = [{"src": 30, "kind": "water", "ring": ring(-20, -20, 40), "holes": []}, {"src": 31, "kind": "building", "ring": ring(70, 70, 20), "holes": [ring(75, 75, 5)], "height": 20.0}, {"src": 32, "kind": "building", "ring": ring(10, 10, 20), "holes": []}, {"src": 33, "kind": "park", "ring": ring(-140, 60, 80), "holes": []}]
+    return City({"seed": "g", "source": source, "lines": lines, "polygons": polygons, "rail": rail, "density": "low"})
+
+
+def test_imported_city():
+    c = _imported()
+    assert sorted((r["src"], r["code"]) for r in c.rows["diagnostics"]) == [(21, "road-in-water"), (32, "imported-building-water")]
+    assert len(c.rows["overpasses"]) == 1 and c.stats["components"] == 1
+    given = [b for b in c.rows["buildings"] if b["style"] == "imported"]
+    assert len(given) == 1 and given[0]["h"] == 20.0 and given[0]["courtyard"]
+    claims = [[(70.0, 70.0), (90.0, 70.0), (90.0, 90.0), (70.0, 90.0)], [(-140.0, 60.0), (-60.0, 60.0), (-60.0, 140.0), (-140.0, 140.0)]]
+    from loomgrid.kernel.city import overlap
+
+    for b in c.rows["buildings"]:
+        ring = [(p["x"], p["z"]) for p in b["footprint"]]
+        assert b["style"] == "imported" or not any(overlap(ring, k) for k in claims)
+        assert c.on_land(ring, 0.0)
+    assert "imported-building-reserved" in {r["code"] for r in _imported("hybrid", "terminal").rows["diagnostics"]}
+    with pytest.raises(ValueError):
+        City({"seed": "x", "density": "none such"})
+
+
+def test_lots():
+    from loomgrid.kernel.lots import fold, shared_length, union
+
+    a, b, far = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)], [(2.0, 1.0), (5.0, 1.0), (5.0, 4.0), (2.0, 4.0)], [(9.0, 9.0), (10.0, 9.0), (10.0, 10.0)]
+    assert shared_length(a, b) == 1.0 and math.isclose(plane.area(union(a, b)), 13.0)
+    assert union(a, far) is None and union(a, [(2.0, 2.0), (3.0, 2.0), (3.0, 3.0)]) is None
+    row = [[(float(k), 0.0), (k + 1.0, 0.0), (k + 1.0, 1.0), (float(k), 1.0)] for k in range(4)]
+    front = lambda r: (1.0, 0.0) if any(x == 0.0 for x, _ in r) else None
+    merged = fold(row + [far], front)
+    assert [f for _, f in merged] == [(1.0, 0.0), None] and math.isclose(plane.area(merged[0][0]), 4.0)
