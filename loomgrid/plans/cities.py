@@ -9,7 +9,7 @@ from loomgrid.functions import fields, rings
 from loomgrid.operators import cities, faces, network, terrain
 from loomgrid.operators.land import adjacent
 from loomgrid.plans import tables as t
-from loomgrid.plans.queries import query
+from loomgrid.plans.queries import noise_sql, query
 
 
 def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,16 @@ def building_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("city_id", "pos", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round(F.col("high") + F.col("tall"), 6).alias("top"))
 
 
-@query()
+HEIGHT = "greatest(0.0, least(72.0, ({macro} * 0.72 + {detail} * 0.28 + 1) * 0.5 * 72))".format(macro=noise_sql("town:elevation:macro", "(x / 240)", "(z / 240)"), detail=noise_sql("town:elevation:detail", "(x / 96 + 13.7)", "(z / 96 - 8.2)"))
+
+
+@query(
+    f"""
+WITH {t.STREETS}, r AS (SELECT *, sqrt((bx - ax) * (bx - ax) + (bz - az) * (bz - az)) AS run FROM st), n AS (SELECT *, greatest(1, ceil(run / 4)) AS n FROM r),
+p AS (SELECT src, run, n, k, ax + (bx - ax) * k / n AS x, az + (bz - az) * k / n AS z FROM (SELECT *, unnest(range(CAST(n AS BIGINT) + 1)) AS k FROM n)), h AS (SELECT src, run, n, k, {HEIGHT} AS h FROM p),
+d AS (SELECT src, abs(h - lag(h) OVER (PARTITION BY src ORDER BY k)) / (run / n) AS g FROM h)
+SELECT src, round(max(g), 6) AS grade FROM d WHERE g IS NOT NULL GROUP BY src"""
+)
 def road_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steepest part of every street (AGG-13)."""
     s = t.streets(spark, sf_dir).select("src", "ax", "az", "bx", "bz")
@@ -123,6 +132,22 @@ def street_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terrain.run_decks(terrain.deck_heights(s, fields.elevation("town"))).select("bridge", "run", F.round("deck", 6).alias("deck"))
 
 
+@query()
+def water_shores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of shore of the union of a brand's shapes (FLD-3, SET-4, JN-16)."""
+    from loomgrid.operators.water import shores
+
+    s = t.shapes(spark, sf_dir)
+    polygons = s.select(F.xxhash64("p_brand").alias("doc"), F.col("id").cast("int").alias("poly"), "ring", F.array().cast(f"array<{rings.RING}>").alias("holes"))
+    return shores(polygons, cell=8.0).groupBy("doc").agg(F.round(F.sum(F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("bz") - F.col("az")) ** 2)), 3).alias("length"), F.count("*").alias("pieces"))
+
+
+@query()
+def graph_spurs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of shipments that hang on dead ends (GR-5)."""
+    return network.spurs(t.links(spark, sf_dir))
+
+
 @query()
 def field_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terrain, heading and water on a raster of 24 metres (FLD-8)."""

@@ -513,7 +513,7 @@ def population_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.points(spark, sf_dir).select("id", F.round(f(F.col("x"), F.col("z")), 6).alias("population"))
 
 
-def _noise_sql(seed: str, x: str, z: str) -> str:
+def noise_sql(seed: str, x: str, z: str) -> str:
     base = randoms.hash_value(seed)
     m = "4294967296"
     p32 = lambda a, b: f"(({a}) * {b} % {m})"
@@ -530,7 +530,7 @@ def _noise_sql(seed: str, x: str, z: str) -> str:
     return f"(({a} + ({b} - {a}) * {fx}) * (1 - {fz}) + ({c} + ({d} - {c}) * {fx}) * {fz})"
 
 
-@query(f"WITH {t.POINTS} SELECT id, round(greatest(0.0, least(72.0, ({_noise_sql('town:elevation:macro', '(x / 240)', '(z / 240)')} * 0.72 + {_noise_sql('town:elevation:detail', '(x / 96 + 13.7)', '(z / 96 - 8.2)')} * 0.28 + 1) * 0.5 * 72)), 6) AS elevation FROM pts")
+@query(f"WITH {t.POINTS} SELECT id, round(greatest(0.0, least(72.0, ({noise_sql('town:elevation:macro', '(x / 240)', '(z / 240)')} * 0.72 + {noise_sql('town:elevation:detail', '(x / 96 + 13.7)', '(z / 96 - 8.2)')} * 0.28 + 1) * 0.5 * 72)), 6) AS elevation FROM pts")
 def elevation_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terrain at points (SCL-3, FLD-1)."""
     f = fields.elevation("town")
@@ -555,3 +555,62 @@ def water_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = fields.exclusion([(-10, 5, 40, 100), (200, -300, 60, 50)])
     x, z = F.col("x"), F.col("z")
     return t.points(spark, sf_dir).select("id", river(x, z).alias("river"), coast(x, z).alias("coast"), kept(x, z).alias("reserved"))
+
+
+# ---- reports
+
+META = {"num": (10, 99), "spec": (1000, 9999), "sys": (10000, 99999), "series": None, "azimuth": (0, 359), "elevation": (20, 60), "footfall": (20, 90), "sub": (40, 80)}
+SERIES = ("A", "B", "C", "E")
+
+
+def _meta_sql() -> str:
+    steps, columns = [], []
+    before = "CASE WHEN s = 0 THEN 2654435769 ELSE s END"
+    for n, (name, bounds) in enumerate(META.items()):
+        steps.append(f"m{n + 1} AS (SELECT *, {STEP.format(before)} AS d{n + 1} FROM m{n})")
+        before = f"d{n + 1}"
+        u = f"d{n + 1} / 4294967296.0::DOUBLE"
+        columns.append(f"['A', 'B', 'C', 'E'][CAST(floor({u} * 4) + 1 AS INTEGER)] AS {name}" if bounds is None else f"CAST({bounds[0]} + floor({u} * {bounds[1] - bounds[0] + 1}) AS BIGINT) AS {name}")
+    first = f"m0 AS (SELECT c_custkey, {FNV.format(chr(39) + 'c' + chr(39) + ' || c_custkey::VARCHAR || ' + chr(39) + ':meta' + chr(39))} AS s FROM customer)"
+    return f"WITH {first}, {', '.join(steps)} SELECT c_custkey, {', '.join(columns)} FROM m{len(META)}"
+
+
+@query(_meta_sql())
+def poster_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a poster says of a seed, in a fixed order of draws (TER-10)."""
+    told = t.read(spark, sf_dir, "customer").select("c_custkey", randoms.draws(randoms.stream(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), "meta"), len(META)).alias("u"))
+    at = lambda n: F.element_at("u", n + 1)
+    return told.select("c_custkey", *((randoms.pick(at(n), F.array(*map(F.lit, SERIES))) if b is None else randoms.whole(at(n), *b).cast("long")).alias(name) for n, (name, b) in enumerate(META.items())))
+
+
+@query("WITH r AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_custkey, o_totalprice AS upper_median, n FROM r WHERE k = n // 2 + 1")
+def upper_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upper median of each customer's orders (AGG-18)."""
+    w = Window.partitionBy("o_custkey")
+    ranked = t.read(spark, sf_dir, "orders").withColumn("k", F.row_number().over(w.orderBy("o_totalprice"))).withColumn("n", F.count("*").over(w))
+    return ranked.where(F.expr("k = n div 2 + 1")).select("o_custkey", F.col("o_totalprice").alias("upper_median"), "n")
+
+
+@query("WITH f AS (SELECT l_partkey, min(l_orderkey * 10 + l_linenumber) AS seen FROM lineitem GROUP BY l_partkey) SELECT l_partkey, row_number() OVER (ORDER BY seen, l_partkey) - 1 AS id FROM f")
+def first_seen_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense ids in order of first appearance, without one task for all (WIN-4)."""
+    from loomgrid.operators.numbering import numbered
+
+    first = t.read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seen"))
+    return numbered(first, [F.col("seen"), F.col("l_partkey")], "id").select("l_partkey", "id")
+
+
+@query(
+    f"""
+WITH {t.STREETS}, e AS (SELECT *, sqrt((bx - ax) ** 2 + (bz - az) ** 2) AS len FROM st)
+SELECT src, cls, {_near('len')} AS len, {_near('len / CASE cls WHEN ' + chr(39) + 'arterial' + chr(39) + ' THEN 1.45 WHEN ' + chr(39) + 'collector' + chr(39) + ' THEN 1.12 ELSE 0.86 END')} AS cost, {_near('atan2(bz - az, bx - ax)')} AS angle, (ax + bx) / 2 AS cx, (az + bz) / 2 AS cz, CASE WHEN level > 0 THEN 'bridge' ELSE 'road' END AS kind FROM e"""
+)
+def street_ribbons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ribbons and driving costs of streets (FAB-4, NET-1)."""
+    s = t.streets(spark, sf_dir)
+    at = lambda side, x, z: s.select((F.col("src") * 2 + side).alias("node"), F.col(x).alias("x"), F.col(z).alias("z"))
+    nodes = at(0, "ax", "az").unionAll(at(1, "bx", "bz"))
+    edges = s.select(F.col("src").alias("edge"), (F.col("src") * 2).alias("a"), (F.col("src") * 2 + 1).alias("b"), "cls", F.lit(8.0).alias("width"), "level")
+    cost = network.adjacency(nodes, edges).groupBy("edge").agg(F.min("cost").alias("cost"))
+    told = network.ribbons(nodes, edges).join(cost, "edge")
+    return told.select(F.col("edge").alias("src"), "cls", F.round("len", 6).alias("len"), F.round("cost", 6).alias("cost"), F.round("angle", 6).alias("angle"), "cx", "cz", "kind")
