@@ -58,7 +58,7 @@ class Hasher:
         last = None
         for part in parts(text):
             words = WORD.findall(part.lower())
-            if len(self.known) > 400_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             known, hashes = self.known, []
             for w in words:
