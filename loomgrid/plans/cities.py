@@ -144,7 +144,7 @@ def water_shores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def graph_spurs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of shipments that hang on dead ends (GR-5)."""
+    """Links of parts that hang on dead ends (GR-5)."""
     return network.spurs(t.links(spark, sf_dir))
 
 

@@ -13,6 +13,7 @@ from loomgrid.functions.projection import Projection, in_view
 from loomgrid.operators import land, network, noding
 from loomgrid.operators.components import connected_components
 from loomgrid.operators.grid_join import grid_join, nearest
+from loomgrid.operators.numbering import numbered
 from loomgrid.plans import tables as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -344,17 +345,17 @@ def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {t.LINKS}, n AS (SELECT a AS x, b AS y FROM lk UNION SELECT b, a FROM lk), r AS (SELECT x, x AS y FROM n UNION SELECT r.x, n.y FROM r JOIN n ON r.y = n.x) SELECT x AS node, min(y) AS component FROM r GROUP BY x")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected components of shipments (GR-4)."""
+    """Connected components of linked parts (GR-4)."""
     return connected_components(t.links(spark, sf_dir), "a", "b")
 
 
-@query(f"WITH RECURSIVE {t.LINKS}, n AS (SELECT a AS x, b AS y FROM lk UNION SELECT b, a FROM lk), r AS (SELECT x, x AS y FROM n UNION SELECT r.x, n.y FROM r JOIN n ON r.y = n.x), c AS (SELECT x, min(y) AS c FROM r GROUP BY x), s AS (SELECT c, count(*) AS edges, sum(weight) AS weight, min(edge) AS first_edge FROM lk JOIN c ON lk.a = c.x GROUP BY c) SELECT c AS component, edges, weight, first_edge, row_number() OVER (ORDER BY edges DESC, first_edge) AS rank FROM s")
+@query(f"WITH RECURSIVE {t.LINKS}, n AS (SELECT a AS x, b AS y FROM lk UNION SELECT b, a FROM lk), r AS (SELECT x, x AS y FROM n UNION SELECT r.x, n.y FROM r JOIN n ON r.y = n.x), c AS (SELECT x, min(y) AS c FROM r GROUP BY x), s AS (SELECT c, count(*) AS edges, round(sum(weight), 2) AS weight, min(edge) AS first_edge FROM lk JOIN c ON lk.a = c.x GROUP BY c) SELECT c AS component, edges, weight, first_edge, row_number() OVER (ORDER BY edges DESC, first_edge) AS rank FROM s")
 def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components by size, the first of equals first (AGG-7, AGG-12)."""
     e = t.links(spark, sf_dir)
     reach = connected_components(e, "a", "b")
-    sized = e.join(reach, e["a"] == reach["node"]).groupBy("component").agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"), F.min("edge").alias("first_edge"))
-    return sized.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("edges"), "first_edge")).cast("long"))
+    sized = e.join(reach, e["a"] == reach["node"]).groupBy("component").agg(F.count("*").alias("edges"), F.round(F.sum("weight"), 2).alias("weight"), F.min("edge").alias("first_edge"))
+    return numbered(sized, [F.desc("edges"), F.col("first_edge")], "rank", 1)
 
 
 @query(f"WITH {t.LINKS} SELECT node, count(*) AS degree FROM (SELECT a AS node FROM lk UNION ALL SELECT b FROM lk) GROUP BY node")
@@ -479,7 +480,7 @@ def top_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-WITH {t.STREETS}, r AS (SELECT src AS route, src % 50 AS car, ax, az, bx, bz, sqrt((bx - ax) ** 2 + (bz - az) ** 2) AS len FROM st WHERE level = 0), p AS (SELECT *, row_number() OVER w - 1 AS pos, sum(len) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t1 FROM r WINDOW w AS (PARTITION BY car ORDER BY route)),
+WITH {t.STREETS}, r AS (SELECT src AS route, src % 50 AS car, ax, az, bx, bz, sqrt((bx - ax) ** 2 + (bz - az) ** 2) AS len FROM st), p AS (SELECT *, row_number() OVER w - 1 AS pos, sum(len) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t1 FROM r WINDOW w AS (PARTITION BY car ORDER BY route)),
 q AS (SELECT *, t1 - len AS t0, sum(len) OVER (PARTITION BY car) AS total, pos = max(pos) OVER (PARTITION BY car) AS last FROM p), e AS (SELECT unnest([0, 7, 40, 133]) AS elapsed),
 m AS (SELECT *, fmod(car * 3.25::DOUBLE + elapsed * (1 + car % 3), total * 2) AS phase FROM q, e), f AS (SELECT *, phase <= total AS fwd, CASE WHEN phase <= total THEN phase ELSE total * 2 - phase END AS travel FROM m), h AS (SELECT *, row_number() OVER (PARTITION BY car, elapsed ORDER BY pos) AS k FROM f WHERE travel <= t1 OR last),
 u AS (SELECT *, greatest(0.0, least(1.0, (travel - t0) / len)) AS u, greatest(0.0, least(8.0 / 4, 8.0 / 2 - 1.9)) AS lane, least(4.0, len / 2) AS ease FROM h WHERE k = 1), i AS (SELECT *, lane * least(1.0, u * len / ease, (1 - u) * len / ease) * CASE WHEN fwd THEN 1 ELSE -1 END AS ins FROM u)
@@ -487,7 +488,7 @@ SELECT car, elapsed, route AS edge, {_near('ax + (bx - ax) * u + (bz - az) / len
 )
 def positions_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where cars are at four times (NET-7, WIN-6)."""
-    s = t.streets(spark, sf_dir).where("level = 0")
+    s = t.streets(spark, sf_dir)
     w = Window.partitionBy("car").orderBy("src")
     steps = s.withColumn("car", F.col("src") % 50).withColumn("pos", F.row_number().over(w) - 1)
     steps = steps.select("car", "pos", F.col("src").alias("edge"), F.col("ax").alias("fx"), F.col("az").alias("fz"), F.col("bx").alias("tx"), F.col("bz").alias("tz"), F.lit(8.0).alias("width"), F.lit(False).alias("bridge"), F.lit(False).alias("tunnel"), F.lit(0.0).alias("level"))
@@ -594,8 +595,6 @@ def upper_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH f AS (SELECT l_partkey, min(l_orderkey * 10 + l_linenumber) AS seen FROM lineitem GROUP BY l_partkey) SELECT l_partkey, row_number() OVER (ORDER BY seen, l_partkey) - 1 AS id FROM f")
 def first_seen_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense ids in order of first appearance, without one task for all (WIN-4)."""
-    from loomgrid.operators.numbering import numbered
-
     first = t.read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seen"))
     return numbered(first, [F.col("seen"), F.col("l_partkey")], "id").select("l_partkey", "id")
 

@@ -79,12 +79,12 @@ STREETS = """st AS (
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """edge, a, b, weight: suppliers and parts that a ten-day window of shipments joins; parts are numbered from a million on."""
-    rows = read(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= F.lit("1995-03-01").cast("timestamp")) & (F.col("l_shipdate") < F.lit("1995-03-11").cast("timestamp")))
-    return rows.groupBy(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b")).agg(F.max("l_quantity").alias("weight")).withColumn("edge", F.col("a") * 10_000_000 + F.col("b"))
+    """edge, a, b, weight: every part and another of its block of forty that its key and size name."""
+    k = F.col("p_partkey")
+    rows = read(spark, sf_dir, "part").select(k.alias("edge"), k.alias("a"), (k - k % 40 + (k * k + F.col("p_size") * 7) % 40).alias("b"), F.col("p_retailprice").alias("weight"))
+    return rows.where("a <> b")
 
 
 LINKS = """lk AS (
-  SELECT l_suppkey AS a, l_partkey + 1000000 AS b, max(l_quantity) AS weight, l_suppkey * 10000000 + l_partkey + 1000000 AS edge
-  FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-03-01' AND l_shipdate < TIMESTAMP '1995-03-11' GROUP BY l_suppkey, l_partkey
+  SELECT * FROM (SELECT p_partkey AS edge, p_partkey AS a, p_partkey - p_partkey % 40 + (p_partkey * p_partkey + p_size * 7) % 40 AS b, p_retailprice AS weight FROM part) WHERE a <> b
 )"""
