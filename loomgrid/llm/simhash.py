@@ -39,6 +39,7 @@ SEED = 42
 SHARD = 4_096
 #: Fields of the fingerprint up to this many different fingerprints; one more beyond.
 FIELDS, FIELDS_UP_TO = 6, 1 << 27
+WORDS = 4  # most words of a fingerprint that shards are made of
 _CHUNK = 1 << 16  # shingles whose bits are unpacked at once
 
 
@@ -180,14 +181,14 @@ def _link(prints: np.ndarray, word: int, tree: np.ndarray, queries: np.ndarray,
     return label
 
 
-def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, most: int | None, indexed: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, tag, node, fingerprint words) sorted by the first two; tag holds the pair of pieces, the word that the shard is
-    of, and the side: side 0 builds the tree, side 1 searches it; without a side 1 the tree's own fingerprints do. Gives the
-    forest of all links in the partition."""
+def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, most: int | None, tagged: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, fingerprint words), sorted by key; the key's last bits name the word that the shard is of. If tagged, a
+    tag follows the key in the rows and the order: it holds the pair of pieces and the side. Side 0 builds the tree, side 1
+    searches it; without a side 1 the tree's own fingerprints do. Gives the forest of all links in the partition."""
     forest = Forest()
 
     def work(columns: list[np.ndarray]) -> None:
-        tag, node = columns[1], columns[2].tolist()
+        node = columns[2].tolist()
         words = [c.view(np.uint64) for c in columns[3:]]
         if len(node) <= 6 and most is None:
             fp = words[0].tolist()
@@ -196,14 +197,16 @@ def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, most: int | Non
                     if (fp[i] ^ fp[j]).bit_count() <= radius:
                         forest.join(node[i], node[j])
             return
-        tree, searches = np.flatnonzero(tag % 2 == 0), np.flatnonzero(tag % 2 == 1)
-        label = _link(np.stack(words, axis=1), int(tag[0]) // 2 % indexed, tree, searches if len(searches) else tree, radius, most)
+        tree, searches = np.flatnonzero(columns[1] % 2 == 0), np.flatnonzero(columns[1] % 2 == 1)
+        label = _link(np.stack(words, axis=1), int(columns[0][0]) & (WORDS - 1), tree, searches if len(searches) else tree, radius, most)
         for k in np.flatnonzero(label != np.arange(len(label))).tolist():
             forest.join(node[k], node[label[k]])
 
     rest = None
     for batch in batches:
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not tagged:
+            columns.insert(1, np.zeros(len(columns[0]), dtype=np.int64))
         if rest is not None:
             columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
         if not len(columns[0]):
@@ -222,34 +225,44 @@ def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, most: int | Non
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (part, [forest.root(m) for m in part])], names=["src", "dst"])
 
 
-def links(prints: DataFrame, radius: int, fields: int, most: int | None = None) -> DataFrame:
+def links(prints: DataFrame, radius: int, fields: int, most: int | None = None, count: int | None = None) -> DataFrame:
     """prints: (node, fp, fp1, ...), one row a fingerprint. Returns (src, dst): links between nodes that join just what all
     links within the radius in the first word join; or, if `most` is given, all links within the radius in any word that
     differ in at most `most` bits of all words.
 
-    A shard's key is a hash of what its members agree on. Two shards with one hash would only be searched as one."""
+    A shard's key is a hash of what its members agree on. Two shards with one hash would only be searched as one. Shards
+    beyond SHARD are looked for in two steps: hashes of keys that few rows share can't hold one, and only the rest is counted
+    by key, so that the usual case costs no shuffle of the rows but the one that deals them out."""
     words = [c for c in prints.columns if c != "node"]
     indexed = 1 if most is None else len(words)
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in shardings(radius, fields)]
-    shards = F.explode(F.array(*(F.struct(F.xxhash64(F.lit(k * indexed + w), F.col(words[w]).bitwiseAND(F.lit(m))).alias("key"), F.lit(w).cast("long").alias("word")) for k, m in enumerate(masks) for w in range(indexed)))).alias("s")
-    rows = prints.select("node", *words, shards).select("s.key", "s.word", "node", *words)
-    # Only shards beyond SHARD need pieces. There are at most shardings x fingerprints / SHARD of them.
-    large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("key", F.ceil(F.col("n") / SHARD * 1.25).cast("int").alias("pieces"))
-    rows = rows.join(large, "key", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-    tag = lambda other: ((F.least(other, F.col("own")) * F.col("pieces") + F.greatest(other, F.col("own"))) * indexed + F.col("word")) * 2 + (other < F.col("own")).cast("int")
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), tag)).alias("tag")
-    dealt = rows.select("key", meets, "node", *words)
-    ordered = dealt.repartition("key", F.expr("tag div 2")).sortWithinPartitions("key", "tag", "node")
-    return ordered.mapInArrow(partial(_shard_links, radius=radius, most=most, indexed=indexed), "src long, dst long")
+    key = lambda k, w: F.shiftleft(F.xxhash64(F.lit(k * indexed + w), F.col(words[w]).bitwiseAND(F.lit(masks[k]))), WORDS.bit_length() - 1).bitwiseOR(F.lit(w).cast("long"))
+    rows = prints.select("node", *words, F.explode(F.array(*(key(k, w) for k in range(len(masks)) for w in range(indexed)))).alias("key")).select("key", "node", *words)
+
+    total = (prints.count() if count is None else count) * len(masks) * indexed
+    bins = 1 << max(10, (total // 256).bit_length())
+    binned = F.shiftright("key", 2).bitwiseAND(F.lit(bins - 1)).alias("bin")
+    full = cut(rows.select(binned).groupBy("bin").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("bin"))
+    work = partial(_shard_links, radius=radius, most=most)
+    deal = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(partial(work, tagged=False), "src long, dst long")
+    if full.isEmpty():
+        return deal(rows)
+    counted = rows.withColumn("bin", binned).join(full, "bin", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    large = cut(counted.where(F.col("n") > SHARD).select("key", F.ceil(F.col("n") / SHARD * 1.25).cast("int").alias("pieces")))
+    some = rows.join(large, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    tag = lambda other: (F.least(other, F.col("own")) * F.col("pieces") + F.greatest(other, F.col("own"))).cast("long") * 2 + (other < F.col("own")).cast("int")
+    dealt = some.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), tag)).alias("tag"), "node", *words)
+    ordered = dealt.repartition("key", F.expr("tag div 2")).sortWithinPartitions("key", "tag")
+    return deal(rows.join(large, "key", "left_anti")).unionAll(ordered.mapInArrow(partial(work, tagged=True), "src long, dst long"))
 
 
 def components(prints: DataFrame, radius: int = 4, fields: int | None = None) -> DataFrame:
     """prints: (doc_id, fp), one row per document. Returns doc_id, fp, component_id (the smallest id that links reach)."""
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    count = classes.count()
     if fields is None:
-        fields = FIELDS if classes.count() <= FIELDS_UP_TO else FIELDS + 1
-    joined = connected_components(links(classes.select(F.col("fp").alias("node"), "fp"), radius, max(fields, radius + 1)))
+        fields = FIELDS if count <= FIELDS_UP_TO else FIELDS + 1
+    joined = connected_components(links(classes.select(F.col("fp").alias("node"), "fp"), radius, max(fields, radius + 1), count=count))
     roots = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     named = roots.join(least, "root").select("fp", "component_id")
