@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.llm import filters
-from loomgrid.llm.text import as_bytes, squeeze
+from loomgrid.llm.text import as_bytes, squeeze, trim
 from loomgrid.operators.shared import cut
 
 #: Rows and bytes of texts a memtable holds before it is flushed.
@@ -69,6 +69,7 @@ def _flush_runs(batches: Iterator[pa.RecordBatch], digest: Callable[[bytes], byt
                 yield run()
     if table:
         yield run()
+    trim()
 
 
 def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,6 +141,7 @@ def _probe(batches: Iterator[pa.RecordBatch], table, digest) -> Iterator[pa.Reco
             if held >= MEMTABLE_BYTES or len(memory.get(body, (0, ()))[1]) >= IDS_PER_ROW:
                 yield from flush()
     yield from flush()
+    trim()
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +203,7 @@ def _split(batches: Iterator[pa.RecordBatch], table, digest, hits: bool, id_at:
             front = [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())]
             kept = batch.take(pa.array([r[2] for r in rows]))
             yield pa.RecordBatch.from_arrays(front + kept.columns, names=["digest__", "id__", *kept.schema.names])
+    trim()
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:

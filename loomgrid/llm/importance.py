@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.llm.text import trim
 from loomgrid.operators.shared import cut
 
 BUCKETS = 10_000
@@ -90,6 +91,7 @@ def _counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
                     target += n
     at = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, raw[at], target[at])], names=["bucket", "raw", "target"])
+    trim()
 
 
 def _weights(batches: Iterator[pa.RecordBatch], ratio, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -97,6 +99,8 @@ def _weights(batches: Iterator[pa.RecordBatch], ratio, buckets: int) -> Iterator
     for batch in batches:
         total = [sum(float(table[found].sum()) for found in grams(text.as_py() or "")) for text in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.float64())], names=["doc_id", "log_weight"])
+    grams.known.clear()
+    trim()
 
 
 def sampled_labels(labels: DataFrame, wanted, doc_id: str = "doc_id", sample: int = SAMPLE, seed: int = SEED) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.llm.text import trim
 from loomgrid.llm.vocabulary import byte_bpe, default_path, encode
 
 CAPACITY = 1024
@@ -116,6 +117,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, piece: in
     if waiting:
         close_group()
     yield out()
+    trim()
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, piece: int = 256, group: int = 1024, close: int = 0, vocabulary: str | None = None) -> DataFrame:

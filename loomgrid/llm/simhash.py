@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.text import as_bytes
+from loomgrid.llm.text import as_bytes, trim
 from loomgrid.operators.components import connected_components
 from loomgrid.operators.shared import cut
 
@@ -78,6 +78,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, words: int) ->
     for batch in batches:
         prints = np.array([majority(hashes(raw, width), words) for raw in as_bytes(batch.column(1))], dtype=np.uint64).reshape(-1, words).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(prints[:, n])) for n in range(words))], names=["doc_id", *_words(words)])
+    trim()
 
 
 def _words(n: int) -> list[str]:
@@ -223,6 +224,7 @@ def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, most: int | Non
     for k in range(0, len(members), 10_000):
         part = members[k : k + 10_000]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (part, [forest.root(m) for m in part])], names=["src", "dst"])
+    trim()
 
 
 def links(prints: DataFrame, radius: int, fields: int, most: int | None = None, count: int | None = None) -> DataFrame:

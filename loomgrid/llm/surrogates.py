@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.llm.text import trim
 from loomgrid.operators.shared import cut
 
 KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "name")
@@ -264,6 +265,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(i, k, v) for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for k, v in {(k, v) for _, _, k, v in entities(text.as_py() or "")}]
         columns = list(zip(*rows, strict=True)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=["doc_id", "kind", "value"])
+    trim()
 
 
 def _drawn(batches: Iterator[pa.RecordBatch], key: bytes, make: Callable) -> Iterator[pa.RecordBatch]:
@@ -295,6 +297,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch], key: bytes, make: Callable, told
             texts.append(text if text is None or not where else "".join([*out, text[at:]]))
             spans.append(where)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(spans, kind_of)], names=["doc_id", "text", "entities"])
+    trim()
 
 
 def settled(found: DataFrame, key: bytes, make: Callable = surrogate) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -19,3 +22,10 @@ def squeeze(raw: bytes) -> bytes:
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return pc.fill_null(column, "").cast(pa.large_binary()).to_pylist()
+
+
+def trim() -> None:
+    """Gives memory that a kernel is done with back to the machine; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
