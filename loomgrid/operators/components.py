@@ -17,7 +17,9 @@ def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
     if both_ways:
         links = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    joined = links.join(least, "a")
+    # Under a name that isn't the grouping's, both sides of the join are dealt out anew, and Spark may split a node with many links.
+    own = least.select(F.col("a").bitwiseXOR(F.lit(0)).alias("k"), "m")
+    joined = links.join(own, links["a"] == own["k"]).drop("k")
     if both_ways:  # the larger neighbours move to the smallest node in reach
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:  # the smaller neighbours and the node itself do
@@ -32,6 +34,7 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node with an edge to another node; component is the smallest node it reaches.
+    Nodes are integers.
 
     Nulls, self-loops and repeated edges are ignored; no edges give no rows. A node without links is its own component
     and is left to the caller. Raises RuntimeError if max_rounds rounds don't settle.
