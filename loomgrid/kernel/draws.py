@@ -45,3 +45,15 @@ def value_noise(seed: str):
         return (a + (b - a) * fx) * (1 - fz) + (c + (d - c) * fx) * fz
 
     return at
+
+
+def random_seed() -> str:
+    """A new seed in letters and digits; the only draw that no seed determines."""
+    import secrets
+    import string
+
+    n, out = secrets.randbelow(MASK), ""
+    while n or not out:
+        n, k = divmod(n, 36)
+        out = (string.digits + string.ascii_uppercase)[k] + out
+    return out

@@ -14,7 +14,8 @@ from loomgrid.operators.grid_join import grid_join
 
 # Reach of the smoothing towards a shore, clearances and steps of sampling.
 SHORE_REACH = 36.0
-DECK_CLEAR, RAIL_CLEAR = 2.4, 7.0
+DECK_CLEAR, RAIL_CLEAR, RAIL_LEAST = 2.4, 8.0, 15.0
+DRAPE_LEVELS, DRAPE_MOST, DRAPE_TARGET = 2, 6, 32.0
 RUN_REACH = 0.5
 
 
@@ -29,13 +30,18 @@ def ground(elevation: Field, water: Field, datum: float = 0.0) -> Field:
 
 
 def samples(ring: Column, step: float = 8.0) -> Column:
-    """Corners, points along the edges at most a step apart, and the middle of a ring."""
+    """Corners, points along the edges at most a step apart, a grid inside the ring, and its middle."""
     def along(e: Column) -> Column:
         dx, dz = e["q"]["x"] - e["p"]["x"], e["q"]["z"] - e["p"]["z"]
         n = F.greatest(F.lit(1), F.ceil(F.sqrt(dx * dx + dz * dz) / step).cast("int"))
         return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct((e["p"]["x"] + dx * k / n).alias("x"), (e["p"]["z"] + dz * k / n).alias("z")))
 
-    return F.concat(F.flatten(F.transform(rings.edges(ring), along)), F.array(rings.centroid(ring)))
+    box = rings.bounds(ring)
+    cells = lambda size: F.greatest(F.lit(1), F.ceil(size / step).cast("int"))
+    nx, nz = cells(box["w"]), cells(box["d"])
+    row = lambda i: F.transform(F.sequence(F.lit(0), nz - 1), lambda j: F.struct((box["x"] + box["w"] * (i + 0.5) / nx).alias("x"), (box["z"] + box["d"] * (j + 0.5) / nz).alias("z")))
+    inner = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), nx - 1), row)), lambda p: rings.contains(ring, p["x"], p["z"]))
+    return F.concat(F.flatten(F.transform(rings.edges(ring), along)), inner, F.array(rings.centroid(ring)))
 
 
 def anchors(items: DataFrame, height: Field, keys: list[str], ring: str = "ring") -> DataFrame:
@@ -74,11 +80,11 @@ def run_decks(bridges: DataFrame, reach: float = RUN_REACH) -> DataFrame:
 
 
 def rail_height(height: Field, upright: bool, offset: float, start: float, stop: float, clearance: float = RAIL_CLEAR, step: float = 12.0) -> Column:
-    """One height for an elevated line: above the highest ground below it."""
+    """One height for an elevated line: above the highest ground below it, and never below RAIL_LEAST."""
     n = max(1, math.ceil((stop - start) / step))
     at = [start + (stop - start) * k / n for k in range(n + 1)]
     spots = [height(F.lit(offset), F.lit(v)) if upright else height(F.lit(v), F.lit(offset)) for v in at]
-    return F.greatest(*spots) + clearance
+    return F.greatest(F.lit(RAIL_LEAST), F.greatest(*spots) + clearance)
 
 
 def max_grade(segments: DataFrame, height: Field, step: float = 4.0) -> DataFrame:
@@ -95,3 +101,27 @@ def water_offences(edges: DataFrame, water: Field, tolerance: float = 0.25, step
     each = edges.select("edge", F.explode(F.transform(F.sequence(F.lit(0), n), lambda k: F.struct(k.alias("k"), (F.col("ax") + dx * k / n).alias("x"), (F.col("az") + dz * k / n).alias("z")))).alias("p")).select("edge", "p.*")
     wet = each.where(water(F.col("x"), F.col("z")) < -tolerance)
     return wet.groupBy("edge").agg(F.min_by(F.struct("x", "z"), "k").alias("p")).select("edge", "p.x", "p.z")
+
+
+def kerbs(roads: DataFrame, inset: float = 0.0) -> DataFrame:
+    """The two edge lines of each road (ax, az, bx, bz, width and a key): side, kax, kaz, kbx, kbz; side 1 lies left of a to b."""
+    dx, dz = F.col("bx") - F.col("ax"), F.col("bz") - F.col("az")
+    run = F.sqrt(dx * dx + dz * dz)
+    size = F.when(run > 0, run).otherwise(1.0)
+    nx, nz = -dz / size * (F.col("width") / 2 - inset), dx / size * (F.col("width") / 2 - inset)
+    each = roads.withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
+    return each.withColumns({f"k{end}{axis}": F.col(f"{end}{axis}") + F.col("side") * n for end in "ab" for axis, n in (("x", nx), ("z", nz))})
+
+
+def terrain_cells(spark, x: float, z: float, w: float, d: float, n: int = 16) -> DataFrame:
+    """(i, j, ring) of a plate's n x n cells."""
+    rows = spark.range(n * n).select(F.floor(F.col("id") / n).alias("i"), (F.col("id") % n).alias("j"))
+    x0, z0 = F.lit(float(x)) + F.lit(float(w)) * F.col("i") / n, F.lit(float(z)) + F.lit(float(d)) * F.col("j") / n
+    x1, z1 = F.lit(float(x)) + F.lit(float(w)) * (F.col("i") + 1) / n, F.lit(float(z)) + F.lit(float(d)) * (F.col("j") + 1) / n
+    return rows.select("i", "j", rings.of((x0, z0), (x1, z0), (x1, z1), (x0, z1)).alias("ring"))
+
+
+def drape_depth(span: Column, least: int = DRAPE_LEVELS, most: int = DRAPE_MOST, target: float = DRAPE_TARGET) -> Column:
+    """How often a span is halved for its parts to be as long as the target, within bounds."""
+    wanted = F.ceil(F.log2(F.when(span > 0, span) / target)).cast("int")
+    return F.least(F.lit(most), F.greatest(F.lit(least), F.coalesce(wanted, F.lit(least))))

@@ -125,6 +125,19 @@ def road_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terrain.max_grade(s, fields.elevation("town")).select("src", F.round("grade", 6).alias("grade"))
 
 
+@query(
+    f"""
+WITH {t.STREETS}, r AS (SELECT *, sqrt((bx - ax) * (bx - ax) + (bz - az) * (bz - az)) AS run FROM st), n AS (SELECT *, -(bz - az) / run * 6 AS nx, (bx - ax) / run * 6 AS nz FROM r), k AS (SELECT * FROM n, (SELECT unnest([1, -1]) AS side))
+SELECT src, side, round(ax + side * nx, 6) AS kax, round(az + side * nz, 6) AS kaz, round(bx + side * nx, 6) AS kbx, round(bz + side * nz, 6) AS kbz, least(6, greatest(2, CAST(ceil(log2(run / 32)) AS INTEGER))) AS drape FROM k"""
+)
+def street_kerbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge lines of streets, and how finely they are draped (TER-5, TER-8)."""
+    s = t.streets(spark, sf_dir).select("src", "ax", "az", "bx", "bz", F.lit(13.0).alias("width"))
+    told = terrain.kerbs(s, 0.5)
+    run = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("bz") - F.col("az")) ** 2)
+    return told.select("src", "side", *(F.round(c, 6).alias(c) for c in ("kax", "kaz", "kbx", "kbz")), terrain.drape_depth(run).alias("drape"))
+
+
 @query()
 def street_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decks of elevated streets, one height a run (AGG-16, JN-10, TER-3)."""

@@ -95,3 +95,36 @@ def test_bridge_runs(spark):
     assert all(math.isclose(r.grade, 1.0) for r in grades)
     wet = terrain.water_offences(b.select(F.col("bridge").alias("edge"), "ax", "az", "bx", "bz"), lambda x, z: F.lit(15.0) - x)
     assert sorted(r.edge for r in wet.collect()) == [2, 3]
+
+
+def test_reports(spark):
+    c = spark.createDataFrame([(0, 5.0, 1), (1, 9.0, 3), (2, 9.0, 2), (3, 1.0, 3)], "seq int, length double, traffic int")
+    assert [r.seq for r in network.top_streets(c, 3).collect()] == [1, 2, 0]
+    assert [r.seq for r in network.top_traffic(c).collect()] == [1, 3, 2]
+    own = spark.createDataFrame([(0, 0, 10), (0, 1, 11), (1, 0, 12), (2, 0, 13)], "corridor int, pos int, edge int")
+    lengths = spark.createDataFrame([(10, 150.0, "arterial"), (11, 150.0, "arterial"), (12, 90.0, "arterial"), (13, 500.0, "local")], "edge int, length double, cls string")
+    assert [(r.corridor, r.edge) for r in network.label_edges(own, lengths).collect()] == [(0, 10)]
+    assert [r.length for r in network.route_lengths(spark.createDataFrame([(0, 1, 10), (0, 0, 12)], "route int, pos int, edge int"), lengths).collect()] == [240.0]
+
+
+def test_terrain_data(spark):
+    from loomgrid.functions import rings
+
+    assert terrain.terrain_cells(spark, 0, 0, 8, 8, 4).select(F.sum(rings.area(F.col("ring")))).first()[0] == 64.0
+    spans = spark.createDataFrame([(0.0,), (10.0,), (500.0,), (1e6,)], "s double").select(terrain.drape_depth(F.col("s")).alias("d"))
+    assert [r.d for r in spans.collect()] == [2, 2, 4, 6]
+    ring = rings.of((0, 0), (10, 0), (10, 10), (0, 10))
+    low = terrain.anchors(spark.range(1).select("id", ring.alias("ring")), lambda x, z: -F.abs(x - 5.0) - F.abs(z - 5.0), ["id"]).first()
+    assert low.high == 0.0 and low.low == -10.0
+    flat = terrain.rail_height(lambda x, z: F.lit(3.0), True, 0.0, -10.0, 10.0)
+    assert spark.range(1).select(flat).first()[0] == 15.0
+    assert terrain.ground(lambda x, z: F.lit(10.0), lambda x, z: x)(F.lit(18.0), F.lit(0.0)) is not None
+    from loomgrid.kernel.draws import random_seed
+
+    assert random_seed() != random_seed()
+
+
+def test_car_heights(spark):
+    placed = spark.createDataFrame([(True, False), (False, True), (False, False)], "elevated boolean, below_grade boolean")
+    got = network.car_heights(placed, F.lit(2.0), F.lit(9.0), 0.5, 1.0).collect()
+    assert [(r.y, r.visible) for r in got] == [(10.0, True), (0.0, False), (2.5, True)]
