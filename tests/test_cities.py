@@ -123,3 +123,18 @@ def test_lots():
     front = lambda r: (1.0, 0.0) if any(x == 0.0 for x, _ in r) else None
     merged = fold(row + [far], front)
     assert [f for _, f in merged] == [(1.0, 0.0), None] and math.isclose(plane.area(merged[0][0]), 4.0)
+
+
+def test_thin_shores():
+    from loomgrid.functions.rings import circle
+    from loomgrid.kernel.shores import over_land, thin
+
+    ring = circle(200.0, 200.0, 500)
+    lake = lambda x, z: math.hypot(x, z) - 200.0  # noqa: E731  land outside
+    (points, closed), = thin(ring, True, lake)
+    assert closed and len(points) <= 24 and not any(over_land(p, q, lake) for p, q in zip(points, points[1:] + points[:1]))
+    island = lambda x, z: 200.0 - math.hypot(x, z)  # noqa: E731  land inside: chords would cut it
+    pieces = thin(ring, True, island)
+    assert all(not over_land(p, q, island) for pts, _ in pieces for p, q in zip(pts, pts[1:])) and sum(len(p) for p, _ in pieces) <= 48
+    line = [(float(k), 0.0) for k in range(100)]
+    assert thin(line, False, lambda x, z: -1.0)[0][1] is False and thin(line[:5], False, lake) == [(line[:5], False)]
