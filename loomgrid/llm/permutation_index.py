@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by a permutation index.
 
-A bounded sample of vectors serves as pivots. Every vector is represented by its `prefix` nearest pivots in order, and is
+Pivots come from a bounded sample of vectors, each away from those before it, so that a crowd of almost equal vectors gives
+one. Every vector is represented by its `prefix` nearest pivots in order, and is
 posted, with its place in that order, in the inverted file of each of them. A query walks the files of its own pivots,
 which gives every vector's footrule distance between the two orders (a pivot missing from an order counts as last). The
-`share` of each index shard with the smallest footrule, `least` at least, is ranked anew by the exact distance.
+`share` of each index shard with the smallest footrule, `least` at least, is ranked anew by the exact distance; then half
+of `least` more, for as long as that still brings something nearer, so a crowd of almost equal vectors is ranked whole.
 
 Equal vectors are one entry that carries its smallest ids, `top` + 1 of them, which is all that an answer can hold; a
 vector with any number of copies costs one entry. Entries are dealt to shards of about `shard` by a hash, queries to
@@ -23,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIVOTS, PREFIX = 256, 64
+PIVOTS, PREFIX = 256, 128
+SAMPLED = 8  # vectors looked at for each pivot
+APART = 0.5  # least distance of two pivots, in median distances of the sample
 SHARE, LEAST = 0.10, 1_000
 SHARD, BLOCK = 16_384, 4_096
 
@@ -61,6 +65,10 @@ class PermutationIndex:
         return k * (k + 1) - 2 * shared
 
 
+def _distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    return np.sqrt(((vectors - query) ** 2).sum(axis=1))
+
+
 def search(index_rows: pa.Table, query_rows: pa.Table, pivots, prefix: int, share: float, least: int, top: int) -> pa.Table:
     """One block of queries against one shard: the `top` nearest of each, after reranking the candidates."""
     none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -79,14 +87,18 @@ def search(index_rows: pa.Table, query_rows: pa.Table, pivots, prefix: int, shar
     queries = matrix(query_rows)
     orders = index.permutations(queries)
     wanted = min(len(low), max(least, int(np.ceil(share * len(low)))))
+    more_at_once = max(1, least // 2)
     out_q, out_v, out_s = [], [], []
     for q, own in enumerate(query_rows.column("vec_id").to_pylist()):
-        if wanted < len(low):
-            rule = index.footrule(orders[q])
-            near = np.flatnonzero(rule <= np.partition(rule, wanted - 1)[wanted - 1])  # ties included
-        else:
-            near = np.arange(len(low))
-        far = np.sqrt(((index.vectors[near] - queries[q]) ** 2).sum(axis=1))
+        near = np.arange(len(low)) if wanted >= len(low) else np.argsort(index.footrule(orders[q]), kind="stable")
+        at, far = wanted, _distances(index.vectors[near[:wanted]], queries[q])
+        while at < len(near):
+            cut = np.partition(far, top)[top] if len(far) > top else np.inf
+            more = _distances(index.vectors[near[at : at + more_at_once]], queries[q])
+            far, at = np.append(far, more), at + len(more)
+            if not (more < cut).any():
+                break
+        near = near[:at]
         if len(far) > top + 1:
             cut = np.partition(far, top)[top]
             near, far = near[far <= cut], far[far <= cut]
@@ -99,6 +111,22 @@ def search(index_rows: pa.Table, query_rows: pa.Table, pivots, prefix: int, shar
     return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
 
+def spread_pivots(sample: np.ndarray, pivots: int, apart: float = APART) -> np.ndarray:
+    """Rows of the sample in its order, without those too close to one taken before."""
+    if len(sample) < 2:
+        return sample
+    half = len(sample) // 2
+    least = apart * np.median(_distances(sample[:half], sample[half : 2 * half]) if half else 0.0)
+    taken = sample[:1]
+    for v in sample[1:]:
+        if len(taken) == pivots:
+            break
+        gap = _distances(taken, v).min()
+        if gap >= least and gap > 0:
+            taken = np.vstack([taken, v])
+    return taken
+
+
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """(vec_id, embedding) of the vectors that take part."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
@@ -115,8 +143,8 @@ def nearest(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("embedding") == lengths["n"])
     shards = max(1, -(-lengths["count"] // shard))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()  # at most `pivots` vectors
-    told = spark.sparkContext.broadcast(np.unique(np.array([r["embedding"] for r in sample], dtype=np.float64), axis=0))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLED * pivots).collect()  # a bounded number of vectors
+    told = spark.sparkContext.broadcast(spread_pivots(np.array([r["embedding"] for r in sample], dtype=np.float64), pivots))
 
     each = Window.partitionBy("embedding").orderBy("vec_id")
     first = rows.withColumn("place", F.dense_rank().over(each)).where(F.col("place") <= top + 1)  # Spark drops the rest before the shuffle

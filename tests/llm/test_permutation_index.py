@@ -60,6 +60,17 @@ def test_footrule_is_brute_force():
     assert index.footrule(q).tolist() == expected
 
 
+def test_recall_beside_a_crowd(spark):
+    rng = np.random.default_rng(7)
+    center = rng.normal(size=32)
+    vectors = np.concatenate([rng.normal(size=(4000, 32)), center + rng.normal(size=(2000, 32)) * 0.01]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(4)
+    got = answers(nearest(df, F.col("vec_id") % 100 == 0, shard=3000, least=300))
+    d = ((vectors[::100, None, :].astype(float) - vectors[None].astype(float)) ** 2).sum(-1)
+    hits = [len(set(np.argsort(d[k], kind="stable")[1:11]) & set(got[k * 100])) for k in range(60)]
+    assert sum(hits) >= 0.9 * 600 and sum(hits[40:]) >= 0.9 * 200
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (100, [1.0, 2.5])], "vec_id long, embedding array<float>")
     assert answers(nearest(df, F.col("vec_id") % 100 == 0)) == {0: [100], 100: [0]}
