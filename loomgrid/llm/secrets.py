@@ -1,9 +1,9 @@
 """Secret scans: patterns of common secrets, and a token-efficiency test for random strings that no pattern names.
 
 A vocabulary learnt from ordinary text spells ordinary text with few tokens. A candidate string whose characters per
-token fall below `ratio` is random, unless it is a known kind of digest (hexadecimal of a digest's length), an
-identifier (UUID, number, date, version, address, path, words joined by - _ . / or camel case), or lies in a span that
-a pattern has found.
+token fall below `ratio` is random, unless it is a known kind of digest (hexadecimal of a digest's length), a UUID, a
+number, a date, or an identifier (words joined by - _ . / or camel case) whose runs of letters are spelt with few tokens.
+Candidates are split at = / : and . before they are scored; of what a pattern has found only the rest is scored.
 
 Null and empty texts have no spans. Whole texts are scanned, however long; every row gives one row, repeated rows and
 null ids too; other columns play no part.
@@ -40,14 +40,57 @@ UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 NUMBERS = re.compile(r"[0-9.,:/+_=-]+[TZ]?[0-9.,:/+_=-]*Z?")
 #: Parts that are words or numbers: letters in one case or capitalised, digits, or a word with a number after it.
 WORDS = re.compile(r"(?:(?:[A-Z]?[a-z]+|[A-Z]+|[A-Z]?[a-z]{3,}[0-9]{1,6}|[0-9]+|[A-Z]{1,4}[0-9]{1,4}|[vV]?[0-9]+(?:\.[0-9]+)*)(?:[-_./=+]+|$))+")
-CAMEL = re.compile(r"(?:[A-Z]?[a-z]{2,}[0-9]{0,2}){2,}|(?:[a-z]{2,})(?:[A-Z][a-z]+)+")
+CAMEL = re.compile(r"[A-Z]?[a-z]+[0-9]{0,2}(?:[A-Z][a-z]+[0-9]{0,2})+")
+RUNS = re.compile("[A-Z]?[a-z]+|[A-Z]+")
+#: Fewest signs of a random string, and of a part that is taken for a word by its score.
+LEAST, WORD = 16, 6
 
 
 def known(text: str) -> bool:
-    """Whether a candidate is a digest or an identifier."""
+    """Whether a candidate is a digest, a UUID or a number, whatever its score."""
     if len(text) in DIGEST_LENGTHS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", text):
         return True
-    return any(p.fullmatch(text) for p in (UUID, NUMBERS, WORDS, CAMEL))
+    return any(p.fullmatch(text) for p in (UUID, NUMBERS))
+
+
+def _efficient(text: str, encoding, ratio: float) -> bool:
+    """Whether the vocabulary spells the text with few tokens; capitals count as the letters they are too."""
+    return any(len(t) >= ratio * len(encoding.encode_ordinary(t)) for t in ((text, text.lower()) if text.isupper() else (text,)))
+
+
+def plain(text: str, encoding, ratio: float) -> bool:
+    """Whether a string is known, spelt with few tokens, or an identifier whose runs of letters are."""
+    if known(text) or _efficient(text, encoding, ratio):
+        return True
+    if not (WORDS.fullmatch(text) or CAMEL.fullmatch(text)):
+        return False
+    runs = [r.lower() for r in RUNS.findall(text)]
+    return sum(map(len, runs)) >= ratio * sum(len(encoding.encode_ordinary(r)) for r in runs) > 0
+
+
+def _random_parts(text: str, encoding, ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of random strings in a candidate. It is split at = / : and . so that what stands before a value does not
+    count for it; neighbouring parts that are not plain are one string, as in base64, with short parts between them."""
+    parts = [(m.start(), m.end()) for m in re.finditer("[^=/:.]+", text)]
+    odd = [not plain(text[s:e], encoding, ratio) for s, e in parts]
+    groups: list[list[int]] = []
+    for k, (s, e) in enumerate(parts):
+        if odd[k] and groups and all(odd[n] or parts[n][1] - parts[n][0] < WORD for n in range(groups[-1][-1] + 1, k)):
+            groups[-1].append(k)
+        elif odd[k]:
+            groups.append([k])
+    found = []
+    for g in groups:
+        s, e = parts[g[0]][0], parts[g[-1]][1]
+        if e - s >= LEAST and not plain(text[s:e], encoding, ratio):
+            found.append((s, e))
+    if not found and len(text) >= LEAST and all(o or e - s < WORD for o, (s, e) in zip(odd, parts, strict=True)) and not plain(text, encoding, ratio):
+        return [(0, len(text))]
+    # a random string behind words that are joined to it by - _ or +
+    for s, e in parts:
+        if e - s > LEAST and not any(a < e and s < b for a, b in found):
+            found += [(s + m.start(), s + m.end()) for m in re.finditer(r"[^-_+]{16,}", text[s:e]) if m.end() - m.start() < e - s and not plain(m[0], encoding, ratio)]
+    return sorted(found)
 
 
 def spans(text: str, encoding, ratio: float) -> list[tuple[int, int, int]]:
@@ -58,17 +101,19 @@ def spans(text: str, encoding, ratio: float) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(1, m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(2, m.start(), m.end()) for m in HEX.finditer(text)]
-    base = list(found)
+    base = sorted((s, e) for _, s, e in found)
     for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        word = m[0].rstrip(".=-/_+") if m[0].endswith((".", "-", "/", "_", "+")) else m[0]
-        e = s + len(word)
-        if len(word) < 16 or not any(c.isdigit() for c in word) and (word.islower() or word.isupper()):
-            continue
-        if any(a < e and s < b for _, a, b in base) or known(word):
-            continue
-        if len(word) / max(1, len(encoding.encode_ordinary(word))) < ratio:
-            found.append((3, s, e))
+        at, pieces = m.start(), []
+        for s, e in base:
+            if s < m.end() and e > at:
+                pieces.append((at, s))
+                at = e
+        for s, e in [*pieces, (at, m.end())]:
+            piece = text[s:e].rstrip(".=-/_+")
+            if s > m.start():
+                piece, s = piece.lstrip(".=-/_+"), s + len(piece) - len(piece.lstrip(".=-/_+"))
+            if len(piece) >= LEAST:
+                found += [(3, s + a, s + b) for a, b in _random_parts(piece, encoding, ratio)]
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 

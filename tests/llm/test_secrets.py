@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from loomgrid.llm.queries import op7_secret_scan
 from loomgrid.llm.secrets import known, scan, spans
@@ -48,3 +50,23 @@ def test_edges(spark):
     got = scan(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()
     assert len(got) == 3 and [s.kind for r in got if r.doc_id is None for s in r.spans] == ["access"]
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_recall_on_random_strings_bare_and_behind_prefixes():
+    e = byte_bpe(default_path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(6)
+    letters = string.ascii_lowercase
+    for signs, least in ((letters, 0.8), (letters.upper(), 0.75), (letters + "234567", 0.9), (letters.upper() + "234567", 0.9), (letters + string.digits, 0.93), (string.ascii_letters + string.digits, 0.95)):
+        for n in (16, 20, 32):
+            made = ["".join(rng.choice(signs) for _ in range(n)) for _ in range(150)]
+            scored = [v for v in made if n / len(e.encode_ordinary(v)) < 2 and n / len(e.encode_ordinary(v.lower() if v.isupper() else v)) < 2]
+            assert len(scored) >= least * 150
+            for before in ("", "client_session_identifier=", "org.example.package.", "https/example/path/"):
+                at = 4 + len(before)
+                assert all((3, at, at + n) in spans(f"see {before}{v} end", e, 2.0) for v in scored if not any(k < 3 for k, _, _ in spans(v, e, 2.0))), (signs, n, before)
+
+
+def test_what_is_left_of_a_base_span_is_tested():
+    e = byte_bpe(default_path("byte_bpe_50k.tiktoken"))
+    text = "see 0123456789abcdef01Xk9vQ2mZ7pLr4TbW8sYd1 end"
+    assert [(k, text[s:x]) for k, s, x in spans(text, e, 2.0)] == [(2, "0123456789abcdef01"), (3, "Xk9vQ2mZ7pLr4TbW8sYd1")]
