@@ -10,8 +10,14 @@ From each tree only a spanning forest of the links leaves the task, so copies of
 The fields are a partition of the 64 bits; six fields and radius 4 give 15 shardings of 21 or 22 bits each, seven give
 35 of 27 or 28 bits for more than 2**27 different fingerprints. Both are exact.
 
-near_dedup_keep() asks for a similarity of shingle sets. It makes fingerprints of two words: either one finds candidates
-within a radius, all 128 bits then estimate the similarity, so that a large corpus gives few chance links.
+near_dedup_keep() asks for a similarity of shingle sets. It makes fingerprints of two words from the sets: either one finds
+candidates within a radius, and all 128 bits must lie within three standard deviations of what the similarity gives, so that
+a large corpus gives few chance candidates. Candidates only count as links once the exact Jaccard similarity of their sets
+of shingles (as 64-bit hashes) confirms them. In the first round each fingerprint proposes its nearest candidates in a
+shard; those of which some candidate was left out meet again, with more proposals each, unless confirmed links have joined
+them meanwhile. It ends when nothing is left out, so every candidate is either joined or compared, while copies of one
+document don't make all pairs. A shard there agrees on two of twelve fields, which is sure to hold what differs in up to
+ten bits and holds nearly all of what differs in fourteen.
 
 Null and blank texts have fingerprint zero, which links like any other. Rows with a null id get the component of their
 fingerprint. Repeated rows and ties change nothing; an empty table gives no rows; other columns play no part.
@@ -21,7 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -40,6 +46,7 @@ SHARD = 4_096
 #: Fields of the fingerprint up to this many different fingerprints; one more beyond.
 FIELDS, FIELDS_UP_TO = 6, 1 << 27
 WORDS = 4  # most words of a fingerprint that shards are made of
+PROPOSED = 4  # candidates that a fingerprint proposes in a shard in the first round
 _CHUNK = 1 << 16  # shingles whose bits are unpacked at once
 
 
@@ -57,7 +64,7 @@ def hashes(raw: bytes, width: int) -> list[int]:
     return [h(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :], strict=True)]
 
 
-def majority(found: list[int], words: int = 1) -> np.ndarray:
+def majority(found: list[int] | np.ndarray, words: int = 1) -> np.ndarray:
     """The fingerprint's 64-bit words: a bit is set if it is set in over half the hashes. Further words mix each hash anew."""
     ones = np.zeros(64 * words, dtype=np.int64)
     for k in range(0, len(found), _CHUNK):
@@ -65,7 +72,7 @@ def majority(found: list[int], words: int = 1) -> np.ndarray:
         if words > 1:
             part = np.concatenate([part, *(_mix(part, n) for n in range(1, words))], axis=1)
         ones += np.unpackbits(np.ascontiguousarray(part).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(found), bitorder="little").view("<u8") if found else np.zeros(words, dtype=np.uint64)
+    return np.packbits(ones * 2 > len(found), bitorder="little").view("<u8") if len(found) else np.zeros(words, dtype=np.uint64)
 
 
 def _mix(h: np.ndarray, n: int) -> np.ndarray:
@@ -74,6 +81,22 @@ def _mix(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) ^ h) * np.uint64(0xD6E8FEB86659FD93)
 
 
+def shingle_set(raw: bytes, width: int) -> np.ndarray:
+    """The different hashes of a text's shingles, in order."""
+    return np.unique(np.array(hashes(raw, width), dtype="<u8"))
+
+
+def _set_prints(batches: Iterator[pa.RecordBatch], width: int, words: int) -> Iterator[pa.RecordBatch]:
+    """Fingerprints of the sets of shingles, and a digest of the set; rows without words are left out."""
+    for batch in batches:
+        sets = [shingle_set(raw, width) for raw in as_bytes(batch.column(1))]
+        at = [k for k, found in enumerate(sets) if len(found)]
+        prints = np.array([majority(sets[k], words) for k in at], dtype=np.uint64).reshape(-1, words).view(np.int64)
+        digests = pa.array([xxhash.xxh3_128_digest(sets[k].tobytes()) for k in at], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), digests, *(pa.array(np.ascontiguousarray(prints[:, n])) for n in range(words))], names=["doc_id", "digest", *_words(words)])
+    trim()
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([majority(hashes(raw, width), words) for raw in as_bytes(batch.column(1))], dtype=np.uint64).reshape(-1, words).view(np.int64)
@@ -164,44 +187,26 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def _link(prints: np.ndarray, word: int, tree: np.ndarray, queries: np.ndarray, radius: int, most: int | None) -> np.ndarray:
-    """A label for each row of prints, equal for rows that links between the tree's rows and the queries' join. most: bits in
-    which all words may differ, if that is asked too."""
+def _link(prints: np.ndarray, tree: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
+    """A label for each row of prints, equal for rows that links between the tree's rows and the queries' join."""
     label = np.arange(len(prints))
-    for v, q in BKTree(prints[tree, word]).near(prints[queries, word], radius):
+    for v, q in BKTree(prints[tree]).near(prints[queries], radius):
         a, b = tree[v], queries[q]
         while len(at := np.flatnonzero(label[a] != label[b])):
             a, b = a[at], b[at]
-            if most is not None:  # once: those that stay have passed
-                ok = np.concatenate([np.bitwise_count(prints[a[k : k + 65536]] ^ prints[b[k : k + 65536]]).sum(axis=1) <= most for k in range(0, len(a), 65536)])
-                a, b = a[ok], b[ok]
-                if not len(a):
-                    break
             x, y = label[a[0]], label[b[0]]
             label[label == max(x, y)] = min(x, y)
     return label
 
 
-def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, most: int | None, tagged: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, fingerprint words), sorted by key; the key's last bits name the word that the shard is of. If tagged, a
-    tag follows the key in the rows and the order: it holds the pair of pieces and the side. Side 0 builds the tree, side 1
-    searches it; without a side 1 the tree's own fingerprints do. Gives the forest of all links in the partition."""
-    forest = Forest()
+def _shards(batches: Iterator[pa.RecordBatch], tagged: bool) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """The columns of each shard of more than one row, the rows of its tree and those that search it. Rows (key, node, ...) are
+    sorted by key. If tagged, a tag follows the key in the rows and the order: it holds the pair of pieces and the side. Side 0
+    builds the tree, side 1 searches it; without a side 1 the tree's own fingerprints do."""
 
-    def work(columns: list[np.ndarray]) -> None:
-        node = columns[2].tolist()
-        words = [c.view(np.uint64) for c in columns[3:]]
-        if len(node) <= 6 and most is None:
-            fp = words[0].tolist()
-            for i in range(1, len(fp)):
-                for j in range(i):
-                    if (fp[i] ^ fp[j]).bit_count() <= radius:
-                        forest.join(node[i], node[j])
-            return
+    def shard(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         tree, searches = np.flatnonzero(columns[1] % 2 == 0), np.flatnonzero(columns[1] % 2 == 1)
-        label = _link(np.stack(words, axis=1), int(columns[0][0]) & (WORDS - 1), tree, searches if len(searches) else tree, radius, most)
-        for k in np.flatnonzero(label != np.arange(len(label))).tolist():
-            forest.join(node[k], node[label[k]])
+        return columns, tree, searches if len(searches) else tree
 
     rest = None
     for batch in batches:
@@ -216,10 +221,27 @@ def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, most: int | Non
         bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (group[1:] != group[:-1])) + 1).tolist()]
         for s, e in zip(bounds, bounds[1:], strict=False):
             if e - s > 1:
-                work([c[s:e] for c in columns])
+                yield shard([c[s:e] for c in columns])
         rest = [c[bounds[-1] :] for c in columns]
     if rest is not None and len(rest[0]) > 1:
-        work(rest)
+        yield shard(rest)
+
+
+def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, tagged: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, fp) as in _shards(). Gives the forest of all links in the partition."""
+    forest = Forest()
+    for columns, tree, searches in _shards(batches, tagged):
+        node, prints = columns[2].tolist(), columns[3].view(np.uint64)
+        if len(node) <= 6:
+            fp = prints.tolist()
+            for i in range(1, len(fp)):
+                for j in range(i):
+                    if (fp[i] ^ fp[j]).bit_count() <= radius:
+                        forest.join(node[i], node[j])
+            continue
+        label = _link(prints, tree, searches, radius)
+        for k in np.flatnonzero(label != np.arange(len(label))).tolist():
+            forest.join(node[k], node[label[k]])
     members = list(forest.up)
     for k in range(0, len(members), 10_000):
         part = members[k : k + 10_000]
@@ -227,37 +249,121 @@ def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, most: int | Non
     trim()
 
 
-def links(prints: DataFrame, radius: int, fields: int, most: int | None = None, count: int | None = None) -> DataFrame:
-    """prints: (node, fp, fp1, ...), one row a fingerprint. Returns (src, dst): links between nodes that join just what all
-    links within the radius in the first word join; or, if `most` is given, all links within the radius in any word that
-    differ in at most `most` bits of all words.
+def _nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (a, b) of rows, and which of them are among the `most` nearest of their b; ties go by a hash of the pair."""
+    mixed = _mix(node[a] ^ node[b], 3) >> np.uint64(44)
+    order = np.sort(b.astype(np.uint64) << np.uint64(44) | apart.astype(np.uint64) << np.uint64(36) | mixed << np.uint64(16) | a.astype(np.uint64))
+    b, a = (order >> np.uint64(44)).astype(np.int64), (order & np.uint64(0xFFFF)).astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+    rank = np.arange(len(b)) - np.repeat(starts, np.diff(np.r_[starts, len(b)]))
+    return a, b, rank < most
+
+
+def _shard_candidates(batches: Iterator[pa.RecordBatch], radius: int, bits: int, most: int, tagged: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, label, fingerprint words) as in _shards(); the key's last bits name the word that the shard is of. Gives
+    pairs (src, dst) of nodes with different labels, of each node the `most` nearest in each shard, and (node, null) for either
+    node of each pair that was left out."""
+    pairs: set[tuple[int, int]] = set()
+    left_out: set[int] = set()
+    for columns, tree, searches in _shards(batches, tagged):
+        node, label = columns[2].view(np.uint64), columns[3]
+        if label.min() == label.max():
+            continue
+        prints = np.stack([c.view(np.uint64) for c in columns[4:]], axis=1)
+        word = int(columns[0][0]) & (WORDS - 1)
+        grown = BKTree(prints[tree, word])
+        for k in range(0, len(searches), 512):
+            part = searches[k : k + 512]
+            found: list[tuple[np.ndarray, ...]] = []
+            for v, q in grown.near(prints[part, word], radius):
+                a, b = tree[v], part[q]
+                ok = label[a] != label[b]
+                a, b = a[ok], b[ok]
+                if len(a):
+                    apart = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64)
+                    ok = apart <= bits
+                    found.append((a[ok], b[ok], apart[ok]))
+            if not found:
+                continue
+            a, b, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+            if not len(a):
+                continue
+            a, b, ok = _nearest(a, b, apart, node, most)
+            x, y = node[a[ok]].view(np.int64), node[b[ok]].view(np.int64)
+            pairs.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
+            left_out.update(columns[2][np.unique(np.concatenate([a[~ok], b[~ok]]))].tolist())
+    rows = [*pairs, *((n, None) for n in left_out)]
+    for k in range(0, len(rows), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows[k : k + 10_000]], pa.int64()) for n in (0, 1)], names=["src", "dst"])
+    trim()
+
+
+def _dealt(prints: DataFrame, others: list[str], words: list[str], masks: list[int], count: int, work) -> DataFrame:
+    """What the work gives for the rows (key, node, others, all words) of all shards of the words.
 
     A shard's key is a hash of what its members agree on. Two shards with one hash would only be searched as one. Shards
     beyond SHARD are looked for in two steps: hashes of keys that few rows share can't hold one, and only the rest is counted
     by key, so that the usual case costs no shuffle of the rows but the one that deals them out."""
-    words = [c for c in prints.columns if c != "node"]
-    indexed = 1 if most is None else len(words)
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in shardings(radius, fields)]
+    indexed, columns = len(words), [*others, *words]
+    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     key = lambda k, w: F.shiftleft(F.xxhash64(F.lit(k * indexed + w), F.col(words[w]).bitwiseAND(F.lit(masks[k]))), WORDS.bit_length() - 1).bitwiseOR(F.lit(w).cast("long"))
-    rows = prints.select("node", *words, F.explode(F.array(*(key(k, w) for k in range(len(masks)) for w in range(indexed)))).alias("key")).select("key", "node", *words)
+    rows = prints.select("node", *columns, F.explode(F.array(*(key(k, w) for k in range(len(masks)) for w in range(indexed)))).alias("key")).select("key", "node", *columns)
 
-    total = (prints.count() if count is None else count) * len(masks) * indexed
-    bins = 1 << max(10, (total // 256).bit_length())
+    deal = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(partial(work, tagged=False), "src long, dst long")
+    if count <= SHARD:
+        return deal(rows)
+    bins = 1 << max(10, (count * len(masks) * indexed // 256).bit_length())
     binned = F.shiftright("key", 2).bitwiseAND(F.lit(bins - 1)).alias("bin")
     full = cut(rows.select(binned).groupBy("bin").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("bin"))
-    work = partial(_shard_links, radius=radius, most=most)
-    deal = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(partial(work, tagged=False), "src long, dst long")
     if full.isEmpty():
         return deal(rows)
     counted = rows.withColumn("bin", binned).join(full, "bin", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
     large = cut(counted.where(F.col("n") > SHARD).select("key", F.ceil(F.col("n") / SHARD * 1.25).cast("int").alias("pieces")))
     some = rows.join(large, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     tag = lambda other: (F.least(other, F.col("own")) * F.col("pieces") + F.greatest(other, F.col("own"))).cast("long") * 2 + (other < F.col("own")).cast("int")
-    dealt = some.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), tag)).alias("tag"), "node", *words)
+    dealt = some.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), tag)).alias("tag"), "node", *columns)
     ordered = dealt.repartition("key", F.expr("tag div 2")).sortWithinPartitions("key", "tag")
     return deal(rows.join(large, "key", "left_anti")).unionAll(ordered.mapInArrow(partial(work, tagged=True), "src long, dst long"))
 
 
+def links(prints: DataFrame, radius: int, fields: int, count: int | None = None) -> DataFrame:
+    """prints: (node, fp), one row a fingerprint. Returns (src, dst): links between nodes that join just what all links within
+    the radius join."""
+    total = prints.count() if count is None else count
+    return _dealt(prints, [], ["fp"], shardings(radius, fields), total, partial(_shard_links, radius=radius))
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(raw, width).tobytes() for raw in as_bytes(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+    trim()
+
+
+def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of rows (src, dst, set, set) the pairs whose sets have the similarity."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (x, y))
+            if min(len(x), len(y)) < similarity * max(len(x), len(y)) * (1 - 1e-9):
+                keep.append(False)
+                continue
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both / (len(x) + len(y) - both) >= similarity)
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+    trim()
+
+
+def confirmed(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Of pairs (src, dst) of ids those whose shingle sets have the Jaccard similarity, exactly. texts: (doc_id, t)."""
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
+    sets = cut(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "t").mapInArrow(partial(_sets, width=width), "node long, shingles binary"))
+    first = pairs.join(sets.toDF("src", "a"), "src")
+    both = first.join(sets.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
+    return both.mapInArrow(partial(_alike, similarity=similarity), "src long, dst long")
+
+
 def components(prints: DataFrame, radius: int = 4, fields: int | None = None) -> DataFrame:
     """prints: (doc_id, fp), one row per document. Returns doc_id, fp, component_id (the smallest id that links reach)."""
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -277,16 +383,30 @@ def bits_apart(similarity: float, bits: int, spread: float = 1.0) -> int:
     return int(bits * p + spread * math.sqrt(bits * p * (1 - p)))
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 10, fields: int = 12, words: int = 2) -> DataFrame:
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 14, fields: int = 12, words: int = 2, spread: float = 3.0) -> DataFrame:
     """(doc_id, component_id) of the documents that share a component with a smaller id. Rows with one id are one document; rows
-    without an id or without words link to none."""
-    prints = fingerprints(docs, doc_id, text, width, words).where("doc_id is not null and fp <> 0")
+    without an id or without words link to none. Every link is of the similarity or more."""
     names = _words(words)
-    prints = cut(prints)
-    classes = cut(prints.groupBy(*names).agg(F.min("doc_id").alias("node")))
-    joined = connected_components(links(classes, radius, fields, bits_apart(similarity, 64 * words)))
-    roots = classes.join(joined, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(roots, names).select("doc_id", "component_id").where("doc_id > component_id").distinct()
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).where("doc_id is not null")
+    prints = cut(texts.mapInArrow(partial(_set_prints, width=width, words=words), "doc_id long, digest binary, " + ", ".join(f"{w} long" for w in names)))
+    classes = cut(prints.groupBy("digest", *names).agg(F.min("doc_id").alias("node")))  # of equal sets
+    masks, bits = shardings(fields - 2, fields), bits_apart(similarity, 64 * words, spread)
+    now, joined, most = classes.withColumn("label", F.col("node")), [], PROPOSED
+    while True:
+        work = partial(_shard_candidates, radius=radius, bits=bits, most=most)
+        found = cut(_dealt(now.select("node", "label", *names), ["label"], names, masks, now.count(), work))
+        new = cut(confirmed(texts, found.where("dst is not null and src <> dst").distinct(), width, similarity))
+        if not joined or not new.isEmpty():
+            joined.append(new)
+            component = connected_components(reduce(DataFrame.unionAll, joined))
+        left_out = cut(found.where("dst is null").select(F.col("src").alias("node")).distinct())
+        if left_out.isEmpty():
+            break
+        now = cut(classes.join(left_out, "node", "left_semi").join(component, "node", "left").select("node", F.coalesce("component", "node").alias("label"), *names))
+        most *= 64
+    roots = classes.join(component, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    named = prints.join(roots, "digest").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    return named.where("doc_id > component_id")
 
 
 def near_dedup_keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

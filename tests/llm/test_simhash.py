@@ -116,3 +116,33 @@ def test_keep_edges(spark):
 def test_bits():
     assert bits_apart(0.8, 256, 0) == 38
     assert bits_apart(1.0, 256) == 0
+
+
+def test_near_copies_are_of_the_similarity(spark):
+    rng = random.Random(17)
+    fresh = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    shingles = lambda words: {" ".join(words[k : k + 5]) for k in range(len(words) - 4)}
+    rows, alike = [], {}
+    for k in range(300):
+        one = fresh(404)
+        goal = rng.uniform(0.6, 0.95)
+        changed = round(400 * (1 - goal) / (1 + goal))
+        other = one[:100] + fresh(changed - 4) + one[96 + changed :]
+        a, b = shingles(one), shingles(other)
+        alike[2 * k + 1] = len(a & b) / len(a | b)
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(other))]
+    crowd = fresh(404)  # copies of one document, each with a change of its own
+    for k in range(1000, 1120):
+        at = rng.randrange(400)
+        rows.append((k, " ".join(crowd[:at] + fresh(1) + crowd[at + 1 :])))
+    template = fresh(300)  # documents that share a passage and are no copies
+    rows += [(k, " ".join(template + fresh(120))) for k in range(2000, 2040)]
+    # what repeats in a document counts once: two clean documents with one long refrain
+    rows += [(k, "la le li lo lu " * 400 + " ".join(fresh(60))) for k in (3000, 3001)]
+    gone = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    planted = {i: c for i, c in gone.items() if i < 1000}
+    assert all(c == i - 1 and alike[i] >= 0.8 for i, c in planted.items())
+    near = [i for i, j in alike.items() if j >= 0.8]
+    assert len(near) > 100 and sum(i in gone for i in near) >= 0.97 * len(near)
+    assert all(gone.get(i) == 1000 for i in range(1001, 1120))
+    assert not any(i >= 2000 for i in gone)
