@@ -78,7 +78,8 @@ TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(_GENDER, key=len, reverse=True))
 SAID = re.compile(rf"(?<!\w)(?i:{'|'.join(SAYS)}) ({WORD}(?: {WORD}){{0,2}})")
 _KNOWN = {n: (s, g) for (s, g), ns in GIVEN.items() for n in ns}
 LISTED = re.compile(rf"(?<!\w)((?:{'|'.join(_KNOWN)}) {WORD})(?![\w])")
-_HINTS = tuple(sorted(_GENDER)) + tuple(s.split()[-2] if " " in s else s for s in SAYS)
+_HINTS = tuple(sorted(_GENDER))
+_FOLDED_SAYS = tuple(s.casefold() for s in SAYS)
 PART = re.compile(r"[^\W\d_]+")
 
 
@@ -106,6 +107,12 @@ def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def _says(text: str) -> bool:
+    """Whether a phrase of SAYS is in the text in any case, as SAID takes it (a dotless or dotted i too)."""
+    low = text.casefold().replace("ı", "i").replace("i\u0307", "i")
+    return any(s in low for s in _FOLDED_SAYS)
+
+
 def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of each word of a name."""
     for pattern in (TITLED, SAID, LISTED):
@@ -137,7 +144,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             digits = re.sub(r"\D", "", m[0])
             if 7 <= len(digits) <= 15:
                 found.append((m.start(), m.end(), "phone", ("+" if m[0][0] == "+" else "") + digits))
-    if any(h in text for h in _HINTS) or any(n in text for n in _KNOWN):
+    if any(h in text for h in _HINTS) or any(n in text for n in _KNOWN) or _says(text):
         found += _names(text)
     found.sort(key=lambda x: (x[0], -x[1]))
     kept, end = [], -1

@@ -79,3 +79,8 @@ def test_collisions_are_resolved(spark):
 
 def test_empty(spark):
     assert replace(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0
+
+
+def test_phrases_at_sentence_start_and_in_any_case():
+    for text, name in (("Je m'appelle Gaston Leroux.", "Gaston Leroux"), ("Me llamo Pablo Ruiz.", "Pablo Ruiz"), ("Меня зовут Ярослав Гашек.", "Ярослав Гашек"), ("MY NAME IS Gordon Brown", "Gordon Brown"), ("My name is Gordon Brown", "Gordon Brown"), ("Mein Name ist Gordon Braun", "Gordon Braun"), ("MEİN NAME ıST Gordon Braun", "Gordon Braun")):
+        assert kinds(text) == [("name", w) for w in name.split()], text
