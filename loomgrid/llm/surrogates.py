@@ -9,7 +9,8 @@ surrogate is written in the format of each mention.
 Collisions can still occur: between formats, with a value that occurs in the corpus itself, or among names made by rule.
 The distinct entities are gathered once; of those that share a surrogate all but the smallest, and those whose surrogate
 occurs as an entity, are permuted anew with the next tweak until none is left. (Given names are drawn from lists that
-occur in any corpus, so names are only checked against each other.) What got another tweak than the first is looked up: in a broadcast
+occur in any corpus, so names are only checked against each other; each tweak makes a name by rule one syllable longer, so
+there is room for any number.) What got another tweak than the first is looked up: in a broadcast
 if there are at most `exceptions` such entities, by a join with the documents that hold them beyond that.
 
 Null texts stay null and have no entities; whole texts are scanned, however long; every row gives one row, repeated rows
@@ -242,7 +243,7 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         return order[(order.index(value) + 1) % len(order)]
     draw = int.from_bytes(hashlib.blake2b(f"{tweak}:{value}".encode(), key=key, digest_size=16).digest(), "little")
     made = ""
-    for _ in range(3 if len(value) > 5 else 2):
+    for _ in range((3 if len(value) > 5 else 2) + attempt):  # each further attempt has room for over thirty times the names
         draw, k = divmod(draw, len(SYLLABLES[script]))
         made += SYLLABLES[script][k]
     tail = SURNAME[script]

@@ -1,8 +1,9 @@
 import random
 import re
 from collections import defaultdict
+from itertools import product
 
-from loomgrid.llm.surrogates import _luhn, _mod97, entities, permute, replace, surrogate, written
+from loomgrid.llm.surrogates import _luhn, _mod97, entities, permute, replace, settled, surrogate, written
 
 KEY = b"test key"
 
@@ -84,3 +85,14 @@ def test_empty(spark):
 def test_phrases_at_sentence_start_and_in_any_case():
     for text, name in (("Je m'appelle Gaston Leroux.", "Gaston Leroux"), ("Me llamo Pablo Ruiz.", "Pablo Ruiz"), ("Меня зовут Ярослав Гашек.", "Ярослав Гашек"), ("MY NAME IS Gordon Brown", "Gordon Brown"), ("My name is Gordon Brown", "Gordon Brown"), ("Mein Name ist Gordon Braun", "Gordon Braun"), ("MEİN NAME ıST Gordon Braun", "Gordon Braun")):
         assert kinds(text) == [("name", w) for w in name.split()], text
+
+
+def test_more_short_names_than_two_syllables_make(spark):
+    names = ["".join(w) for w in product("bcdfghjklm", "aeiou", "npqrstvwxz", "aeiou", "bcdfghjk")]
+    rows = [(f"name:{part}", v) for part in ("given:latin:n", "surname:latin:n") for v in names]
+    assert len(names) == 20_000
+    got = settled(spark.createDataFrame(rows, "kind string, value string").repartition(4), KEY).collect()
+    assert len(got) == len({(r.kind, r.value) for r in got}) == len(rows)
+    assert len({r.new for r in got}) == len(rows) and all(r.new != r.value for r in got)
+    short = [len(r.new) for r in got if "given" in r.kind]
+    assert max(short) <= 16
