@@ -30,7 +30,9 @@ CLOSED_BY = {
 #: Elements that keep an open one inside from being closed by what stands outside.
 SCOPES = frozenset("table td th li dd ul ol dl select button object".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>\x00]*)((?:[^"'>]|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
+#: Attributes of a tag: a quote counts only where it opens a value and is closed again; else the tag ends at the next >.
+_ATTRIBUTES = r"""(?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)?)?)*+"""
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>\x00]*)({_ATTRIBUTES})(?:>|\Z)""", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 PARTS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")

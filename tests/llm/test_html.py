@@ -61,3 +61,11 @@ def test_edges(spark):
 def test_features_are_bounded():
     found = blocks(PAGE)
     assert all(0 <= f < 1 << 13 for k, b in enumerate(found) for f in features(b, k, len(found)))
+
+
+def test_stray_quotes_end_with_their_tag():
+    rest = "<p>more of the story here</p>" * 300
+    for tag in ("<a href=/x title=Don't>", '<img alt="5" screen">', "<p class=a'>", '<p ">', "<p '>", '<p title = 5">', '<div data-x="a"b\'>', "<p a=\"b\" 'c>", '<p id="">', "<p x=>"):
+        assert texts(f"<p>start</p>{tag}next</p>{rest}") == ["start", "next", *["more of the story here"] * 300], tag
+    assert texts("<p>start</p><p title='a>b' alt = \"c>d\">next</p>") == ["start", "next"]
+    assert texts('<p>start</p><p title="open>next</p><p>last</p>') == ["start", "next", "last"]
