@@ -1,23 +1,24 @@
 """SimHash near-dedup: fingerprints, linked within a Hamming radius by BK-trees, and the components of the links.
 
-Two 64-bit fingerprints within `radius` bits agree on at least fields - radius of `fields` bit fields. For each choice of
-fields - radius fields, the fingerprints that agree on them form a shard. A shard's BK-tree hangs each child under its
-parent by their integer Hamming distance; searches follow only edges within the radius. Shard trees go out only to the
-tasks that hold fingerprints of that shard: what is sent is bounded by SHARD fingerprints a tree, however large the
-table. A shard of more is cut into pieces, and each piece's tree meets each piece's fingerprints, so no link is lost.
-From each tree only a spanning forest of the links leaves the task, so copies of one document never make all pairs.
-
-The fields are a partition of the 64 bits; six fields and radius 4 give 15 shardings of 21 or 22 bits each, seven give
-35 of 27 or 28 bits for more than 2**27 different fingerprints. Both are exact.
-
-near_dedup_keep() asks for a similarity of shingle sets. It makes fingerprints of two words from the sets: either one finds
-candidates within a radius, and all 128 bits must lie within three standard deviations of what the similarity gives, so that
-a large corpus gives few chance candidates. Candidates only count as links once the exact Jaccard similarity of their sets
-of shingles (as 64-bit hashes) confirms them. In the first round each fingerprint proposes its nearest candidates in a
-shard; those of which some candidate was left out meet again, with more proposals each, unless confirmed links have joined
-them meanwhile. It ends when nothing is left out, so every candidate is either joined or compared, while copies of one
-document don't make all pairs. A shard there agrees on two of twelve fields, which is sure to hold what differs in up to
-ten bits and holds nearly all of what differs in fourteen.
+Fingerprints are dealt to shards; every shard of more than one becomes a BK-tree, whose nodes hang under their parents by
+integer Hamming distance, and searches follow only edges within the radius. A shard's tree goes only to the task that holds
+the shard's rows: a broadcast of all trees would grow with the corpus.
+
+components() is exact. Two 64-bit fingerprints within `radius` bits agree on at least fields - radius of `fields` bit fields;
+each choice of fields - radius fields is a sharding. Six fields and radius 4 give 15 shardings of 21 or 22 bits each, seven
+give 35 of 27 or 28 bits for more than 2**27 different fingerprints. From each tree only a forest of links leaves the task.
+
+near_dedup_keep() asks for a Jaccard similarity of sets of shingles. There a shard agrees on ROWS least hashes of the set under
+seeded permutations, for each of BANDS groups of them, so a document has BANDS rows whatever the size of the corpus, and a
+shard holds documents that share much of their text. The shard's BK-tree finds candidates by one word of the set's fingerprint;
+further words and the sizes of the sets thin them out, and only the exact Jaccard similarity of two sets (of 64-bit hashes)
+makes a link. Each document has its few nearest candidates compared in a round; those of which some were left out meet again
+with more, unless links have joined them meanwhile, so every candidate is either joined or compared, while copies of one
+document don't make all pairs.
+
+A shard of more than SHARD rows is first cut into pieces by a hash, each a tree of its own, for as long as that still finds
+links. Then only the rows outside the shard's largest component are left to be compared with all of its rows, in pieces too:
+no link is lost, and a group with a third of all rows costs its rows once a round, not their square.
 
 Null and blank texts have fingerprint zero, which links like any other. Rows with a null id get the component of their
 fingerprint. Repeated rows and ties change nothing; an empty table gives no rows; other columns play no part.
@@ -33,20 +34,21 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.llm.text import as_bytes, trim
 from loomgrid.operators.components import connected_components
-from loomgrid.operators.shared import cut
+from loomgrid.operators.shared import checked, cut, without
 
 SEED = 42
-#: Most fingerprints of a shard that go into one tree.
+#: Most rows of a shard that go into one tree, and that search one.
 SHARD = 4_096
 #: Fields of the fingerprint up to this many different fingerprints; one more beyond.
 FIELDS, FIELDS_UP_TO = 6, 1 << 27
-WORDS = 4  # most words of a fingerprint that shards are made of
-PROPOSED = 4  # candidates that a fingerprint proposes in a shard in the first round
+#: Shardings by least hashes, and the hashes that a shard agrees on: 99.96 % of the pairs of similarity 0.8 share one.
+BANDS, ROWS = 20, 5
+PROPOSED, MORE = 2, 8  # candidates that a document has compared in the first round, and times as many in each further one
 _CHUNK = 1 << 16  # shingles whose bits are unpacked at once
 
 
@@ -86,14 +88,29 @@ def shingle_set(raw: bytes, width: int) -> np.ndarray:
     return np.unique(np.array(hashes(raw, width), dtype="<u8"))
 
 
-def _set_prints(batches: Iterator[pa.RecordBatch], width: int, words: int) -> Iterator[pa.RecordBatch]:
-    """Fingerprints of the sets of shingles, and a digest of the set; rows without words are left out."""
+def band_keys(found: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """A key for each band: a hash of the least of the set's hashes under each of the band's permutations."""
+    n = np.arange(1, bands * rows + 1, dtype=np.uint64)[:, None]
+    shift, factor = _mix(n, 1), _mix(n, 2) | np.uint64(1)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max)
+    for k in range(0, len(found), 1024):
+        np.minimum(least, ((found[None, k : k + 1024] ^ shift) * factor).min(axis=1), out=least)
+    key = np.arange(bands, dtype=np.uint64)
+    for k, part in enumerate(least.reshape(bands, rows).T):
+        key = _mix(key ^ part, k)
+    return key
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], width: int, words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Of the set of shingles: a digest, the size, the fingerprint's words and the key of each band; rows without words are left out."""
     for batch in batches:
         sets = [shingle_set(raw, width) for raw in as_bytes(batch.column(1))]
         at = [k for k, found in enumerate(sets) if len(found)]
         prints = np.array([majority(sets[k], words) for k in at], dtype=np.uint64).reshape(-1, words).view(np.int64)
         digests = pa.array([xxhash.xxh3_128_digest(sets[k].tobytes()) for k in at], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), digests, *(pa.array(np.ascontiguousarray(prints[:, n])) for n in range(words))], names=["doc_id", "digest", *_words(words)])
+        keys = pa.array([band_keys(sets[k], bands, rows).view(np.int64) for k in at], pa.list_(pa.int64()))
+        sizes = pa.array([len(sets[k]) for k in at], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), digests, sizes, keys, *(pa.array(np.ascontiguousarray(prints[:, n])) for n in range(words))], names=["doc_id", "digest", "size", "keys", *_words(words)])
     trim()
 
 
@@ -122,47 +139,39 @@ def shardings(radius: int, fields: int) -> list[int]:
 
 
 class BKTree:
-    """Children are keyed by their integer Hamming distance to the parent; up to `leaf` values below one edge are scanned together."""
+    """Each node holds the rows of one value; its children hang under it by their integer Hamming distance to that value."""
 
-    def __init__(self, values: np.ndarray, leaf: int = 96):
-        self.values, self.leaf = values, leaf
-        self.top = self._grow(np.arange(len(values)))
+    built = walked = 0  # trees grown and nodes searched in this process, for tests
 
-    def _grow(self, at: np.ndarray):
-        """A leaf (its positions) or a node (its position, edges, subtrees)."""
-        nodes: list = []
-        todo = [(at, None, None)]
+    def __init__(self, values: np.ndarray):
+        BKTree.built += 1
+        self.values = values
+        self.top: tuple[np.ndarray, dict] | None = None
+        todo: list[tuple[np.ndarray, dict | None, int]] = [(np.arange(len(values)), None, 0)] if len(values) else []
         while todo:
-            at, parent, edge = todo.pop()
-            if len(at) <= self.leaf:
-                made = at
-            else:
-                d = np.bitwise_count(self.values[at[1:]] ^ self.values[at[0]])
-                made = (int(at[0]), {})
-                todo += [(at[1:][d == e], made, int(e)) for e in np.unique(d)]
-            if parent is None:
-                nodes.append(made)
+            at, above, edge = todo.pop()
+            d = np.bitwise_count(values[at] ^ values[at[0]])
+            node: tuple[np.ndarray, dict] = (at[d == 0], {})
+            todo += [(at[d == e], node[1], e) for e in set(d.tolist()) if e]
+            if above is None:
+                self.top = node
             else:
-                parent[1][edge] = made
-        return nodes[0]
+                above[edge] = node
 
     def near(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions of values and of the queries within the radius of them, in one walk for all queries."""
-        todo = [(self.top, np.arange(len(queries)))]
+        todo = [(self.top, np.arange(len(queries)))] if self.top else []
         while todo:
-            node, at = todo.pop()
-            if isinstance(node, tuple):
-                d = np.bitwise_count(queries[at] ^ self.values[node[0]])
-                hit = at[d <= radius]
-                yield np.full(len(hit), node[0]), hit
-                for e, below in node[1].items():
-                    on = at[(d >= e - radius) & (d <= e + radius)]
-                    if len(on):
-                        todo.append((below, on))
-            elif len(node):
-                for k in range(0, len(at), 4096):
-                    v, q = np.nonzero(np.bitwise_count(self.values[node][:, None] ^ queries[at[k : k + 4096]][None, :]) <= radius)
-                    yield node[v], at[k + q]
+            (own, below), at = todo.pop()
+            BKTree.walked += 1
+            d = np.bitwise_count(queries[at] ^ self.values[own[0]]).astype(np.int64)
+            hit = at[d <= radius]
+            if len(hit):
+                yield np.repeat(own, len(hit)), np.tile(hit, len(own))
+            for e, node in below.items():
+                on = at[np.abs(d - e) <= radius]
+                if len(on):
+                    todo.append((node, on))
 
 
 class Forest:
@@ -199,10 +208,10 @@ def _link(prints: np.ndarray, tree: np.ndarray, queries: np.ndarray, radius: int
     return label
 
 
-def _shards(batches: Iterator[pa.RecordBatch], tagged: bool) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    """The columns of each shard of more than one row, the rows of its tree and those that search it. Rows (key, node, ...) are
-    sorted by key. If tagged, a tag follows the key in the rows and the order: it holds the pair of pieces and the side. Side 0
-    builds the tree, side 1 searches it; without a side 1 the tree's own fingerprints do."""
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """The columns of each shard or piece of more than one row, the rows of its tree and those that search it. Rows (key, tag,
+    node, ...) are sorted by key and tag. The tag holds the piece and, as its last bit, the side: rows of side 0 build the tree,
+    those of side 1 search it; without a side 1 the tree's own rows do."""
 
     def shard(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         tree, searches = np.flatnonzero(columns[1] % 2 == 0), np.flatnonzero(columns[1] % 2 == 1)
@@ -211,8 +220,6 @@ def _shards(batches: Iterator[pa.RecordBatch], tagged: bool) -> Iterator[tuple[l
     rest = None
     for batch in batches:
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if not tagged:
-            columns.insert(1, np.zeros(len(columns[0]), dtype=np.int64))
         if rest is not None:
             columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
         if not len(columns[0]):
@@ -227,19 +234,12 @@ def _shards(batches: Iterator[pa.RecordBatch], tagged: bool) -> Iterator[tuple[l
         yield shard(rest)
 
 
-def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, tagged: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, fp) as in _shards(). Gives the forest of all links in the partition."""
+def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, tag, node, label, fp) as in _shards(). Gives the forest of all links in the partition."""
     forest = Forest()
-    for columns, tree, searches in _shards(batches, tagged):
-        node, prints = columns[2].tolist(), columns[3].view(np.uint64)
-        if len(node) <= 6:
-            fp = prints.tolist()
-            for i in range(1, len(fp)):
-                for j in range(i):
-                    if (fp[i] ^ fp[j]).bit_count() <= radius:
-                        forest.join(node[i], node[j])
-            continue
-        label = _link(prints, tree, searches, radius)
+    for columns, tree, searches in _shards(batches):
+        node = columns[2].tolist()
+        label = _link(columns[4].view(np.uint64), tree, searches, radius)
         for k in np.flatnonzero(label != np.arange(len(label))).tolist():
             forest.join(node[k], node[label[k]])
     members = list(forest.up)
@@ -249,35 +249,41 @@ def _shard_links(batches: Iterator[pa.RecordBatch], radius: int, tagged: bool) -
     trim()
 
 
-def _nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs (a, b) of rows, and which of them are among the `most` nearest of their b; ties go by a hash of the pair."""
-    mixed = _mix(node[a] ^ node[b], 3) >> np.uint64(44)
-    order = np.sort(b.astype(np.uint64) << np.uint64(44) | apart.astype(np.uint64) << np.uint64(36) | mixed << np.uint64(16) | a.astype(np.uint64))
-    b, a = (order >> np.uint64(44)).astype(np.int64), (order & np.uint64(0xFFFF)).astype(np.int64)
+def _nearest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """The pairs (a, b) of rows with their distance, and which of them are among the `most` nearest of their b; ties go by a hash of the pair."""
+    mixed = _mix(node[a] ^ node[b], 3)
+    order = np.lexsort((mixed, apart, b))
+    a, b, apart = a[order], b[order], apart[order]
     starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
     rank = np.arange(len(b)) - np.repeat(starts, np.diff(np.r_[starts, len(b)]))
-    return a, b, rank < most
+    return a, b, apart, rank < most
+
 
+CANDIDATES = "src long, dst long, apart long"
 
-def _shard_candidates(batches: Iterator[pa.RecordBatch], radius: int, bits: int, most: int, tagged: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, label, fingerprint words) as in _shards(); the key's last bits name the word that the shard is of. Gives
-    pairs (src, dst) of nodes with different labels, of each node the `most` nearest in each shard, and (node, null) for either
-    node of each pair that was left out."""
-    pairs: set[tuple[int, int]] = set()
+
+def _shard_candidates(batches: Iterator[pa.RecordBatch], radius: int, bits: int, most: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, tag, node, label, size, fingerprint words) as in _shards(). Gives (src, dst, apart): to each node src its `most`
+    nearest candidates dst of other labels in each shard; and (node, null, null) for either node of each pair left out."""
+    pairs: dict[tuple[int, int], int] = {}
     left_out: set[int] = set()
-    for columns, tree, searches in _shards(batches, tagged):
-        node, label = columns[2].view(np.uint64), columns[3]
+
+    def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + 10_000], strict=True)], names=["src", "dst", "apart"])
+
+    for columns, tree, searches in _shards(batches):
+        node, label, size = columns[2], columns[3], columns[4]
         if label.min() == label.max():
             continue
-        prints = np.stack([c.view(np.uint64) for c in columns[4:]], axis=1)
-        word = int(columns[0][0]) & (WORDS - 1)
-        grown = BKTree(prints[tree, word])
+        prints = np.stack([c.view(np.uint64) for c in columns[5:]], axis=1)
+        grown = BKTree(prints[tree, 0])
         for k in range(0, len(searches), 512):
             part = searches[k : k + 512]
             found: list[tuple[np.ndarray, ...]] = []
-            for v, q in grown.near(prints[part, word], radius):
+            for v, q in grown.near(prints[part, 0], radius):
                 a, b = tree[v], part[q]
-                ok = label[a] != label[b]
+                ok = (label[a] != label[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) * (1 - 1e-9))
                 a, b = a[ok], b[ok]
                 if len(a):
                     apart = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64)
@@ -285,52 +291,83 @@ def _shard_candidates(batches: Iterator[pa.RecordBatch], radius: int, bits: int,
                     found.append((a[ok], b[ok], apart[ok]))
             if not found:
                 continue
-            a, b, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+            a, b, apart, ok = _nearest(*(np.concatenate(x) for x in zip(*found, strict=True)), node.view(np.uint64), most)
             if not len(a):
                 continue
-            a, b, ok = _nearest(a, b, apart, node, most)
-            x, y = node[a[ok]].view(np.int64), node[b[ok]].view(np.int64)
-            pairs.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
-            left_out.update(columns[2][np.unique(np.concatenate([a[~ok], b[~ok]]))].tolist())
-    rows = [*pairs, *((n, None) for n in left_out)]
-    for k in range(0, len(rows), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows[k : k + 10_000]], pa.int64()) for n in (0, 1)], names=["src", "dst"])
+            pairs.update(zip(zip(node[b[ok]].tolist(), node[a[ok]].tolist(), strict=True), apart[ok].tolist(), strict=True))
+            left_out.update(node[np.unique(np.concatenate([a[~ok], b[~ok]]))].tolist())
+        if len(pairs) > 200_000:
+            yield from out([(*p, n) for p, n in pairs.items()])
+            pairs.clear()
+    yield from out([*((*p, n) for p, n in pairs.items()), *((n, None, None) for n in left_out)])
     trim()
 
 
-def _dealt(prints: DataFrame, others: list[str], words: list[str], masks: list[int], count: int, work) -> DataFrame:
-    """What the work gives for the rows (key, node, others, all words) of all shards of the words.
-
-    A shard's key is a hash of what its members agree on. Two shards with one hash would only be searched as one. Shards
-    beyond SHARD are looked for in two steps: hashes of keys that few rows share can't hold one, and only the rest is counted
-    by key, so that the usual case costs no shuffle of the rows but the one that deals them out."""
-    indexed, columns = len(words), [*others, *words]
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    key = lambda k, w: F.shiftleft(F.xxhash64(F.lit(k * indexed + w), F.col(words[w]).bitwiseAND(F.lit(masks[k]))), WORDS.bit_length() - 1).bitwiseOR(F.lit(w).cast("long"))
-    rows = prints.select("node", *columns, F.explode(F.array(*(key(k, w) for k in range(len(masks)) for w in range(indexed)))).alias("key")).select("key", "node", *columns)
-
-    deal = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(partial(work, tagged=False), "src long, dst long")
+def _large(rows: DataFrame, count: int) -> DataFrame | None:
+    """(key, n) of the shards beyond SHARD, if there are any, in two steps: hashes of keys that few rows share can't hold one,
+    and only the rest is counted by key, so that the usual case costs no shuffle of a row a shard."""
     if count <= SHARD:
-        return deal(rows)
-    bins = 1 << max(10, (count * len(masks) * indexed // 256).bit_length())
-    binned = F.shiftright("key", 2).bitwiseAND(F.lit(bins - 1)).alias("bin")
-    full = cut(rows.select(binned).groupBy("bin").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("bin"))
-    if full.isEmpty():
-        return deal(rows)
-    counted = rows.withColumn("bin", binned).join(full, "bin", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
-    large = cut(counted.where(F.col("n") > SHARD).select("key", F.ceil(F.col("n") / SHARD * 1.25).cast("int").alias("pieces")))
-    some = rows.join(large, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-    tag = lambda other: (F.least(other, F.col("own")) * F.col("pieces") + F.greatest(other, F.col("own"))).cast("long") * 2 + (other < F.col("own")).cast("int")
-    dealt = some.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), tag)).alias("tag"), "node", *columns)
-    ordered = dealt.repartition("key", F.expr("tag div 2")).sortWithinPartitions("key", "tag")
-    return deal(rows.join(large, "key", "left_anti")).unionAll(ordered.mapInArrow(partial(work, tagged=True), "src long, dst long"))
+        return None
+    bins = 1 << max(10, (count // 256).bit_length())
+    binned = rows.select("key", F.xxhash64("key").bitwiseAND(F.lit(bins - 1)).alias("bin"))
+    full = cut(binned.groupBy("bin").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("bin"))
+    if not (n := full.count()):
+        return None
+    large = cut(binned.join(checked(full, n), "bin", "left_semi").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SHARD))
+    return None if large.isEmpty() else large
+
+
+def _pieces(rows: DataFrame, large: DataFrame | None) -> DataFrame:
+    """Rows (key, tag, node, ...) by shard; large shards in pieces by a hash."""
+    if large is None:
+        tagged = rows.withColumn("tag", F.lit(0).cast("long"))
+    else:
+        some = rows.join(checked(large, large.count()), "key", "left")
+        own = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") * 1.25 / SHARD))
+        tagged = some.withColumn("tag", F.coalesce(own, F.lit(0)).cast("long") * 2).drop("n")
+    return _ordered(tagged.select("key", "tag", *rows.columns[1:]))
+
+
+def _ordered(tagged: DataFrame) -> DataFrame:
+    return tagged.repartition("key", F.expr("tag div 2")).sortWithinPartitions("key", "tag")
+
+
+def _all_in(rows: DataFrame, large: DataFrame | None) -> DataFrame:
+    """Rows (key, tag, node, ...) by shard, in which each two rows of different labels of a shard meet. In a large shard the rows
+    outside its largest label build the trees, in pieces, and all its rows search them."""
+    if large is None:
+        return _pieces(rows, None)
+    told = checked(large, large.count())
+    labels = rows.join(told, "key").groupBy("key", "label").agg(F.count("*").alias("n"))
+    shares = labels.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"))
+    split = cut(shares.select("key", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / SHARD).alias("trees"), F.ceil(F.col("n") / SHARD).alias("searches")).where("trees > 0"))
+    some = rows.join(checked(split, split.count()), "key")
+    own = lambda n: F.pmod(F.xxhash64("node", "key"), F.col(n))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    trees = some.where("label <> top").withColumn("tag", F.explode(F.transform(upto("searches"), lambda j: (own("trees") * F.col("searches") + j) * 2)))
+    searches = some.withColumn("tag", F.explode(F.transform(upto("trees"), lambda i: (i * F.col("searches") + own("searches")) * 2 + 1)))
+    names = ["key", "tag", *rows.columns[1:]]
+    small = rows.join(told, "key", "left_anti").withColumn("tag", F.lit(0).cast("long"))
+    return _ordered(small.select(*names).unionAll(trees.select(*names)).unionAll(searches.select(*names)))
 
 
 def links(prints: DataFrame, radius: int, fields: int, count: int | None = None) -> DataFrame:
     """prints: (node, fp), one row a fingerprint. Returns (src, dst): links between nodes that join just what all links within
     the radius join."""
-    total = prints.count() if count is None else count
-    return _dealt(prints, [], ["fp"], shardings(radius, fields), total, partial(_shard_links, radius=radius))
+    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in shardings(radius, fields)]
+    # A shard's key is a hash of what its members agree on. Two shards with one hash would only be searched as one.
+    keys = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)))
+    rows = prints.select(F.explode(keys).alias("key"), "node", F.col("node").alias("label"), "fp")
+    large = _large(rows, (prints.count() if count is None else count) * len(masks))
+    work = partial(_shard_links, radius=radius)
+    first = _pieces(rows, large).mapInArrow(work, "src long, dst long")
+    if large is None:
+        return first
+    first = cut(first)
+    component = connected_components(first)
+    hot = rows.drop("label").join(checked(large, large.count()), "key", "left_semi")
+    labelled = hot.join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"), "fp")
+    return first.unionAll(_all_in(labelled, large).mapInArrow(work, "src long, dst long"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -357,10 +394,10 @@ def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
 
 def confirmed(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Of pairs (src, dst) of ids those whose shingle sets have the Jaccard similarity, exactly. texts: (doc_id, t)."""
-    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    sets = cut(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "t").mapInArrow(partial(_sets, width=width), "node long, shingles binary"))
-    first = pairs.join(sets.toDF("src", "a"), "src")
-    both = first.join(sets.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
+    wanted = cut(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct())
+    sets = cut(texts.join(checked(wanted, wanted.count()), "doc_id", "left_semi").select("doc_id", "t").mapInArrow(partial(_sets, width=width), "node long, shingles binary"))
+    a, b = sets.alias("a"), sets.alias("b")
+    both = pairs.join(a, F.col("src") == F.col("a.node")).join(b, F.col("dst") == F.col("b.node")).select("src", "dst", F.col("a.shingles").alias("x"), F.col("b.shingles").alias("y"))
     return both.mapInArrow(partial(_alike, similarity=similarity), "src long, dst long")
 
 
@@ -383,33 +420,50 @@ def bits_apart(similarity: float, bits: int, spread: float = 1.0) -> int:
     return int(bits * p + spread * math.sqrt(bits * p * (1 - p)))
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 14, fields: int = 12, words: int = 2, spread: float = 3.0) -> DataFrame:
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, words: int = 2, spread: float = 3.5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, component_id) of the documents that share a component with a smaller id. Rows with one id are one document; rows
     without an id or without words link to none. Every link is of the similarity or more."""
     names = _words(words)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).where("doc_id is not null")
-    prints = cut(texts.mapInArrow(partial(_set_prints, width=width, words=words), "doc_id long, digest binary, " + ", ".join(f"{w} long" for w in names)))
-    classes = cut(prints.groupBy("digest", *names).agg(F.min("doc_id").alias("node")))  # of equal sets
-    masks, bits = shardings(fields - 2, fields), bits_apart(similarity, 64 * words, spread)
-    now, joined, most = classes.withColumn("label", F.col("node")), [], PROPOSED
+    made = partial(_sketches, width=width, words=words, bands=bands, rows=rows)
+    sketches = cut(texts.mapInArrow(made, "doc_id long, digest binary, size long, keys array<long>, " + ", ".join(f"{w} long" for w in names)))
+    of_equal = F.min(F.struct("doc_id", "size", "keys", *names)).alias("s")
+    classes = cut(sketches.groupBy("digest").agg(of_equal).select("digest", F.col("s.doc_id").alias("node"), "s.size", "s.keys", *(f"s.{w}" for w in names)))
+    work = partial(_shard_candidates, radius=bits_apart(similarity, 64, spread), bits=bits_apart(similarity, 64 * words, spread), similarity=similarity)
+    now, most, whole = classes.withColumn("label", F.col("node")), PROPOSED, False
+    tested = joined = component = None
     while True:
-        work = partial(_shard_candidates, radius=radius, bits=bits, most=most)
-        found = cut(_dealt(now.select("node", "label", *names), ["label"], names, masks, now.count(), work))
-        new = cut(confirmed(texts, found.where("dst is not null and src <> dst").distinct(), width, similarity))
-        if not joined or not new.isEmpty():
-            joined.append(new)
-            component = connected_components(reduce(DataFrame.unionAll, joined))
-        left_out = cut(found.where("dst is null").select(F.col("src").alias("node")).distinct())
+        shards = now.select(F.explode("keys").alias("key"), "node", "label", "size", *names)
+        large = _large(shards, now.count() * bands)
+        whole = whole or large is None  # whether each two rows of a shard meet in this round
+        dealt = _all_in(shards, large) if whole else _pieces(shards, large)
+        found = cut(dealt.mapInArrow(partial(work, most=most), CANDIDATES))
+        pairs = found.where("dst is not null").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "apart", F.col("src").alias("by")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["src", "dst"], "left_anti")
+        nearest = F.row_number().over(Window.partitionBy("by").orderBy("apart", F.xxhash64("src", "dst"), "src", "dst"))
+        ranked = cut(pairs.withColumn("near", nearest <= most))  # a document has at most `most` candidates a shard
+        wanted = cut(ranked.where("near").select("src", "dst").distinct())
+        new = cut(confirmed(texts, wanted, width, similarity))
+        tested = wanted if tested is None else tested.unionAll(wanted)
+        progress = not new.isEmpty()
+        if joined is None or progress:
+            joined = new if joined is None else joined.unionAll(new)
+            component = connected_components(joined)
+        over = [found.where("dst is null").select(F.col("src").alias("node")), ranked.where("not near").select(F.explode(F.array("src", "dst")).alias("node"))]
+        if not whole:
+            over.append(shards.join(checked(large, large.count()), "key", "left_semi").select("node"))
+        left_out = cut(reduce(DataFrame.unionAll, over).distinct())
         if left_out.isEmpty():
             break
-        now = cut(classes.join(left_out, "node", "left_semi").join(component, "node", "left").select("node", F.coalesce("component", "node").alias("label"), *names))
-        most *= 64
+        whole = whole or not progress
+        now = cut(classes.join(left_out, "node", "left_semi").join(component, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "size", "keys", *names))
+        most *= MORE
     roots = classes.join(component, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    named = prints.join(roots, "digest").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    named = sketches.select("doc_id", "digest").join(roots, "digest").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return named.where("doc_id > component_id")
 
 
 def near_dedup_keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs with all their columns, of each component of near copies the one with the smallest id."""
-    gone = near_copies(docs, doc_id, text, **options).select(F.col("doc_id").alias("gone__"))
-    return docs.join(gone, docs[doc_id].cast("long") == gone["gone__"], "left_anti")
+    return without(docs, near_copies(docs, doc_id, text, **options).select("doc_id"), doc_id)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which the cluster names; a temporary one where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir, which the cluster names; a temporary one where it is unset and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="loomgrid-")
         spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext.getCheckpointDir():
@@ -24,6 +28,21 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Short rows (an id and a few numbers) of a written table that may be broadcast.
+BROADCAST = 500_000
+
+
+def checked(small: DataFrame, rows: int) -> DataFrame:
+    """A written table of so many short rows, marked to be broadcast only if they are few."""
+    return F.broadcast(small) if rows <= BROADCAST else small
+
+
+def without(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of df whose id is not in the one column of ids; few ids go to the rows, many meet them in a join. Null ids stay."""
+    gone = cut(ids.toDF("gone__").distinct())
+    return df.join(checked(gone, gone.count()), df[column].cast("long") == gone["gone__"], "left_anti")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the shared folder, so that what follows neither recomputes them nor fails with an executor."""
     shared_dir(df.sparkSession)

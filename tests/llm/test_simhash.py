@@ -72,7 +72,7 @@ def test_bk_tree_finds_all():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
     values = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 63, 30).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 30).astype(np.uint64)) for _ in range(40)]))
-    tree = simhash.BKTree(values, leaf=8)
+    tree = simhash.BKTree(values)
     found = {(int(a), int(b)) for v, q in tree.near(values, 4) for a, b in zip(v, q, strict=True)}
     assert found == {(i, j) for i in range(len(values)) for j in range(len(values)) if int(values[i] ^ values[j]).bit_count() <= 4}
 
@@ -146,3 +146,41 @@ def test_near_copies_are_of_the_similarity(spark):
     assert len(near) > 100 and sum(i in gone for i in near) >= 0.97 * len(near)
     assert all(gone.get(i) == 1000 for i in range(1001, 1120))
     assert not any(i >= 2000 for i in gone)
+
+
+def test_trees_are_built_for_every_shard():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = []  # (key, tag, node, label, fp): 20 shards of two to six
+    for key in range(20):
+        for _ in range(2 + key % 5):
+            rows.append((key, 0, len(rows), len(rows), int(rng.integers(0, 1 << 62))))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["key", "tag", "node", "label", "fp"])
+    before = simhash.BKTree.built, simhash.BKTree.walked
+    assert not list(simhash._shard_links(iter([batch]), 4))
+    assert simhash.BKTree.built - before[0] == 20
+    assert 20 <= simhash.BKTree.walked - before[1] <= len(rows)
+
+
+def test_walks_follow_only_edges_within_the_radius():
+    import numpy as np
+
+    values = np.random.default_rng(8).integers(0, 1 << 63, 2000, dtype=np.uint64)
+    before = simhash.BKTree.walked
+    list(simhash.BKTree(values).near(values[:1], 4))
+    assert simhash.BKTree.walked - before < 1000
+
+
+def test_a_crowd_in_pieces_is_one_component(spark, monkeypatch):
+    rng = random.Random(23)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(150):  # copies of one document with a change of their own, in shards far beyond SHARD
+        at = rng.randrange(300)
+        rows.append((k, " ".join(base[:at] + [f"x{k}"] + base[at + 1 :])))
+    rows += [(1000 + k, " ".join(f"y{k}-{n}" for n in range(100))) for k in range(50)]
+    monkeypatch.setattr(simhash, "SHARD", 16)
+    gone = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert gone == dict.fromkeys(range(1, 150), 0)
