@@ -5,10 +5,11 @@ counts every document, the target model those of a bounded sample of labelled ro
 hash) that have the wanted label. A document's log weight is the sum over its n-grams of log target - log raw. With
 Gumbel noise of a seeded hash of the id added, the k largest are what drawing k documents by weight without replacement
 gives. k is the number of documents whose log weight reaches `threshold`, by default the one that errs least on the
-sample's labels (zero without labels of both kinds); or it is given.
+sample's labels (zero without labels of both kinds); or it is given. Log weights are sums over whole texts, mostly far larger
+than the noise, which so decides only among documents near the border.
 
 Null and empty texts have log weight 0. Rows with a null id get the noise of no id. Rows with equal ids and texts have
-equal keys, and those that tie for the last place are all taken. An empty table gives no rows; no usable label gives log
+equal keys, and those that tie for the last place are all taken; an id's label is held against the mean of its rows' weights. An empty table gives no rows; no usable label gives log
 weight 0 for all. Other columns play no part.
 """
 
@@ -25,12 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.llm.text import trim
-from loomgrid.operators.shared import cut
+from loomgrid.operators.shared import cut, without
 
 BUCKETS = 10_000
 SAMPLE = 20_000
 SEED = 42
-REPEAT = 7  # every bigram of a word with itself counts as one and the same n-gram
 WORD = re.compile(r"\w+|[^\w\s]+")
 PART = 4_000_000  # characters of a long text taken at once
 GAP = re.compile(r"\s")
@@ -74,7 +74,6 @@ class Hasher:
     def _grams(self, part: list[int], last: int | None) -> np.ndarray:
         one = np.array(part if last is None else [last, *part], dtype=np.uint64)
         two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(17)
-        two[one[:-1] == one[1:]] = REPEAT
         single = one if last is None else one[1:]
         return np.concatenate([single, two]) % np.uint64(self.buckets)
 
@@ -152,7 +151,8 @@ def score(docs: DataFrame, labels: DataFrame, wanted, doc_id: str = "doc_id", te
     keyed = cut(weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))))
     if k is None:
         if threshold is None:
-            pairs = keyed.join(F.broadcast(told), F.col("doc_id") == F.col("label_id")).select("log_weight", "good").limit(4 * sample).collect()
+            labelled = keyed.join(F.broadcast(told), F.col("doc_id") == F.col("label_id")).groupBy("label_id")
+            pairs = labelled.agg(F.avg("log_weight").alias("log_weight"), F.first("good").alias("good")).collect()  # a row a label of the sample
             threshold = best_threshold([(r["log_weight"], r["good"]) for r in pairs])
         k = keyed.where(F.col("log_weight") >= threshold).count()
     least = kth_largest(keyed, "gumbel_key", k)
@@ -185,5 +185,4 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float | None:
 
 def keep(docs: DataFrame, labels: DataFrame, wanted, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The selected rows of docs with all their columns; rows without an id stay."""
-    gone = score(docs, labels, wanted, doc_id, text, **options).where("not selected").select(F.col("doc_id").alias("gone__")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == gone["gone__"], "left_anti")
+    return without(docs, score(docs, labels, wanted, doc_id, text, **options).where("not selected").select("doc_id"), doc_id)
