@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 #: Elements that begin and end a block. Fixed values, after the HTML standard's list of block-level elements.
@@ -38,13 +39,31 @@ PARTS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
 
+class Element:
+    """An element that text stands in: its tag, the words of its class, id and role, and its parent. Children of one element with
+    one tag and the same words are one, so that what is computed of an element can be kept with it, in memo."""
+
+    __slots__ = ("below", "memo", "parent", "tag", "words")
+
+    def __init__(self, parent: Element | None, tag: str, words: frozenset):
+        self.parent, self.tag, self.words = parent, tag, words
+        self.below: dict[tuple[str, frozenset], Element] = {}
+        self.memo = None
+
+    def child(self, tag: str, words: frozenset) -> Element:
+        key = (tag, words)
+        if (found := self.below.get(key)) is None:
+            found = self.below[key] = Element(self, tag, words)
+        return found
+
+
 class Block:
-    """text: unescaped, white space squeezed and trimmed. path: (tag, attribute words) from the root. linked: its signs inside links."""
+    """text: unescaped, white space squeezed and trimmed. inside: the element it begins in. linked: its signs inside links."""
 
-    __slots__ = ("linked", "path", "text")
+    __slots__ = ("inside", "linked", "text")
 
-    def __init__(self, text: str, path: tuple, linked: int):
-        self.text, self.path, self.linked = text, path, linked
+    def __init__(self, text: str, inside: Element, linked: int):
+        self.text, self.inside, self.linked = text, inside, linked
 
 
 def _attributes(raw: str) -> tuple[frozenset, bool]:
@@ -65,37 +84,44 @@ def _attributes(raw: str) -> tuple[frozenset, bool]:
 
 
 def blocks(html: str) -> list[Block]:
-    """Blocks with text, in page order."""
+    """Blocks with text, in page order. The time is linear in the page, however deep it is nested."""
     found: list[Block] = []
-    stack: list[tuple[str, frozenset, bool]] = []  # tag, words, hidden
+    root = Element(None, "", frozenset())
+    stack: list[tuple[Element, bool]] = []  # element, hidden
+    marks: list[int] = []  # places in the stack of what can be closed by a start tag or shields from it
+    opened: Counter[str] = Counter()  # open elements by tag
     pieces: list[str] = []
     linked = hidden = links = 0
-    path: tuple | None = None  # of the block elements that the text stands in
+    inside: Element | None = None  # where the text begins
 
     def end_block() -> None:
-        nonlocal linked, path
+        nonlocal linked, inside
         if pieces:
             text = SPACE.sub(" ", unescape("".join(pieces))).strip()
             if text:
-                found.append(Block(text, path or (), linked))
+                found.append(Block(text, inside or root, linked))
             pieces.clear()
-        linked, path = 0, None
+        linked, inside = 0, None
 
     def text_piece(raw: str) -> None:
-        nonlocal linked, path
+        nonlocal linked, inside
         if hidden or not raw:
             return
-        if path is None:
+        if inside is None:
             if raw.isspace():
                 return
-            path = tuple((t, w) for t, w, _ in stack)
+            inside = stack[-1][0] if stack else root
         pieces.append(raw)
         if links:
             linked += len(raw.strip())
 
     def pop() -> None:
         nonlocal hidden, links
-        tag, _, is_hidden = stack.pop()
+        element, is_hidden = stack.pop()
+        tag = element.tag
+        opened[tag] -= 1
+        if marks and marks[-1] == len(stack):
+            marks.pop()
         hidden -= is_hidden
         links -= tag == "a"
         if tag in BLOCKS:
@@ -118,26 +144,26 @@ def blocks(html: str) -> list[Block]:
         tag = tag.lower()
         if m[1]:
             if tag == "br":
-                text_piece(" ") if path is not None else None
-            elif any(t == tag for t, _, _ in stack):
-                while stack[-1][0] != tag:
+                text_piece(" ") if inside is not None else None
+            elif opened[tag]:
+                while stack[-1][0].tag != tag:
                     pop()
                 pop()
             elif tag in BLOCKS:
                 end_block()
             continue
         if tag == "br":
-            if path is not None:
+            if inside is not None:
                 pieces.append(" ")
             continue
         if tag in BLOCKS:
-            for k in range(len(stack) - 1, -1, -1):
-                t = stack[k][0]
+            for k in reversed(marks):
+                t = stack[k][0].tag
                 if tag in CLOSED_BY.get(t, ()):
                     while len(stack) > k:
                         pop()
                     break
-                if t in SCOPES and t != "p":
+                if t in SCOPES:
                     break
             end_block()
         if tag in VOID:
@@ -152,7 +178,10 @@ def blocks(html: str) -> list[Block]:
             continue
         if m[3].endswith("/") and tag in ("svg", "path"):
             continue
-        stack.append((tag, words, is_hidden))
+        if tag in SCOPES or tag in CLOSED_BY:
+            marks.append(len(stack))
+        stack.append(((stack[-1][0] if stack else root).child(tag, words), is_hidden))
+        opened[tag] += 1
         hidden += is_hidden
         links += tag == "a"
     end_block()

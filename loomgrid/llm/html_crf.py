@@ -1,16 +1,18 @@
 """HTML extraction: a linear-chain conditional random field over a page's leaf blocks, decoded by Viterbi.
 
-A block's features are the tags and the class and id words of its ancestors, and forms of its text: length, share of
-linked signs, closing mark, capital letters, copyright signs, its place in the page. The weights are fitted here on labelled pages
-(labelled_pages.page for PAGES seeds) by the conditional likelihood, and sent to the tasks; their number is fixed by the
+A block's features are the tags and the class and id words of its ancestors, and forms of its text: length, share of linked
+signs, closing mark, capital letters, copyright signs, whether it is the last. The weights are fitted by the conditional
+likelihood on labelled pages of many layouts (labelled_pages.page for PAGES seeds). `python -m loomgrid.llm.html_crf` fits them
+and writes them to WEIGHTS beside this file, from where they are read and sent to the tasks; their number is fixed by the
 feature buckets.
 
-Null and empty pages, and pages without article text, have the empty text. Whole pages are read, however long; every row
-gives one row, repeated rows and null ids too; other columns play no part.
+Null and empty pages, and pages without article text, have the empty text. Whole pages are read, however long and however
+deep they are nested; every row gives one row, repeated rows and null ids too; other columns play no part.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -20,30 +22,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.dom import Block, blocks
-from loomgrid.llm.labelled_pages import page
+from loomgrid.llm.dom import Block, Element, blocks
+from loomgrid.llm.labelled_pages import LAYOUTS, page
 
 BUCKETS = 1 << 13
-PAGES = 700
-ROUNDS = 120
+STIFF = 1_000  # times that steps from label to label are held back more than features, so that a lone block between others can stand
+NAMES = 1 << 11  # words of ancestors that are told apart, so that no block has more features of them, however deep it stands
+PAGES = 720
+ROUNDS = 200
 OTHER, ARTICLE = 0, 1
+WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "html_crf.npz")
 
 
 def _bucket(name: str) -> int:
     return zlib.crc32(name.encode()) % BUCKETS
 
 
-@lru_cache(maxsize=50_000)
-def _of_path(path: tuple) -> tuple[int, ...]:
-    """Features of the ancestors; the same path comes again and again."""
-    names = ["bias", f"own={path[-1][0] if path else '-'}", f"parents={'/'.join(t for t, _ in path[-2:])}"]
-    tags = {t for t, _ in path}
-    words = {w for _, ws in path for w in ws}
-    names += [f"in={t}" for t in tags] + [f"word={w}" for w in words]
-    names += [f"{'no ' * (t not in tags)}{t}" for t in ("article", "main", "nav", "aside", "footer", "header", "form")]
-    if path:
-        names += [f"own word={w}" for w in path[-1][1]]
-    return tuple(_bucket(n) for n in sorted(set(names)))
+SIGNS = ("article", "main", "nav", "aside", "footer", "header", "form", "table")
+_SIGN = {t: (_bucket(f"in={t}"), _bucket(f"no {t}")) for t in SIGNS}
+
+
+@lru_cache(maxsize=100_000)
+def _named(kind: str, name: str) -> int:
+    return _bucket(f"{kind}={zlib.crc32(name.encode()) % NAMES if kind == 'word' else name}")
+
+
+def _told(element: Element) -> tuple[frozenset, tuple[int, ...], frozenset]:
+    """The buckets that an element and those around it are told by, for the elements inside it, and all features of its path."""
+    chain = []
+    while element.memo is None:
+        chain.append(element)
+        if element.parent is None:
+            break
+        element = element.parent
+    for element in reversed(chain):
+        tags: frozenset = frozenset()
+        around: frozenset = frozenset()
+        if element.parent is not None:
+            above, tags = element.parent.memo[0], element.parent.memo[2]
+            own = {_named("in", element.tag), *(_named("word", w) for w in element.words)}
+            around = above if own <= above else above | own  # at most as many as there are buckets
+            tags = tags if element.tag in tags or element.tag not in _SIGN else tags | {element.tag}
+        told = {_named("own word", w) for w in element.words}
+        told.add(_named("own", element.tag or "-"))
+        told.add(_named("parents", f"{element.parent.tag if element.parent else ''}/{element.tag}"))
+        told |= {no if t not in tags else _named(t, element.tag) for t, (_, no) in _SIGN.items()}
+        element.memo = (around, (_BIAS, *sorted(around | told)), tags)
+    return element.memo
+
+
+_BIAS = _bucket("bias")
 
 
 def _step(n: float, steps: tuple) -> int:
@@ -58,8 +86,8 @@ def _of_form(form: tuple) -> tuple[int, ...]:
 def features(block: Block, at: int, n: int) -> tuple[int, ...]:
     text = block.text
     size = len(text)
-    form = (_step(size, (6, 15, 30, 60, 120, 250, 600)), _step(block.linked / size, (0.05, 0.3, 0.6, 0.9)), text[-1] if text[-1] in ".!?…:,;|" else "-", text[0].isupper(), "©" in text[:40], _step(at / n, (0.1, 0.3, 0.7, 0.9)), at == n - 1)
-    return _of_path(block.path) + _of_form(form)
+    form = (_step(size, (6, 15, 30, 60, 120, 250, 600)), _step(block.linked / size, (0.05, 0.3, 0.6, 0.9)), text[-1] if text[-1] in ".!?…:,;|" else "-", text[0].isupper(), "©" in text[:40], 0 < at == n - 1)
+    return _told(block.inside)[1] + _of_form(form)
 
 
 class Crf:
@@ -100,8 +128,22 @@ def _sum(a: np.ndarray, axis: int) -> np.ndarray:
     return (most + np.log(np.exp(a - most).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(pages: list[tuple[list[tuple[int, ...]], list[int]]], rounds: int = ROUNDS, decay: float = 1e-3, rate: float = 0.15) -> Crf:
-    """Maximises the conditional log likelihood by adaptive gradient steps; all pages at once, padded to the longest."""
+class Momentum:
+    """Running means of a slope and of its square."""
+
+    def __init__(self, like: np.ndarray):
+        self.mean, self.square, self.n = np.zeros_like(like), np.zeros_like(like), 0
+
+    def step(self, slope: np.ndarray) -> np.ndarray:
+        self.n += 1
+        self.mean += 0.1 * (slope - self.mean)
+        self.square += 0.01 * (slope**2 - self.square)
+        return self.mean / (1 - 0.9**self.n) / (np.sqrt(self.square / (1 - 0.99**self.n)) + 1e-9)
+
+
+def train(pages: list[tuple[list[tuple[int, ...]], list[int]]], rounds: int = ROUNDS, decay: float = 1e-4, rate: float = 0.1) -> Crf:
+    """Maximises the conditional log likelihood by steps along the mean slope, scaled by its spread, that grow smaller to the
+    end; all pages at once, padded to the longest."""
     pages = [p for p in pages if p[0]]
     state, move = np.zeros((BUCKETS, 2)), np.zeros((2, 2))
     if not pages:
@@ -119,8 +161,8 @@ def train(pages: list[tuple[list[tuple[int, ...]], list[int]]], rounds: int = RO
     owner = np.repeat(np.arange(len(sizes)), sizes)
     told = np.eye(2)[gold]
     moved = np.einsum("nti,ntj->ij", told[:, :-1] * mask[:, 1:, None], told[:, 1:] * mask[:, 1:, None])
-    seen_s, seen_m = np.full_like(state, 1e-8), np.full_like(move, 1e-8)
-    for _ in range(rounds):
+    steps = [(state, Momentum(state)), (move, Momentum(move))]
+    for n_round in range(rounds):
         scores = np.zeros((n * t, 2))
         scores[spots] = np.add.reduceat(state[flat], starts, axis=0)
         scores = scores.reshape(n, t, 2)
@@ -138,19 +180,16 @@ def train(pages: list[tuple[list[tuple[int, ...]], list[int]]], rounds: int = RO
             pairs += (p * mask[:, k + 1, None, None]).sum(axis=0)
         expected = np.exp(forward + behind - whole[:, None, None])
         error = (told - expected).reshape(n * t, 2)[spots]
-        slope = -decay * n * state / 10
+        slope = -decay * n * state
         np.add.at(slope, flat, error[owner])
-        slope_m = moved - pairs - decay * n * move / 10
-        seen_s += slope**2
-        seen_m += slope_m**2
-        state += rate * slope / np.sqrt(seen_s) * 3
-        move += rate * slope_m / np.sqrt(seen_m)
+        for (weights, momentum), up in zip(steps, (slope, moved - pairs - STIFF * decay * n * move), strict=True):
+            weights += rate * (1 - n_round / rounds) * momentum.step(up)
     return Crf(state, move)
 
 
-def labelled(seed: int) -> tuple[list[tuple[int, ...]], list[int]]:
+def labelled(seed: int, layouts=LAYOUTS) -> tuple[list[tuple[int, ...]], list[int]]:
     """Features and labels of a made page; the blocks found are matched with the made ones in order."""
-    html, told = page(seed)
+    html, told = page(seed, layouts)
     found = blocks(html)
     labels, at = [], 0
     for b in found:
@@ -163,9 +202,16 @@ def labelled(seed: int) -> tuple[list[tuple[int, ...]], list[int]]:
     return [features(b, k, len(found)) for k, b in enumerate(found)], labels
 
 
-@lru_cache(maxsize=2)
-def trained(pages: int = PAGES) -> Crf:
-    return train([labelled(seed) for seed in range(pages)])
+def fitted(pages: int = PAGES, layouts=LAYOUTS) -> Crf:
+    """The recipe: pages of all layouts in turn."""
+    return train([labelled(seed, layouts) for seed in range(pages)])
+
+
+@lru_cache(maxsize=1)
+def trained() -> Crf:
+    """The fitted weights that lie beside this file."""
+    with np.load(WEIGHTS) as told:
+        return Crf(told["state"].astype(np.float64), told["move"].astype(np.float64))
 
 
 def main_text(html: str, crf: Crf) -> str:
@@ -187,3 +233,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     sent = pages.sparkSession.sparkContext.broadcast((crf.state.astype(np.float32), crf.move))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     return rows.mapInArrow(partial(_extract, crf=sent), "page_id long, url string, text string")
+
+
+if __name__ == "__main__":
+    made = fitted()
+    np.savez_compressed(WEIGHTS, state=made.state.astype(np.float32), move=made.move)

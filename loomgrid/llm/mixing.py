@@ -13,7 +13,8 @@ ends in are put in order, so a leaf with a third of all rows is never in one tas
 Null in a level is a value of its own. A weight is looked up by the path of values, then by the value under any parent
 (a path of None and the value), else it is 1; a negative one raises ValueError. Null and empty texts count no tokens and
 are taken as long as their place in the order lies before the cut. Repeated rows count each. An empty table or a zero
-budget gives no rows. Columns of docs may have any names.
+budget gives no rows. Columns of docs may have any names: where one is called like a column that is added (epoch__, tokens__,
+budget__), the added one gets a further _.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 12  # bits of the hash that number a leaf's ranges
-MOST_LEAVES = 1_000_000
+MOST_LEAVES = 100_000
 SEED = 42
 
 
@@ -87,17 +88,24 @@ def budgets(supply: Mapping[tuple, int], weights: Mapping[tuple, float], budget:
     return out
 
 
+def unused(name: str, names: list[str]) -> str:
+    """The name, with as many further _ as it takes to be none of the names in any case."""
+    known = {n.lower() for n in names}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple, float], budget: float | None = None, share_of_supply: float = 0.9, epochs: int = 1, doc_id: str = "doc_id", tokens: Column | None = None, seed: int = SEED, most_leaves: int = MOST_LEAVES) -> DataFrame:
     """The chosen rows of docs, with epoch__, tokens__ and a column of the leaf's budget budget__ behind their own columns.
 
     levels: name and value of each level, from the root down. budget: tokens; without it, share_of_supply of all tokens."""
     names = docs.columns
-    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
     back = {n: f"c{k}" for k, n in enumerate(names)}
 
     # the levels and tokens are expressions over the columns of docs, so they are formed before the renaming
     formed = docs.select("*", *(v.cast("string").alias(f"level{k}__") for k, v in enumerate(levels.values())), (words() if tokens is None else tokens).alias("tokens__"))
-    plain = formed.toDF(*plain.columns, *(f"level{k}" for k in range(len(levels))), "tokens")
+    plain = formed.toDF(*back.values(), *(f"level{k}" for k in range(len(levels))), "tokens")
     keys = [f"level{k}" for k in range(len(levels))]
 
     total = {tuple(r[k] for k in keys): r["tokens"] for r in plain.groupBy(*keys).agg(F.sum("tokens").alias("tokens")).limit(most_leaves + 1).collect()}
@@ -128,5 +136,5 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple, f
         placed.where(early & (F.col("rest") > 0)).withColumn("epoch", F.col("whole")),
         edge.where(F.col("upto") <= F.col("rest")).withColumn("epoch", F.col("whole")),
     ]
-    parts = [p.select(*shown).toDF(*names, "epoch__", "tokens__", "budget__") for p in parts]
+    parts = [p.select(*shown).toDF(*names, *(unused(n, names) for n in ("epoch__", "tokens__", "budget__"))) for p in parts]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])

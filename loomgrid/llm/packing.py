@@ -1,11 +1,11 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
-Every document becomes its ids and a closing id. Whole windows are cut off its front and fill sequences of their own.
-The rests, cut into pieces of at most `piece` ids, are gathered within each task into groups of `group` pieces. A group
-is dealt to ceil(ids / capacity) windows: each piece begins as a partial partition of its own, and the two partial
-partitions with the largest imbalances are merged again and again, the fullest window of one with the emptiest of the
-other. If the fullest window then exceeds the capacity, the group gets one window more and is dealt anew. Nothing is
-shuffled; a task holds one group and one batch of documents.
+Every document becomes its ids and a closing id, cut into as many whole windows as it holds, so that a long document keeps its
+order, and a rest in pieces of at most `piece` ids. All pieces are gathered within each task into groups of `group`. A group is
+dealt to ceil(ids / capacity) windows: each piece begins as a partial partition of its own, and the two partial partitions
+with the largest imbalances are merged again and again, the fullest window of one with the emptiest of the other. If the
+fullest window then exceeds the capacity, the group gets one window more and is dealt anew. Nothing is shuffled; a task holds
+one group and one batch of documents.
 
 Sequences of a power of two ids need no padding; all others count as padded to the capacity. sequence_id is unique: the
 task's partition in the upper bits, a counter in the lower 32. Over the same input splits the result is the same again.
@@ -95,22 +95,22 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, piece: in
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     def close_group() -> None:
-        for window in deal([len(p[2]) for p in waiting], capacity):
-            emit([waiting[n] for n in window])
-        waiting.clear()
+        pieces = waiting[:group]
+        for window in deal([len(p[2]) for p in pieces], capacity):
+            emit([pieces[n] for n in window])
+        del waiting[:group]
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             ids = np.concatenate([encode(encoding, text.as_py() or ""), end])
             whole = len(ids) // capacity * capacity
-            for start in range(0, whole, capacity):
-                emit([(doc, start, ids[start : start + capacity], len(ids))])
+            waiting += [(doc, start, ids[start : start + capacity].copy(), len(ids)) for start in range(0, whole, capacity)]
             rest = len(ids) - whole
             parts = -(-rest // piece)
             for n in range(parts):
                 s, e = whole + rest * n // parts, whole + rest * (n + 1) // parts
                 waiting.append((doc, s, ids[s:e].copy(), len(ids)))
-            if len(waiting) >= group:
+            while len(waiting) >= group:
                 close_group()
             if held >= 1 << 20:
                 yield out()

@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by a permutation index.
 
 Pivots come from a bounded sample of vectors, each away from those before it, so that a crowd of almost equal vectors gives
-one. Every vector is represented by its `prefix` nearest pivots in order, and is
-posted, with its place in that order, in the inverted file of each of them. A query walks the files of its own pivots,
-which gives every vector's footrule distance between the two orders (a pivot missing from an order counts as last). The
-`share` of each index shard with the smallest footrule, `least` at least, is ranked anew by the exact distance; then half
-of `least` more, for as long as that still brings something nearer, so a crowd of almost equal vectors is ranked whole.
+one. Every vector is represented by its `prefix` nearest pivots in order, and is posted, with its place in that order, in the
+inverted file of each of them. A query walks the files of its own pivots, which gives the footrule distance between the two
+orders for every vector that shares a pivot (a pivot missing from an order counts as last). The `share` of a shard with the
+smallest footrule, `least` at least, is ranked anew by the exact distance; then as many more as `least`, in order of footrule,
+for as long as that still brings something nearer, so a crowd of almost equal vectors is ranked whole.
 
 Equal vectors are one entry that carries its smallest ids, `top` + 1 of them, which is all that an answer can hold; a
-vector with any number of copies costs one entry. Entries are dealt to shards of about `shard` by a hash, queries to
-blocks of `block`; each block meets each shard in one task, and a pair gives at most `top` rows a query.
+vector with any number of copies costs one entry. Entries are dealt to shards of about `shard` by a hash. A shard is posted
+once, in one task, which then reads the queries batch by batch; nothing grows with the number of queries but time, and a
+shard gives at most `top` rows a query.
 
 Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no part, nor
 do rows with a null id. A repeated row counts once. Ties go to the smaller id. An empty table gives no rows. Other
@@ -18,6 +19,7 @@ columns play no part.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgrid.llm.text import trim
+
 PIVOTS, PREFIX = 256, 128
 SAMPLED = 8  # vectors looked at for each pivot
 APART = 0.5  # least distance of two pivots, in median distances of the sample
-SHARE, LEAST = 0.10, 1_000
-SHARD, BLOCK = 16_384, 4_096
+SHARE, LEAST = 0.05, 40
+SHARD = 16_384
 
 ANSWER = "query_id long, vec_id long, score double"
 
@@ -69,46 +73,68 @@ def _distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.sqrt(((vectors - query) ** 2).sum(axis=1))
 
 
-def search(index_rows: pa.Table, query_rows: pa.Table, pivots, prefix: int, share: float, least: int, top: int) -> pa.Table:
-    """One block of queries against one shard: the `top` nearest of each, after reranking the candidates."""
-    none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-    if not index_rows.num_rows or not query_rows.num_rows:
-        return none
-    pivots = np.asarray(pivots.value)
-
-    def matrix(table: pa.Table) -> np.ndarray:
-        return table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
-
-    ids = index_rows.column("ids").combine_chunks()
-    bounds, members = ids.offsets.to_numpy(), ids.values.to_numpy()
-    by_id = np.argsort(members[bounds[:-1]], kind="stable")
-    index = PermutationIndex(matrix(index_rows)[by_id], pivots, prefix)
-    low, high = bounds[:-1][by_id], bounds[1:][by_id]
-    queries = matrix(query_rows)
-    orders = index.permutations(queries)
-    wanted = min(len(low), max(least, int(np.ceil(share * len(low)))))
-    more_at_once = max(1, least // 2)
-    out_q, out_v, out_s = [], [], []
-    for q, own in enumerate(query_rows.column("vec_id").to_pylist()):
-        near = np.arange(len(low)) if wanted >= len(low) else np.argsort(index.footrule(orders[q]), kind="stable")
-        at, far = wanted, _distances(index.vectors[near[:wanted]], queries[q])
+class Shard:
+    """The entries of one shard: their ids and the index of their vectors. ids and embedding: one array a batch."""
+
+    reranked = searched = 0  # entries compared exactly, and entries there were, over all queries of this process; for tests
+
+    def __init__(self, ids: list[pa.Array], embedding: list[pa.Array], pivots: np.ndarray, prefix: int):
+        members = pa.concat_arrays(ids)
+        bounds, self.members = members.offsets.to_numpy(), members.flatten().to_numpy()
+        bounds = bounds - bounds[0]
+        by_id = np.argsort(self.members[bounds[:-1]], kind="stable")
+        self.low, self.high = bounds[:-1][by_id], bounds[1:][by_id]
+        self.index = PermutationIndex(_matrix(pa.concat_arrays(embedding))[by_id], pivots, prefix)
+
+    def nearest(self, own: int, query: np.ndarray, order: np.ndarray, share: float, least: int, top: int) -> list[tuple[float, int]]:
+        """(distance, id) of the `top` nearest found, without the query's own id."""
+        near = np.argsort(self.index.footrule(order), kind="stable")
+        at = min(len(near), max(least, int(np.ceil(share * len(near)))))
+        far = _distances(self.index.vectors[near[:at]], query)
         while at < len(near):
             cut = np.partition(far, top)[top] if len(far) > top else np.inf
-            more = _distances(index.vectors[near[at : at + more_at_once]], queries[q])
+            more = _distances(self.index.vectors[near[at : at + least]], query)
             far, at = np.append(far, more), at + len(more)
             if not (more < cut).any():
                 break
+        Shard.reranked += at
+        Shard.searched += len(near)
         near = near[:at]
         if len(far) > top + 1:
             cut = np.partition(far, top)[top]
             near, far = near[far <= cut], far[far <= cut]
-        found = [(d, int(v)) for d, n in zip(far.tolist(), near, strict=True) for v in members[low[n] : high[n]] if v != own]
-        found.sort()
-        for d, v in found[:top]:
-            out_q.append(own)
-            out_v.append(v)
-            out_s.append(d)
-    return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
+        return sorted((d, int(v)) for d, n in zip(far.tolist(), near, strict=True) for v in self.members[self.low[n] : self.high[n]] if v != own)[:top]
+
+
+def _matrix(embedding: pa.Array) -> np.ndarray:
+    return embedding.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(embedding), -1)
+
+
+def _search(batches: Iterator[pa.RecordBatch], pivots, prefix: int, share: float, least: int, top: int) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, asks, ids, embedding) sorted by shard and asks: a shard's entries, then the queries that it is searched for."""
+    table = np.asarray(pivots.value)
+    now, held, shard = None, [], None
+    for batch in batches:
+        key, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+        bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(key)]
+        for s, e in zip(bounds, bounds[1:], strict=False):
+            if s == e:
+                continue
+            if key[s] != now:
+                now, held, shard = key[s], [], None
+            part = batch.slice(s, e - s)
+            if not asks[s]:
+                held.append(part)
+                continue
+            if shard is None:
+                if not held:
+                    continue
+                shard, held = Shard([h.column(2) for h in held], [h.column(3) for h in held], table, prefix), []
+            queries, own = _matrix(part.column(3)), part.column(2).flatten().to_pylist()
+            found = [(q, v, d) for q, query, order in zip(own, queries, shard.index.permutations(queries), strict=True) for d, v in shard.nearest(q, query, order, share, least, top)]
+            columns = list(zip(*found, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+    trim()
 
 
 def spread_pivots(sample: np.ndarray, pivots: int, apart: float = APART) -> np.ndarray:
@@ -134,7 +160,7 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str = "embedding", top: int = 10, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str = "embedding", top: int = 10, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score of the `top` nearest found for every vector that is_query (a condition on vec_id) holds for."""
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, embedding)
@@ -150,10 +176,9 @@ def nearest(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str
     first = rows.withColumn("place", F.dense_rank().over(each)).where(F.col("place") <= top + 1)  # Spark drops the rest before the shuffle
     entries = first.groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     queries = rows.where(is_query).dropDuplicates(["vec_id", "embedding"])
-    blocks = max(1, -(-queries.count() // block))
-    index = entries.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    work = partial(search, pivots=told, prefix=prefix, share=share, least=least, top=top)
-    found = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(lambda left, right: work(left, right), ANSWER)
+    index = entries.select(F.pmod(F.xxhash64("embedding"), F.lit(shards)).alias("shard"), F.lit(False).alias("asks"), "ids", "embedding")
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("asks"), F.array("vec_id").alias("ids"), "embedding")
+    dealt = index.unionAll(asked).repartition(2 * shards, "shard").sortWithinPartitions("shard", "asks")
+    found = dealt.mapInArrow(partial(_search, pivots=told, prefix=prefix, share=share, least=least, top=top), ANSWER)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

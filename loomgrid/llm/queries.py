@@ -80,7 +80,7 @@ def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_dir(spark, "warc")
     write_archives(_read(spark, sf_dir, "pages"), folder)
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return read_archives(spark, folder, columns).where(F.col("record_type").isin("response", "revisit"))
+    return read_archives(spark, folder, columns, verify="true").where(F.col("record_type").isin("response", "revisit"))
 
 
 OP6_SQL = """

@@ -1,8 +1,8 @@
 """Secret scans: patterns of common secrets, and a token-efficiency test for random strings that no pattern names.
 
 A vocabulary learnt from ordinary text spells ordinary text with few tokens. A candidate string whose characters per
-token fall below `ratio` is random, unless it is a known kind of digest (hexadecimal of a digest's length), a UUID, a
-number, a date, or an identifier (words joined by - _ . / or camel case) whose runs of letters are spelt with few tokens.
+token fall below `ratio` is random, unless it is a known kind of digest (capital hexadecimal of a digest's length, or base64 of
+one behind the digest's name; small hexadecimal is a base span already), a UUID, a number, a date, or an identifier (words joined by - _ . / or camel case) whose runs of letters are spelt with few tokens.
 Candidates are split at = / : and . before they are scored; of what a pattern has found only the rest is scored.
 
 Null and empty texts have no spans. Whole texts are scanned, however long; every row gives one row, repeated rows and
@@ -34,8 +34,10 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{16,}")  # a maximal run of 16 or more: what [0-9a-f]+ matches, but for the shorter ones
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=@-])[A-Za-z0-9+/_.=-]{16,}(?![A-Za-z0-9+/_.=@-])")
-#: Lengths in hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
-DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
+#: Bytes of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
+DIGEST_BYTES = (16, 20, 28, 32, 48, 64)
+DIGEST_NAME = re.compile(r"(?:md5|sha-?(?:1|224|256|384|512))[-:=]$", re.I)
+NAMED_DIGEST = re.compile(r"(?:md5|sha(?:1|224|256|384|512))-([A-Za-z0-9+/]+={0,2})", re.I)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 NUMBERS = re.compile(r"[0-9.,:/+_=-]+[TZ]?[0-9.,:/+_=-]*Z?")
 #: Parts that are words or numbers: letters in one case or capitalised, digits, or a word with a number after it.
@@ -46,9 +48,16 @@ RUNS = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 LEAST, WORD = 16, 6
 
 
+def digest_sized(text: str) -> bool:
+    """Whether base64 of this length is a digest's, with or without the filling."""
+    return len(text.rstrip("=")) in [-(-8 * n // 6) for n in DIGEST_BYTES]
+
+
 def known(text: str) -> bool:
     """Whether a candidate is a digest, a UUID or a number, whatever its score."""
-    if len(text) in DIGEST_LENGTHS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", text):
+    if len(text) in [2 * n for n in DIGEST_BYTES] and re.fullmatch("[0-9A-F]+", text):
+        return True
+    if (named := NAMED_DIGEST.fullmatch(text)) and digest_sized(named[1]):
         return True
     return any(p.fullmatch(text) for p in (UUID, NUMBERS))
 
@@ -103,6 +112,8 @@ def spans(text: str, encoding, ratio: float) -> list[tuple[int, int, int]]:
     found += [(2, m.start(), m.end()) for m in HEX.finditer(text)]
     base = sorted((s, e) for _, s, e in found)
     for m in CANDIDATE.finditer(text):
+        if known(m[0]) or (digest_sized(m[0]) and DIGEST_NAME.search(text, max(0, m.start() - 8), m.start())):
+            continue
         at, pieces = m.start(), []
         for s, e in base:
             if s < m.end() and e > at:

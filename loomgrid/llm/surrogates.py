@@ -6,12 +6,18 @@ it lands in the format), so different entities of one format differ by construct
 document. Check digits, country codes, private address ranges and the script, gender and letter case of names stay. The
 surrogate is written in the format of each mention.
 
-Collisions can still occur: between formats, with a value that occurs in the corpus itself, or among names made by rule.
-The distinct entities are gathered once; of those that share a surrogate all but the smallest, and those whose surrogate
-occurs as an entity, are permuted anew with the next tweak until none is left. (Given names are drawn from lists that
-occur in any corpus, so names are only checked against each other; each tweak makes a name by rule one syllable longer, so
-there is room for any number.) What got another tweak than the first is looked up: in a broadcast
-if there are at most `exceptions` such entities, by a join with the documents that hold them beyond that.
+Persons are found by titles, phrases, labels, greetings, closings and given names, and by the parts of a mail address in
+the text. A word of a name that was found counts wherever it stands in the document, so later bare mentions get the same
+surrogate. The gender of a given name isn't part of the entity: it is what most documents tell (by its title or the list of
+given names), and neutral if they disagree evenly.
+
+Collisions: the distinct entities are gathered once. Of those that share a surrogate all but the smallest, and those whose
+surrogate occurs as an entity, are drawn anew with the next tweak; each tweak gives made names a syllable more and, from the
+third on, mail addresses a letter more, so that there is room for any number. The other formats have an end: an entity that
+is not settled after TWEAKS tweaks, because its format is all but full, takes the value of the next such entity of its
+format in a keyed order, so that surrogates still differ from each other and from what they replace. What differs from what
+a task draws by itself is looked up: in a broadcast if there are at most `exceptions` such entities, by a join with the
+documents that hold them beyond that.
 
 Null texts stay null and have no entities; whole texts are scanned, however long; every row gives one row, repeated rows
 and null ids too; other columns are dropped and may have any names. Without the key the replacements can't be undone.
@@ -21,11 +27,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from functools import lru_cache, partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.llm.text import trim
@@ -33,7 +39,7 @@ from loomgrid.operators.shared import cut
 
 KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "name")
 EXCEPTIONS = 100_000
-TWEAKS = 25
+TWEAKS = 8
 
 # ---- detection
 
@@ -46,42 +52,51 @@ SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4})(?![\w-]|\.\d)")
 NUMBER = re.compile(r"\d")
 
-#: Titles that name a person, by gender (f, m, n for neither).
+#: Titles and greetings that name a person, by gender (f, m, n for neither).
 TITLES = {
-    "m": ("Mr", "Mister", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"),
-    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Sra", "Señorita", "Госпожа", "Κυρία"),
-    "n": ("Dr", "Prof", "Professor", "Доктор"),
+    "m": ("Mr", "Mister", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Sir", "Lord", "Господин", "Κύριος"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Sra", "Señorita", "Lady", "Госпожа", "Κυρία"),
+    "n": ("Dr", "Prof", "Professor", "Judge", "Captain", "Доктор"),
 }
+GREETINGS = {"m": ("Lieber", "Querido", "Cher", "Дорогой"), "f": ("Liebe", "Querida", "Chère", "Дорогая"), "n": ("Dear", "Hello", "Hi", "Hola", "Hallo", "Bonjour")}
+#: Whom a greeting may name that is no person.
+NOBODY = frozenset("All Sir Madam Customer Customers Colleague Colleagues Friend Friends Team Everyone There Reader Readers Member Members Kollegen Kunde Kunden Freunde Amigos Amigo Cliente Clientes Client Clients Ami Amis Tous World Welt Mundo Monde".split())
 #: Phrases that a person's name follows.
-SAYS = ("my name is", "mein Name ist", "je m'appelle", "me llamo", "меня зовут")
-#: Common given names by script and gender.
+SAYS = ("my name is", "mein Name ist", "je m'appelle", "me llamo", "mi nombre es", "mon nom est", "меня зовут")
+#: Labels before a person's name, and closings of letters.
+LABELS = ("Name", "Full name", "Contact", "Author", "Patient", "Attn", "Attention", "From", "Signed", "Signed by", "Written by", "Nom", "Nombre", "Autor", "Auteur", "Verfasser", "Имя")
+CLOSINGS = ("Regards", "Best regards", "Kind regards", "Sincerely", "Yours sincerely", "Best wishes", "Cordialement", "Atentamente", "Saludos", "Grüße", "Viele Grüße", "Mit freundlichen Grüßen")
+#: Common given names by script and gender; a caller can add more.
 GIVEN = {
-    ("latin", "f"): "Anna Maria Laura Julia Sarah Emma Sophie Elena Lucia Clara Martha Nina Paula Rosa Eva Irene".split(),
-    ("latin", "m"): "John Peter Paul David Daniel Thomas Lucas Martin Carlos Juan Pierre Hans Felix Oscar Victor Simon".split(),
+    ("latin", "f"): "Anna Maria Laura Julia Sarah Emma Sophie Elena Lucia Clara Martha Nina Paula Rosa Eva Irene Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Karen Nancy Lisa Emily Carmen Isabel Ana Marta Marie Camille Chloe Claire Katharina Petra Sabine Ursula Monika".split(),
+    ("latin", "m"): "John Peter Paul David Daniel Thomas Lucas Martin Carlos Juan Pierre Hans Felix Oscar Victor Simon James Robert Michael William Richard Joseph Charles Christopher Matthew Anthony Mark Steven Andrew George Kevin Brian Edward Jean Jacques Michel Luis Pedro Miguel Jorge Wolfgang Klaus Stefan".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Юлия Вера".split(),
     ("cyrillic", "m"): "Иван Пётр Алексей Дмитрий Сергей Николай Михаил Андрей Борис Олег".split(),
     ("greek", "f"): "Μαρία Ελένη Άννα Σοφία Κατερίνα Ειρήνη".split(),
     ("greek", "m"): "Γιώργος Νίκος Δημήτρης Γιάννης Κώστας Πέτρος".split(),
 }
-#: Syllables that names are made of by rule.
-SYLLABLES = {
-    "latin": "ba be bo da de do fa fe ga go ha he ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve wa we za zo".split(),
-    "cyrillic": "ба бе бо да де до га го ка ке ко ла ле ло ма ме мо на не но па пе ра ре ро са се со та те то ва ве за зо".split(),
-    "greek": "βα βε βο γα γο δα δε κα κε κο λα λε λο μα με μο να νε νο πα πε ρα ρε ρο σα σε σο τα τε το φα φο".split(),
-}
+#: Syllables that names are made of: every first sign with every vowel and every closing sign of the script.
+SIGNS = {"latin": ("bdfghklmnprstvwz", "aeiou", ("", "n", "r", "l", "s", "m")), "cyrillic": ("бдгклмнпрствз", "аеиоу", ("", "н", "р", "л", "с", "м")), "greek": ("βγδκλμνπρστφ", "αεοι", ("", "ν", "ρ", "λ", "σ", "μ"))}
+SYLLABLES = {script: [a + b + c for a in first for b in vowels for c in last] for script, (first, vowels, last) in SIGNS.items()}
 ENDINGS = {("latin", "f"): "ina", ("latin", "m"): "an", ("latin", "n"): "el", ("cyrillic", "f"): "ина", ("cyrillic", "m"): "ан", ("cyrillic", "n"): "ель", ("greek", "f"): "ίνα", ("greek", "m"): "ος", ("greek", "n"): "ι"}
-SURNAME = {"latin": ("n", "r", "s", "l", "k", "d"), "cyrillic": ("нко", "рин", "ск", "лин"), "greek": ("ς", "κης", "δης", "λης")}
+SURNAME = {"latin": ("er", "ov", "in", "es", "el", "ard"), "cyrillic": ("енко", "арин", "овск", "елин"), "greek": ("ης", "άκης", "ίδης", "έλης")}
 
 UPPER = r"[A-ZÀ-ÖØ-ÞŁŠŽА-ЯЁΑ-ΩΆΈΉΊΌΎΏ]"
 WORD = rf"{UPPER}[^\W\d_]+(?:[-'’]{UPPER}[^\W\d_]+)?"
-_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(_GENDER, key=len, reverse=True))})\.? ({WORD}(?: (?:{UPPER}\. )?{WORD}){{0,2}})")
-SAID = re.compile(rf"(?<!\w)(?i:{'|'.join(SAYS)}) ({WORD}(?: {WORD}){{0,2}})")
-_KNOWN = {n: (s, g) for (s, g), ns in GIVEN.items() for n in ns}
-LISTED = re.compile(rf"(?<!\w)((?:{'|'.join(_KNOWN)}) {WORD})(?![\w])")
-_HINTS = tuple(sorted(_GENDER))
+#: A name of two words; what follows it in a pattern says how often the second word comes.
+FULL = rf"{WORD}(?: (?:{UPPER}\. )?{WORD})"
+_either = lambda words: "|".join(sorted(words, key=len, reverse=True))
+_GENDER = {t: g for told in (TITLES, GREETINGS) for g, ts in told.items() for t in ts}
+TITLED = re.compile(rf"(?<!\w)({_either(t for ts in TITLES.values() for t in ts)})\.? ({FULL}{{0,2}})")
+GREETED = re.compile(rf"(?<!\w)({_either(t for ts in GREETINGS.values() for t in ts)}) ({FULL}{{0,1}})(?=\s*[,!:\n])")
+SAID = re.compile(rf"(?<!\w)(?i:{'|'.join(SAYS)}) ({FULL}{{0,2}})")
+LABELLED = re.compile(rf"(?<!\w)(?:{_either(LABELS)}) ?: ?({FULL}{{1,2}})(?!\w)")
+CLOSED = re.compile(rf"(?<!\w)(?:{_either(CLOSINGS)})[,.!]?\s+({FULL}{{1,2}})(?!\w)")
+_KNOWN = {n: g for (_, g), ns in GIVEN.items() for n in ns}
+PAIRED = re.compile(rf"{FULL}+(?!\w)")  # what stands before is looked at afterwards, so that the search can skip to capitals
+HINT = re.compile(rf"(?:{_either([*_GENDER, *LABELS, *CLOSINGS])})[\s.,:!]")
 _FOLDED_SAYS = tuple(s.casefold() for s in SAYS)
-PART = re.compile(r"[^\W\d_]+")
+PART, ONE = re.compile(r"[^\W\d_]+"), re.compile(WORD)
 
 
 def script_of(word: str) -> str:
@@ -114,25 +129,79 @@ def _says(text: str) -> bool:
     return any(s in low for s in _FOLDED_SAYS)
 
 
-def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, kind, normal form) of each word of a name."""
-    for pattern in (TITLED, SAID, LISTED):
-        for m in pattern.finditer(text):
-            group = 2 if pattern is TITLED else 1
-            at = m.start(group)
-            words = [(at + w.start(), at + w.end(), w[0]) for w in PART.finditer(m[group])]
-            gender = _GENDER[m[1]] if pattern is TITLED else "n"
-            if gender == "n":
-                gender = next((_KNOWN[w][1] for _, _, w in words if w in _KNOWN), "n")
-            single = len(m[group].split()) == 1 and pattern is TITLED
-            last = m[group].rfind(" ") + 1
-            for s, e, w in words:
-                surname = single or (s - at >= last and last > 0)
-                yield s, e, f"name:{'surname' if surname else 'given'}:{script_of(w)}:{'n' if surname else gender}", w.casefold()
-
-
-def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, normal form), not overlapping, by start; at one start the longer comes first."""
+class _Person:
+    """Words of the names in a document: each word's entity and what is told of its gender."""
+
+    def __init__(self) -> None:
+        self.spans: list[tuple[int, int, str, str]] = []
+        self.kind: dict[str, str] = {}  # a word as written and its kind; a surname once is one for bare mentions
+        self.told: dict[tuple[str, str], list[str]] = {}
+
+    def add(self, at: int, name: str, gender: str, known: Mapping[str, str], alone: str = "given") -> None:
+        words = [(at + m.start(), at + m.end(), m[0]) for m in PART.finditer(name)]
+        last = at + name.rfind(" ") + 1
+        if gender == "n":
+            gender = next((known[w] for _, _, w in words if w in known), "n")
+        for s, e, w in words:
+            part = alone if " " not in name else "surname" if s >= last else "given"
+            if " " not in name and w in self.kind:  # a bare mention of what was found before
+                part = self.kind[w].split(":")[1]
+            elif " " in name and len(w) == 1:
+                continue  # an initial
+            kind = f"name:{part}:{script_of(w)}"
+            self.spans.append((s, e, kind, w.casefold()))
+            if part == "surname" or w not in self.kind:
+                self.kind[w] = kind
+            if part == "given":
+                self.told.setdefault((kind, w.casefold()), []).append(gender)
+
+    def gender(self, kind: str, value: str) -> str:
+        if not kind.startswith("name:given"):
+            return ""
+        told = self.told.get((kind, value), [])
+        m, f = told.count("m"), told.count("f")
+        return "m" if m > f else "f" if f > m else "n"
+
+
+def _persons(text: str, mails: list[str], known: Mapping[str, str]) -> _Person:
+    found = _Person()
+    full: list[tuple[int, str, str, str]] = []  # place, name, gender, and what it is if it is one word
+    if HINT.search(text):
+        full += [(m.start(2), m[2], _GENDER[m[1]], "surname") for m in TITLED.finditer(text)]
+        full += [(m.start(2), m[2], _GENDER[m[1]], "given") for m in GREETED.finditer(text) if m[2].split(" ")[0] not in NOBODY]
+        full += [(m.start(1), m[1], "n", "given") for pattern in (LABELLED, CLOSED) for m in pattern.finditer(text)]
+    if _says(text):
+        full += [(m.start(1), m[1], "n", "given") for m in SAID.finditer(text)]
+    parts = {tuple(p.casefold() for p in re.split(r"[._-]+", re.sub(r"\d+", "", mail.partition("@")[0])) if len(p) > 1) for mail in mails}
+    parts = {p for p in parts if len(p) == 2}
+    for m in PAIRED.finditer(text):
+        at, run = m.start(), m[0]
+        if at and (text[at - 1].isalnum() or text[at - 1] == "_"):
+            continue
+        words = [(w.start(), w[0]) for w in ONE.finditer(run)]
+        for (s, w), (t, v) in zip(words, words[1:], strict=False):
+            if w in known or (w.casefold(), v.casefold()) in parts or (v.casefold(), w.casefold()) in parts:
+                full.append((at + s, run[s : t + len(v)], "n", "given"))
+                break
+    taken = -1
+    for at, name, gender, alone in sorted(full, key=lambda x: (" " not in x[1], x[0], -len(x[1]), x[2] == "n")):
+        if " " in name and at < taken:  # told twice, as by a title and by the list
+            continue
+        found.add(at, name, gender, known, alone)
+        taken = at + len(name) if " " in name else -1
+    if found.kind:
+        spelt = dict(found.kind)
+        spelt |= {w.upper(): k for w, k in found.kind.items() if len(w) > 2}
+        seen = {s for s, *_ in found.spans}
+        for m in PART.finditer(text):  # bare mentions
+            if m.start() not in seen and len(m[0]) > 1 and (kind := spelt.get(m[0])):
+                found.spans.append((m.start(), m.end(), kind, m[0].casefold()))
+    return found
+
+
+def entities(text: str, known: Mapping[str, str] = _KNOWN) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, kind, normal form, gender), not overlapping, by start; at one start the longer comes first. known: given
+    names and their gender."""
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
         found += [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
@@ -145,13 +214,13 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             digits = re.sub(r"\D", "", m[0])
             if 7 <= len(digits) <= 15:
                 found.append((m.start(), m.end(), "phone", ("+" if m[0][0] == "+" else "") + digits))
-    if any(h in text for h in _HINTS) or any(n in text for n in _KNOWN) or _says(text):
-        found += _names(text)
+    persons = _persons(text, [v for _, _, k, v in found if k == "email"], known)
+    found += persons.spans
     found.sort(key=lambda x: (x[0], -x[1]))
     kept, end = [], -1
     for x in found:
         if x[0] >= end:
-            kept.append(x)
+            kept.append((*x, persons.gender(*x[2:])))
             end = x[1]
     return kept
 
@@ -175,8 +244,8 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
             return value
 
 
-#: Alphabets that a letter or digit is drawn from: the ranges of one script and case.
-ALPHABETS = [(ord("0"), 10), (ord("a"), 26), (ord("A"), 26), (0x430, 32), (0x410, 32), (0x3B1, 17), (0x391, 17), (0x4E00, 20_992)]
+#: Alphabets that a letter or digit is drawn from: ranges of letters of one script and case.
+ALPHABETS = [(ord("0"), 10), (ord("a"), 26), (ord("A"), 26), (0xDF, 24), (0xF8, 8), (0x430, 32), (0x410, 32), (0x3B1, 17), (0x391, 17), (0x5D0, 27), (0x641, 10), (0x905, 53), (0x3041, 86), (0x30A1, 90), (0xAC00, 11_172), (0x4E00, 20_992)]
 
 
 def _shuffle(text: str, key: bytes, tweak: str) -> str:
@@ -207,13 +276,14 @@ def _number(value: str, key: bytes, tweak: str, keep: int) -> str:
 
 
 @lru_cache(maxsize=200_000)
-def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
+def surrogate(kind: str, value: str, key: bytes, attempt: int = 0, gender: str = "") -> str:
     """The surrogate of a normal form, as a normal form."""
     tweak = f"{kind}:{attempt}"
     if kind == "email":
         name, _, domain = value.rpartition("@")
         rest, _, top = domain.rpartition(".")
-        return _shuffle(f"{name}@{rest}", key, f"{tweak}:{top}") + f".{top}"
+        more = _letters(max(0, attempt - 2), key, f"{tweak}:{value}")
+        return more + _shuffle(f"{name}@{rest}", key, f"{tweak}:{top}") + f".{top}"
     if kind == "phone":
         keep = 0 if value[0] != "+" else 2 if value[1] in "17" else 3
         return _number(value, key, tweak, keep)
@@ -236,18 +306,31 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
             m = n >> low << low | permute(m & ((1 << low) - 1), 1 << low, key, f"{tweak}:{n >> low}")
             if _private(m) == kept:
                 return ".".join(str(m >> s & 255) for s in (24, 16, 8, 0))
-    _, part, script, gender = kind.split(":")
-    listed = [n.casefold() for n in GIVEN.get((script, gender), ())]
-    if part == "given" and value in listed and attempt == 0:  # the list in a keyed order, one step on
-        order = sorted(listed, key=lambda n: hashlib.blake2b(f"{kind}:{n}".encode(), key=key).digest())
-        return order[(order.index(value) + 1) % len(order)]
-    draw = int.from_bytes(hashlib.blake2b(f"{tweak}:{value}".encode(), key=key, digest_size=16).digest(), "little")
+    _, part, script = kind.split(":")
+    draw = int.from_bytes(hashlib.blake2b(f"{tweak}:{value}".encode(), key=key, digest_size=32).digest(), "little")
     made = ""
-    for _ in range((3 if len(value) > 5 else 2) + attempt):  # each further attempt has room for over thirty times the names
+    for _ in range((3 if len(value) > 5 else 2) + attempt):  # each further attempt has room for hundreds of times the names
         draw, k = divmod(draw, len(SYLLABLES[script]))
         made += SYLLABLES[script][k]
     tail = SURNAME[script]
-    return (made + (tail[draw % len(tail)] if part == "surname" else ENDINGS[script, gender])).casefold()
+    return made + (tail[draw % len(tail)] if part == "surname" else ENDINGS[script, gender or "n"])
+
+
+def _letters(n: int, key: bytes, tweak: str) -> str:
+    draw = int.from_bytes(hashlib.blake2b(tweak.encode(), key=key, digest_size=16).digest(), "little")
+    return "".join(chr(ord("a") + draw // 26**k % 26) for k in range(n))
+
+
+def format_of(kind: str, value: str) -> str:
+    """Which values of a kind can stand for each other."""
+    if kind == "ip":
+        n = 0
+        for part in value.split("."):
+            n = n << 8 | int(part)
+        return f"ip {_private(n)}"
+    if kind == "card":
+        return f"card {len(value)} {(int(value[-1]) - _luhn(value[:-1])) % 10}"
+    return f"{kind} {re.sub('[A-Z]', 'A', re.sub('[0-9]', '0', value))}" if kind != "iban" else f"iban {value[:2]} {re.sub('[A-Z]', 'A', re.sub('[0-9]', '0', value[4:]))}"
 
 
 def written(kind: str, mention: str, new: str) -> str:
@@ -267,25 +350,36 @@ def written(kind: str, mention: str, new: str) -> str:
     return new
 
 
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, kind, value), each once a document."""
+def _found(batches: Iterator[pa.RecordBatch], known: Mapping[str, str]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, kind, value, gender), each once a document."""
     for batch in batches:
-        rows = [(i, k, v) for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for k, v in {(k, v) for _, _, k, v in entities(text.as_py() or "")}]
-        columns = list(zip(*rows, strict=True)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=["doc_id", "kind", "value"])
+        rows = [(i, *x) for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in {x[2:] for x in entities(text.as_py() or "", known)}]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.string()] * 3), strict=True)], names=["doc_id", "kind", "value", "gender"])
     trim()
 
 
+DRAWN = "kind string, value string, gender string, attempt int"
+
+
 def _drawn(batches: Iterator[pa.RecordBatch], key: bytes, make: Callable) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        new = [make(k, v, key, n) for k, v, n in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(new, pa.string())], names=["kind", "value", "attempt", "new"])
+        new = [make(k, v, key, n, g) for k, v, g, n in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(new, pa.string())], names=["kind", "value", "gender", "attempt", "new"])
+
+
+def _formats(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
+    """Each entity's format and its place in a keyed order."""
+    for batch in batches:
+        each = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        place = [hashlib.blake2b(f"{k}:{v}".encode(), key=key, digest_size=16).digest() for k, v in each]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([format_of(k, v) for k, v in each], pa.string()), pa.array(place, pa.binary())], names=["kind", "value", "gender", "attempt", "format", "place"])
 
 
 ENTITIES = "array<struct<kind:string,start:int,end:int,new_start:int,new_end:int>>"
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch], key: bytes, make: Callable, told) -> Iterator[pa.RecordBatch]:
+def _rewrite(batches: Iterator[pa.RecordBatch], key: bytes, make: Callable, told, known: Mapping[str, str]) -> Iterator[pa.RecordBatch]:
     """Columns: id, text and, where exceptions come by a join, a list of (kind, value, new)."""
     fixed = told.value if told is not None else {}
     kind_of = pa.list_(pa.struct([("kind", pa.string()), *((n, pa.int32()) for n in ("start", "end", "new_start", "new_end"))]))
@@ -296,8 +390,8 @@ def _rewrite(batches: Iterator[pa.RecordBatch], key: bytes, make: Callable, told
             text = text.as_py()
             mine = fixed if not own else fixed | {(x["kind"], x["value"]): x["new"] for x in own}
             out, at, size, where = [], 0, 0, []
-            for s, e, kind, value in entities(text or ""):
-                new = written(kind, text[s:e], mine.get((kind, value)) or make(kind, value, key, 0))
+            for s, e, kind, value, gender in entities(text or "", known):
+                new = written(kind, text[s:e], mine.get((kind, value)) or make(kind, value, key, 0, gender))
                 size += s - at
                 out += [text[at:s], new]
                 where.append({"kind": kind.split(":")[0], "start": s, "end": e, "new_start": size, "new_end": size + len(new)})
@@ -309,31 +403,45 @@ def _rewrite(batches: Iterator[pa.RecordBatch], key: bytes, make: Callable, told
 
 
 def settled(found: DataFrame, key: bytes, make: Callable = surrogate) -> DataFrame:
-    """kind, value, attempt, new of every distinct entity, after the collision checks."""
-    now = found.select("kind", "value").distinct().withColumn("attempt", F.lit(0))
+    """kind, value, gender, attempt, new of every distinct entity, after the collision checks. found: (kind, value, gender), a
+    row for each document that tells the gender."""
+    says = lambda g: F.count_if(F.col("gender") == g)
+    gender = F.when(says("m") > says("f"), "m").when(says("f") > says("m"), "f").when(F.max("gender") != "", "n").otherwise("")
+    now = cut(found.groupBy("kind", "value").agg(gender.alias("gender")).withColumn("attempt", F.lit(0)))
+    base = F.split_part("kind", F.lit(":"), F.lit(1))  # a name's words share the kind's first part; a surrogate must be new under it
+    real = now.select(base.alias("base"), F.col("value").alias("new")).distinct()
+    done = None
     for _ in range(TWEAKS):
-        drawn = cut(now.mapInArrow(partial(_drawn, key=key, make=make), "kind string, value string, attempt int, new string"))
-        # a name's words share the kind's first part; a surrogate must be new under it
-        base = F.split_part("kind", F.lit(":"), F.lit(1))
-        shared = drawn.groupBy(base.alias("base"), "new").agg(F.min(F.struct("value", "kind")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        known = drawn.where(base != "name").select(base.alias("base"), F.col("value").alias("new")).distinct()
-        same = drawn.withColumn("base", base)
-        clash = same.join(shared, ["base", "new"]).where(F.struct("value", "kind") != F.col("first")).select("kind", "value")
-        real = same.join(known, ["base", "new"], "left_semi").select("kind", "value")
-        own = drawn.where("new = value").select("kind", "value")
-        bad = cut(clash.unionAll(real).unionAll(own).distinct())
-        if bad.isEmpty():
-            return drawn
-        now = drawn.join(bad.withColumn("bad", F.lit(1)), ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("bad", F.lit(0))).alias("attempt"))
-    raise RuntimeError(f"surrogates still collide after {TWEAKS} tweaks: the formats are too small for the corpus")
-
-
-def replace(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text", exceptions: int = EXCEPTIONS, make: Callable = surrogate) -> DataFrame:
-    """(doc_id, text, entities): texts with surrogates, and where the entities were and are now."""
+        drawn = cut(now.mapInArrow(partial(_drawn, key=key, make=make), DRAWN + ", new string").withColumn("base", base))
+        taken = real if done is None else real.unionAll(done.select("base", "new"))
+        free = drawn.join(taken, ["base", "new"], "left_anti")
+        first = F.row_number().over(Window.partitionBy("base", "new").orderBy("value", "kind"))
+        good = cut(free.withColumn("nth", first).where("nth = 1").drop("nth"))
+        done = good if done is None else done.unionAll(good)
+        now = cut(drawn.join(good.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value", "gender", (F.col("attempt") + 1).alias("attempt")))
+        if now.isEmpty():
+            return done.drop("base")
+    # Their formats are all but full: each takes the value of the next of its format in a keyed order, the last that of the first.
+    placed = now.mapInArrow(partial(_formats, key=key), DRAWN + ", format string, place binary")
+    ring = Window.partitionBy("format").orderBy("place")
+    turned = placed.withColumn("new", F.coalesce(F.lead("value").over(ring), F.first("value").over(ring)))
+    lone = cut(turned.where("new = value"))  # alone in its format, whose every other draw was taken
+    if not lone.isEmpty():
+        raise RuntimeError("no surrogate is left for an entity that is the only one of its format")
+    return done.drop("base").unionAll(turned.select("kind", "value", "gender", "attempt", "new"))
+
+
+def replace(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text", exceptions: int = EXCEPTIONS, make: Callable = surrogate, given: Mapping[str, str] | None = None) -> DataFrame:
+    """(doc_id, text, entities): texts with surrogates, and where the entities were and are now. given: further given names and
+    their gender (f, m or n)."""
     spark = docs.sparkSession
+    known = _KNOWN | dict(given or {})
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = cut(rows.mapInArrow(_found, "doc_id long, kind string, value string"))
-    retried = cut(settled(found, key, make).where("attempt > 0").select("kind", "value", "new"))
+    found = cut(rows.mapInArrow(partial(_found, known=known), "doc_id long, kind string, value string, gender string"))
+    several = found.groupBy("kind", "value").agg(F.min("gender").alias("least"), F.max("gender").alias("most")).where("least <> most").select("kind", "value")
+    all_of = cut(settled(found, key, make))
+    # what a task can't draw from its document alone
+    retried = cut(all_of.where("attempt > 0").select("kind", "value", "new").unionAll(all_of.where("attempt = 0").join(several, ["kind", "value"], "left_semi").select("kind", "value", "new")))
     n = retried.count()
     told = None
     if n > exceptions:
@@ -341,4 +449,4 @@ def replace(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "te
         rows = rows.join(mine, rows["doc_id"].eqNullSafe(mine["doc_id"]), "left").select(rows["doc_id"], "text", "fixed")
     elif n:
         told = spark.sparkContext.broadcast({(r["kind"], r["value"]): r["new"] for r in retried.collect()})
-    return rows.mapInArrow(partial(_rewrite, key=key, make=make, told=told), f"doc_id long, text string, entities {ENTITIES}")
+    return rows.mapInArrow(partial(_rewrite, key=key, make=make, told=told, known=known), f"doc_id long, text string, entities {ENTITIES}")

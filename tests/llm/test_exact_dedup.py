@@ -63,3 +63,28 @@ def test_keep_has_all_columns_and_clashing_names(spark):
 @pytest.mark.parametrize("f", [dedup_report, dedup_keep])
 def test_empty(spark, f):
     assert f(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_index_keeps_smallest_ids_and_filters(spark):
+    from loomgrid.llm import filters
+
+    rows = [(i, f"text {i % 300}") for i in range(1000, 100, -1)] + [(5000 + i, f"own {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    index, found = exact_dedup.merge_index(docs, "doc_id", "text", exact_dedup.sha256)
+    told = {bytes(r.digest): (r.least, r.rows) for r in index.collect()}
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[hashlib.sha256(t.encode()).digest()].append(i)
+    assert told == {d: (min(g), len(g)) for d, g in groups.items() if len(g) > 1}
+    import numpy as np
+
+    held = filters.might_hold_parts(found, np.array([exact_dedup._key(d) for d in groups], dtype=np.int64))
+    assert all(h for d, h in zip(groups, held, strict=True) if d in told)
+    assert sum(held) - len(told) <= 40
+
+
+def test_rows_without_ids_and_colliding_digests(spark):
+    rows = [(None, "a"), (None, "a"), (None, "bcd"), (None, "bcd"), (1, "x"), (1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(i, k, n, f) for i, k, n, f, _ in told(dedup_report(docs, digest=weak))]
+    assert sorted(got, key=str) == sorted([r[:4] for r in brute(rows)], key=str)

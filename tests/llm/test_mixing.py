@@ -70,3 +70,10 @@ def test_edges(spark):
         mix(df, {"l": F.col("tokens")}, {("en",): -1.0}).count()
     with pytest.raises(ValueError):
         mix(df, {"l": F.col("tokens")}, {}, most_leaves=1)
+
+
+def test_columns_that_are_called_like_the_added_ones(spark):
+    df = spark.createDataFrame([(1, "a b", "en", 7, 8, 9)], "doc_id long, text string, lang string, epoch__ int, TOKENS__ int, budget__ int")
+    got = mix(df, {"l": F.col("lang")}, {}, share_of_supply=1.0)
+    assert got.columns == [*df.columns, "epoch___", "tokens___", "budget___"]
+    assert [tuple(r)[3:] for r in got.select(*df.columns, "tokens___").collect()] == [(7, 8, 9, 2)]

@@ -68,3 +68,34 @@ def test_little_padding(spark):
 
 def test_empty(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def naive(sizes, k):
+    """Karmarkar-Karp with all k sums written out: the two widest partial partitions are merged, fullest with emptiest."""
+    parts = [(n, [s] + [0] * (k - 1)) for n, s in enumerate(sizes)]
+    n = len(sizes)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (-(p[1][0] - p[1][-1]), p[0]))
+        (_, a), (_, b), *rest = parts
+        n += 1
+        parts = [*rest, (n, sorted((x + y for x, y in zip(a, reversed(b))), reverse=True))]
+    return parts[0][1]
+
+
+def test_difference_is_brute_force():
+    rng = random.Random(12)
+    for _ in range(60):
+        k, sizes = rng.randint(2, 9), [rng.choice([1024, 700, rng.randint(1, 256)]) for _ in range(rng.randint(1, 40))]
+        assert sorted(sum(sizes[n] for n in w) for w in difference(sizes, k)) == sorted(naive(sizes, k))
+
+
+def test_every_piece_is_dealt_by_differencing(spark, monkeypatch):
+    from loomgrid.llm import packing
+
+    dealt = []
+    monkeypatch.setattr(packing, "deal", lambda sizes, capacity: dealt.append(sum(sizes)) or deal(sizes, capacity))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([" ".join(f"w{i}" for i in range(9000)), "short"])], names=["doc_id", "t"])
+    out = list(packing._pack(iter([batch]), default_path("byte_bpe_50k.tiktoken"), 1024, 256, 16, 0))
+    assert sum(dealt) == sum(sum(b.column(2).to_pylist()) for b in out) > 20_000

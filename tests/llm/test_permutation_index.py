@@ -2,9 +2,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from loomgrid.llm.permutation_index import PermutationIndex, nearest
+from loomgrid.llm.permutation_index import LEAST, PIVOTS, PREFIX, SHARE, PermutationIndex, Shard, nearest, spread_pivots
 
 
 def brute(rows, top, is_query):
@@ -37,14 +39,14 @@ def made(n, seed=1):
 def test_all_candidates_is_exact(spark):
     rows = made(200)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
-    assert answers(nearest(df, F.col("vec_id") % 10 == 0, top=5, shard=64, block=8)) == brute(rows, 5, lambda i: i % 10 == 0)
+    assert answers(nearest(df, F.col("vec_id") % 10 == 0, top=5, shard=64, share=1.0)) == brute(rows, 5, lambda i: i % 10 == 0)
 
 
 def test_recall_of_the_index(spark):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(6000, 32)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, score int").repartition(4)
-    got = answers(nearest(df, F.col("vec_id") % 100 == 0, top=10, shard=3000, least=300))
+    got = answers(nearest(df, F.col("vec_id") % 100 == 0, top=10, shard=3000))
     d = ((vectors[::100, None, :].astype(float) - vectors[None].astype(float)) ** 2).sum(-1)
     hit = sum(len(set(np.argsort(d[k], kind="stable")[1:11]) & set(got[k * 100])) for k in range(60))
     assert hit >= 0.9 * 600
@@ -65,7 +67,7 @@ def test_recall_beside_a_crowd(spark):
     center = rng.normal(size=32)
     vectors = np.concatenate([rng.normal(size=(4000, 32)), center + rng.normal(size=(2000, 32)) * 0.01]).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(4)
-    got = answers(nearest(df, F.col("vec_id") % 100 == 0, shard=3000, least=300))
+    got = answers(nearest(df, F.col("vec_id") % 100 == 0, shard=3000))
     d = ((vectors[::100, None, :].astype(float) - vectors[None].astype(float)) ** 2).sum(-1)
     hits = [len(set(np.argsort(d[k], kind="stable")[1:11]) & set(got[k * 100])) for k in range(60)]
     assert sum(hits) >= 0.9 * 600 and sum(hits[40:]) >= 0.9 * 200
@@ -75,3 +77,20 @@ def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (100, [1.0, 2.5])], "vec_id long, embedding array<float>")
     assert answers(nearest(df, F.col("vec_id") % 100 == 0)) == {0: [100], 100: [0]}
     assert nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+@pytest.mark.parametrize("n", [500, 2000, 20_000])
+def test_candidates_come_from_the_files_at_every_size(n):
+    rng = np.random.default_rng(n)
+    centres = rng.normal(size=(40, 64))
+    vectors = (centres[rng.integers(0, 40, n)] + rng.normal(size=(n, 64)) * 0.6).astype(np.float32).astype(float)
+    pivots = spread_pivots(vectors[rng.permutation(n)[:2048]], PIVOTS)
+    ids = pa.array([[i] for i in range(n)], pa.list_(pa.int64()))
+    shard = Shard([ids], [pa.array(list(vectors), pa.list_(pa.float64()))], pivots, PREFIX)
+    asked = np.arange(0, n, max(1, n // 50))
+    Shard.reranked = Shard.searched = hit = 0
+    for q, order in zip(asked.tolist(), shard.index.permutations(vectors[asked]), strict=True):
+        found = {i for _, i in shard.nearest(q, vectors[q], order, SHARE, LEAST, 10)}
+        hit += len(found & set(np.argsort(((vectors - vectors[q]) ** 2).sum(axis=1), kind="stable")[:11].tolist()) - {q})
+    assert hit >= 0.95 * 10 * len(asked)
+    assert Shard.reranked <= 0.5 * Shard.searched

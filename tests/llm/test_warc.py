@@ -1,9 +1,11 @@
+import gzip
 import hashlib
+import os
 
 import pytest
 
 from loomgrid.llm.queries import op6_warc_archives
-from loomgrid.llm.warc import read_archives, write_archives
+from loomgrid.llm.warc import plan_records, read_archives, write_archives
 
 BIG = "<p>" + "x" * 1200
 PAGES = [(1, "http://a.example/", BIG), (5, "http://b.example/", BIG), (3, None, BIG), (2, "u", "small"), (4, "u", "small"), (6, "u\r\nWARC-Type: x", None), (7, "é", "é" * 600), (8, "e", "é" * 600), (9, "w", "WARC/1.1\r\nWARC-Type: response\r\n\r\n" * 50), (10, "long", "y" * 3_000_000)]
@@ -29,7 +31,7 @@ def test_round_trip_and_push_down(spark, tmp_path):
     folder = f"file://{tmp_path}/w"
     written = write_archives(spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(2), folder, index_every=1000)
     assert written.agg({"records": "sum"}).first()[0] == len(PAGES)
-    whole = read_archives(spark, folder, split_bytes=1)
+    whole = read_archives(spark, folder, split_bytes=500)
     assert whole.rdd.getNumPartitions() >= 2
     texts = {r.page_id: r.payload for r in whole.where("record_type = 'response'").collect()}
     assert texts[9] == PAGES[8][2] and texts[10] == PAGES[9][2] and texts[8] == "é" * 600 and 7 not in texts
@@ -52,3 +54,51 @@ def test_edges(spark, tmp_path):
     assert sorted(((r.record_type, r.refers_to) for r in got if r.page_id is None), key=str) == [("response", None), ("revisit", 1)]
     write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/none")
     assert read_archives(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_members(spark, tmp_path):
+    folder = f"{tmp_path}/gz"
+    write_archives(spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(2), folder, members=True)
+    archives = [f for f in os.listdir(folder) if f.endswith(".warc.gz")]
+    assert archives and gzip.open(f"{folder}/{archives[0]}").read().startswith(b"WARC/1.1")
+    texts = {i: h or "" for i, _, h in PAGES}
+    whole = lambda **o: {r.page_id: r.payload for r in read_archives(spark, folder, ["page_id", "payload", "record_type"], **o).where("record_type = 'response'").collect()}
+    first = whole(split_bytes=300, verify="true")
+    assert first == {i: texts[i] for i in first} and set(texts) - set(first) == {1, 3, 7}
+    for f in archives:  # without an index members are inflated to their ends
+        os.remove(f"{folder}/{f}.idx")
+    assert whole() == first
+    assert read_archives(spark, folder, ["page_id", "target_uri"]).where("target_uri = 'u'").count() == 2
+
+
+def test_unwanted_blocks_are_not_decoded(spark, tmp_path):
+    folder = f"{tmp_path}/skip"
+    write_archives(spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1), folder)
+    archive = next(f"{folder}/{f}" for f in os.listdir(folder) if f.endswith(".warc"))
+    raw = open(archive, "rb").read()
+    spoilt = raw.replace(gzip.compress(b"small", 1, mtime=0), b"!" * len(gzip.compress(b"small", 1, mtime=0)))
+    assert spoilt != raw
+    open(archive, "wb").write(spoilt)
+    assert read_archives(spark, folder, ["page_id", "payload_bytes"]).count() == len(PAGES) + 1
+    assert read_archives(spark, folder, ["page_id", "payload"]).where("page_id = 10").count() == 1
+    with pytest.raises(Exception):
+        read_archives(spark, folder, ["page_id", "payload"]).where("page_id = 2").collect()
+
+
+def test_verify_tells_of_a_spoilt_payload(spark, tmp_path):
+    folder = f"{tmp_path}/v"
+    write_archives(spark.createDataFrame(PAGES[3:5], "page_id long, url string, html string").coalesce(1), folder, members=False)
+    archive = next(f"{folder}/{f}" for f in os.listdir(folder) if f.endswith(".warc"))
+    raw = open(archive, "rb").read()
+    open(archive, "wb").write(raw.replace(gzip.compress(b"small", 1, mtime=0), gzip.compress(b"smell", 1, mtime=0), 1))
+    assert read_archives(spark, folder, ["page_id"]).count() == 3
+    with pytest.raises(Exception, match="digest differs"):
+        read_archives(spark, folder, ["page_id"], verify="true").collect()
+
+
+def test_many_groups_go_by_a_filter(spark):
+    rows = [(i, "u", f"{i % 50} " * 800 if i < 300 else f"own {i} " * 200, "x") for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").repartition(3)
+    key = lambda r: (r.id, r.kind, r.refers_to)
+    few, many = (sorted(map(key, plan_records(df, broadcast=n).collect())) for n in (1000, 0))
+    assert few == many and sum(k == "revisit" for _, k, _ in few) == 250
