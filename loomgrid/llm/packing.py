@@ -47,11 +47,10 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
         free = k - len(a)
         if len(b) <= free:
             merged = a + b
-        else:  # the emptiest of b go to windows of their own, its fullest meet the emptiest of a
-            shared = len(b) - free
-            merged = a[: len(a) - shared]
-            merged += b[len(b) - free :] if free else []
-            merged += [(x + y, p + q) for (x, p), (y, q) in zip(reversed(a[len(a) - shared :]), b[:shared], strict=True)]
+        else:  # the fullest of b go to windows of their own, its others meet the emptiest of a, fullest with emptiest
+            alone = len(a) - (len(b) - free)
+            merged = a[:alone] + b[:free]
+            merged += [(x + y, p + q) for (x, p), (y, q) in zip(reversed(a[alone:]), b[free:], strict=True)]
         merged.sort(key=lambda w: -w[0])
         order += 1
         heapq.heappush(heap, (-(merged[0][0] - (merged[-1][0] if len(merged) == k else 0)), order, merged))
