@@ -360,6 +360,7 @@ def _found(batches: Iterator[pa.RecordBatch], known: Mapping[str, str]) -> Itera
 
 
 DRAWN = "kind string, value string, gender string, attempt int"
+ENTITY = ("kind", "value", "gender", "attempt", "new")
 
 
 def _drawn(batches: Iterator[pa.RecordBatch], key: bytes, make: Callable) -> Iterator[pa.RecordBatch]:
@@ -420,7 +421,7 @@ def settled(found: DataFrame, key: bytes, make: Callable = surrogate) -> DataFra
         done = good if done is None else done.unionAll(good)
         now = cut(drawn.join(good.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value", "gender", (F.col("attempt") + 1).alias("attempt")))
         if now.isEmpty():
-            return done.drop("base")
+            return done.select(*ENTITY)
     # Their formats are all but full: each takes the value of the next of its format in a keyed order, the last that of the first.
     placed = now.mapInArrow(partial(_formats, key=key), DRAWN + ", format string, place binary")
     ring = Window.partitionBy("format").orderBy("place")
@@ -428,7 +429,7 @@ def settled(found: DataFrame, key: bytes, make: Callable = surrogate) -> DataFra
     lone = cut(turned.where("new = value"))  # alone in its format, whose every other draw was taken
     if not lone.isEmpty():
         raise RuntimeError("no surrogate is left for an entity that is the only one of its format")
-    return done.drop("base").unionAll(turned.select("kind", "value", "gender", "attempt", "new"))
+    return done.select(*ENTITY).unionAll(turned.select(*ENTITY))
 
 
 def replace(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text", exceptions: int = EXCEPTIONS, make: Callable = surrogate, given: Mapping[str, str] | None = None) -> DataFrame:
