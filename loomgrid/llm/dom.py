@@ -31,6 +31,9 @@ CLOSED_BY = {
 #: Elements that keep an open one inside from being closed by what stands outside.
 SCOPES = frozenset("table td th li dd ul ol dl select button object".split())
 
+#: Elements that hold the blocks of one part of a page.
+HOLDERS = frozenset("html body div article main section aside nav header footer form table td center".split())
+
 #: Attributes of a tag: a quote counts only where it opens a value and is closed again; else the tag ends at the next >.
 _ATTRIBUTES = r"""(?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)?)?)*+"""
 TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>\x00]*)({_ATTRIBUTES})(?:>|\Z)""", re.S)
@@ -57,13 +60,23 @@ class Element:
         return found
 
 
+class Part:
+    """One of HOLDERS on the page: the unlinked signs of the blocks right in it, and of those right in the parts inside it."""
+
+    __slots__ = ("below", "outer", "prose")
+
+    def __init__(self, outer: Part | None):
+        self.outer, self.prose, self.below = outer, 0, 0
+
+
 class Block:
-    """text: unescaped, white space squeezed and trimmed. inside: the element it begins in. linked: its signs inside links."""
+    """text: unescaped, white space squeezed and trimmed. inside: the element it begins in. linked: its signs inside links. share
+    and around: of the page's unlinked signs those in its part, and those in all parts that stand in one with it."""
 
-    __slots__ = ("inside", "linked", "text")
+    __slots__ = ("around", "inside", "linked", "part", "share", "text")
 
-    def __init__(self, text: str, inside: Element, linked: int):
-        self.text, self.inside, self.linked = text, inside, linked
+    def __init__(self, text: str, inside: Element, part: Part, linked: int):
+        self.text, self.inside, self.part, self.linked, self.share, self.around = text, inside, part, linked, 0.0, 0.0
 
 
 def _attributes(raw: str) -> tuple[frozenset, bool]:
@@ -87,37 +100,39 @@ def blocks(html: str) -> list[Block]:
     """Blocks with text, in page order. The time is linear in the page, however deep it is nested."""
     found: list[Block] = []
     root = Element(None, "", frozenset())
-    stack: list[tuple[Element, bool]] = []  # element, hidden
+    whole = Part(None)  # the page
+    stack: list[tuple[Element, bool, Part]] = []  # element, hidden, the part it is or stands in
     marks: list[int] = []  # places in the stack of what can be closed by a start tag or shields from it
     opened: Counter[str] = Counter()  # open elements by tag
     pieces: list[str] = []
     linked = hidden = links = 0
     inside: Element | None = None  # where the text begins
+    part = whole
 
     def end_block() -> None:
         nonlocal linked, inside
         if pieces:
             text = SPACE.sub(" ", unescape("".join(pieces))).strip()
             if text:
-                found.append(Block(text, inside or root, linked))
+                found.append(Block(text, inside or root, part, linked))
             pieces.clear()
         linked, inside = 0, None
 
     def text_piece(raw: str) -> None:
-        nonlocal linked, inside
+        nonlocal linked, inside, part
         if hidden or not raw:
             return
         if inside is None:
             if raw.isspace():
                 return
-            inside = stack[-1][0] if stack else root
+            inside, _, part = stack[-1] if stack else (root, False, whole)
         pieces.append(raw)
         if links:
             linked += len(raw.strip())
 
     def pop() -> None:
         nonlocal hidden, links
-        element, is_hidden = stack.pop()
+        element, is_hidden, _ = stack.pop()
         tag = element.tag
         opened[tag] -= 1
         if marks and marks[-1] == len(stack):
@@ -180,9 +195,20 @@ def blocks(html: str) -> list[Block]:
             continue
         if tag in SCOPES or tag in CLOSED_BY:
             marks.append(len(stack))
-        stack.append(((stack[-1][0] if stack else root).child(tag, words), is_hidden))
+        above, _, outer = stack[-1] if stack else (root, False, whole)
+        stack.append((above.child(tag, words), is_hidden, Part(outer) if tag in HOLDERS else outer))
         opened[tag] += 1
         hidden += is_hidden
         links += tag == "a"
     end_block()
+    total = 1
+    for b in found:
+        prose = max(0, len(b.text) - b.linked)
+        total += prose
+        b.part.prose += prose
+        if b.part.outer is not None:
+            b.part.outer.below += prose
+    for b in found:
+        b.share = b.part.prose / total
+        b.around = b.part.outer.below / total if b.part.outer is not None else b.share
     return found

@@ -1,7 +1,8 @@
 """HTML extraction: a linear-chain conditional random field over a page's leaf blocks, decoded by Viterbi.
 
 A block's features are the tags and the class and id words of its ancestors, and forms of its text: length, share of linked
-signs, closing mark, capital letters, copyright signs, whether it is the last. The weights are fitted by the conditional
+signs, closing mark, capital letters, copyright signs, whether it is the last, and the shares of the page's prose that its part of the
+page and the parts beside it hold. The weights are fitted by the conditional
 likelihood on labelled pages of many layouts (labelled_pages.page for PAGES seeds). `python -m loomgrid.llm.html_crf` fits them
 and writes them to WEIGHTS beside this file, from where they are read and sent to the tasks; their number is fixed by the
 feature buckets.
@@ -30,6 +31,7 @@ STIFF = 1_000  # times that steps from label to label are held back more than fe
 NAMES = 1 << 11  # words of ancestors that are told apart, so that no block has more features of them, however deep it stands
 PAGES = 720
 ROUNDS = 200
+WARM = 10  # rounds in which the steps grow to their full size, as the spread of a slope is not known before
 OTHER, ARTICLE = 0, 1
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "html_crf.npz")
 
@@ -80,13 +82,16 @@ def _step(n: float, steps: tuple) -> int:
 
 @lru_cache(maxsize=50_000)
 def _of_form(form: tuple) -> tuple[int, ...]:
-    return tuple(_bucket(f"{k}={v}") for k, v in enumerate(form)) + (_bucket(f"form={form[0]},{form[1]},{form[2]}"),)
+    return tuple(_bucket(f"{k}={v}") for k, v in enumerate(form)) + (_bucket(f"form={form[0]},{form[1]},{form[2]}"), _bucket(f"share={form[6]},{form[7]},{form[0]}"))
+
+
+SHARES = (0.05, 0.2, 0.4, 0.7)
 
 
 def features(block: Block, at: int, n: int) -> tuple[int, ...]:
     text = block.text
     size = len(text)
-    form = (_step(size, (6, 15, 30, 60, 120, 250, 600)), _step(block.linked / size, (0.05, 0.3, 0.6, 0.9)), text[-1] if text[-1] in ".!?…:,;|" else "-", text[0].isupper(), "©" in text[:40], 0 < at == n - 1)
+    form = (_step(size, (6, 15, 30, 60, 120, 250, 600)), _step(block.linked / size, (0.05, 0.3, 0.6, 0.9)), text[-1] if text[-1] in ".!?…:,;|" else "-", text[0].isupper(), "©" in text[:40], 0 < at == n - 1, _step(block.share, SHARES), _step(block.around, SHARES))
     return _told(block.inside)[1] + _of_form(form)
 
 
@@ -183,7 +188,7 @@ def train(pages: list[tuple[list[tuple[int, ...]], list[int]]], rounds: int = RO
         slope = -decay * n * state
         np.add.at(slope, flat, error[owner])
         for (weights, momentum), up in zip(steps, (slope, moved - pairs - STIFF * decay * n * move), strict=True):
-            weights += rate * (1 - n_round / rounds) * momentum.step(up)
+            weights += rate * min(1.0, (n_round + 1) / WARM) * (1 - n_round / rounds) * momentum.step(up)
     return Crf(state, move)
 
 

@@ -23,7 +23,8 @@ class Maker:
         return "".join(self.rng.choice(SYLLABLES) for _ in range(self.rng.choice((1, 1, 2, 2, 3, 4))))
 
     def phrase(self, low: int, high: int) -> str:
-        return " ".join(self.word() for _ in range(self.rng.randint(low, high))).capitalize()
+        words = " ".join(self.word() for _ in range(self.rng.randint(low, high)))
+        return words if self.rng.random() < 0.12 else words.capitalize()
 
     def prose(self) -> str:
         if self.rng.random() < 0.25:  # short paragraphs are prose too
@@ -62,7 +63,10 @@ def furniture(m: Maker, kind: str) -> None:
     r = m.rng
     if kind == "nav":
         close = m.box(r.choice(("nav", "nav", "div")), ("nav", "menu", "main-menu", "navbar", "breadcrumb", "site-navigation"))
-        m.links(r.randint(2, 9))
+        if r.random() < 0.25:  # without a list
+            loose(m, r.choice((run_of_links(m, r.randint(1, 7)), m.phrase(1, 6))), False)
+        else:
+            m.links(r.randint(2, 9))
     elif kind == "header":
         close = m.box(r.choice(("header", "div")), ("header", "masthead", "site-header", "topbar"))
         m.leaf(r.choice(("div", "p", "h2")), m.phrase(1, 5), False)
@@ -201,6 +205,13 @@ def paragraphs(m: Maker, low: int = 1, high: int = 9, tags: tuple[str, ...] = ("
 
 def semantic(m: Maker) -> None:
     r = m.rng
+    x = r.random()
+    if x < 0.1:  # the article alone
+        article(m)
+        return
+    if x < 0.15:  # no article
+        furniture(m, r.choice(("nav", "header", "form", "notice", "footer")))
+        return
     for kind, often in (("notice", 0.15), ("header", 0.45), ("nav", 0.85), ("form", 0.15), ("ad", 0.55), ("sidebar", 0.12)):
         if r.random() < often:
             furniture(m, kind)
