@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.operators.shared import cut
+from loomgrid.operators.shared import Rounds
 
 
 def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -40,15 +40,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     and is left to the caller. Raises RuntimeError if max_rounds rounds don't settle.
     """
     pairs = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s <> d")
-    now = cut(pairs.select(F.greatest("s", "d").alias("a"), F.least("s", "d").alias("b")).distinct())
-    before = _state(now)
-    if not before[0]:
-        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    for _ in range(max_rounds):
-        now = cut(_stars(_stars(now, True), False))
-        after = _state(now)
-        if after == before:
-            roots = now.select(F.col("b").alias("node")).distinct()
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots.select("node", F.col("node").alias("component")))
-        before = after
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    rounds = Rounds(edges.sparkSession, "components")
+    now = rounds.put(pairs.select(F.greatest("s", "d").alias("a"), F.least("s", "d").alias("b")).distinct())
+    before, after = None, _state(now)
+    while after[0] and after != before:
+        if rounds.n > max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        now = rounds.put(_stars(_stars(now, True), False))
+        before, after = after, _state(now)
+    roots = now.select(F.col("b").alias("node")).distinct()
+    return rounds.end(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots.select("node", F.col("node").alias("component"))))

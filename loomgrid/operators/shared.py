@@ -47,3 +47,31 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the shared folder, so that what follows neither recomputes them nor fails with an executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark can write."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Rounds:
+    """The state of an iteration. A checkpoint hands the estimated size of its plan on, and joins multiply estimates, so that after
+    some rounds the estimate alone fills the driver; a table that is written and read again has the size of its files. Each round's
+    table takes the place of the one before, which nothing but the new one may have been made of."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path, self.n = spark, fresh_dir(spark, label), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.path}/{self.n}")
+        if self.n > 1:
+            delete(self.spark, f"{self.path}/{self.n - 1}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
+
+    def end(self, df: DataFrame) -> DataFrame:
+        """What is made of the last state, as a checkpoint; the state itself is deleted."""
+        done = cut(df)
+        delete(self.spark, self.path)
+        return done
