@@ -12,9 +12,10 @@ near_dedup_keep() asks for a Jaccard similarity of sets of shingles. There a sha
 seeded permutations, for each of BANDS groups of them, so a document has BANDS rows whatever the size of the corpus, and a
 shard holds documents that share much of their text. The shard's BK-tree finds candidates by one word of the set's fingerprint;
 further words and the sizes of the sets thin them out, and only the exact Jaccard similarity of two sets (of 64-bit hashes)
-makes a link. Each document has its few nearest candidates compared in a round; those of which some were left out meet again
-with more, unless links have joined them meanwhile, so every candidate is either joined or compared, while copies of one
-document don't make all pairs.
+makes a link. First each document has its few nearest candidates compared, which joins most groups. Documents of which some
+candidate was left out then meet again, with their sets, in those shards where they aren't all joined yet: there the task
+compares each two candidates that nothing joins, and gives only the forest of the links. So every candidate is either joined or
+compared, and no group of copies makes all its pairs as rows.
 
 A shard of more than SHARD rows is first cut into pieces by a hash, each a tree of its own, for as long as that still finds
 links. Then only the rows outside the shard's largest component are left to be compared with all of its rows, in pieces too:
@@ -34,7 +35,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.llm.text import as_bytes, trim
@@ -48,7 +49,8 @@ SHARD = 4_096
 FIELDS, FIELDS_UP_TO = 6, 1 << 27
 #: Shardings by least hashes, and the hashes that a shard agrees on: 99.96 % of the pairs of similarity 0.8 share one.
 BANDS, ROWS = 20, 5
-PROPOSED, MORE = 2, 8  # candidates that a document has compared in the first round, and times as many in each further one
+PROPOSED = 2  # candidates that a document has compared before its sets go to the shards
+HEAVY = 2_048  # shingles that make a set count as a row of a shard, and as two if it has twice as many
 _CHUNK = 1 << 16  # shingles whose bits are unpacked at once
 
 
@@ -303,6 +305,73 @@ def _shard_candidates(batches: Iterator[pa.RecordBatch], radius: int, bits: int,
     trim()
 
 
+class Sets:
+    """Sets of hashes of some rows, with the share that one of them has in common with others."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        known, self.at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(known), dtype=bool)
+
+    def _own(self, n: int) -> np.ndarray:
+        return self.at[self.starts[n] : self.starts[n + 1]]
+
+    def jaccard(self, one: int, others: np.ndarray) -> np.ndarray:
+        self.mark[self._own(one)] = True
+        shared = self.mark[np.concatenate([self._own(n) for n in others])]
+        self.mark[self._own(one)] = False
+        both = np.add.reduceat(shared, np.concatenate([[0], np.cumsum(self.sizes[others])[:-1]]), dtype=np.int64)
+        return both / (self.sizes[one] + self.sizes[others] - both)
+
+
+def _shard_confirmed(batches: Iterator[pa.RecordBatch], radius: int, bits: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, tag, node, label, size, keys, shingles, fingerprint words) as in _shards(). Gives the forest of the partition's
+    links: candidates of different labels, compared exactly in the first shard they share, unless links have joined them already."""
+    forest = Forest()
+    for columns, tree, searches in _shards(batches):
+        key, node, label, size = columns[0][0], columns[2], columns[3].copy(), columns[4]
+        if label.min() == label.max():
+            continue
+        bands = np.stack(columns[5])
+        prints = np.stack([c.view(np.uint64) for c in columns[7:]], axis=1)
+        sets = Sets([np.frombuffer(raw, dtype="<u8") for raw in columns[6]])
+        grown = BKTree(prints[tree, 0])
+        for k in range(0, len(searches), 256):
+            part = searches[k : k + 256]
+            found: list[tuple[np.ndarray, ...]] = []
+            for v, q in grown.near(prints[part, 0], radius):
+                a, b = tree[v], part[q]
+                ok = (label[a] != label[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) * (1 - 1e-9))
+                a, b = a[ok], b[ok]
+                if len(a):
+                    apart = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64)
+                    ok = apart <= bits
+                    found.append((a[ok], b[ok], apart[ok]))
+            if not found:
+                continue
+            a, b, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+            same = bands[a] == bands[b]
+            ok = bands[a, same.argmax(axis=1)] == key  # else another shard compares them
+            a, b, apart = a[ok], b[ok], apart[ok]
+            order = np.lexsort((apart, b))
+            a, b = a[order], b[order]
+            starts = [*np.flatnonzero(np.r_[True, b[1:] != b[:-1]]).tolist(), len(b)] if len(b) else []
+            for s, e in zip(starts, starts[1:], strict=False):
+                one, rest = b[s], a[s:e]
+                while len(rest := rest[label[rest] != label[one]]):
+                    near, rest = rest[:64], rest[64:]
+                    for other in near[sets.jaccard(one, near) >= similarity]:
+                        if label[other] != label[one]:
+                            forest.join(int(node[one]), int(node[other]))
+                            label[label == label[other]] = label[one]
+    members = list(forest.up)
+    for k in range(0, len(members), 10_000):
+        part = members[k : k + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (part, [forest.root(m) for m in part])], names=["src", "dst"])
+    trim()
+
+
 def _large(rows: DataFrame, count: int) -> DataFrame | None:
     """(key, n) of the shards beyond SHARD, if there are any, in two steps: hashes of keys that few rows share can't hold one,
     and only the rest is counted by key, so that the usual case costs no shuffle of a row a shard."""
@@ -332,13 +401,13 @@ def _ordered(tagged: DataFrame) -> DataFrame:
     return tagged.repartition("key", F.expr("tag div 2")).sortWithinPartitions("key", "tag")
 
 
-def _all_in(rows: DataFrame, large: DataFrame | None) -> DataFrame:
+def _all_in(rows: DataFrame, large: DataFrame | None, weight: Column | None = None) -> DataFrame:
     """Rows (key, tag, node, ...) by shard, in which each two rows of different labels of a shard meet. In a large shard the rows
-    outside its largest label build the trees, in pieces, and all its rows search them."""
+    outside its largest label build the trees, in pieces, and all its rows search them. weight: what a row takes of a piece."""
     if large is None:
         return _pieces(rows, None)
     told = checked(large, large.count())
-    labels = rows.join(told, "key").groupBy("key", "label").agg(F.count("*").alias("n"))
+    labels = rows.join(told, "key").groupBy("key", "label").agg(F.sum(F.lit(1) if weight is None else weight).cast("long").alias("n"))
     shares = labels.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"))
     split = cut(shares.select("key", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / SHARD).alias("trees"), F.ceil(F.col("n") / SHARD).alias("searches")).where("trees > 0"))
     some = rows.join(checked(split, split.count()), "key")
@@ -370,10 +439,13 @@ def links(prints: DataFrame, radius: int, fields: int, count: int | None = None)
     return first.unionAll(_all_in(labelled, large).mapInArrow(work, "src long, dst long"))
 
 
+SETS = "node long, digest binary, shingles binary"
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(raw, width).tobytes() for raw in as_bytes(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in (map(xxhash.xxh3_128_digest, sets), sets))], names=["node", "digest", "shingles"])
     trim()
 
 
@@ -395,12 +467,31 @@ def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
 def confirmed(texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Of pairs (src, dst) of ids those whose shingle sets have the Jaccard similarity, exactly. texts: (doc_id, t)."""
     wanted = cut(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct())
-    sets = cut(texts.join(checked(wanted, wanted.count()), "doc_id", "left_semi").select("doc_id", "t").mapInArrow(partial(_sets, width=width), "node long, shingles binary"))
+    sets = cut(texts.join(checked(wanted, wanted.count()), "doc_id", "left_semi").select("doc_id", "t").mapInArrow(partial(_sets, width=width), SETS).drop("digest"))
     a, b = sets.alias("a"), sets.alias("b")
     both = pairs.join(a, F.col("src") == F.col("a.node")).join(b, F.col("dst") == F.col("b.node")).select("src", "dst", F.col("a.shingles").alias("x"), F.col("b.shingles").alias("y"))
     return both.mapInArrow(partial(_alike, similarity=similarity), "src long, dst long")
 
 
+def _links_of_rest(texts: DataFrame, rest: DataFrame, width: int, bounds: dict) -> DataFrame | None:
+    """Links (src, dst) that join what all confirmed candidates among rest (node, digest, label, size, keys, fingerprint words) join; none,
+    if no shard has several labels."""
+    weight = F.ceil(F.col("size") / HEAVY)
+    dealt = rest.select(F.explode("keys").alias("key"), "node", "digest", "label", "size")
+    several = cut(dealt.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum(weight).cast("long").alias("n")).where("low < high").select("key", "n"))
+    if not (count := several.count()):
+        return None
+    rows = cut(dealt.join(checked(several, count), "key", "left_semi").select("key", "node", "digest"))
+    wanted = cut(rows.select("node").distinct())
+    sets = texts.join(checked(wanted, wanted.count()), F.col("doc_id") == F.col("node"), "left_semi").select("doc_id", "t").mapInArrow(partial(_sets, width=width), SETS)
+    whole = cut(rest.join(sets.dropDuplicates(["node", "digest"]), ["node", "digest"]))  # an id can have several texts
+    names = [c for c in rest.columns if c not in ("node", "digest", "label", "size", "keys")]
+    shards = rows.join(whole, ["node", "digest"]).select("key", "node", "label", "size", "keys", "shingles", *names)
+    large = cut(several.where(F.col("n") > SHARD))
+    met = _all_in(shards, None if large.isEmpty() else large, weight)
+    return cut(met.mapInArrow(partial(_shard_confirmed, **bounds), "src long, dst long"))
+
+
 def components(prints: DataFrame, radius: int = 4, fields: int | None = None) -> DataFrame:
     """prints: (doc_id, fp), one row per document. Returns doc_id, fp, component_id (the smallest id that links reach)."""
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -429,36 +520,24 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     sketches = cut(texts.mapInArrow(made, "doc_id long, digest binary, size long, keys array<long>, " + ", ".join(f"{w} long" for w in names)))
     of_equal = F.min(F.struct("doc_id", "size", "keys", *names)).alias("s")
     classes = cut(sketches.groupBy("digest").agg(of_equal).select("digest", F.col("s.doc_id").alias("node"), "s.size", "s.keys", *(f"s.{w}" for w in names)))
-    work = partial(_shard_candidates, radius=bits_apart(similarity, 64, spread), bits=bits_apart(similarity, 64 * words, spread), similarity=similarity)
-    now, most, whole = classes.withColumn("label", F.col("node")), PROPOSED, False
-    tested = joined = component = None
-    while True:
-        shards = now.select(F.explode("keys").alias("key"), "node", "label", "size", *names)
-        large = _large(shards, now.count() * bands)
-        whole = whole or large is None  # whether each two rows of a shard meet in this round
-        dealt = _all_in(shards, large) if whole else _pieces(shards, large)
-        found = cut(dealt.mapInArrow(partial(work, most=most), CANDIDATES))
-        pairs = found.where("dst is not null").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "apart", F.col("src").alias("by")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["src", "dst"], "left_anti")
-        nearest = F.row_number().over(Window.partitionBy("by").orderBy("apart", F.xxhash64("src", "dst"), "src", "dst"))
-        ranked = cut(pairs.withColumn("near", nearest <= most))  # a document has at most `most` candidates a shard
-        wanted = cut(ranked.where("near").select("src", "dst").distinct())
-        new = cut(confirmed(texts, wanted, width, similarity))
-        tested = wanted if tested is None else tested.unionAll(wanted)
-        progress = not new.isEmpty()
-        if joined is None or progress:
-            joined = new if joined is None else joined.unionAll(new)
-            component = connected_components(joined)
-        over = [found.where("dst is null").select(F.col("src").alias("node")), ranked.where("not near").select(F.explode(F.array("src", "dst")).alias("node"))]
-        if not whole:
-            over.append(shards.join(checked(large, large.count()), "key", "left_semi").select("node"))
-        left_out = cut(reduce(DataFrame.unionAll, over).distinct())
-        if left_out.isEmpty():
-            break
-        whole = whole or not progress
-        now = cut(classes.join(left_out, "node", "left_semi").join(component, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "size", "keys", *names))
-        most *= MORE
+    bounds = {"radius": bits_apart(similarity, 64, spread), "bits": bits_apart(similarity, 64 * words, spread), "similarity": similarity}
+    shards = classes.select(F.explode("keys").alias("key"), "node", F.col("node").alias("label"), "size", *names)
+    large = _large(shards, classes.count() * bands)
+    found = cut(_pieces(shards, large).mapInArrow(partial(_shard_candidates, most=PROPOSED, **bounds), CANDIDATES))
+    pairs = found.where("dst is not null").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "apart", F.col("src").alias("by")).distinct()
+    nearest = F.row_number().over(Window.partitionBy("by").orderBy("apart", F.xxhash64("src", "dst"), "src", "dst"))
+    ranked = cut(pairs.withColumn("near", nearest <= PROPOSED))  # a document has at most that many candidates a shard
+    first = cut(confirmed(texts, cut(ranked.where("near").select("src", "dst").distinct()), width, similarity))
+    component = connected_components(first)
+    over = [found.where("dst is null").select(F.col("src").alias("node")), ranked.where("not near").select(F.explode(F.array("src", "dst")).alias("node"))]
+    if large is not None:  # whose pieces have not met each other
+        over.append(shards.join(checked(large, large.count()), "key", "left_semi").select("node"))
+    left_out = cut(reduce(DataFrame.unionAll, over).distinct())
+    if not left_out.isEmpty():
+        rest = cut(classes.join(left_out, "node", "left_semi").join(component, "node", "left").select("node", "digest", F.coalesce("component", "node").alias("label"), "size", "keys", *names))
+        more = _links_of_rest(texts, rest, width, bounds)
+        if more is not None:
+            component = connected_components(first.unionAll(more))
     roots = classes.join(component, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     named = sketches.select("doc_id", "digest").join(roots, "digest").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return named.where("doc_id > component_id")
