@@ -119,7 +119,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, piece: in
     trim()
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, piece: int = 256, group: int = 1024, close: int = 0, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, piece: int = 64, group: int = 1024, close: int = 0, vocabulary: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     if not 0 < piece <= capacity:
         raise ValueError("a piece must fit in a sequence")
