@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions.segments import clip_open, nearest_on
 from loomgrid.operators.grid_join import grid_join
+from loomgrid.operators.shared import cut
 
 
 def clip_runs(segments: DataFrame, keys: list[str], seq: str, bounds: tuple[float, float, float, float]) -> DataFrame:
@@ -32,19 +33,22 @@ def run_points(runs: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return grouped.select(*keys, "piece", F.concat(first, F.transform("s", lambda s: F.struct(s["bx"].alias("x"), s["bz"].alias("z")))).alias("pts"))
 
 
-def nearest_lines(points: DataFrame, lines: DataFrame, reach: float, growth: float = 3.0, rounds: int = 8) -> DataFrame:
+def nearest_lines(points: DataFrame, lines: DataFrame, reach: float, growth: float = 3.0) -> DataFrame:
     """(pid, line, d) of points (pid, px, pz): the nearest of lines (line, ax, az, bx, bz), of equals the smallest. Points that find
-    nothing within reach look further in the next round, `growth` times as far; after the last, there is no line near at all."""
+    nothing within reach look further in the next round, `growth` times as far, until all have found a line. Without lines, and
+    for points without coordinates, there are no rows."""
+    ends = lines.selectExpr("stack(2, ax, az, bx, bz) as (x, z)").unionAll(points.select("px", "pz"))
+    span = ends.where("not isnan(x) and not isnan(z)").agg(F.max("x") - F.min("x"), F.max("z") - F.min("z")).first()
+    farthest = sum(s or 0.0 for s in span)  # no two ends lie further apart
     found = []
     left = points
-    for _ in range(rounds):
+    while True:
         box = (F.least("ax", "bx"), F.least("az", "bz"), F.greatest("ax", "bx"), F.greatest("az", "bz"))
         around = (F.col("px") - reach, F.col("pz") - reach, F.col("px") + reach, F.col("pz") + reach)
         met = grid_join(left, lines, around, box, reach).withColumn("d", nearest_on(*(F.col(n) for n in ("px", "pz", "ax", "az", "bx", "bz")))["d"]).where(F.col("d") <= reach)
-        best = met.groupBy("pid").agg(F.min(F.struct("d", "line")).alias("b")).select("pid", F.col("b.line").alias("line"), F.col("b.d").alias("d"))
+        best = cut(met.groupBy("pid").agg(F.min(F.struct("d", "line")).alias("b")).select("pid", F.col("b.line").alias("line"), F.col("b.d").alias("d")))
         found.append(best)
-        left = left.join(best, "pid", "left_anti")
+        left = cut(left.join(best, "pid", "left_anti"))
+        if reach > farthest or left.isEmpty():
+            return reduce(DataFrame.unionAll, found)
         reach *= growth
-        if len(found) >= 2 and left.isEmpty():
-            break
-    return reduce(DataFrame.unionAll, found)

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions import rings
 from loomgrid.functions.scalars import right_lane_offset
+from loomgrid.operators.components import connected_components
 from loomgrid.operators.shared import cut
 
 # Classes that are no roads, driving speeds, and the tolerance of a budget.
@@ -56,19 +58,34 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def spurs(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """Edges that hang on a dead end: those that fall away when edges with a loose end are taken off again and again."""
+PLAIN = 3  # rounds that take off one edge a dead end, before whole chains are
+
+
+def _loose(left: DataFrame, whole_chains: bool) -> DataFrame:
+    """(edge) with a loose end; or all edges of the chains that have one. A chain is edges that follow each other over nodes of two."""
+    ends = left.select("edge", F.explode(F.array("a", "b")).alias("node"))
+    at = ends.groupBy("node").agg(F.count("*").alias("n"), F.min("edge").alias("edge"), F.max("edge").alias("other"))
+    loose = at.where("n = 1").select("edge").distinct()
+    if not whole_chains:
+        return loose
+    chains = connected_components(at.where("n = 2 and edge <> other"), "edge", "other").withColumnRenamed("node", "edge")
+    named = loose.join(chains, "edge", "left")
+    members = chains.join(named.where("component is not null").select("component").distinct(), "component", "left_semi").select("edge")
+    return members.unionAll(named.where("component is null").select("edge"))
+
+
+def spurs(edges: DataFrame, most_rounds: int = 1_000) -> DataFrame:
+    """Edges that hang on a dead end: those that fall away when edges with a loose end are taken off again and again. After some
+    rounds whole chains fall at once, so the rounds grow with the branching of a dead end, not with its length."""
     left = cut(edges.select("edge", "a", "b"))
-    gone = None
-    for _ in range(most_rounds):
-        ends = left.select("edge", F.explode(F.array("a", "b")).alias("node"))
-        loose = ends.groupBy("node").agg(F.count("*").alias("n"), F.min("edge").alias("edge")).where("n = 1").select("edge").distinct()
-        taken = cut(loose)
-        if taken.isEmpty():
-            break
-        gone = taken if gone is None else cut(gone.unionAll(taken))
-        left = cut(left.join(taken, "edge", "left_anti"))
-    return gone if gone is not None else left.select("edge").limit(0)
+    taken = []
+    for n in range(most_rounds):
+        loose = cut(_loose(left, n >= PLAIN))
+        if loose.isEmpty():
+            return reduce(DataFrame.unionAll, taken) if taken else loose
+        taken.append(loose)
+        left = cut(left.join(loose, "edge", "left_anti"))
+    raise RuntimeError(f"dead ends did not settle in {most_rounds} rounds")
 
 
 def reach(nodes: DataFrame, edges: DataFrame, starts: DataFrame, budget: float, most_rounds: int = 10_000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions import fields, rings
 from loomgrid.operators import cities, faces, network, terrain
 from loomgrid.operators.land import adjacent
+from loomgrid.operators.numbering import numbered
 from loomgrid.plans import tables as t
 from loomgrid.plans.queries import noise_sql, query
 
@@ -61,9 +62,10 @@ def city_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _one_graph(spark: SparkSession, sf_dir: str):
     """nodes and edges of all graph cities, with ids that are unique over the cities."""
     made = _cities(spark, sf_dir)
-    key = F.abs(F.xxhash64("city_id")) % 1_000_000_007 * 100_000
-    nodes = made.table("nodes").select("city_id", (key + F.col("node")).alias("node"), "x", "z")
-    edges = made.table("edges").where("not removed").select("city_id", (key + F.col("edge")).alias("edge"), (key + F.col("a")).alias("a"), (key + F.col("b")).alias("b"), "cls", "width", "bridge", F.lit(0.0).alias("level"), F.lit(False).alias("tunnel"))
+    base = numbered(made.table("nodes").select("city_id").distinct(), [F.col("city_id")], "city")
+    key = F.col("city") * (1 << 32)
+    nodes = made.table("nodes").join(base, "city_id").select("city_id", (key + F.col("node")).alias("node"), "x", "z")
+    edges = made.table("edges").where("not removed").join(base, "city_id").select("city_id", (key + F.col("edge")).alias("edge"), (key + F.col("a")).alias("a"), (key + F.col("b")).alias("b"), "cls", "width", "bridge", F.lit(0.0).alias("level"), F.lit(False).alias("tunnel"))
     return nodes, edges
 
 

@@ -128,3 +128,35 @@ def test_car_heights(spark):
     placed = spark.createDataFrame([(True, False), (False, True), (False, False)], "elevated boolean, below_grade boolean")
     got = network.car_heights(placed, F.lit(2.0), F.lit(9.0), 0.5, 1.0).collect()
     assert [(r.y, r.visible) for r in got] == [(10.0, True), (0.0, False), (2.5, True)]
+
+
+def test_long_chains_fall_in_few_rounds(spark):
+    from loomgrid.operators.network import spurs
+
+    ring = [(k, k, (k + 1) % 5) for k in range(5)]  # stays
+    chain = [(100 + k, 1000 + k, 1001 + k) for k in range(3000)] + [(99, 0, 1000)]  # hangs on the ring
+    side = [(5000 + k, (1500, 6001, 6002, 6003)[k], 6001 + k) for k in range(4)]  # hangs on the chain
+    loop = [(7000, 8000, 8000), (7001, 8000, 8001), (7002, 8001, 8002)]  # a loop with a tail: the tail falls
+    rows = ring + chain + side + loop
+    got = {r.edge for r in spurs(spark.createDataFrame(rows, "edge long, a long, b long"), most_rounds=12).collect()}
+    left = list(rows)
+    while True:
+        degree = {}
+        for _, a, b in left:
+            degree[a] = degree.get(a, 0) + 1
+            degree[b] = degree.get(b, 0) + 1
+        keep = [x for x in left if degree[x[1]] > 1 and degree[x[2]] > 1]
+        if len(keep) == len(left):
+            break
+        left = keep
+    assert got == {e for e, _, _ in rows} - {e for e, _, _ in left} and len(got) > 3000
+
+
+def test_far_points_find_their_line(spark):
+    from loomgrid.operators.lines import nearest_lines
+
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 3e5, 0.0), (3, None, 1.0)], "pid long, px double, pz double")
+    lines = spark.createDataFrame([(7, 0.0, 5.0, 1.0, 5.0), (8, 0.0, 9.0, 1.0, 9.0)], "line long, ax double, az double, bx double, bz double")
+    got = {r.pid: (r.line, round(r.d)) for r in nearest_lines(points, lines, 64.0).collect()}
+    assert got == {1: (7, 5), 2: (7, 299999)}
+    assert nearest_lines(points, lines.limit(0), 64.0).count() == 0
