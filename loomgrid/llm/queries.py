@@ -126,8 +126,15 @@ def op10_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgrid.llm.sharding import assign
+
+    found = assign(_read(spark, sf_dir, "documents"), shards=8)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_permutation_index, op2_exact_dedup, op3_html_extraction, op4_pii_surrogates, op5_hierarchical_budgets, op6_warc_archives, op7_secret_scan, op8_simhash_near_dedup, op9_importance_resampling, op10_karmarkar_karp_packing)}
+    return {f.__name__: f for f in (op1_permutation_index, op2_exact_dedup, op3_html_extraction, op4_pii_surrogates, op5_hierarchical_budgets, op6_warc_archives, op7_secret_scan, op8_simhash_near_dedup, op9_importance_resampling, op10_karmarkar_karp_packing, op11_lpt_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
