@@ -133,9 +133,84 @@ def op11_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgrid.llm.conversation_repair import damage, report
+
+    turns = _read(spark, sf_dir, "conversations")
+    return report(damage(turns), also=turns.select("conv_id"))
+
+
+#: The CRC-32 of an ASCII string, bit by bit.
+CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda s: ascii(s)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT)"
+
+# A state is its cost in nine digits and its audit, so that states compare as strings.
+_PLUS = "CASE WHEN {0} IS NOT NULL THEN lpad((left({0}, 9)::BIGINT + {1})::VARCHAR, 9, '0') || substr({0}, 10) || {2} END"
+_ANY = "least(nothing, system, assistant)"
+
+
+def _plus(state: str, cost: str | int, edit: str) -> str:
+    return _PLUS.format(state, cost, f"'{edit}'")
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE fates AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {CRC32.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fate
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, copy, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM fates, (VALUES (0), (1)) AS c(copy) WHERE fate <> 0 AND (copy = 0 OR fate = 3)
+), turns AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS r,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'd'
+      WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 't' ELSE '-' END AS fault
+  FROM damaged
+), steps AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS n, lpad('', 9, '0') AS nothing, NULL::VARCHAR AS system, '000000005I' AS usr, '000000010II' AS assistant FROM conversations
+  UNION ALL
+  SELECT conv_id, n, nothing, system, usr, least(assistant, {_plus('usr', 5, 'I')}) FROM (
+    SELECT conv_id, n, nothing, system, least(usr, {_plus(_ANY, 5, 'I')}) AS usr, assistant FROM (
+      SELECT t.conv_id, t.n, {_plus('s.nothing', 2, 'D')} AS nothing,
+        least({_plus('s.system', 2, 'D')}, CASE WHEN r = 's' AND fault IN ('-', 't') THEN {_plus('s.nothing', "(fault = 't')::INT * 5", 'K')} END) AS system,
+        least({_plus('s.usr', 2, 'D')}, CASE WHEN fault IN ('-', 't') THEN
+          CASE WHEN r = 'u' THEN {_plus(_ANY, "(fault = 't')::INT * 5", 'K')} ELSE {_plus(_ANY, "(fault = 't')::INT * 5 + 1", 'R')} END END) AS usr,
+        least({_plus('s.assistant', 2, 'D')}, CASE WHEN fault IN ('-', 't') THEN
+          CASE WHEN r = 'a' THEN {_plus('s.usr', "(fault = 't')::INT * 5", 'K')} ELSE {_plus('s.usr', "(fault = 't')::INT * 5 + 1", 'R')} END END) AS assistant
+      FROM steps s JOIN turns t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.n = s.n + 1)))
+, best AS (
+  SELECT conv_id, arg_max(least(nothing, assistant), n) AS state FROM steps GROUP BY conv_id
+), audits AS (
+  SELECT conv_id, left(state, 9)::BIGINT AS cost, substr(state, 10) AS audit FROM best
+), edits AS (
+  SELECT conv_id, p, audit[p] AS edit,
+    sum((audit[p] <> 'I')::INT) OVER w AS n, sum((audit[p] <> 'D')::INT) OVER w AS place
+  FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM audits)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY p)
+), placed AS (
+  SELECT e.conv_id, p, edit, place, role, text, max((edit = 'K' AND r = 's')::INT) OVER (PARTITION BY e.conv_id) AS led
+  FROM edits e LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM e.conv_id AND t.n = e.n
+), mended AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS body
+  FROM placed WHERE edit <> 'D' GROUP BY conv_id
+), pairs AS (
+  SELECT *, lag(r) OVER (PARTITION BY conv_id ORDER BY n) || r AS pair FROM turns
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum((fault = 'b')::INT) AS blank, sum((fault = 'd')::INT) AS duplicate,
+    sum((fault = 't')::INT) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM pairs GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, cost, audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM audits a LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN mended m ON m.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_permutation_index, op2_exact_dedup, op3_html_extraction, op4_pii_surrogates, op5_hierarchical_budgets, op6_warc_archives, op7_secret_scan, op8_simhash_near_dedup, op9_importance_resampling, op10_karmarkar_karp_packing, op11_lpt_sharding)}
+    return {f.__name__: f for f in (op1_permutation_index, op2_exact_dedup, op3_html_extraction, op4_pii_surrogates, op5_hierarchical_budgets, op6_warc_archives, op7_secret_scan, op8_simhash_near_dedup, op9_importance_resampling, op10_karmarkar_karp_packing, op11_lpt_sharding, op12_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op6_warc_archives": OP6_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op6_warc_archives": OP6_SQL, "op12_conversation_repair": OP12_SQL}
