@@ -164,9 +164,11 @@ WITH RECURSIVE fates AS (
 ), turns AS (
   SELECT conv_id, turn, role, text, left(role, 1) AS r,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n,
-    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b'
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b'
       WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'd'
-      WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 't' ELSE '-' END AS fault
+      WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 't' ELSE '-' END AS fault
   FROM damaged
 ), steps AS (
   SELECT DISTINCT conv_id, 0::BIGINT AS n, lpad('', 9, '0') AS nothing, NULL::VARCHAR AS system, '000000005I' AS usr, '000000010II' AS assistant FROM conversations
@@ -208,9 +210,48 @@ FROM audits a LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEF
 """
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgrid.llm.prefix_trie import compact, prefix_trie, rebuild
+
+    rows, convs = rebuild(compact(_read(spark, sf_dir, "conversations")))
+    return prefix_trie(rows, convs).drop("turn_digest")
+
+
+OP13_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {CRC32.format("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS part, place, role, text FROM convs c JOIN turns t ON t.conv_id = base AND place < h
+  UNION ALL SELECT c.conv_id, 1, place, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND place >= h
+), deep AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth, role, text FROM rebuilt
+), prefixes AS (
+  SELECT conv_id, depth, length(text) AS chars, sha256(string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM deep
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(chars) AS saved FROM prefixes GROUP BY node, depth
+), parents AS (
+  SELECT n.*, u.node AS parent, u.conv_id AS parent_conv_id FROM nodes n
+  LEFT JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1 LEFT JOIN nodes u ON u.node = p.node AND u.depth = p.depth
+), children AS (
+  SELECT parent AS node, count(*) AS n_children FROM parents WHERE depth > 0 GROUP BY parent
+), sums AS (
+  SELECT p.node, sum(n.saved) AS saved_tokens, count(*) FILTER (WHERE c.node IS NULL) AS n_leaves
+  FROM nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth <= n.depth LEFT JOIN children c ON c.node = n.node GROUP BY p.node
+), ends AS (
+  SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(node, depth) AS node FROM prefixes GROUP BY conv_id) GROUP BY node
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM parents LEFT JOIN children USING (node) JOIN sums USING (node) LEFT JOIN ends USING (node)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_permutation_index, op2_exact_dedup, op3_html_extraction, op4_pii_surrogates, op5_hierarchical_budgets, op6_warc_archives, op7_secret_scan, op8_simhash_near_dedup, op9_importance_resampling, op10_karmarkar_karp_packing, op11_lpt_sharding, op12_conversation_repair)}
+    return {f.__name__: f for f in (op1_permutation_index, op2_exact_dedup, op3_html_extraction, op4_pii_surrogates, op5_hierarchical_budgets, op6_warc_archives, op7_secret_scan, op8_simhash_near_dedup, op9_importance_resampling, op10_karmarkar_karp_packing, op11_lpt_sharding, op12_conversation_repair, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op6_warc_archives": OP6_SQL, "op12_conversation_repair": OP12_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op6_warc_archives": OP6_SQL, "op12_conversation_repair": OP12_SQL, "op13_prefix_trie": OP13_SQL}
