@@ -4,7 +4,8 @@ An entity is a kind and a normal form: digits of a phone or card, a lower-case a
 surrogate is a keyed permutation of the normal form among those of the same format (a Feistel network that walks until
 it lands in the format), so different entities of one format differ by construction and one entity is the same in every
 document. Check digits, country codes, private address ranges and the script, gender and letter case of names stay. The
-surrogate is written in the format of each mention.
+surrogate is written in the format of each mention. Digits of any script count by their values, so a number is one entity in
+whatever digits it is written; its surrogate is written in the digits of the mention.
 
 Persons are found by titles, phrases, labels, greetings, closings and given names, and by the parts of a mail address in
 the text. A word of a name that was found counts wherever it stands in the document, so later bare mentions get the same
@@ -15,7 +16,8 @@ Collisions: the distinct entities are gathered once. Of those that share a surro
 surrogate occurs as an entity, are drawn anew with the next tweak; each tweak gives made names a syllable more and, from the
 third on, mail addresses a letter more, so that there is room for any number. The other formats have an end: an entity that
 is not settled after TWEAKS tweaks, because its format is all but full, takes the value of the next such entity of its
-format in a keyed order, so that surrogates still differ from each other and from what they replace. What differs from what
+format in a keyed order, so that surrogates still differ from each other and from what they replace; one that is the only such
+entity of its format is drawn until it differs from what it replaces. What differs from what
 a task draws by itself is looked up: in a broadcast if there are at most `exceptions` such entities, by a join with the
 documents that hold them beyond that.
 
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator, Mapping
 from functools import lru_cache, partial
 
@@ -50,7 +53,7 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = re.compile(rf"(?<![\w.-]){OCTET}(?:\.{OCTET}){{3}}(?![\w-]|\.\d)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4})(?![\w-]|\.\d)")
-NUMBER = re.compile(r"\d")
+NUMBER, FOREIGN = re.compile(r"\d"), re.compile(r"[^\D0-9]")
 
 #: Titles and greetings that name a person, by gender (f, m, n for neither).
 TITLES = {
@@ -119,6 +122,16 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+def plain_digits(text: str) -> str:
+    """The text with the digits 0 to 9 for those of any script."""
+    return text if text.isascii() else FOREIGN.sub(lambda m: str(unicodedata.decimal(m[0])), text)
+
+
+def digit_like(like: str, digit: str) -> str:
+    """A digit in the script of another one."""
+    return chr(ord(like) - unicodedata.decimal(like) + int(digit))
+
+
 def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
@@ -206,11 +219,12 @@ def entities(text: str, known: Mapping[str, str] = _KNOWN) -> list[tuple[int, in
     if "@" in text:
         found += [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
     if NUMBER.search(text):
-        found += [(m.start(), m.end(), "iban", v) for m in IBAN.finditer(text) if 15 <= len(v := m[0].replace(" ", "")) <= 34 and _mod97(v) == 1]
-        found += [(m.start(), m.end(), "card", re.sub(r"\D", "", m[0])) for m in CARD.finditer(text)]
-        found += [(m.start(), m.end(), "ip", m[0]) for m in IP.finditer(text)]
-        found += [(m.start(), m.end(), "ssn", m[0].replace("-", "")) for m in SSN.finditer(text)]
-        for m in PHONE.finditer(text):
+        plain = plain_digits(text)  # sign for sign as long as the text
+        found += [(m.start(), m.end(), "iban", v) for m in IBAN.finditer(plain) if 15 <= len(v := m[0].replace(" ", "")) <= 34 and _mod97(v) == 1]
+        found += [(m.start(), m.end(), "card", re.sub(r"\D", "", m[0])) for m in CARD.finditer(plain)]
+        found += [(m.start(), m.end(), "ip", m[0]) for m in IP.finditer(plain)]
+        found += [(m.start(), m.end(), "ssn", m[0].replace("-", "")) for m in SSN.finditer(plain)]
+        for m in PHONE.finditer(plain):
             digits = re.sub(r"\D", "", m[0])
             if 7 <= len(digits) <= 15:
                 found.append((m.start(), m.end(), "phone", ("+" if m[0][0] == "+" else "") + digits))
@@ -255,10 +269,14 @@ def _shuffle(text: str, key: bytes, tweak: str) -> str:
     for k, c in enumerate(text):
         for low, n in ALPHABETS:
             if low <= ord(c) < low + n:
-                places.append((k, low, n))
-                number, size = number * n + ord(c) - low, size * n
                 break
-    drawn = permute(number, size, key, f"{tweak}:{re.sub('[a-z]', 'a', re.sub('[0-9]', '0', text))}")
+        else:
+            if not c.isdecimal():
+                continue
+            low, n = ord(c) - unicodedata.decimal(c), 10
+        places.append((k, low, n))
+        number, size = number * n + ord(c) - low, size * n
+    drawn = permute(number, size, key, f"{tweak}:{re.sub('[a-z]', 'a', NUMBER.sub('0', text))}")
     out = list(text)
     for k, low, n in reversed(places):
         drawn, c = divmod(drawn, n)
@@ -337,7 +355,10 @@ def written(kind: str, mention: str, new: str) -> str:
     """A normal form in the format of a mention."""
     if kind in ("phone", "card", "ssn"):
         digits = iter(new.lstrip("+"))
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
+        return "".join(digit_like(c, next(digits)) if c.isdecimal() else c for c in mention)
+    if kind == "ip" and not mention.isascii():
+        like = next(c for c in mention if c.isdecimal())
+        return "".join(digit_like(like, c) if c.isdecimal() else c for c in new)
     if kind == "iban":
         signs = iter(new)
         return "".join(c if c == " " else next(signs) for c in mention)
@@ -369,6 +390,16 @@ def _drawn(batches: Iterator[pa.RecordBatch], key: bytes, make: Callable) -> Ite
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(new, pa.string())], names=["kind", "value", "gender", "attempt", "new"])
 
 
+def _other(batches: Iterator[pa.RecordBatch], key: bytes, make: Callable) -> Iterator[pa.RecordBatch]:
+    """The first further draw that isn't the value itself; a `make` that knows no other value has its entities masked."""
+    for batch in batches:
+        new = []
+        for k, v, g, n in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            drawn = (make(k, v, key, n + more, g) for more in range(64))
+            new.append(next((d for d in drawn if d != v), hashlib.blake2b(f"{k}:{v}".encode(), key=key, digest_size=8).hexdigest()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(new, pa.string())], names=["kind", "value", "gender", "attempt", "new"])
+
+
 def _formats(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
     """Each entity's format and its place in a keyed order."""
     for batch in batches:
@@ -426,10 +457,8 @@ def settled(found: DataFrame, key: bytes, make: Callable = surrogate) -> DataFra
     placed = now.mapInArrow(partial(_formats, key=key), DRAWN + ", format string, place binary")
     ring = Window.partitionBy("format").orderBy("place")
     turned = placed.withColumn("new", F.coalesce(F.lead("value").over(ring), F.first("value").over(ring)))
-    lone = cut(turned.where("new = value"))  # alone in its format, whose every other draw was taken
-    if not lone.isEmpty():
-        raise RuntimeError("no surrogate is left for an entity that is the only one of its format")
-    return done.select(*ENTITY).unionAll(turned.select(*ENTITY))
+    lone = turned.where("new = value").select("kind", "value", "gender", "attempt").mapInArrow(partial(_other, key=key, make=make), DRAWN + ", new string")
+    return done.select(*ENTITY).unionAll(turned.where("new <> value").select(*ENTITY)).unionAll(lone.select(*ENTITY))
 
 
 def replace(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text", exceptions: int = EXCEPTIONS, make: Callable = surrogate, given: Mapping[str, str] | None = None) -> DataFrame:

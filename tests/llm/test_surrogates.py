@@ -164,3 +164,43 @@ def test_the_whole_query_is_brute_force(spark):
         for bound in (1_000, 0):
             got = replace(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), KEY, exceptions=bound, make=make).collect()
             assert sorted(((r.doc_id, r.text) for r in got), key=str) == brute(rows, make)
+
+
+SCRIPTS = {"arabic": 0x660, "persian": 0x6F0, "devanagari": 0x966, "full width": 0xFF10, "thai": 0xE50}
+
+
+def in_script(text, zero):
+    return "".join(chr(zero + int(c)) if c in "0123456789" else c for c in text)
+
+
+def test_digits_of_every_script(spark):
+    plain = ["Call 123-456-7890 now.", "card 4111 1111 1111 1111", "SSN 078-05-1120 it is", "at 192.168.4.20 there", "ring +49 30 1234567 please"]
+    rows = [(k, t) for k, t in enumerate(plain)]
+    rows += [(100 * n + k, in_script(t, zero)) for n, zero in enumerate(SCRIPTS.values(), 1) for k, t in enumerate(plain)]
+    got = {r.doc_id: r for r in replace(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), b"k").collect()}
+    assert len(got) == len(rows)
+    value = lambda s: "".join(str(int(c)) for c in s if c.isdecimal())
+    for i, text in rows:
+        new = got[i].text
+        assert len(got[i].entities) == 1 and new != text
+        (e,) = got[i].entities
+        assert value(new) != value(text)
+        zero = [0x30, *SCRIPTS.values()][i // 100]
+        assert {ord(c) - int(c) for c in new if c.isdecimal()} == {zero}  # in the mention's own digits
+        if e.kind != "ip":
+            assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text)
+        assert value(new) == value(got[i % 100].text)  # one entity in whatever digits
+
+
+def test_one_lone_entity_is_replaced_whatever_its_script(spark):
+    rows = [(1, "Call ١٢٣-٤٥٦-٧٨٩٠ now."), (2, "nothing here")]
+    got = {r.doc_id: r.text for r in replace(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    assert got[2] == rows[1][1] and not any(c in got[1] and got[1] == rows[0][1] for c in "١٢٣")
+    assert re.fullmatch(r"Call [٠-٩]{3}-[٠-٩]{3}-[٠-٩]{4} now\.", got[1])
+
+
+def test_an_entity_without_another_draw_does_not_stop_the_rest(spark):
+    stuck = lambda kind, value, key, attempt=0, gender="": value if value == "0" else surrogate(kind, value, key, attempt, gender)
+    found = spark.createDataFrame([("ssn", "0", ""), ("ssn", "123456789", "")], "kind string, value string, gender string")
+    got = {r.value: r.new for r in settled(found, b"k", stuck).collect()}
+    assert len(got) == 2 and got["0"] != "0"
