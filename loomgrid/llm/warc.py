@@ -270,7 +270,8 @@ class Plain:
 
 
 class Members:
-    """A gzip member for each record. Only as much of a member is inflated as is asked for, if the index tells the next one."""
+    """Gzip members of one record each or of several. Only as much of a member is inflated as is asked for, if the index tells the next
+    one; without an index every record of a member is read."""
 
     def __init__(self, raw, starts: list[int], size: int):
         self.raw, self.starts, self.size = raw, starts, size
@@ -280,14 +281,23 @@ class Members:
         while at < end:
             self.raw.seek(at)
             member = Inflated(self.raw)
-            found = read_headers(member)
-            if found is None:
-                return
-            headers = found[0]
-            length = int(headers.get("content-length", "0"))
-            yield headers, length, lambda: member.read(length)  # noqa: B023  (called before the next step)
             following = bisect_right(self.starts, at)
-            at = self.starts[following] if following < len(self.starts) and len(self.starts) > 1 else at + member.rest()
+            indexed = following < len(self.starts) and len(self.starts) > 1
+            while (found := read_headers(member)) is not None:
+                headers, length = found[0], int(found[0].get("content-length", "0"))
+                left = length
+
+                def block() -> bytes:
+                    nonlocal left
+                    body = member.read(left)  # noqa: B023  (called before the next step)
+                    left -= len(body)
+                    return body
+
+                yield headers, length, block
+                if indexed:
+                    break
+                member.skip(left + 4)
+            at = self.starts[following] if indexed else at + member.rest()
 
 
 class Inflated:
@@ -325,6 +335,14 @@ class Inflated:
         self.held = whole[n:]
         return whole[:n]
 
+    def skip(self, n: int) -> None:
+        while n > len(self.held):
+            n -= len(self.held)
+            self.held = b""
+            if not self._more():
+                return
+        self.held = self.held[n:]
+
     def rest(self) -> int:
         """Steps to the member's end; the bytes it takes in the file."""
         while self._more():
@@ -340,7 +358,8 @@ def check(headers: dict[str, str], row: dict, block: bytes) -> None:
     if row["payload_bytes"] is not None and row["payload_bytes"] != len(payload):
         raise ValueError(f"{row['record_id']}: {len(payload)} bytes of payload, not {row['payload_bytes']}")
     told = headers.get("warc-payload-digest", "")
-    if told.startswith("sha1:") and row["payload_digest"] != hashlib.sha1(payload).hexdigest():
+    # digests are of the decoded payload here; other writers take them of the body as it was sent
+    if told.startswith("sha1:") and row["payload_digest"] not in (hashlib.sha1(x).hexdigest() for x in (payload, body_of(headers, block)[1])):
         raise ValueError(f"{row['record_id']}: the payload's digest differs")
 
 
@@ -381,12 +400,41 @@ def header_row(headers: dict[str, str], length: int) -> dict:
     return row
 
 
-def payload_of(headers: dict[str, str], block: bytes) -> bytes:
-    """The body of an HTTP block; other blocks are their own payload."""
+def body_of(headers: dict[str, str], block: bytes) -> tuple[bytes, bytes]:
+    """Head and body of an HTTP block; other blocks are body alone."""
     if not headers.get("content-type", "").startswith("application/http"):
-        return block
+        return b"", block
     head, _, body = block.partition(b"\r\n\r\n")
-    return gzip.decompress(body) if re.search(rb"(?im)^content-encoding:\s*gzip\s*$", head) else body
+    return head, body
+
+
+def joined_chunks(body: bytes) -> bytes:
+    """A body without its chunk sizes; from the first size that can't be read on, what is left belongs to no chunk."""
+    parts, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        told = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", told) or not (size := int(told, 16)):
+            break
+        parts.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(parts)
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    """The body of an HTTP block, out of its chunks and inflated (gzip, deflate); an encoding that isn't known is left as it is.
+    Other blocks are their own payload."""
+    head, body = body_of(headers, block)
+    field = lambda name: [x.strip().lower() for v in re.findall(rb"(?im)^" + name + rb":[ \t]*([^\r\n]*)", head) for x in v.split(b",")]
+    if b"chunked" in field(b"transfer-encoding"):
+        body = joined_chunks(body)
+    for coding in reversed(field(b"content-encoding")):
+        if coding in (b"gzip", b"x-gzip"):
+            body = gzip.decompress(body)
+        elif coding == b"deflate":  # with a zlib head, as it should be, or without
+            body = zlib.decompress(body, 15 if body[:1] == b"\x78" else -15)
+        elif coding not in (b"identity", b""):
+            break
+    return body
 
 
 def block_row(headers: dict[str, str], block: bytes) -> dict:

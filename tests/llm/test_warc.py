@@ -102,3 +102,39 @@ def test_many_groups_go_by_a_filter(spark):
     key = lambda r: (r.id, r.kind, r.refers_to)
     few, many = (sorted(map(key, plan_records(df, broadcast=n).collect())) for n in (1000, 0))
     assert few == many and sum(k == "revisit" for _, k, _ in few) == 250
+
+
+def foreign(n, body, head):
+    block = b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + body
+    fields = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{n}>\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n"
+    return fields.encode() + block + b"\r\n\r\n"
+
+
+def test_several_records_in_a_member(spark, tmp_path):
+    whole = [foreign(n, f"text {n}".encode() * (1 if n != 3 else 300_000), b"X: y") for n in range(6)]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(whole[:5])) + gzip.compress(whole[5]))
+    read = lambda columns: read_archives(spark, str(tmp_path), columns)
+    assert {r.page_id for r in read(["page_id"]).collect()} == set(range(6))
+    assert {r.page_id: r.payload for r in read(["page_id", "payload"]).collect()} == {n: f"text {n}" * (1 if n != 3 else 300_000) for n in range(6)}
+    assert [r.payload for r in read(["page_id", "payload"]).where("page_id = 4").collect()] == ["text 4"]
+
+
+def test_bodies_in_chunks_and_codings(spark, tmp_path):
+    import zlib
+
+    chunks = lambda b: b"".join(f"{len(b[k : k + 7]):x};q=1\r\n".encode() + b[k : k + 7] + b"\r\n" for k in range(0, len(b), 7)) + b"0\r\n\r\n"
+    text = "héllo wörld, again and again".encode()
+    raw = zlib.compressobj(wbits=-15)
+    told = [
+        (text, b"Server: x"),
+        (chunks(text), b"Transfer-Encoding: chunked"),
+        (chunks(gzip.compress(text)), b"transfer-encoding: Chunked\r\nContent-Encoding: gzip"),
+        (zlib.compress(text), b"Content-Encoding: deflate"),
+        (raw.compress(text) + raw.flush(), b"Content-Encoding: deflate"),
+        (gzip.compress(zlib.compress(text)), b"Content-Encoding: deflate, x-gzip"),
+        (text, b"Content-Encoding: identity"),
+        (text, b"Content-Encoding: br"),
+    ]
+    (tmp_path / "b.warc").write_bytes(b"".join(foreign(n, body, head) for n, (body, head) in enumerate(told)))
+    got = {r.page_id: r.payload for r in read_archives(spark, str(tmp_path), ["page_id", "payload"], verify="true").collect()}
+    assert got == dict.fromkeys(range(len(told)), text.decode())
