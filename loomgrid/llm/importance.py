@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.llm.text import trim
-from loomgrid.operators.shared import cut, without
+from loomgrid.operators.shared import checked, cut
 
 BUCKETS = 10_000
 SAMPLE = 20_000
@@ -97,7 +97,7 @@ def _weights(batches: Iterator[pa.RecordBatch], ratio, buckets: int) -> Iterator
     grams, table = Hasher(buckets), ratio.value
     for batch in batches:
         total = [sum(float(table[found].sum()) for found in grams(text.as_py() or "")) for text in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.float64())], names=["doc_id", "log_weight"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.float64()), batch.column(2)], names=["doc_id", "log_weight", "text_hash"])
     grams.known.clear()
     trim()
 
@@ -142,11 +142,15 @@ def best_threshold(pairs: list[tuple[float, bool]]) -> float:
 
 def score(docs: DataFrame, labels: DataFrame, wanted, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, sample: int = SAMPLE, seed: int = SEED, threshold: float | None = None, k: int | None = None) -> DataFrame:
     """doc_id, log_weight, gumbel_key, selected: one row per row of docs."""
+    return _scored(docs, labels, wanted, doc_id, text, buckets, sample, seed, threshold, k).drop("text_hash")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, wanted, doc_id: str, text: str, buckets: int = BUCKETS, sample: int = SAMPLE, seed: int = SEED, threshold: float | None = None, k: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     told = cut(sampled_labels(labels, wanted, sample=sample, seed=seed))
     ratio = spark.sparkContext.broadcast(fit(docs, told, doc_id, text, buckets))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
-    weighed = rows.mapInArrow(partial(_weights, ratio=ratio, buckets=buckets), "doc_id long, log_weight double")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"))
+    weighed = rows.mapInArrow(partial(_weights, ratio=ratio, buckets=buckets), "doc_id long, log_weight double, text_hash long")
     uniform = (F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull()).bitwiseAND((1 << 52) - 1) + F.lit(0.5)) / F.lit(float(1 << 52))
     keyed = cut(weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))))
     if k is None:
@@ -184,5 +188,9 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float | None:
 
 
 def keep(docs: DataFrame, labels: DataFrame, wanted, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The selected rows of docs with all their columns; rows without an id stay."""
-    return without(docs, score(docs, labels, wanted, doc_id, text, **options).where("not selected").select("doc_id"), doc_id)
+    """The selected rows of docs with all their columns. A row is known by its id and its text together, so rows of one id, or without
+    any, are decided on one by one; rows that are equal in both have one weight and one key, and share their fate."""
+    scored = _scored(docs, labels, wanted, doc_id, text, **options)
+    gone = cut(scored.where("not selected").select(F.col("doc_id").alias("gone_id__"), F.col("text_hash").alias("gone_text__")).distinct())
+    same = docs[doc_id].cast("long").eqNullSafe(gone["gone_id__"]) & (F.xxhash64(docs[text].cast("string")) == gone["gone_text__"])
+    return docs.join(checked(gone, gone.count()), same, "left_anti")

@@ -66,3 +66,17 @@ def test_edges(spark):
     assert score(docs.limit(0), labels, F.col("quality") == 1).count() == 0
     none = labels.limit(0)
     assert {r.log_weight for r in score(docs, none, F.col("quality") == 1).collect()} == {0.0}
+
+
+def test_rows_of_one_id_are_decided_on_one_by_one(spark):
+    docs, labels, _ = made(80)
+    told = {i: q for i, q in labels if i is not None}
+    good, bad = (next(t for i, t in docs if told.get(i) == q) for q in (1, 0))
+    rows = docs + [(500_000, good), (500_000, bad), (None, good), (None, bad), (None, None)]
+    d = spark.createDataFrame([(t, i, 9) for i, t in rows], "text string, doc_id long, log_weight int").repartition(4)
+    label_rows = spark.createDataFrame(labels, "doc_id long, quality int")
+    kept = sorted(map(tuple, keep(d, label_rows, F.col("quality") == 1).collect()), key=str)
+    scored = score(d, label_rows, F.col("quality") == 1).collect()
+    assert len(kept) == sum(r.selected for r in scored)
+    for i in (500_000, None):
+        assert (good, i, 9) in kept and (bad, i, 9) not in kept
