@@ -6,8 +6,7 @@ item while together they are small against all that is still to come: with `rest
 rest falls by a factor of exp(1 / resolution). A group of more than 1/resolution of the rest is an item of its own, hence so are
 the last `resolution` groups at least, and a table of no more groups is dealt exactly as a plain heap deals it. Items are at
 most resolution * ln(bytes) + 1, whatever the input's size (30,000 for 100 TB); these pass the driver's heap, nothing else does.
-Only digests and numbers are shuffled. A group with more than a `1/SPREAD` share of the rows meets its documents by a broadcast
-(there are at most SPREAD such groups), others in a join.
+Only digests and numbers are shuffled. A group with a large share of the rows goes to its documents instead of gathering them.
 
 Defined cases: a null text has no bytes, so it is of size 1 and belongs to the group of the empty text. Repeated rows and null ids are
 documents like others. An empty table gives no rows. Equal sizes go by the text's digest, so the shards depend on the rows
@@ -22,10 +21,10 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgrid.llm.hot import meet
 from loomgrid.operators.shared import cut
 
 RESOLUTION = 1024
-SPREAD = 512
 
 
 def schedule(sizes: list[int], shards: int) -> list[int]:
@@ -66,23 +65,13 @@ def plan(keys: DataFrame, shards: int, resolution: int = RESOLUTION) -> DataFram
     return groups.join(F.broadcast(where), "item").select("digest", "docs", "shard")
 
 
-def _at(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
-    """rows with the shard of their digest."""
-    large = F.col("docs") * SPREAD > total
-    few = groups.where(large).select("digest", F.col("shard").alias("hot"))  # at most SPREAD
-    many = groups.where(~large).select(F.col("digest").alias("of"), "shard")
-    split = rows.join(F.broadcast(few), "digest", "left")
-    cold = split.where("hot is null").join(many, F.col("digest") == F.col("of")).select(*rows.columns, "shard")
-    return cold.unionAll(split.where("hot is not null").select(*rows.columns, F.col("hot").alias("shard")))
-
-
 def assign(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", resolution: int = RESOLUTION) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, and slot, which counts a shard's documents from 0 without gaps."""
     if shards < 1 or resolution < 1:
         raise ValueError("shards and resolution have to be positive")
     keys = cut(_keys(docs, doc_id, text))
     groups = cut(plan(keys, shards, resolution))
-    placed = cut(_at(keys, groups, keys.count()).withColumn("row", F.monotonically_increasing_id()))
+    placed = cut(meet(keys, groups, ["digest"], "docs", keys.count()).withColumn("row", F.monotonically_increasing_id()))
     part = F.shiftright("row", 33)
     counts = placed.groupBy(part.alias("part"), "shard").agg(F.count("*").alias("n"))
     first = counts.select("part", "shard", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("first"))
@@ -99,6 +88,6 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, text: str = "text"
     keys = cut(docs.select(F.lit(None).cast("long").alias("doc_id"), digest.alias("digest"), (F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")) + F.lit(1)).cast("long").alias("size")))
     groups = cut(plan(keys, shards, resolution))
     nested = docs.select(F.struct(*docs.columns).alias("row"), digest.alias("digest"))
-    found = _at(nested, groups, keys.count())
+    found = meet(nested, groups, ["digest"], "docs", keys.count())
     dealt = found.repartition(shards * files, "shard", F.pmod(F.monotonically_increasing_id(), F.lit(files)))
     dealt.select("row.*", "shard").write.partitionBy("shard").parquet(path)
