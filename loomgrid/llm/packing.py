@@ -1,11 +1,13 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
 Every document becomes its ids and a closing id, cut into as many whole windows as it holds, so that a long document keeps its
-order, and a rest in pieces of at most `piece` ids. All pieces are gathered within each task into groups of `group`. A group is
-dealt to ceil(ids / capacity) windows: each piece begins as a partial partition of its own, and the two partial partitions
-with the largest imbalances are merged again and again, the fullest window of one with the emptiest of the other. If the
-fullest window then exceeds the capacity, the group gets one window more and is dealt anew. Nothing is shuffled; a task holds
-one group and one batch of documents.
+order, and a rest, which stays whole (or in pieces of at most `piece` ids). All pieces are gathered within each task into
+groups of `group`. A group is dealt to ceil(ids / capacity) windows: each piece begins as a partial partition of its own, and
+the two partial partitions with the largest imbalances are merged again and again, the fullest window of one with the emptiest
+of the other. What the windows of this first dealing hold beyond the capacity is cut off their smallest pieces. The group is then
+dealt with these cuts in the same way; if the fullest window still exceeds the capacity, the group gets one window more and is dealt
+anew. So only what has no room is cut, and the short ends fill up the others. Nothing is shuffled; a task holds one group
+and one batch of documents.
 
 Sequences of a power of two ids need no padding; all others count as padded to the capacity. sequence_id is unique: the
 task's partition in the upper bits, a counter in the lower 32. Over the same input splits the result is the same again.
@@ -68,6 +70,22 @@ def deal(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
+def cuts(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Each size in the parts that it is cut in: what the windows of a dealing into the fewest windows hold beyond the capacity is
+    cut off the ends of their smallest pieces, whole windows aside."""
+    parts = [[s] for s in sizes]
+    for window in difference(sizes, max(1, -(-sum(sizes) // capacity))):
+        over = sum(sizes[n] for n in window) - capacity
+        for n in sorted(window, key=lambda n: sizes[n]):
+            if over <= 0 or sizes[n] == capacity:
+                break
+            off = min(over, sizes[n])
+            over -= off
+            if off < sizes[n]:
+                parts[n] = [sizes[n] - off, off]
+    return parts
+
+
 def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, piece: int, group: int, close: int) -> Iterator[pa.RecordBatch]:
     encoding = byte_bpe(path)
     task = TaskContext.get()
@@ -94,7 +112,12 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, piece: in
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     def close_group() -> None:
-        pieces = waiting[:group]
+        pieces = []
+        for (doc, start, ids, total), parts in zip(waiting[:group], cuts([len(p[2]) for p in waiting[:group]], capacity), strict=True):
+            at = 0
+            for n in parts:
+                pieces.append((doc, start + at, ids[at : at + n], total))
+                at += n
         for window in deal([len(p[2]) for p in pieces], capacity):
             emit([pieces[n] for n in window])
         del waiting[:group]
@@ -119,7 +142,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, piece: in
     trim()
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, piece: int = 64, group: int = 1024, close: int = 0, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, piece: int = CAPACITY, group: int = 512, close: int = 0, vocabulary: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     if not 0 < piece <= capacity:
         raise ValueError("a piece must fit in a sequence")

@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from loomgrid.llm.packing import deal, difference, pack
+from loomgrid.llm.packing import cuts, deal, difference, pack
 from loomgrid.llm.vocabulary import byte_bpe, default_path, encode
 
 TEXTS = ["", "hello <|endoftext|> world", "  spaces\t\n and  é😀 中文 \u0000", "don't 123 I'LL ﬁ", "a" * 5000, " ".join(f"word{i}" for i in range(3000)), "<|endoftext|>"]
@@ -99,3 +99,23 @@ def test_every_piece_is_dealt_by_differencing(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([" ".join(f"w{i}" for i in range(9000)), "short"])], names=["doc_id", "t"])
     out = list(packing._pack(iter([batch]), default_path("byte_bpe_50k.tiktoken"), 1024, 256, 16, 0))
     assert sum(dealt) == sum(sum(b.column(2).to_pylist()) for b in out) > 20_000
+
+
+def test_only_what_has_no_room_is_cut():
+    rng = random.Random(3)
+    for _ in range(40):
+        sizes = [rng.choice([1024, rng.randint(1, 1023), rng.randint(1, 200)]) for _ in range(rng.randint(1, 200))]
+        parts = cuts(sizes, 1024)
+        assert [sum(p) for p in parts] == sizes and all(min(p) > 0 and len(p) <= 2 for p in parts)
+        assert all(len(p) == 1 for p, s in zip(parts, sizes, strict=True) if s == 1024)
+    assert cuts([600, 400, 24], 1024) == [[600], [400], [24]]
+    assert cuts([], 1024) == []
+
+
+def test_documents_are_not_shredded(spark):
+    rng = random.Random(17)
+    rows = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randint(5, 450)))) for i in range(2500)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).toPandas()
+    sums = got.groupby("sequence_id").length.sum()
+    assert len(got) <= 2 * len(rows)
+    assert sum(1024 - n for n in sums if n & (n - 1)) < 0.02 * sums.sum()
