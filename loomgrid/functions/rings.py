@@ -170,3 +170,70 @@ def meet(a: Column, b: Column) -> Column:
 
 def circle(rx: float, rz: float, n: int = 56) -> list[tuple[float, float]]:
     return [(math.cos(k / n * math.tau) * rx, math.sin(k / n * math.tau) * rz) for k in range(n)]
+
+
+def close_to(p: Column, q: Column, eps: float) -> Column:
+    return (F.abs(p["x"] - q["x"]) < eps) & (F.abs(p["z"] - q["z"]) < eps)
+
+
+def _with_neighbours(ring: Column) -> Column:
+    """array<struct<before, p, after>>."""
+    last = F.concat(F.slice(ring, -1, 1), F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))))
+    pairs = F.zip_with(last, ring, lambda b, p: F.struct(b.alias("before"), p.alias("p")))
+    return F.zip_with(pairs, rotated(ring), lambda s, q: F.struct(s["before"].alias("before"), s["p"].alias("p"), q.alias("after")))
+
+
+def tidy(ring: Column, eps: float = 1e-6) -> Column:
+    """Without the points that repeat the one before."""
+    return F.when(F.size(ring) > 1, F.transform(F.filter(_with_neighbours(ring), lambda s: ~close_to(s["before"], s["p"], eps)), lambda s: s["p"])).otherwise(ring)
+
+
+def straightened(ring: Column, tol: float = 1e-6) -> Column:
+    """Without repeated points and those on the straight line between their neighbours."""
+    def bends(s: Column) -> Column:
+        ax, az = s["p"]["x"] - s["before"]["x"], s["p"]["z"] - s["before"]["z"]
+        bx, bz = s["after"]["x"] - s["p"]["x"], s["after"]["z"] - s["p"]["z"]
+        return F.abs(ax * bz - az * bx) > tol * (F.sqrt(ax * ax + az * az) + F.sqrt(bx * bx + bz * bz))
+
+    return F.transform(F.filter(_with_neighbours(tidy(ring, tol)), bends), lambda s: s["p"])
+
+
+def moved_lines(ring: Column, distances: Column) -> Column:
+    """array<struct<p, dx, dz, d>>: the lines of a counter-clockwise ring's edges, moved inwards by their distances; p is where the
+    edge's first point comes to lie."""
+    def line(e: Column, d: Column) -> Column:
+        ex, ez = e["q"]["x"] - e["p"]["x"], e["q"]["z"] - e["p"]["z"]
+        length = F.sqrt(ex * ex + ez * ez)
+        return F.struct(point(e["p"]["x"] - ez / length * d, e["p"]["z"] + ex / length * d).alias("p"), (ex / length).alias("dx"), (ez / length).alias("dz"), d.alias("d"))
+
+    return F.zip_with(edges(ring), distances, line)
+
+
+def corners(lines: Column) -> Column:
+    """The points in which each line meets the one before it; on parallel lines the line's own."""
+    before = F.concat(F.slice(lines, -1, 1), F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))))
+
+    def meet_at(a: Column, b: Column) -> Column:
+        den = a["dx"] * b["dz"] - a["dz"] * b["dx"]
+        flat = F.abs(den) < 1e-9
+        t = ((b["p"]["x"] - a["p"]["x"]) * b["dz"] - (b["p"]["z"] - a["p"]["z"]) * b["dx"]) / F.when(~flat, den)
+        return F.when(flat, b["p"]).otherwise(point(a["p"]["x"] + a["dx"] * t, a["p"]["z"] + a["dz"] * t))
+
+    return F.zip_with(before, lines, meet_at)
+
+
+def offset(ring: Column, distances: Column, miter_limit: float = 3.0) -> Column:
+    """A counter-clockwise ring with its edges moved inwards, each by its own distance; corners that come to lie further off than the
+    limit are drawn back towards where they were. Null where nothing is left, or what is left crosses itself."""
+    lines = moved_lines(ring, distances)
+    before = F.concat(F.slice(distances, -1, 1), F.slice(distances, 1, F.greatest(F.size(distances) - 1, F.lit(0))))
+    limits = F.zip_with(distances, before, lambda d, b: F.greatest(d, b) * miter_limit + 1)
+
+    def drawn_back(s: Column, limit: Column) -> Column:
+        dx, dz = s["to"]["x"] - s["p"]["x"], s["to"]["z"] - s["p"]["z"]
+        far = F.sqrt(dx * dx + dz * dz)
+        k = F.when(far > limit, limit / far).otherwise(1.0)
+        return point(s["p"]["x"] + dx * k, s["p"]["z"] + dz * k)
+
+    made = tidy(F.zip_with(F.zip_with(ring, corners(lines), lambda p, to: F.struct(p.alias("p"), to.alias("to"))), limits, drawn_back))
+    return F.when((F.size(ring) >= 3) & (F.size(made) >= 3) & (signed_area(made) > 0) & is_simple(made), made)

@@ -1,22 +1,21 @@
 """Faces of a planar graph: every edge is two half-edges; each knows the next one around its face.
 
-The next half-edge comes from a window by angle around each node. Half-edges that follow each other form cycles, which
-connected components name. A face's ring is put in order within the face, so no task holds more than one face.
+The next half-edge comes from a window by angle around each node. Half-edges that follow each other form cycles, which pointer
+doubling names and puts in order.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions import rings
 from loomgrid.operators.components import connected_components
+from loomgrid.operators.cycles import gathered, trace
 from loomgrid.operators.network import spurs, with_ends
 from loomgrid.operators.shared import cut
 
 LEAST_AREA = 1.0
-FACE = "face long, ring array<struct<x:double,z:double>>, edge_ids array<long>"
 
 
 def half_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -40,20 +39,6 @@ def half_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.join(twin, F.col("half").bitwiseXOR(F.lit(1).cast("long")) == F.col("twin")).drop("twin", "angle")
 
 
-def _in_order(face: pd.DataFrame) -> pd.DataFrame:
-    rows = {h: (n, x, z, e) for h, n, x, z, e in zip(face["half"], face["next"], face["x"], face["z"], face["edge"], strict=True)}
-    at = start = min(rows)
-    ring, ids = [], []
-    while True:
-        n, x, z, e = rows[at]
-        ring.append({"x": x, "z": z})
-        ids.append(e)
-        at = n
-        if at == start:
-            break
-    return pd.DataFrame({"face": [face["face"].iloc[0]], "ring": [ring], "edge_ids": [ids]})
-
-
 def extract_faces(nodes: DataFrame, edges: DataFrame, least: float = LEAST_AREA) -> DataFrame:
     """face, ring (counter-clockwise), edge_ids, area, simple; without dead ends, faces below `least` and the outer face of each part.
 
@@ -62,12 +47,12 @@ def extract_faces(nodes: DataFrame, edges: DataFrame, least: float = LEAST_AREA)
     eligible = eligible.where(~F.coalesce("removed", F.lit(False))) if "removed" in edges.columns else eligible
     live = cut(eligible.join(spurs(eligible), "edge", "left_anti").select("edge", "a", "b"))
     halves = cut(half_edges(nodes, live))
-    named = connected_components(halves.select(F.col("half").alias("src"), F.col("next").alias("dst")))
-    owned = cut(halves.join(named, halves["half"] == named["node"]).drop(named["node"]).withColumnRenamed("component", "face"))
-    faces = cut(owned.select("face", "half", "next", "x", "z", "edge").groupBy("face").applyInPandas(_in_order, FACE))
+    traced = trace(halves.select(F.col("half").alias("node"), "next", "edge", F.col("node").alias("at"), "x", "z"))
+    around = gathered(traced, [], F.col("x"), F.col("z"), F.col("edge"), F.col("at"))
+    faces = cut(around.select(F.col("cycle").alias("face"), F.transform("items", lambda h: rings.point(h["x"], h["z"])).alias("ring"), F.transform("items", lambda h: h["edge"]).alias("edge_ids"), F.element_at("items", 1)["at"].alias("node")))
     sized = faces.withColumn("signed", rings.signed_area(F.col("ring")))
     parts = connected_components(live.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("component", "part")
-    part_of = owned.groupBy("face").agg(F.min("node").alias("node")).join(parts, "node").select("face", "part")
+    part_of = faces.select("face", "node").join(parts, "node").select("face", "part")
     told = sized.join(part_of, "face")
     outer = told.groupBy("part").agg(F.max_by(F.signum("signed"), F.struct(F.abs("signed"), -F.col("face"))).alias("outer"))
     inner = told.join(outer, "part").where((F.signum("signed") != F.col("outer")) & (F.abs("signed") >= least))

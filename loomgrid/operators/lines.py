@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,9 +37,11 @@ def run_points(runs: DataFrame, keys: list[str], seq: str) -> DataFrame:
 def nearest_lines(points: DataFrame, lines: DataFrame, reach: float, growth: float = 3.0) -> DataFrame:
     """(pid, line, d) of points (pid, px, pz): the nearest of lines (line, ax, az, bx, bz), of equals the smallest. Points that find
     nothing within reach look further in the next round, `growth` times as far, until all have found a line. Without lines, and
-    for points without coordinates, there are no rows."""
+    for points whose coordinates aren't finite numbers, there are no rows; lines with such coordinates take no part."""
+    finite = lambda *names: reduce(and_, ((F.abs(n) < float("inf")) & ~F.isnan(n) for n in names))
+    points, lines = points.where(finite("px", "pz")), lines.where(finite("ax", "az", "bx", "bz"))
     ends = lines.selectExpr("stack(2, ax, az, bx, bz) as (x, z)").unionAll(points.select("px", "pz"))
-    span = ends.where("not isnan(x) and not isnan(z)").agg(F.max("x") - F.min("x"), F.max("z") - F.min("z")).first()
+    span = ends.agg(F.max("x") - F.min("x"), F.max("z") - F.min("z")).first()
     farthest = sum(s or 0.0 for s in span)  # no two ends lie further apart
     found = []
     left = points

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions import rings
 from loomgrid.functions.scalars import right_lane_offset
 from loomgrid.operators.components import connected_components
-from loomgrid.operators.shared import cut
+from loomgrid.operators.shared import Rounds, cut
 
 # Classes that are no roads, driving speeds, and the tolerance of a budget.
 VIRTUAL = ("boundary", "shore")
@@ -214,3 +214,61 @@ def label_edges(corridor_edges: DataFrame, lengths: DataFrame, least: float = 12
     told = corridor_edges.join(lengths.select("edge", "length", "cls"), "edge").where(F.col("cls") != "local")
     longest = told.groupBy("corridor").agg(F.max_by(F.struct("edge", "length"), F.struct("length", (-F.col("pos")).alias("first"))).alias("e"))
     return longest.where(F.col("e.length") >= least).select("corridor", "e.edge", "e.length")
+
+
+def least_cost(steps: DataFrame, pairs: DataFrame, most_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(reached, pairs): for each of pairs (start, goal) what a search from start has reached on its cheapest ways: (start, node, cost,
+    before, edge, hops), before and edge being the last step; and the pairs themselves, made distinct.
+
+    steps: (node, edge, next, cost), costs not negative. All searches go on together, a step a round; only nodes that came nearer go on,
+    and only while they are cheaper than the dearest goal of their search, once that has found them all. Of ways that cost the same the
+    first that is found stays, of those of one round the one over the least node and edge."""
+    pairs = cut(pairs.select("start", "goal").distinct())
+    steps = cut(steps.select("node", "edge", "next", "cost"))
+    spark = pairs.sparkSession
+    goals = pairs.groupBy("start").agg(F.count("*").alias("goals"))
+    nothing = F.lit(None).cast(steps.schema["node"].dataType), F.lit(None).cast(steps.schema["edge"].dataType)
+    begin = pairs.select("start", F.col("start").alias("node"), F.lit(0.0).alias("cost"), nothing[0].alias("before"), nothing[1].alias("edge"), F.lit(0).alias("hops"), F.lit(True).alias("new")).distinct()
+    rounds = Rounds(spark, "least-cost")
+    known = rounds.put(begin)
+    for _ in range(most_rounds):
+        met = known.join(pairs, (known["start"] == pairs["start"]) & (known["node"] == pairs["goal"])).groupBy(known["start"]).agg(F.count("*").alias("found"), F.max("cost").alias("dearest"))
+        bound = F.when(F.col("found") == F.col("goals"), F.col("dearest")).otherwise(float("inf"))
+        limits = goals.join(met, "start", "left").select("start", bound.alias("bound"))
+        front = known.where("new").join(limits, "start").where(F.col("cost") < F.col("bound"))
+        stepped = front.join(steps.withColumnsRenamed({"node": "from", "cost": "more", "edge": "by"}), F.col("node") == F.col("from"))
+        found = stepped.select("start", F.col("next").alias("node"), (F.col("cost") + F.col("more")).alias("cost"), F.col("from").alias("before"), F.col("by").alias("edge"), (F.col("hops") + 1).alias("hops"))
+        both = known.withColumn("old", F.lit(True)).unionByName(found.withColumns({"new": F.lit(True), "old": F.lit(False)}))
+        way = F.struct("cost", "before", "edge", "hops")
+        best = both.groupBy("start", "node").agg(F.min(F.when(~F.col("old"), way)).alias("found"), F.max(F.when(F.col("old"), way)).alias("kept"))
+        nearer = F.col("kept").isNull() | (F.col("found.cost") < F.col("kept.cost") - BUDGET_SLACK)
+        best = best.withColumn("new", F.coalesce(nearer & F.col("found").isNotNull(), F.lit(False))).withColumn("way", F.when(F.col("new"), F.col("found")).otherwise(F.col("kept")))
+        known = rounds.put(best.select("start", "node", "way.*", "new").select("start", "node", "cost", "before", "edge", "hops", "new"))
+        if known.where("new").isEmpty():
+            return rounds.end(known.drop("new")), pairs
+    raise RuntimeError(f"costs did not settle in {most_rounds} rounds")
+
+
+def paths(reached: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(start, goal, pos, node, edge, cost) of least_cost(): the way of each pair in order, edge being the one that leads to the node; a
+    goal that can't be reached has no rows.
+
+    The way back is read by doubling: with the nodes 2^k steps before each node known, a goal's way is marked from the longest jumps to
+    the shortest, in as many rounds as the longest way has binary digits."""
+    jumps = [cut(reached.where("before is not null").select("start", "node", F.col("before").alias("back")))]
+    while not jumps[-1].isEmpty():
+        last = jumps[-1]
+        jumps.append(cut(last.join(last.select("start", F.col("node").alias("back"), F.col("back").alias("further")), ["start", "back"]).select("start", "node", F.col("further").alias("back"))))
+    on = cut(pairs.join(reached, (pairs["start"] == reached["start"]) & (pairs["goal"] == reached["node"])).select(pairs["start"], "goal", "node"))
+    for jump in reversed(jumps[:-1]):
+        on = cut(on.unionAll(on.join(jump, ["start", "node"]).select("start", "goal", F.col("back").alias("node"))).distinct())
+    told = on.join(reached, ["start", "node"])
+    pos = F.row_number().over(Window.partitionBy("start", "goal").orderBy("cost", "hops")) - 1
+    return told.select("start", "goal", pos.cast("long").alias("pos"), "node", "edge", "cost")
+
+
+def shortest_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, speeds: Mapping[str, float] = SPEEDS) -> DataFrame:
+    """The fastest ways of pairs (start, goal) over drivable edges, as paths(); nodes that aren't in the graph have none."""
+    known = nodes.select(F.col("node").alias("start"))
+    real = pairs.join(known, "start", "left_semi").join(known.withColumnRenamed("start", "goal"), "goal", "left_semi")
+    return paths(*least_cost(adjacency(nodes, edges, speeds), real))

@@ -14,9 +14,10 @@ from loomgrid.operators.grid_join import grid_join
 
 # Reach of the smoothing towards a shore, clearances and steps of sampling.
 SHORE_REACH = 36.0
-DECK_CLEAR, RAIL_CLEAR, RAIL_LEAST = 2.4, 8.0, 15.0
+DECK_CLEAR, DECK_LEAST, DECK_STEP, RAIL_CLEAR, RAIL_LEAST = 2.8 + 0.25, 3.4, 2.0, 8.0, 15.0
 DRAPE_LEVELS, DRAPE_MOST, DRAPE_TARGET = 2, 6, 32.0
 RUN_REACH = 0.5
+BANK_STATIONS = SHORE_REACH / 4
 
 
 def ground(elevation: Field, water: Field, datum: float = 0.0) -> Field:
@@ -61,10 +62,53 @@ def _along(height: Field, k: Column) -> Column:
     return height(F.col("ax") + (F.col("bx") - F.col("ax")) * k / F.col("n__"), F.col("az") + (F.col("bz") - F.col("az")) * k / F.col("n__"))
 
 
-def deck_heights(bridges: DataFrame, height: Field, clearance: float = DECK_CLEAR, step: float = 4.0) -> DataFrame:
-    """bridges (bridge, ax, az, bx, bz) with deck: above the highest ground along the axis."""
-    high = _steps(bridges, step, 0).withColumn("h__", _along(height, F.col("k__")))
-    return high.groupBy(*bridges.columns).agg((F.max("h__") + clearance).alias("deck"))
+def bank_tops(points: DataFrame, height: Field, water: Field, keys: list[str], step: float = DECK_STEP) -> DataFrame:
+    """(keys, h): the highest ground on the way up the bank from each of points (keys, x, z): along the gradient of the distance to the
+    shore, a step at a time, until the bank is at its full height or the distance grows no more. Points beyond the reach of a
+    bank have null. A way has a fixed number of steps, so it is an expression of its point."""
+    half = step / 2
+    near = water(F.col("x"), F.col("z"))
+    begun = F.coalesce(near.between(-SHORE_REACH, SHORE_REACH) & (near < SHORE_REACH), F.lit(False))
+
+    def up(w: Column, _) -> Column:
+        gx = water(w["x"] + half, w["z"]) - water(w["x"] - half, w["z"])
+        gz = water(w["x"], w["z"] + half) - water(w["x"], w["z"] - half)
+        g = F.sqrt(gx * gx + gz * gz)
+        steep = w["on"] & (g > 1e-9)
+        x, z = w["x"] + F.when(steep, gx / g * step).otherwise(0.0), w["z"] + F.when(steep, gz / g * step).otherwise(0.0)
+        further = F.coalesce(steep & (water(x, z) > w["s"]), F.lit(False))
+        h = F.when(further & (water(x, z) > 0), height(x, z))
+        return F.struct(x.alias("x"), z.alias("z"), F.when(further, water(x, z)).otherwise(w["s"]).alias("s"), F.greatest(w["h"], h).alias("h"), (further & (water(x, z) < SHORE_REACH)).alias("on"))
+
+    most = math.ceil(2 * SHORE_REACH / step) + 2
+    start = F.struct(F.col("x").cast("double").alias("x"), F.col("z").cast("double").alias("z"), F.coalesce(near, F.lit(0.0)).cast("double").alias("s"), F.lit(None).cast("double").alias("h"), begun.alias("on"))
+    return points.select(*keys, F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, up)["h"].alias("h"))
+
+
+def deck_heights(bridges: DataFrame, height: Field, clearance: float = DECK_CLEAR, step: float = DECK_STEP, width: float | Column = 0.0, water: Field | None = None, least: float = DECK_LEAST) -> DataFrame:
+    """bridges (bridge, ax, az, bx, bz, ...) with deck: above the highest ground below it, sampled along the axis and across the width, and
+    never below `least`; and, with the distance to the shore given, above the banks that rise from either end and from both sides of long spans."""
+    own = bridges.columns
+    wide = F.greatest(F.lit(0.0), width if isinstance(width, Column) else F.lit(float(width)))
+    told = _steps(bridges.withColumn("wide__", wide).withColumn("across__", F.greatest(F.lit(1), F.ceil(F.col("wide__") / step).cast("int"))), step, 0)
+    run = F.when(F.col("run__") > 0, F.col("run__"))
+    nx, nz = (F.coalesce(v / run, F.lit(0.0)) for v in (F.col("az") - F.col("bz"), F.col("bx") - F.col("ax")))
+
+    def spots(rows: DataFrame, share: Column) -> DataFrame:
+        """Points beside the axis at a share of its length, at offset o__."""
+        along = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * share
+        return rows.select(*own, (along("ax", "bx") + nx * F.col("o__")).alias("x"), (along("az", "bz") + nz * F.col("o__")).alias("z"))
+
+    offsets = F.transform(F.sequence(F.lit(0), F.col("across__")), lambda j: F.col("wide__") * (j / F.col("across__") - 0.5))
+    below = spots(told.withColumn("o__", F.explode(offsets)), F.col("k__") / F.col("n__"))
+    high = below.select(*own, height(F.col("x"), F.col("z")).alias("h"))
+    if water is not None:
+        ends = told.where("k__ = 0 or k__ = n__").withColumn("o__", F.explode(offsets))
+        stations = F.greatest(F.lit(1), F.ceil(F.col("run__") / BANK_STATIONS).cast("int"))
+        inner = told.where("k__ = 0").withColumn("m__", stations).where("m__ > 1").withColumn("i__", F.explode(F.sequence(F.lit(1), F.col("m__") - 1))).withColumn("o__", F.explode(F.array_distinct(F.array(-F.col("wide__") / 2, F.col("wide__") / 2))))
+        landings = spots(ends, F.col("k__") / F.col("n__")).unionAll(spots(inner, F.col("i__") / F.col("m__")))
+        high = high.unionAll(bank_tops(landings, height, water, own, step))
+    return high.groupBy(*own).agg(F.greatest(F.lit(float(least)), F.max("h") + clearance).alias("deck"))
 
 
 def run_decks(bridges: DataFrame, reach: float = RUN_REACH) -> DataFrame:

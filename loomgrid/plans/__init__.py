@@ -1,6 +1,6 @@
 """Registered queries. Importing this package registers all of them."""
 
-from loomgrid.plans import cities, ingest, queries
+from loomgrid.plans import cities, ingest, polygons, queries, routes
 
 QUERIES, SQL = queries.QUERIES, queries.SQL
-__all__ = ["QUERIES", "SQL", "cities", "ingest"]
+__all__ = ["QUERIES", "SQL", "cities", "ingest", "polygons", "routes"]

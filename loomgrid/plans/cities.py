@@ -140,11 +140,18 @@ def street_kerbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("src", "side", *(F.round(c, 6).alias(c) for c in ("kax", "kaz", "kbx", "kbz")), terrain.drape_depth(run).alias("drape"))
 
 
-@query()
+@query(
+    f"""
+WITH RECURSIVE {t.STREETS}, br AS (SELECT src AS bridge, *, sqrt((bx - ax) * (bx - ax) + (bz - az) * (bz - az)) AS run FROM st WHERE level > 0), n AS (SELECT *, greatest(1, ceil(run / 2)) AS n FROM br),
+p AS (SELECT bridge, ax + (bx - ax) * k / n - (bz - az) / run * o AS x, az + (bz - az) * k / n + (bx - ax) / run * o AS z FROM (SELECT *, unnest(range(CAST(n AS BIGINT) + 1)) AS k FROM n), (SELECT unnest([-4.0, -2.0, 0.0, 2.0, 4.0]::DOUBLE[]) AS o)),
+d AS (SELECT bridge, greatest(3.4, max({HEIGHT}) + 2.8 + 0.25) AS deck FROM p GROUP BY bridge), ends AS (SELECT bridge, ax AS x, az AS z FROM br UNION ALL SELECT bridge, bx, bz FROM br),
+m AS (SELECT a.bridge AS a, b.bridge AS b FROM ends a JOIN ends b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z)) <= 0.5), r AS (SELECT bridge AS a, bridge AS b FROM br UNION SELECT r.a, m.b FROM r JOIN m ON m.a = r.b), c AS (SELECT a AS bridge, min(b) AS run FROM r GROUP BY a)
+SELECT bridge, run, round(max(deck) OVER (PARTITION BY run), 6) AS deck FROM d JOIN c USING (bridge)"""
+)
 def street_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decks of elevated streets, one height a run (AGG-16, JN-10, TER-3)."""
+    """Decks of elevated streets of eight metres, one height a run (AGG-16, JN-10, TER-3)."""
     s = t.streets(spark, sf_dir).where("level > 0").select(F.col("src").alias("bridge"), "ax", "az", "bx", "bz")
-    return terrain.run_decks(terrain.deck_heights(s, fields.elevation("town"))).select("bridge", "run", F.round("deck", 6).alias("deck"))
+    return terrain.run_decks(terrain.deck_heights(s, fields.elevation("town"), width=8.0)).select("bridge", "run", F.round("deck", 6).alias("deck"))
 
 
 @query()
@@ -157,7 +164,12 @@ def water_shores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shores(polygons, cell=8.0).groupBy("doc").agg(F.round(F.sum(F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("bz") - F.col("az")) ** 2)), 3).alias("length"), F.count("*").alias("pieces"))
 
 
-@query()
+# Every part links to one other of its block at most, so what is left of a component without its dead ends is the circle that its links lead into.
+@query(
+    f"""
+WITH RECURSIVE {t.LINKS}, f AS (SELECT a AS start, b AS here, 1 AS k FROM lk UNION ALL SELECT start, lk.b, k + 1 FROM f JOIN lk ON lk.a = f.here WHERE f.here <> start AND k < 41)
+SELECT edge FROM lk WHERE a NOT IN (SELECT start FROM f WHERE here = start)"""
+)
 def graph_spurs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of parts that hang on dead ends (GR-5)."""
     return network.spurs(t.links(spark, sf_dir))
