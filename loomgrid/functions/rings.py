@@ -198,6 +198,18 @@ def straightened(ring: Column, tol: float = 1e-6) -> Column:
     return F.transform(F.filter(_with_neighbours(tidy(ring, tol)), bends), lambda s: s["p"])
 
 
+def is_convex(ring: Column, tol: float = 1e-9) -> Column:
+    """Whether a counter-clockwise ring never turns right, and turns once around."""
+    def turn(s: Column) -> Column:
+        ax, az = s["p"]["x"] - s["before"]["x"], s["p"]["z"] - s["before"]["z"]
+        bx, bz = s["after"]["x"] - s["p"]["x"], s["after"]["z"] - s["p"]["z"]
+        return F.struct((ax * bz - az * bx).alias("cross"), (ax * bx + az * bz).alias("dot"))
+
+    turns = F.transform(_with_neighbours(ring), turn)
+    around = F.aggregate(turns, F.lit(0.0), lambda s, t: s + F.atan2(t["cross"], t["dot"]))
+    return F.forall(turns, lambda t: t["cross"] >= -tol) & (around < 2 * math.pi + 0.1)
+
+
 def moved_lines(ring: Column, distances: Column) -> Column:
     """array<struct<p, dx, dz, d>>: the lines of a counter-clockwise ring's edges, moved inwards by their distances; p is where the
     edge's first point comes to lie."""

@@ -55,3 +55,19 @@ def nearest_lines(points: DataFrame, lines: DataFrame, reach: float, growth: flo
         if reach > farthest or left.isEmpty():
             return reduce(DataFrame.unionAll, found)
         reach *= growth
+
+
+def without_spans(extents: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, nth, start, stop): what the spans (keys, start, stop) leave of each extent (keys, start, stop), in order. Spans may
+    overlap, touch, reach beyond the extent or run backwards, in which case they cover nothing; nulls take no part.
+
+    A sweep: with the ends of all spans before it known, a span leaves what lies between the furthest of them and its own start."""
+    real = lambda df: df.where("start is not null and stop is not null and start < stop").select(*keys, F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop"))
+    whole = real(extents).withColumnsRenamed({"start": "low", "stop": "high"})
+    inside = real(spans).join(whole, keys).where((F.col("stop") > F.col("low")) & (F.col("start") < F.col("high")))
+    # the end of an extent is a span that begins where nothing is left
+    marks = inside.select(*keys, "low", "high", "start", "stop").unionByName(whole.select(*keys, "low", "high", F.col("high").alias("start"), F.col("high").alias("stop")))
+    before = Window.partitionBy(*keys).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    swept = marks.withColumn("free", F.coalesce(F.greatest(F.max("stop").over(before), F.col("low")), F.col("low")))
+    left = swept.where(F.col("free") < F.col("start")).select(*keys, F.col("free").alias("start"), F.least("start", "high").alias("stop"))
+    return left.withColumn("nth", (F.row_number().over(Window.partitionBy(*keys).orderBy("start")) - 1).cast("long")).select(*keys, "nth", "start", "stop")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.functions import rings
-from loomgrid.operators import polygons
+from loomgrid.operators import parcels, polygons
 from loomgrid.plans import tables as t
 from loomgrid.plans.queries import query
 
@@ -229,3 +229,35 @@ def house_insets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.join(shrunk, "id").select("id", F.round("area", 6).alias("area"), (F.abs(F.col("area") - F.col("shrunk")) < 1e-6).alias("same"))
 
 
+
+
+# ---- parcels
+
+TARGET, LEAST_WIDTH = 12.0, 1.0
+
+
+@query(f"WITH {COMBS} SELECT id, round(wide * bar - x * bar + teeth * tw * h, 6) AS area, 0::BIGINT AS over FROM planes")
+def comb_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Combs cut in parcels, which tile them, and none is left that could be halved (FAB-7, FAB-15)."""
+    found = parcels.subdivide(combs(spark, sf_dir), "id", TARGET, LEAST_WIDTH, least_area=0.0)
+    box = rings.oriented_box(F.col("ring"))
+    large = (rings.area(F.col("ring")) >= TARGET) & (F.least(box["w"], box["d"]) >= 2 * LEAST_WIDTH)
+    told = found.select("id", rings.area(F.col("ring")).alias("area"), large.alias("large"))
+    return told.groupBy("id").agg(F.round(F.sum("area"), 6).alias("area"), F.count_if("large").alias("over"))
+
+
+@query(
+    f"""
+WITH RECURSIVE {BRICKS}, own AS (SELECT b.wall, b.brick, i, c.cx, c.cz FROM bricks b JOIN (SELECT wall, brick, (i % 5) * 2 + (i // 5) % 2 + h AS cx, i // 5 AS cz FROM bricks, (VALUES (0), (1)) AS halves(h)) c USING (wall, brick)),
+beside AS (SELECT DISTINCT a.brick AS a, b.brick AS b FROM own a JOIN own b ON a.wall = b.wall AND abs(a.cx - b.cx) + abs(a.cz - b.cz) = 1),
+hang AS (SELECT brick AS a, brick AS b FROM bricks UNION SELECT h.a, n.b FROM hang h JOIN beside n ON n.a = h.b),
+comps AS (SELECT a AS brick, min(b) AS comp FROM hang GROUP BY a), sums AS (SELECT wall, comp, count(*) AS bricks, count(*) FILTER (WHERE i < 5) AS fronts FROM bricks JOIN comps USING (brick) GROUP BY wall, comp)
+SELECT wall, sum(CASE WHEN fronts > 0 THEN fronts ELSE bricks END)::BIGINT AS parcels, sum(CASE WHEN fronts > 0 THEN 0 ELSE bricks END)::BIGINT AS landlocked, sum(bricks)::BIGINT AS members, (sum(bricks) * 32)::DOUBLE AS area FROM sums GROUP BY wall"""
+)
+def merged_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bricks of which only the lowest row has frontage, joined to neighbours that have (FAB-9, JN-17)."""
+    wall = bricks(spark, sf_dir).withColumn("frontage", F.col("brick") % 20 < 5)
+    found = parcels.merge_landlocked(wall, "wall", "brick")
+    size = rings.area(F.col("ring")) - F.aggregate("holes", F.lit(0.0), lambda s, h: s + rings.area(h))
+    told = found.select("wall", "members", "frontage", size.alias("area"))
+    return told.groupBy("wall").agg(F.count("*").alias("parcels"), F.count_if(~F.col("frontage")).alias("landlocked"), F.sum("members").alias("members"), F.round(F.sum("area"), 6).alias("area"))

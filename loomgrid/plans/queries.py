@@ -406,7 +406,7 @@ def noded_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH RECURSIVE {ROADS}, n AS (SELECT [level, x, z] AS a, [level, qx, qz] AS b FROM ed UNION SELECT [level, qx, qz], [level, x, z] FROM ed), r AS (SELECT a, a AS b FROM n UNION SELECT r.a, n.b FROM r JOIN n ON r.b = n.a), c AS (SELECT a, min(b) AS c FROM r GROUP BY a),
 s AS (SELECT c, count(*) AS k FROM ed JOIN c ON [ed.level, ed.x, ed.z] = c.a GROUP BY c)
-SELECT (SELECT count(*) FROM sq) AS segments, (SELECT count(*) FROM sub) AS subsegments, (SELECT count(*) FROM c) AS nodes, (SELECT count(*) FROM ed) AS edges, (SELECT count(*) FROM s) AS components, (SELECT max(k) FROM s) AS largest, (SELECT count(*) FROM sub) - (SELECT count(*) FROM ed) AS duplicates, (SELECT count(*) FROM ed) - (SELECT max(k) FROM s) AS disconnected_edges"""
+SELECT (SELECT count(*) FROM st) AS records, (SELECT count(*) FROM st) AS line_records, (SELECT count(*) FROM st) AS source_parts, 0::BIGINT AS skipped_records, greatest(0, (SELECT count(*) FROM s) - 1)::BIGINT AS disconnected_components, (SELECT count(*) FROM sq) AS segments, (SELECT count(*) FROM sub) AS subsegments, (SELECT count(*) FROM c) AS nodes, (SELECT count(*) FROM ed) AS edges, (SELECT count(*) FROM s) AS components, (SELECT max(k) FROM s) AS largest, (SELECT count(*) FROM sub) - (SELECT count(*) FROM ed) AS duplicates, (SELECT count(*) FROM ed) - (SELECT max(k) FROM s) AS disconnected_edges"""
 )
 def import_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of the import (AGG-8)."""
