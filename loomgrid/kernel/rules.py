@@ -78,18 +78,20 @@ def rules_of(pattern: str) -> dict:
     return own | {"gap": max(own["snap"], 0.45 * min(own["spacing"]))}
 
 
+#: Where a pattern's directions come from: kind, at which centres (None: everywhere), weight, and reach.
+DIRECTIONS = {
+    "paris": (("radial", slice(None), 1.0, 200.0), ("grid", None, 0.3, math.inf)),
+    "tokyo": (("grid", slice(None), 0.8, 150.0), ("grid", None, 0.4, math.inf)),
+    "medieval": (("radial", slice(1), 1.0, 300.0), ("grid", None, 0.25, math.inf)),
+    "atlanta": (("grid", slice(None), 0.7, 220.0), ("grid", None, 0.5, math.inf)),
+}
+
+
 def sources_of(pattern: str, rng, centers: list[tuple[float, float]]) -> list[dict]:
-    """Where the streets' directions come from."""
-    grid = lambda angle, weight=1.0, at=(0.0, 0.0), sigma=math.inf: {"type": "grid", "angle": angle, "x": at[0], "z": at[1], "sigma": sigma, "weight": weight}
-    radial = lambda at, sigma, weight: {"type": "radial", "x": at[0], "z": at[1], "sigma": sigma, "weight": weight}
-    turn = lambda: rng.between(0, math.pi)
-    match pattern:
-        case "paris":
-            return [grid(turn(), 0.25), *(radial(c, 150 if k else 240, 0.9 if k else 1.3) for k, c in enumerate(centers))]
-        case "tokyo":
-            return [grid(turn(), 0.5), *(grid(turn(), 0.9, c, 170) for c in centers[1:])]
-        case "medieval":
-            return [radial(centers[0], 260, 1.0), grid(turn(), 0.2)]
-        case "atlanta":
-            return [grid(turn(), 0.6), *(grid(turn(), 0.8, c, 200) for c in centers)]
-    return [grid(rng.between(-0.45, 0.45))]
+    """Sources of direction; a pattern without any of its own is one grid that is turned a little."""
+    found = []
+    for kind, where, weight, reach in DIRECTIONS.get(pattern, ()):
+        for x, z in [(0.0, 0.0)] if where is None else centers[where]:
+            source = {"type": kind, "x": x, "z": z, "sigma": reach, "weight": weight}
+            found.append(source | ({"angle": rng.between(0, math.pi / 2)} if kind == "grid" else {}))
+    return found or [{"type": "grid", "angle": rng.between(-0.4, 0.4), "x": 0.0, "z": 0.0, "sigma": math.inf, "weight": 1.0}]

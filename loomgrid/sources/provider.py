@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import math
-import re
 import urllib.error
 import urllib.parse
 import urllib.request
@@ -18,8 +17,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # The range of the radius, and what is asked of the provider.
 LEAST_RADIUS, MOST_RADIUS = 25.0, 450.0
-NUMBER = r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)"
-PLACE = re.compile(rf"^\s*({NUMBER})\s*[,;]\s*({NUMBER})\s*$")
 WAYS = (
     '["highway"]',
     '["building"]',
@@ -39,15 +36,21 @@ class ProviderError(Exception):
         self.code, self.status = code, status
 
 
+def _pair(text: str) -> list[str] | None:
+    """The two numbers that a text is made of, apart by a comma or a semicolon; None for any other text."""
+    parts = [part.strip() for part in text.replace(";", ",").split(",")]
+    plain = all(part and not part.lower().strip("+-.0123456789e") and part[-1] in ".0123456789" for part in parts)
+    return parts if len(parts) == 2 and plain else None
+
+
 def coordinates(value) -> tuple[float, float] | None:
     """(lon, lat) of a pair, a mapping or a text "lon, lat"; None for a place's name."""
     if isinstance(value, str):
         if not value.strip():
             raise ProviderError("invalid-location", "a place or longitude, latitude is needed")
-        m = PLACE.match(value)
-        if not m:
+        value = _pair(value)
+        if value is None:
             return None
-        value = (m[1], m[2])
     if isinstance(value, dict):
         value = (value.get("lon"), value.get("lat"))
     try:
