@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomgrid.functions import segments
+from loomgrid.functions.randoms import let
 from loomgrid.functions.scalars import EPS
 
 RING = "array<struct<x:double,z:double>>"
@@ -247,5 +248,6 @@ def offset(ring: Column, distances: Column, miter_limit: float = 3.0) -> Column:
         k = F.when(far > limit, limit / far).otherwise(1.0)
         return point(s["p"]["x"] + dx * k, s["p"]["z"] + dz * k)
 
-    made = tidy(F.zip_with(F.zip_with(ring, corners(lines), lambda p, to: F.struct(p.alias("p"), to.alias("to"))), limits, drawn_back))
-    return F.when((F.size(ring) >= 3) & (F.size(made) >= 3) & (signed_area(made) > 0) & is_simple(made), made)
+    moved = let(lines, corners)
+    made = let(F.zip_with(F.zip_with(ring, moved, lambda p, to: F.struct(p.alias("p"), to.alias("to"))), limits, drawn_back), tidy)
+    return let(made, lambda m: F.when((F.size(ring) >= 3) & (F.size(m) >= 3) & (signed_area(m) > 0) & is_simple(m), m))
