@@ -9,7 +9,7 @@ from loomgrid.functions import rings
 from loomgrid.operators.components import connected_components
 from loomgrid.operators.land import adjacent
 from loomgrid.operators.polygons import dissolve, half_plane_pieces
-from loomgrid.operators.shared import Rounds, cut
+from loomgrid.operators.shared import Rounds, cut, delete, fresh_dir
 
 # How far off the middle a cut may be, how often a ring is halved, the least area of a piece, and the shares of the least
 # width that a parcel's area and its sides have to reach.
@@ -31,36 +31,40 @@ def subdivide(blocks: DataFrame, key: str, target: float, least_width: float, se
     A round halves all open rings: convex ones each by an expression, others by the pieces in a half-plane. The rounds are `halvings`
     at most."""
     spark = blocks.sparkSession
-    rounds = Rounds(spark, "parcels")
+    rounds, done = Rounds(spark, "parcels"), fresh_dir(spark, "parcels-done")
     begin = blocks.where(F.size(F.coalesce(F.col(ring), F.array().cast(rings.RING))) >= 3)
-    now = rounds.put(begin.select(F.col(key), F.lit("").alias("path"), rings.ccw(F.col(ring)).alias("ring"), F.lit(True).alias("open")))
+    now = begin.select(F.col(key), F.lit("").alias("path"), rings.ccw(F.col(ring)).alias("ring"))
+    shape = now.schema
     for n in range(halvings + 1):
-        told = now.withColumn("box", rings.oriented_box(F.col("ring"))).withColumn("area", rings.area(F.col("ring")))
+        # rings, then their measures, as tables: what follows names them many times
+        now = rounds.put(now.select(key, "path", "ring"))
+        told = cut(now.select(key, "path", "ring", rings.oriented_box(F.col("ring")).alias("box"), rings.area(F.col("ring")).alias("area"), rings.is_convex(F.col("ring")).alias("convex")))
+        told = told.where(F.col("area") >= least_area)
         fit = (F.col("area") >= target) & (F.least("box.w", "box.d") >= 2 * least_width) & F.lit(n < halvings)
-        told = told.where(~F.col("open") | (F.col("area") >= least_area)).withColumn("open", F.col("open") & fit)
-        if told.where("open").isEmpty():
-            now = rounds.put(told.select(key, "path", "ring", "open"))
+        told.where(~fit).select(key, "path", "ring").write.mode("append").parquet(done)
+        if told.where(fit).isEmpty():
             break
         long = F.col("box.w") >= F.col("box.d")
         c, s = F.cos("box.angle"), F.sin("box.angle")
         nx, nz = F.when(long, c).otherwise(-s), F.when(long, s).otherwise(c)
         off = _draw(seed, key, "path") * JITTER * F.greatest("box.w", "box.d")
         halves = F.array(*(F.struct(F.lit(h).alias("half"), (nx * w).alias("nx"), (nz * w).alias("nz"), ((nx * F.col("box.cx") + nz * F.col("box.cz") + off) * w).alias("c")) for h, w in (("a", 1.0), ("b", -1.0))))
-        cutting = told.where("open").select(key, "path", "ring", F.explode(halves).alias("h")).select(key, "path", "ring", "h.*").withColumn("convex", rings.is_convex(F.col("ring")))
-        cutting = cut(cutting)
+        cutting = cut(told.where(fit).select(key, "path", "ring", "convex", F.explode(halves).alias("h")).select(key, "path", "ring", "convex", "h.*"))
         plain = cutting.where("convex").select(key, F.concat("path", "half", F.lit("0")).alias("path"), rings.tidy(rings.clip_half_plane(F.col("ring"), F.col("nx"), F.col("nz"), F.col("c"))).alias("ring"))
-        made = plain.where(F.size("ring") >= 3)
+        now = plain.where(F.size("ring") >= 3)
         bent = cutting.where("not convex")
         if not bent.isEmpty():
             part = F.struct(F.col(key).alias("key"), F.concat("path", "half").alias("path")).alias("part")
             found = half_plane_pieces(bent.select(part, "ring", "nx", "nz", "c"), "part")
             first = F.struct(*(F.round(rings.centroid(F.col("ring"))[a], 4).alias(a) for a in "xz"))
             order = F.row_number().over(Window.partitionBy("part").orderBy(first)) - 1
-            made = made.unionAll(found.select(F.col("part.key").alias(key), F.concat("part.path", order.cast("string")).alias("path"), "ring"))
-        now = rounds.put(told.where("not open").select(key, "path", "ring", "open").unionAll(made.withColumn("open", F.lit(True))))
-    box = rings.oriented_box(F.col("ring"))
-    sliver = (rings.area(F.col("ring")) < least_width * least_width * LEAST_SHARE) | (F.least(box["w"], box["d"]) < least_width * LEAST_SIDE)
-    return rounds.end(now.select(key, "path", "ring", sliver.alias("sliver")))
+            now = now.unionAll(found.select(F.col("part.key").alias(key), F.concat("part.path", order.cast("string")).alias("path"), "ring"))
+    box = F.col("box")
+    sliver = (F.col("area") < least_width * least_width * LEAST_SHARE) | (F.least(box["w"], box["d"]) < least_width * LEAST_SIDE)
+    parts = spark.read.schema(shape).parquet(done).withColumn("box", rings.oriented_box(F.col("ring"))).withColumn("area", rings.area(F.col("ring")))
+    found = rounds.end(parts.select(key, "path", "ring", sliver.alias("sliver")))
+    delete(spark, done)
+    return found
 
 
 def merge_landlocked(parcels: DataFrame, group: str, parcel: str, ring: str = "ring", frontage: str = "frontage", most_rounds: int = 60, tol: float = 1e-6) -> DataFrame:

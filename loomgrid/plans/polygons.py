@@ -236,10 +236,10 @@ def house_insets(spark: SparkSession, sf_dir: str) -> DataFrame:
 TARGET, LEAST_WIDTH = 12.0, 1.0
 
 
-@query(f"WITH {COMBS} SELECT id, round(wide * bar - x * bar + teeth * tw * h, 6) AS area, 0::BIGINT AS over FROM planes")
-def comb_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Combs cut in parcels, which tile them, and none is left that could be halved (FAB-7, FAB-15)."""
-    found = parcels.subdivide(combs(spark, sf_dir), "id", TARGET, LEAST_WIDTH, least_area=0.0)
+@query(f"WITH {t.SHAPES} SELECT id, round(w * d * 3 / 2, 6) AS area, 0::BIGINT AS over FROM sh")
+def house_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Houses cut in parcels, which tile them, and none is left that could be halved (FAB-7, FAB-15)."""
+    found = parcels.subdivide(t.shapes(spark, sf_dir), "id", TARGET, LEAST_WIDTH, least_area=0.0)
     box = rings.oriented_box(F.col("ring"))
     large = (rings.area(F.col("ring")) >= TARGET) & (F.least(box["w"], box["d"]) >= 2 * LEAST_WIDTH)
     told = found.select("id", rings.area(F.col("ring")).alias("area"), large.alias("large"))
