@@ -30,9 +30,15 @@ MOST_LEAVES = 100_000
 SEED = 42
 
 
+#: Scripts that set no spaces between words, by the names of their Unicode scripts.
+UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+
+
 def words(text: str = "text") -> Column:
-    """Tokens as runs of other signs than white space."""
-    return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Tokens: signs of scripts that set no spaces between words, each by itself, and runs of other signs than those and white space. A
+    language written without spaces has its share of a budget, then; runs of spaces alone would make a whole page one token."""
+    signs = "".join(rf"\p{{Is{script}}}" for script in UNSPACED)
+    return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(rf"[^\x20\x09-\x0D{signs}]+|[{signs}]")), F.lit(0)).cast("long")
 
 
 def weight_of(weights: Mapping[tuple, float], path: tuple) -> float:

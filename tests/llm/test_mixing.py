@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from loomgrid.llm.mixing import budgets, mix, share
+from loomgrid.llm.mixing import budgets, mix, share, words
 
 
 def test_shortages_go_to_siblings_first():
@@ -77,3 +77,16 @@ def test_columns_that_are_called_like_the_added_ones(spark):
     got = mix(df, {"l": F.col("lang")}, {}, share_of_supply=1.0)
     assert got.columns == [*df.columns, "epoch___", "tokens___", "budget___"]
     assert [tuple(r)[3:] for r in got.select(*df.columns, "tokens___").collect()] == [(7, 8, 9, 2)]
+
+
+def test_scripts_without_spaces_count_by_sign(spark):
+    made = [("两个黄鹂鸣翠柳", 7), ("ab 两c个 d", 5), ("スパークは速い。", 8), ("ภาษา x", 5), ("don't stop\tnow", 3), ("한국어 문장", 2), ("", 0), (None, 0), (" \n", 0)]
+    df = spark.createDataFrame([(k, t, n) for k, (t, n) in enumerate(made)], "doc_id long, text string, n long")
+    assert [(r.n, r.got) for r in df.select("n", words().alias("got")).collect()] == [(n, n) for _, n in made]
+
+
+def test_a_leaf_without_spaces_gets_its_weight(spark):
+    made = [(k, "字" * 50, "zh") for k in range(40)] + [(100 + k, "word " * 50, "en") for k in range(40)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    got = {r.lang: r.n for r in mix(df, {"lang": F.col("lang")}, {}, share_of_supply=0.5).groupBy("lang").agg(F.sum("tokens__").alias("n")).collect()}
+    assert got == {"zh": 1000, "en": 1000}
