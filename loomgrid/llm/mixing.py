@@ -30,15 +30,19 @@ MOST_LEAVES = 100_000
 SEED = 42
 
 
-#: Scripts that set no spaces between words, by the names of their Unicode scripts.
-UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+# Blocks of scripts that set no spaces between words: Thai and Lao, Myanmar, Khmer, kana, ideographs, narrow kana.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x20000, 0x3FFFF))
 
 
 def words(text: str = "text") -> Column:
     """Tokens: signs of scripts that set no spaces between words, each by itself, and runs of other signs than those and white space. A
-    language written without spaces has its share of a budget, then; runs of spaces alone would make a whole page one token."""
-    signs = "".join(rf"\p{{Is{script}}}" for script in UNSPACED)
-    return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(rf"[^\x20\x09-\x0D{signs}]+|[{signs}]")), F.lit(0)).cast("long")
+    language written without spaces has its share of a budget, then; runs of spaces alone would make a whole page one token. Texts
+    without a sign of the two spans that hold these scripts are counted by the simpler pattern, which finds the same runs in them."""
+    t = F.col(text).cast("string")
+    signs = "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in UNSPACED)
+    runs = F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+"))
+    mixed = F.regexp_count(t, F.lit(rf"[^\x20\x09-\x0D{signs}]+|[{signs}]"))
+    return F.coalesce(F.when((F.octet_length(t) == F.char_length(t)) | ~t.rlike(r"[\x{E00}-\x{17FF}\x{3040}-\x{3FFFF}]"), runs).otherwise(mixed), F.lit(0)).cast("long")
 
 
 def weight_of(weights: Mapping[tuple, float], path: tuple) -> float:
