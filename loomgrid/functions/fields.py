@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,7 +70,16 @@ def shore_segments(shores: Sequence[tuple[list, bool]]) -> list[tuple]:
 
 
 def water_distance(land: dict, size: float = 900.0) -> Field:
-    """Distance to the nearest shore, negative on water; NO_SHORE where there is none."""
+    """Distance to the nearest shore, negative on water; NO_SHORE where there is none. Banks and coasts go on beyond the viewport, as land does."""
+    banks = [float(land[n]) for n in {"river": ("x0", "x1"), "coast": ("edge",)}.get(land.get("kind", "flat"), ())]
+    if banks:
+        on_land = is_land(land)
+
+        def beside(x: Column, z: Column) -> Column:
+            d = reduce(F.least, (F.abs(x - b) for b in banks))
+            return F.when(on_land(x, z), d).otherwise(-d)
+
+        return beside
     parts = shore_segments(shores_of(land, size))
     if not parts:
         return lambda x, z: F.lit(NO_SHORE)

@@ -140,9 +140,9 @@ def max_grade(segments: DataFrame, height: Field, step: float = 4.0) -> DataFram
 
 def water_offences(edges: DataFrame, water: Field, tolerance: float = 0.25, step: float = 0.125) -> DataFrame:
     """At-grade edges (edge, ax, az, bx, bz) with a sampled point in water, and the first such point."""
-    dx, dz = F.col("bx") - F.col("ax"), F.col("bz") - F.col("az")
-    n = F.greatest(F.lit(1), F.ceil(F.sqrt(dx * dx + dz * dz) / step).cast("int"))
-    each = edges.select("edge", F.explode(F.transform(F.sequence(F.lit(0), n), lambda k: F.struct(k.alias("k"), (F.col("ax") + dx * k / n).alias("x"), (F.col("az") + dz * k / n).alias("z")))).alias("p")).select("edge", "p.*")
+    each = _steps(edges.repartition("edge"), step, 0)  # a short table has few partitions, and a street many samples
+    at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("k__") / F.col("n__")
+    each = each.select("edge", F.col("k__").alias("k"), at("ax", "bx").alias("x"), at("az", "bz").alias("z"))
     wet = each.where(water(F.col("x"), F.col("z")) < -tolerance)
     return wet.groupBy("edge").agg(F.min_by(F.struct("x", "z"), "k").alias("p")).select("edge", "p.x", "p.z")
 

@@ -136,3 +136,9 @@ def test_fields(spark):
     heading = fields.direction([{"type": "grid", "angle": 0.3}], shores=[([(-100.0, 0.0), (100.0, 0.0)], False)], shore_weight=50.0)
     near, far = one(spark, near=heading(F.lit(0.0), F.lit(1.0)), far=heading(F.lit(0.0), F.lit(5000.0)))
     assert min(near, math.pi - near) < 0.02 and math.isclose(far, 0.3)
+
+
+def test_banks_go_on_beyond_the_viewport(spark):
+    river, coast = fields.water_distance({"kind": "river", "x0": -60.0, "x1": 35.5}), fields.water_distance({"kind": "coast", "edge": 120.0})
+    r = one(spark, a=river(F.lit(-59.0), F.lit(500.0)), b=river(F.lit(40.0), F.lit(-600.0)), c=coast(F.lit(100.0), F.lit(470.0)))
+    assert (r.a, r.b, r.c) == (-1.0, 4.5, -20.0)
