@@ -175,3 +175,25 @@ def test_adjacent_parcels(spark, cell):
                 if shared:
                     want[p, a, b] = shared
     assert got == want
+
+
+def test_clear_of_looks_at_copies_and_claims_in_claims_once(spark):
+    """Two thousand claims from one corner and two thousand equal items: before, each met each, four million times."""
+    from loomgrid.operators import land
+
+    box = lambda x, z, w, d: [{"x": x, "z": z}, {"x": x + w, "z": z}, {"x": x + w, "z": z + d}, {"x": x, "z": z + d}]
+    claims = [(k, box(0.0, 0.0, 1.0 + k % 50, 1.0 + k // 50)) for k in range(2000)] + [(2000, [{"x": 70.0, "z": 0.0}, {"x": 74.0, "z": 0.0}, {"x": 70.0, "z": 4.0}])]
+    items = [(k, box(49.0, 39.0, 2.0, 2.0)) for k in range(2000)] + [(2000, box(50.0, 0.0, 2.0, 2.0)), (2001, box(73.0, 3.0, 2.0, 2.0)), (2002, box(71.0, 1.0, 1.0, 1.0))]
+    told = lambda rows: spark.createDataFrame(rows, f"id long, ring {rings.RING}")
+    assert sorted(r.id for r in land.clear_of(told(items), told(claims), "id", 16.0).collect()) == [2000, 2001]
+
+
+def test_owners_by_box_and_ring(spark):
+    from loomgrid.operators import land
+
+    areas = spark.createDataFrame([(1, [{"x": 0.0, "z": 0.0}, {"x": 4.0, "z": 0.0}, {"x": 0.0, "z": 4.0}])], f"area long, ring {rings.RING}")
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 3.0, 3.0), (3, 9.0, 1.0), (4, -1.0, 1.0)], "pid long, px double, pz double")
+    found = land.owners(points, areas, 16.0)
+    assert [r.pid for r in found.collect()] == [1]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ">= bb" in plan  # the box decides before the ring is walked
