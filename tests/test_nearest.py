@@ -33,3 +33,12 @@ def test_lines_that_lie_in_each_other_are_met_by_the_longest(spark):
         d, line = min((away(x, z, *ends), line) for line, *ends in lines)
         assert abs(found[p][1] - d) < 1e-9 and abs(away(x, z, *lines[found[p][0]][1:]) - d) < 1e-9
     assert len(found) == 2000
+
+
+def test_clearances_by_sides(spark):
+    from loomgrid.operators.land import clearances
+
+    sides = [(1, 0.0, 0.0, 4.0, 0.0), (1, 4.0, 0.0, 0.0, 4.0), (1, 0.0, 4.0, 0.0, 0.0), (2, 10.0, 0.0, 10.0, 9.0)]
+    points = [(1, 7.0, 0.0), (2, -6.0, 0.0), (3, -6.1, 0.0), (4, 1.0, 1.5)]
+    found = clearances(spark.createDataFrame(points, "pid long, px double, pz double"), spark.createDataFrame(sides, "shape long, ax double, az double, bx double, bz double"), 6.0)
+    assert sorted((r.pid, r.shape, r.d) for r in found.collect()) == [(1, 1, 3.0), (1, 2, 3.0), (2, 1, 6.0), (4, 1, 1.0)]
