@@ -69,8 +69,8 @@ def _loose(left: DataFrame, whole_chains: bool) -> DataFrame:
     if not whole_chains:
         return loose
     chains = connected_components(at.where("n = 2 and edge <> other"), "edge", "other").withColumnRenamed("node", "edge")
-    named = loose.join(chains, "edge", "left")
-    members = chains.join(named.where("component is not null").select("component").distinct(), "component", "left_semi").select("edge")
+    named = loose.join(chains.hint("merge"), "edge", "left")
+    members = chains.join(named.where("component is not null").select("component").distinct().hint("merge"), "component", "left_semi").select("edge")
     return members.unionAll(named.where("component is null").select("edge"))
 
 
@@ -84,7 +84,7 @@ def spurs(edges: DataFrame, most_rounds: int = 1_000) -> DataFrame:
         if loose.isEmpty():
             return reduce(DataFrame.unionAll, taken) if taken else loose
         taken.append(loose)
-        left = cut(left.join(loose, "edge", "left_anti"))
+        left = cut(left.join(loose.hint("merge"), "edge", "left_anti"))
     raise RuntimeError(f"dead ends did not settle in {most_rounds} rounds")
 
 
@@ -232,16 +232,16 @@ def least_cost(steps: DataFrame, pairs: DataFrame, most_rounds: int = 10_000) ->
     rounds = Rounds(spark, "least-cost")
     known = rounds.put(begin)
     for _ in range(most_rounds):
-        met = known.join(pairs, (known["start"] == pairs["start"]) & (known["node"] == pairs["goal"])).groupBy(known["start"]).agg(F.count("*").alias("found"), F.max("cost").alias("dearest"))
+        met = known.join(pairs.hint("merge"), (known["start"] == pairs["start"]) & (known["node"] == pairs["goal"])).groupBy(known["start"]).agg(F.count("*").alias("found"), F.max("cost").alias("dearest"))
         bound = F.when(F.col("found") == F.col("goals"), F.col("dearest")).otherwise(float("inf"))
-        limits = goals.join(met, "start", "left").select("start", bound.alias("bound"))
-        front = known.where("new").join(limits, "start").where(F.col("cost") < F.col("bound"))
-        stepped = front.join(steps.withColumnsRenamed({"node": "from", "cost": "more", "edge": "by"}), F.col("node") == F.col("from"))
+        limits = goals.join(met.hint("merge"), "start", "left").select("start", bound.alias("bound"))
+        front = known.where("new").join(limits.hint("merge"), "start").where(F.col("cost") < F.col("bound"))
+        stepped = front.join(steps.withColumnsRenamed({"node": "from", "cost": "more", "edge": "by"}).hint("merge"), F.col("node") == F.col("from"))
         found = stepped.select("start", F.col("next").alias("node"), (F.col("cost") + F.col("more")).alias("cost"), F.col("from").alias("before"), F.col("by").alias("edge"), (F.col("hops") + 1).alias("hops"))
         both = known.withColumn("old", F.lit(True)).unionByName(found.withColumns({"new": F.lit(True), "old": F.lit(False)}))
         way = F.struct("cost", "before", "edge", "hops")
         best = both.groupBy("start", "node").agg(F.min(F.when(~F.col("old"), way)).alias("found"), F.max(F.when(F.col("old"), way)).alias("kept"))
-        nearer = F.col("kept").isNull() | (F.col("found.cost") < F.col("kept.cost") - BUDGET_SLACK)
+        nearer = F.col("kept").isNull() | (F.col("found.cost") < F.col("kept.cost"))  # to the last digit, or a dearer way could stay
         best = best.withColumn("new", F.coalesce(nearer & F.col("found").isNotNull(), F.lit(False))).withColumn("way", F.when(F.col("new"), F.col("found")).otherwise(F.col("kept")))
         known = rounds.put(best.select("start", "node", "way.*", "new").select("start", "node", "cost", "before", "edge", "hops", "new"))
         if known.where("new").isEmpty():
@@ -258,11 +258,11 @@ def paths(reached: DataFrame, pairs: DataFrame) -> DataFrame:
     jumps = [cut(reached.where("before is not null").select("start", "node", F.col("before").alias("back")))]
     while not jumps[-1].isEmpty():
         last = jumps[-1]
-        jumps.append(cut(last.join(last.select("start", F.col("node").alias("back"), F.col("back").alias("further")), ["start", "back"]).select("start", "node", F.col("further").alias("back"))))
-    on = cut(pairs.join(reached, (pairs["start"] == reached["start"]) & (pairs["goal"] == reached["node"])).select(pairs["start"], "goal", "node"))
+        jumps.append(cut(last.join(last.select("start", F.col("node").alias("back"), F.col("back").alias("further")).hint("merge"), ["start", "back"]).select("start", "node", F.col("further").alias("back"))))
+    on = cut(pairs.join(reached.hint("merge"), (pairs["start"] == reached["start"]) & (pairs["goal"] == reached["node"])).select(pairs["start"], "goal", "node"))
     for jump in reversed(jumps[:-1]):
-        on = cut(on.unionAll(on.join(jump, ["start", "node"]).select("start", "goal", F.col("back").alias("node"))).distinct())
-    told = on.join(reached, ["start", "node"])
+        on = cut(on.unionAll(on.join(jump.hint("merge"), ["start", "node"]).select("start", "goal", F.col("back").alias("node"))).distinct())
+    told = on.join(reached.hint("merge"), ["start", "node"])
     pos = F.row_number().over(Window.partitionBy("start", "goal").orderBy("cost", "hops")) - 1
     return told.select("start", "goal", pos.cast("long").alias("pos"), "node", "edge", "cost")
 

@@ -38,7 +38,7 @@ def cheapest_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the cheapest way costs from the first part of a block to others of it, all blocks at once (NET-3)."""
     reached, pairs = network.least_cost(_steps(spark, sf_dir), _pairs(spark, sf_dir))
     costs = reached.select("start", F.col("node").alias("goal"), F.round("cost", 6).alias("cost"))
-    return pairs.join(costs, ["start", "goal"])
+    return pairs.join(costs.hint("merge"), ["start", "goal"])
 
 
 @query(WAYS + "SELECT start, goal, unnest(range(length(way))) AS pos, unnest(way) AS node FROM (SELECT start, goal, arg_min(seen, cost) AS way FROM walks JOIN pairs USING (start) WHERE here = goal GROUP BY start, goal)")

@@ -108,3 +108,11 @@ def test_decks_clear_the_banks(spark):
     narrow = lambda x, z: F.abs(x) - 1
     ridge = terrain.ground(lambda x, z: F.when(F.abs(z - 50) < 10, 24.0).otherwise(0.0), narrow)
     assert decks(spark, [(-1, 0, 1, 100)], ridge, water=narrow)[0] >= 24 + terrain.DECK_CLEAR - 1e-9
+
+
+def test_ways_are_compared_to_the_last_digit(spark):
+    """The direct way is found first and dearer by less than 1e-12; before, it stayed."""
+    direct = 4000.0 + 2.0**-40
+    steps = spark.createDataFrame([(1, 1, 3, direct), (1, 2, 2, 1500.0), (2, 3, 3, 2500.0)], "node long, edge long, next long, cost double")
+    reached, _ = network.least_cost(steps, spark.createDataFrame([(1, 3)], "start long, goal long"))
+    assert [(r.cost, r.before) for r in reached.where("node = 3").collect()] == [(4000.0, 2)]
