@@ -19,7 +19,7 @@ def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
     least = links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
     # Under a name that isn't the grouping's, both sides of the join are dealt out anew, and Spark may split a node with many links.
     own = least.select(F.col("a").bitwiseXOR(F.lit(0)).alias("k"), "m")
-    joined = links.join(own, links["a"] == own["k"]).drop("k")
+    joined = links.join(own.hint("merge"), links["a"] == own["k"]).drop("k")
     if both_ways:  # the larger neighbours move to the smallest node in reach
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:  # the smaller neighbours and the node itself do

@@ -22,7 +22,7 @@ def trace(links: DataFrame) -> DataFrame:
     reach = 1
     while not now.where("moved__").isEmpty():
         far = now.select(F.col("node").alias("at__"), F.col("to__").alias("further__"), F.col("cycle").alias("least__"), F.col("ahead").alias("more__"))
-        met = now.join(far, F.col("to__") == F.col("at__"))
+        met = now.join(far.hint("merge"), F.col("to__") == F.col("at__"))  # files are small where rows are many: no broadcast
         nearer = F.col("least__") < F.col("cycle")
         now = rounds.put(
             met.select(

@@ -226,7 +226,7 @@ def house_insets(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = t.shapes(spark, sf_dir).select("id", "ring", F.array_repeat(F.lit(INSET), 5).alias("distances"))
     shrunk = polygons.inset(told, "id").select("id", rings.area(F.col("ring")).alias("shrunk"))
     moved = told.select("id", rings.area(rings.offset(rings.ccw(F.col("ring")), F.col("distances"))).alias("area"))
-    return moved.join(shrunk, "id").select("id", F.round("area", 6).alias("area"), (F.abs(F.col("area") - F.col("shrunk")) < 1e-6).alias("same"))
+    return moved.join(shrunk.hint("merge"), "id").select("id", F.round("area", 6).alias("area"), (F.abs(F.col("area") - F.col("shrunk")) < 1e-6).alias("same"))
 
 
 
