@@ -18,7 +18,7 @@ def combs(spark: SparkSession, sf_dir: str) -> DataFrame:
     below it, or aslant."""
     k = F.col("p_partkey").cast("long")
     x, z = t._spread(k, 37, 3401, 450), t._spread(k, 91, 3401, 450)
-    told = t.read(spark, sf_dir, "part").select(
+    told = t.dealt(spark, sf_dir, "part", "p_partkey").select(
         k.alias("id"), x.alias("x"), z.alias("z"), (2 + k % 4).cast("int").alias("teeth"), (1 + k % 3 / F.lit(2.0)).alias("tw"), (F.lit(1.0) + F.col("p_size") % 5 / F.lit(4.0)).alias("gw"), (2 + k % 5 / F.lit(4.0)).alias("bar"), (3 + k % 7 / F.lit(4.0)).alias("h")
     )
     pitch = F.col("tw") + F.col("gw")
