@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from loomgrid.functions import rings
+from loomgrid.functions import halves, rings
 from loomgrid.operators.components import connected_components
 from loomgrid.operators.land import adjacent
-from loomgrid.operators.polygons import dissolve, half_plane_pieces
+from loomgrid.operators.polygons import dissolve
 from loomgrid.operators.shared import Rounds, cut
 
 # How far off the middle a cut may be, how often a ring is halved, the least area of a piece, and the shares of the least
 # width that a parcel's area and its sides have to reach.
 JITTER, MOST_HALVINGS, LEAST_AREA = 0.12, 9, 4.0
 LEAST_SHARE, LEAST_SIDE = 0.8, 0.7
+SAME = 1e-9  # points of a parcel that are one: a cut this near a corner takes no area that would be told
 
 
 def _draw(seed: str, *columns: str) -> Column:
@@ -28,39 +36,59 @@ def subdivide(blocks: DataFrame, key: str, target: float, least_width: float, se
     where the next cut lies. Parcels that are too small or too narrow to use are slivers; what is below least_area is dropped, so the other
     parcels tile the ring.
 
-    A round halves all open rings: convex ones each by an expression, others by the pieces in a half-plane. The rounds are `halvings`
-    at most."""
-    spark = blocks.sparkSession
-    rounds = Rounds(spark, "parcels")
+    A round halves all open rings, those of a batch together, within their tasks; each round writes only what it made. The rounds are
+    `halvings` at most."""
     begin = blocks.where(F.size(F.coalesce(F.col(ring), F.array().cast(rings.RING))) >= 3)
-    now = rounds.put(begin.select(F.col(key), F.lit("").alias("path"), rings.ccw(F.col(ring)).alias("ring"), F.lit(True).alias("open")))
+    now = begin.select(F.col(key), F.lit("").alias("path"), F.col(ring).alias("ring"), F.lit(None).cast("double").alias("draw"))
+    made = StructType([*now.schema.fields[:3], StructField("open", BooleanType()), StructField("sliver", BooleanType())])
+    rounds = []
     for n in range(halvings + 1):
-        told = now.withColumn("box", rings.oriented_box(F.col("ring"))).withColumn("area", rings.area(F.col("ring")))
-        fit = (F.col("area") >= target) & (F.least("box.w", "box.d") >= 2 * least_width) & F.lit(n < halvings)
-        told = told.where(~F.col("open") | (F.col("area") >= least_area)).withColumn("open", F.col("open") & fit)
-        if told.where("open").isEmpty():
-            now = rounds.put(told.select(key, "path", "ring", "open"))
+        rounds.append(cut(now.mapInArrow(_halving(target, least_width, least_area, n < halvings), made)))
+        now = rounds[-1].where("open").select(key, "path", "ring", _draw(seed, key, "path").alias("draw"))
+        if now.isEmpty():
             break
-        long = F.col("box.w") >= F.col("box.d")
-        c, s = F.cos("box.angle"), F.sin("box.angle")
-        nx, nz = F.when(long, c).otherwise(-s), F.when(long, s).otherwise(c)
-        off = _draw(seed, key, "path") * JITTER * F.greatest("box.w", "box.d")
-        halves = F.array(*(F.struct(F.lit(h).alias("half"), (nx * w).alias("nx"), (nz * w).alias("nz"), ((nx * F.col("box.cx") + nz * F.col("box.cz") + off) * w).alias("c")) for h, w in (("a", 1.0), ("b", -1.0))))
-        cutting = told.where("open").select(key, "path", "ring", F.explode(halves).alias("h")).select(key, "path", "ring", "h.*").withColumn("convex", rings.is_convex(F.col("ring")))
-        cutting = cut(cutting)
-        plain = cutting.where("convex").select(key, F.concat("path", "half", F.lit("0")).alias("path"), rings.tidy(rings.clip_half_plane(F.col("ring"), F.col("nx"), F.col("nz"), F.col("c"))).alias("ring"))
-        made = plain.where(F.size("ring") >= 3)
-        bent = cutting.where("not convex")
-        if not bent.isEmpty():
-            part = F.struct(F.col(key).alias("key"), F.concat("path", "half").alias("path")).alias("part")
-            found = half_plane_pieces(bent.select(part, "ring", "nx", "nz", "c"), "part")
-            first = F.struct(*(F.round(rings.centroid(F.col("ring"))[a], 4).alias(a) for a in "xz"))
-            order = F.row_number().over(Window.partitionBy("part").orderBy(first)) - 1
-            made = made.unionAll(found.select(F.col("part.key").alias(key), F.concat("part.path", order.cast("string")).alias("path"), "ring"))
-        now = rounds.put(told.where("not open").select(key, "path", "ring", "open").unionAll(made.withColumn("open", F.lit(True))))
-    box = rings.oriented_box(F.col("ring"))
-    sliver = (rings.area(F.col("ring")) < least_width * least_width * LEAST_SHARE) | (F.least(box["w"], box["d"]) < least_width * LEAST_SIDE)
-    return rounds.end(now.select(key, "path", "ring", sliver.alias("sliver")))
+    return reduce(DataFrame.unionAll, (made.where("not open").select(key, "path", "ring", "sliver") for made in rounds))
+
+
+def _halving(target: float, least_width: float, least_area: float, further: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Arrow batches (key, path, ring, draw) to the parcels that the cuts leave: key, path, ring, open (whether it has to be halved),
+    sliver. Without a draw the ring itself is a parcel."""
+
+    def parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, first = halves.of_arrow(batch.column("ring")), batch.column("draw").null_count > 0
+            told = (halves.ccw(own), np.arange(batch.num_rows), batch.column("path")) if first else _cut(own, batch.column("draw").to_numpy(), batch.column("path"))
+            areas = np.abs(halves.signed_areas(told[0]))
+            usable = areas >= least_area
+            if not usable.any():
+                continue
+            found, of, paths = halves.chosen(told[0], usable), told[1][usable], told[2].filter(pa.array(usable))
+            *_, w, d, _ = halves.oriented_boxes(found)
+            areas, narrow = areas[usable], np.minimum(w, d)
+            fit = (areas >= target) & (narrow >= 2 * least_width) & further
+            sliver = (areas < least_width * least_width * LEAST_SHARE) | (narrow < least_width * LEAST_SIDE)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), paths, halves.to_arrow(found), pa.array(fit), pa.array(sliver)], names=[batch.schema.names[0], "path", "ring", "open", "sliver"])
+
+    return parcels
+
+
+def _cut(own: halves.Rings, draw: np.ndarray, paths: pa.Array) -> tuple[halves.Rings, np.ndarray, pa.Array]:
+    """The pieces of rings halved across the longer side of their boxes, the ring that each is of, and its path."""
+    cx, cz, w, d, angle = halves.oriented_boxes(own)
+    long, c, s = w >= d, np.cos(angle), np.sin(angle)
+    nx, nz = np.where(long, c, -s), np.where(long, s, c)
+    middle = nx * cx + nz * cz + draw * JITTER * np.maximum(w, d)
+    sides = [halves.pieces(own, nx * way, nz * way, middle * way, SAME) for way in (1.0, -1.0)]
+    marks = []
+    for half, (found, of) in zip("ab", sides, strict=True):
+        x, z = (np.round(v, 4) for v in halves.centroids(found))
+        order = np.lexsort((z, x, of))
+        fresh = np.diff(of[order], prepend=-1) != 0
+        nth = np.empty(len(of), np.int64)
+        nth[order] = np.arange(len(of)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        marks += [half + str(k) for k in nth]
+    of = np.concatenate([of for _, of in sides])
+    return halves.joined(*(found for found, _ in sides)), of, pc.binary_join_element_wise(paths.take(pa.array(of)), pa.array(marks, pa.string()), "")
 
 
 def merge_landlocked(parcels: DataFrame, group: str, parcel: str, ring: str = "ring", frontage: str = "frontage", most_rounds: int = 60, tol: float = 1e-6) -> DataFrame:

@@ -240,9 +240,8 @@ TARGET, LEAST_WIDTH = 12.0, 1.0
 def house_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Houses cut in parcels, which tile them, and none is left that could be halved (FAB-7, FAB-15)."""
     found = parcels.subdivide(t.shapes(spark, sf_dir), "id", TARGET, LEAST_WIDTH, least_area=0.0)
-    box = rings.oriented_box(F.col("ring"))
-    large = (rings.area(F.col("ring")) >= TARGET) & (F.least(box["w"], box["d"]) >= 2 * LEAST_WIDTH)
-    told = found.select("id", rings.area(F.col("ring")).alias("area"), large.alias("large"))
+    large = rings.let(rings.oriented_box(F.col("ring")), lambda box: F.least(box["w"], box["d"]) >= 2 * LEAST_WIDTH)
+    told = found.select("id", rings.area(F.col("ring")).alias("area"), (F.when(rings.area(F.col("ring")) >= TARGET, large).otherwise(False)).alias("large"))
     return told.groupBy("id").agg(F.round(F.sum("area"), 6).alias("area"), F.count_if("large").alias("over"))
 
 
