@@ -60,3 +60,15 @@ def test_a_cut_beside_a_corner_takes_no_area(spark):
     house = spark.range(383876, 383877).select("id", rings.of((x, z), (x + w, z), (x + w, z + d), (x + w / 2, z + d * 2), (x, z + d)).alias("ring"))
     found = parcels.subdivide(house, "id", 12.0, 1.0, least_area=0.0).agg(F.sum(rings.area(F.col("ring"))).alias("a")).first()
     assert abs(found.a - 121.5) < 1e-7
+
+
+def test_a_right_of_way_is_cut_off_in_a_job(spark):
+    house = rings.of((0, 0), (6, 0), (6, 4), (3, 8), (0, 4))
+    items = spark.range(30).select("id", house.alias("ring"), F.lit(4.0).alias("x"), F.lit(-1.0).alias("z"), F.lit(9.0).alias("w"), F.lit(3.0).alias("d"))
+
+    def trim():
+        return polygons.trimmed(items, "id", ("x", "z", "w", "d"), 0.0, 3.0)
+
+    found, started = jobs(spark, trim)
+    got = found.select(rings.area(F.col("ring")).alias("a")).collect()
+    assert started <= 2 and len(got) == 30 and all(abs(r.a - 76 / 3) < 1e-9 for r in got)
