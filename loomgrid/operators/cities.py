@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,20 +40,26 @@ SCHEMAS = {
 }
 
 
-def _generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, dict[str, list]]]:
+    """The cities of each batch of configs, with the rows of all their tables."""
     from loomgrid.kernel.city import City
 
     for batch in batches:
         names = batch.schema.names
-        for config in batch.to_pylist():
-            city = str(config["city_id"])
+        for n in range(batch.num_rows):  # one at a time: a config may hold a city's whole import
+            config = batch.slice(n, 1).to_pylist()[0]
             try:
                 rows = City({k: config[k] for k in names if k != "city_id"}).rows
             except (KeyError, ValueError) as e:  # a config that can't be built is a row of its own
                 rows = {"faults": [{"message": f"{type(e).__name__}: {e}"}]}
-            tables = [(t, n, json.dumps(r)) for t, own in rows.items() for n, r in enumerate(own)]
-            columns = list(zip(*tables, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array([city] * len(tables)), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string())], names=["city_id", "name", "pos", "row"])
+            yield str(config["city_id"]), rows
+
+
+def _generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for city, rows in _built(batches):
+        tables = [(t, n, json.dumps(r)) for t, own in rows.items() for n, r in enumerate(own)]
+        columns = list(zip(*tables, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array([city] * len(tables)), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string())], names=["city_id", "name", "pos", "row"])
 
 
 class Cities:
@@ -71,6 +77,18 @@ class Cities:
         return self.rows.where("name = 'faults'").select("city_id", F.get_json_object("row", "$.message").alias("message"))
 
 
+def sizes(configs: DataFrame, tables: Sequence[str], partitions: int) -> DataFrame:
+    """(city_id, a column a table): how many rows the named tables of the cities of configs have. Cities are built as by Cities, but no
+    row leaves its task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for city, rows in _built(batches):
+            if any(rows.values()):
+                yield pa.RecordBatch.from_pylist([{"city_id": city} | {t: len(rows.get(t, ())) for t in tables}], pa.schema([("city_id", pa.string()), *((t, pa.int64()) for t in tables)]))
+
+    return configs.repartition(partitions, "city_id").mapInArrow(count, ", ".join(["city_id string", *(f"{t} long" for t in tables)]))
+
+
 def geographic_configs(configs: DataFrame, lines: DataFrame, land: DataFrame) -> DataFrame:
     """Configs (city_id, seed, ...) of imported cities. lines: city_id, src, pts and road metadata; land: city_id and the rows of
     classify_polygons. A city's records fit in its task, as its viewport bounds them."""

@@ -72,3 +72,38 @@ def test_a_right_of_way_is_cut_off_in_a_job(spark):
     found, started = jobs(spark, trim)
     got = found.select(rings.area(F.col("ring")).alias("a")).collect()
     assert started <= 2 and len(got) == 30 and all(abs(r.a - 76 / 3) < 1e-9 for r in got)
+
+
+def test_limits_of_water_measure_few_sides(monkeypatch):
+    """Fields.below tells what water() does, and measures only the sides that are near."""
+    import random
+
+    from loomgrid.kernel import city, plane
+
+    rng = random.Random(5)
+    lakes = []
+    for _ in range(30):
+        x, z, w = rng.uniform(-460, 440), rng.uniform(-460, 440), rng.choice([3, 12, 60])
+        outer = [(x, z), (x + w, z), (x + w, z + 9), (x + w / 2, z + 18), (x, z + 9)]
+        lakes.append([outer, [(x + 1, z + 1), (x + 2, z + 1), (x + 2, z + 2)]] if w > 3 else [outer])
+    kinds = [{"kind": "imported", "water": lakes}, {"kind": "imported", "water": []}, {"kind": "river", "x0": -60, "x1": 35.5}, {"kind": "island", "rx": 387.0, "rz": 342.0}]
+    for land in kinds:
+        f = city.Fields({"seed": "s"}, land, None)
+        spots = [(rng.uniform(-500, 500), rng.uniform(-500, 500)) for _ in range(500)] + [(p[0] + rng.uniform(-0.6, 0.6), p[1] + rng.uniform(-0.6, 0.6)) for side in f.sides for p in side for _ in range(4)]
+        for limit in (-0.25, 0.0, 0.5):
+            assert [f.below(x, z, limit) for x, z in spots] == [f.water(x, z) < limit for x, z in spots]
+    f, calls = city.Fields({"seed": "s"}, kinds[0], None), []
+    monkeypatch.setattr(plane, "foot", lambda p, a, b, foot=plane.foot: calls.append(1) or foot(p, a, b))
+    for _ in range(1000):
+        f.below(rng.uniform(-400, 400), rng.uniform(-400, 400), 0.5)
+    assert len(calls) < 5000 < 1000 * len(f.sides)
+
+
+def test_sizes_of_cities_are_those_of_their_tables(spark):
+    from loomgrid.operators import cities
+
+    configs = spark.createDataFrame([("a", "graph", "low"), ("b", "none", "low"), ("c", "bsp", "low")], "city_id string, engine string, density string").withColumn("seed", F.col("city_id"))
+    names = ["blocks", "edges", "faults"]
+    got = {r.city_id: tuple(r[n] for n in names) for r in cities.sizes(configs, names, 2).collect()}
+    rows = cities.Cities(configs).rows.groupBy("city_id").pivot("name", names).count().na.fill(0).collect()
+    assert got == {r.city_id: tuple(r[n] for n in names) for r in rows} and len(got) == 3
