@@ -107,3 +107,27 @@ def test_sizes_of_cities_are_those_of_their_tables(spark):
     got = {r.city_id: tuple(r[n] for n in names) for r in cities.sizes(configs, names, 2).collect()}
     rows = cities.Cities(configs).rows.groupBy("city_id").pivot("name", names).count().na.fill(0).collect()
     assert got == {r.city_id: tuple(r[n] for n in names) for r in rows} and len(got) == 3
+
+
+def test_overlaps_of_pairs_are_those_of_the_expression(spark):
+    import random
+
+    rng = random.Random(8)
+    blob = lambda n: (lambda x, z: [(x + rng.randint(-4, 4) / 2, z + rng.randint(-4, 4) / 2) for _ in range(n)])(rng.randint(0, 6), rng.randint(0, 6))
+    rows = [(k, k + 1000, blob(rng.choice([3, 4, 5, 7])), blob(rng.choice([3, 4, 6]))) for k in range(400)] + [(900, 901, None, blob(3)), (902, 903, [], blob(3))]
+    told = spark.createDataFrame(rows, "one long, two long, ra array<struct<x:double,z:double>>, rb array<struct<x:double,z:double>>").repartition(3)
+    got = polygons.overlapping(told.withColumn("p", rings.bounds(F.col("ra"))).withColumn("q", rings.bounds(F.col("rb"))), "one", "two", "ra", "rb")
+    want = {r.one for r in told.where("size(ra) > 0").where(rings.meet(F.col("ra"), F.col("rb"))).collect()}
+    assert {r.one for r in got.collect()} == want and 50 < len(want) < 380
+
+
+def test_cells_of_a_join_of_many_pairs_are_dealt_to_many_tasks(spark):
+    """A few bytes of rows were put together in a task or two, however many pairs they make."""
+    from loomgrid.operators.grid_join import grid_join
+
+    a = spark.range(400).select(F.col("id").alias("one"), (F.col("id") % 20 * 10.0).alias("x"), (F.col("id") / 20 * 10.0).alias("z"))
+    b = a.toDF("two", "u", "w")
+    at = lambda *c: tuple(F.col(n) for n in c)
+    met = grid_join(a, b, at("x", "z", "x", "z"), at("u", "w", "u", "w"), 16.0, dense=True)
+    assert met.select(F.spark_partition_id()).distinct().count() > 16
+    assert met.count() == grid_join(a, b, at("x", "z", "x", "z"), at("u", "w", "u", "w"), 16.0).count()
