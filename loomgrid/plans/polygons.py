@@ -141,7 +141,7 @@ def trimmed_houses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bricks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """wall, brick, ring: up to twenty parcels of 8 x 4 in four rows for every twenty parts; three in ten are missing."""
     k = F.col("p_partkey").cast("long")
-    told = t.read(spark, sf_dir, "part").select(k.alias("brick"), F.floor(k / 20).cast("long").alias("wall"), (k % 20).alias("i")).where((F.col("brick") * F.col("brick") + F.col("wall")) % 10 < 7)
+    told = t.dealt(spark, sf_dir, "part", "p_partkey").select(k.alias("brick"), F.floor(k / 20).cast("long").alias("wall"), (k % 20).alias("i")).where((F.col("brick") * F.col("brick") + F.col("wall")) % 10 < 7)
     row, column = F.floor(F.col("i") / 5), F.col("i") % 5
     x, z = (column * 8 + row % 2 * 4 + F.col("wall") % 30 * 50).cast("double"), (row * 4 + F.floor(F.col("wall") / 30) * 20).cast("double")
     ring = rings.rect(x, z, F.lit(8.0), F.lit(4.0))

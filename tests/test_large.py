@@ -131,3 +131,15 @@ def test_cells_of_a_join_of_many_pairs_are_dealt_to_many_tasks(spark):
     met = grid_join(a, b, at("x", "z", "x", "z"), at("u", "w", "u", "w"), 16.0, dense=True)
     assert met.select(F.spark_partition_id()).distinct().count() > 16
     assert met.count() == grid_join(a, b, at("x", "z", "x", "z"), at("u", "w", "u", "w"), 16.0).count()
+
+
+def test_shared_boundary_is_measured_where_boxes_touch(spark):
+    """As the expression has it, and that expression isn't in the join any more, where it went over all parcels of a cell."""
+    from loomgrid.operators import land
+
+    lots = spark.range(60).select((F.col("id") % 2).alias("piece"), F.col("id").alias("parcel"), rings.rect(F.floor(F.col("id") / 10) * 4.0, F.col("id") % 10 * 3.0, F.lit(4.0), F.lit(6.0)).alias("ring"))
+    found = land.adjacent(lots)
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    a, b = lots.toDF("piece", "a", "ra"), lots.toDF("piece", "b", "rb")
+    want = a.join(b, "piece").where("a < b").select("a", "b", rings.shared_length(F.col("ra"), F.col("rb")).alias("shared")).where("shared > 1e-6").collect()
+    assert {(r.a, r.b, round(r.shared, 9)) for r in found.collect()} == {(r.a, r.b, round(r.shared, 9)) for r in want} and len(want) > 60
