@@ -143,3 +143,13 @@ def test_shared_boundary_is_measured_where_boxes_touch(spark):
     a, b = lots.toDF("piece", "a", "ra"), lots.toDF("piece", "b", "rb")
     want = a.join(b, "piece").where("a < b").select("a", "b", rings.shared_length(F.col("ra"), F.col("rb")).alias("shared")).where("shared > 1e-6").collect()
     assert {(r.a, r.b, round(r.shared, 9)) for r in found.collect()} == {(r.a, r.b, round(r.shared, 9)) for r in want} and len(want) > 60
+
+
+def test_shapes_are_dealt_to_all_cores(spark, tmp_path):
+    """A file of parts has a partition or two, and all that is made of its shapes ran in them."""
+    from loomgrid.plans import polygons as plans
+    from loomgrid.plans import tables as t
+
+    spark.range(2000).selectExpr("id as p_partkey", "cast(id % 50 + 1 as int) as p_size", "'n' as p_name", "'b' as p_brand", "'t' as p_type").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for made in (t.shapes, plans.combs, plans.bricks):
+        assert made(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
