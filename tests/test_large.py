@@ -153,3 +153,24 @@ def test_shapes_are_dealt_to_all_cores(spark, tmp_path):
     spark.range(2000).selectExpr("id as p_partkey", "cast(id % 50 + 1 as int) as p_size", "'n' as p_name", "'b' as p_brand", "'t' as p_type").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     for made in (t.shapes, plans.combs, plans.bricks):
         assert made(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
+
+
+def test_streets_that_lie_in_each_other_meet_by_lots(spark):
+    """As the expression has it over all pairs, whose join held all streets of a cell against each other; a start with more streets than a lot too."""
+    import random
+
+    from loomgrid.functions import segments
+    from loomgrid.operators import noding
+
+    rng = random.Random(3)
+    one = lambda: (rng.randint(0, 9) * 4.0, rng.randint(0, 9) * 4.0, rng.choice([-1, 0, 1]), rng.choice([-1, 1]), rng.randint(1, 24) / 2)
+    told = [one() for _ in range(150)] + [(8.0, 8.0, 1, 1, k % 40 + 1.0) for k in range(150)] + [(8.0, 12.0, 1, 0, k + 1.0) for k in range(8)]
+    rows = [(k * 5 % len(told), float(k % 5 == 0), x, z, x + ux * n, z + uz * n) for k, (x, z, ux, uz, n) in enumerate(told)] + [(None, 0.0, 1.0, 1.0, 9.0, 1.0), (999, 0.0, 1.0, 1.0, None, 1.0)]
+    streets = spark.createDataFrame(rows, "sid long, level double, ax double, az double, bx double, bz double").repartition(3)
+    whole = streets.dropna()
+    other = whole.toDF("s2", "l2", "cx", "cz", "dx", "dz")
+    eight = map(F.col, ("ax", "az", "bx", "bz", "cx", "cz", "dx", "dz"))
+    want = whole.crossJoin(other).where("sid < s2 and level = l2").where(segments.touch(*eight)).select("sid", "s2").collect()
+    found = noding.touching(streets, 10.0)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want)) and len(want) > 9_000
+    assert found.rdd.getNumPartitions() > 16
