@@ -77,7 +77,8 @@ def road_metadata(tags: Column, widths: dict[str, float] = WIDTHS, lane_width: f
     bad_width = _set(tag(tags, "width")) & good_width.isNull()
     bad_lanes = good_width.isNull() & _set(tag(tags, "lanes")) & good_lanes.isNull()
     found = [(cls["faults"] > 0, "class"), (cls["faults"] > 1, "class"), (bad_width, "width"), (bad_lanes, "lanes"), (~bridge["valid"], "bridge"), (~tunnel["valid"], "tunnel"), (_set(told) & number(told).isNull(), "level")]
-    faults = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(CODES[n])) for c, n in found)), lambda f: f.isNotNull())
+    # not by a filter of an array, in which all of this would be interpreted
+    faults = F.concat(*(F.when(c, F.array(F.lit(CODES[n]))).otherwise(F.array().cast("array<string>")) for c, n in found))
     return F.struct(
         cls["cls"].alias("cls"),
         F.coalesce(good_width, good_lanes * lane_width, by_class).alias("width"),

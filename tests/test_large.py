@@ -174,3 +174,20 @@ def test_streets_that_lie_in_each_other_meet_by_lots(spark):
     found = noding.touching(streets, 10.0)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want)) and len(want) > 9_000
     assert found.rdd.getNumPartitions() > 16
+
+
+def test_tags_are_made_and_read_once(spark, tmp_path):
+    """The number of faults was a filter that held all tags over again, wherever they were named; null tags and repeated ids too."""
+    from loomgrid.functions import tags
+    from loomgrid.plans import queries
+
+    spark.range(400).selectExpr("id div 4 as l_orderkey", "cast(id % 5 as int) as l_linenumber", "id * 7 % 90 as l_partkey", "id * 11 % 80 as l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = queries.metadata_diagnostics(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_arrays") == 1 and "filter(array" not in plan
+    each = [(r.id, f) for r in queries._road_tags(spark, str(tmp_path)).select("id", "m.faults").collect() for f in r.faults]
+    want = {c: (sum(f == c for _, f in each), len({i for i, f in each if f == c}), min(i for i, f in each if f == c)) for c in {f for _, f in each}}
+    assert {r.code: (r.n, r.roads, r.first_id) for r in found.collect()} == want and len(want) == 6
+    odd = spark.createDataFrame([(1, None), (2, {}), (3, {"class": "x", "highway": "y", "width": "0", "lanes": "no", "bridge": "2", "tunnel": "?", "layer": "up"}), (4, {"class": "local", "highway": "y", "width": "3 m", "lanes": "no"})], "id int, tags map<string,string>")
+    got = [r.faults for r in odd.select("id", tags.road_metadata(F.col("tags"))["faults"].alias("faults")).orderBy("id").collect()]
+    assert got == [[], [], ["invalid-class", "invalid-class", "invalid-width", "invalid-lanes", "invalid-bridge", "invalid-tunnel", "invalid-level"], []]
