@@ -191,7 +191,7 @@ def _with_neighbours(ring: Column) -> Column:
 
 def tidy(ring: Column, eps: float = 1e-6) -> Column:
     """Without the points that repeat the one before."""
-    return F.when(F.size(ring) > 1, F.transform(F.filter(_with_neighbours(ring), lambda s: ~close_to(s["before"], s["p"], eps)), lambda s: s["p"])).otherwise(ring)
+    return let(ring, lambda r: F.when(F.size(r) > 1, F.transform(F.filter(_with_neighbours(r), lambda s: ~close_to(s["before"], s["p"], eps)), lambda s: s["p"])).otherwise(r))
 
 
 def straightened(ring: Column, tol: float = 1e-6) -> Column:
@@ -201,7 +201,7 @@ def straightened(ring: Column, tol: float = 1e-6) -> Column:
         bx, bz = s["after"]["x"] - s["p"]["x"], s["after"]["z"] - s["p"]["z"]
         return F.abs(ax * bz - az * bx) > tol * (F.sqrt(ax * ax + az * az) + F.sqrt(bx * bx + bz * bz))
 
-    return F.transform(F.filter(_with_neighbours(tidy(ring, tol)), bends), lambda s: s["p"])
+    return let(tidy(ring, tol), lambda r: F.transform(F.filter(_with_neighbours(r), bends), lambda s: s["p"]))
 
 
 def is_convex(ring: Column, tol: float = 1e-9) -> Column:

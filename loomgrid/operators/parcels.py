@@ -123,9 +123,9 @@ def merge_landlocked(parcels: DataFrame, group: str, parcel: str, ring: str = "r
         raise RuntimeError(f"parcels did not settle in {most_rounds} rounds")
     owners = rounds.end(own.join(now.select("parcel", "owner"), "parcel", "left").select("piece", "parcel", F.coalesce("owner", "parcel").alias("owner"), "frontage"))
     counts = owners.groupBy("piece", "owner").agg(F.count("*").alias("members"), F.max("frontage").alias("frontage"))
-    shapes = parcels.select(F.col(parcel).cast("long").alias("parcel"), F.col(ring).alias("ring")).join(owners, "parcel")
+    shapes = own.select("parcel", "ring").join(owners, "parcel")
     alone = counts.where("members = 1")
-    kept = shapes.join(alone.select("owner"), "owner", "left_semi").select("owner", rings.ccw(F.col("ring")).alias("ring"), F.array().cast(f"array<{rings.RING}>").alias("holes"))
+    kept = shapes.join(alone.select("owner"), "owner", "left_semi").select("owner", "ring", F.array().cast(f"array<{rings.RING}>").alias("holes"))
     several = counts.where("members > 1").select("owner")
     outlines = dissolve(shapes.join(several, "owner", "left_semi"), "owner", "parcel")
     whole = outlines.groupBy("owner").agg(F.max_by("ring", F.when(~F.col("hole"), rings.area(F.col("ring")))).alias("ring"), F.filter(F.collect_list(F.when(F.col("hole"), F.col("ring"))), lambda r: r.isNotNull()).alias("holes"))

@@ -191,3 +191,21 @@ def test_tags_are_made_and_read_once(spark, tmp_path):
     odd = spark.createDataFrame([(1, None), (2, {}), (3, {"class": "x", "highway": "y", "width": "0", "lanes": "no", "bridge": "2", "tunnel": "?", "layer": "up"}), (4, {"class": "local", "highway": "y", "width": "3 m", "lanes": "no"})], "id int, tags map<string,string>")
     got = [r.faults for r in odd.select("id", tags.road_metadata(F.col("tags"))["faults"].alias("faults")).orderBy("id").collect()]
     assert got == [[], [], ["invalid-class", "invalid-class", "invalid-width", "invalid-lanes", "invalid-bridge", "invalid-tunnel", "invalid-level"], []]
+
+
+def test_parcels_are_made_once_and_rings_straightened_once(spark):
+    """What parcels are made of ran again for their shapes; a ring that is itself an expression was put together some sixty times."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    lots = spark.range(40).select((F.col("id") % 2).alias("g"), F.col("id").alias("p"), rings.rect(F.floor(F.col("id") / 10) * 4.0, F.floor(F.col("id") % 10 / 2) * 4.0, F.lit(4.0), F.lit(4.0)).alias("ring"), (F.col("id") < 2).alias("frontage"))
+    got = parcels.merge_landlocked(lots.mapInArrow(counted, lots.schema), "g", "p").collect()
+    assert made.value == 40 and sorted((r.g, r.members, r.frontage) for r in got) == [(0, 20, True), (1, 20, True)]
+    ring = rings.of((0, 0), (1, 0), (2, 0), (2, 2), (2, 2), (0, 2))
+    told = spark.range(1).select(rings.straightened(F.transform(ring, lambda p: rings.point(p["x"] + F.col("id"), p["z"]))).alias("r"))
+    assert told._jdf.queryExecution().analyzed().toString().count("array(struct") < 3
+    assert [tuple(p) for p in told.first().r] == [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
