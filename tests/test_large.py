@@ -1,5 +1,8 @@
 """What a query may cost as its tables grow: jobs, joins and rows that meet."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from loomgrid.functions import rings
@@ -209,3 +212,23 @@ def test_parcels_are_made_once_and_rings_straightened_once(spark):
     told = spark.range(1).select(rings.straightened(F.transform(ring, lambda p: rings.point(p["x"] + F.col("id"), p["z"]))).alias("r"))
     assert told._jdf.queryExecution().analyzed().toString().count("array(struct") < 3
     assert [tuple(p) for p in told.first().r] == [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+
+
+def test_rings_are_shrunk_within_their_tasks(spark, monkeypatch):
+    """A ring is a row: neither the jobs nor the joins go by the rings, and what comes out is what the rounds over all of them give."""
+    rng = random.Random(8)
+    star = lambda n: [(math.cos(k / n * math.tau) * (r := rng.uniform(3, 12)), math.sin(k / n * math.tau) * r) for k in range(n)]
+    neck = [(float(x), float(z)) for x, z in ((0, 0), (12, 0), (12, 4.5), (20, 4.5), (20, 0), (32, 0), (32, 12), (20, 12), (20, 7.5), (12, 7.5), (12, 12), (0, 12))]
+    each = [star(rng.randint(3, 14)) for _ in range(60)] + [neck, neck[::-1], [neck[0], *neck], [(0.0, 0.0), (5.0, 0.0), (9.0, 0.0)]]
+    rows = [(n, s, [rng.choice([0.0, 0.3, 0.9, 1.75]) for _ in s]) for n, s in enumerate(each)] + [(100 + n, neck, [d] * 12) for n, d in enumerate((0.5, 1.5, 2.0, 7.0))]
+    rows += [(200, None, [1.0]), (201, neck, None), (202, neck, [1.0]), (203, neck, [None] * 12)]
+    told = spark.createDataFrame(rows, f"id long, ring {rings.RING}, distances array<double>").repartition(2)
+
+    def shrink():
+        return polygons.inset(told, "id").collect()
+
+    found, started = jobs(spark, shrink)
+    assert started <= 6  # rounds took more than fifty
+    size = lambda rows: sorted((r.id, len(r.ring), round(sum(p.x * q.z - q.x * p.z for p, q in zip(r.ring, r.ring[1:] + r.ring[:1], strict=True)) / 2, 6)) for r in rows)
+    monkeypatch.setattr(polygons, "FEW", 0)
+    assert size(found) == size(polygons.inset(told, "id").collect()) and len(found) > 40
